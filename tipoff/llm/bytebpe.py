@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 #: The split that byte-level vocabularies of this family are trained with (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Distinct pre-tokens that a worker remembers before it starts anew.
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 250_000
 
 
 def byte_letters() -> list[str]:
@@ -136,7 +136,7 @@ class Backtracker:
         key = left << 20 | right
         answer = self.known.get(key)
         if answer is None:
-            if len(self.known) > 2_000_000:
+            if len(self.known) > 500_000:
                 self.known.clear()
             answer = self.known[key] = self._boundary_stays(left, right)
         return answer

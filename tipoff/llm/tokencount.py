@@ -22,7 +22,7 @@ from tipoff.llm.common import settle
 #: Pre-tokens that go to every task at most.
 HEAD = 1 << 17
 #: Distinct pre-tokens that a task gathers before it hands them on.
-FLUSH = 250_000
+FLUSH = 150_000
 
 
 def distinct_pretokens(docs: DataFrame, spec, text_col: str) -> DataFrame:
@@ -119,7 +119,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
                 rows_ += [row] * (rest + 1)
                 ids += [None] * rest + [i]
                 sizes += [None] * rest + [size]
-                if len(keys) > 200_000:
+                if len(keys) > 50_000:
                     yield batch_of(keys, rows_, ids, sizes, counts)
                     keys, rows_, ids, sizes, counts = [], [], [], [], []
             yield batch_of(keys, rows_, ids, sizes, counts)
