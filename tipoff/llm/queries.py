@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tipoff.llm import bytebpe, chat, packing, sharding, tokencount
+from tipoff.llm import bytebpe, chat, langid, lzprint, packing, sharding, tokencount
 from tipoff.llm.common import table
 
 
@@ -40,6 +40,10 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_chats(turns))
 
 
+def op6_lz_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lzprint.edited_likeness(table(spark, sf_dir, "documents"))
+
+
 def op7_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     docs = table(spark, sf_dir, "documents").select(
@@ -52,12 +56,22 @@ def op7_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    learnable = langid.learnable(docs)
+    filters = langid.fit(docs.where(learnable))
+    predicted = langid.predict(docs.select("doc_id", "text"), filters).drop("text")
+    return predicted.select("doc_id", F.coalesce(~langid.learnable(predicted), F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op4_bpe_round_trip": op4_bpe_round_trip,
     "op5_chat_formatting": op5_chat_formatting,
+    "op6_lz_fingerprints": op6_lz_fingerprints,
     "op7_histogram_shards": op7_histogram_shards,
+    "op10_language_id": op10_language_id,
 }
 ORACLES: dict[str, str] = {}
 
