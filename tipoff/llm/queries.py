@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tipoff.llm import bytebpe, chat, langid, lzprint, packing, sharding, tokencount
+from tipoff.llm import bytebpe, chat, langid, lzprint, packing, sharding, substrings, tokencount
 from tipoff.llm.common import table
 
 
@@ -56,6 +56,18 @@ def op7_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    n_bytes = F.octet_length(F.coalesce(F.col("text"), F.lit(""))).cast("long")
+    return kept.select(
+        "doc_id",
+        n_bytes.alias("n_bytes"),
+        (n_bytes - F.octet_length("kept")).cast("long").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     learnable = langid.learnable(docs)
@@ -71,6 +83,7 @@ QUERIES = {
     "op5_chat_formatting": op5_chat_formatting,
     "op6_lz_fingerprints": op6_lz_fingerprints,
     "op7_histogram_shards": op7_histogram_shards,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op10_language_id": op10_language_id,
 }
 ORACLES: dict[str, str] = {}
