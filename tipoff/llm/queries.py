@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tipoff.llm import bytebpe, chat, langid, lzprint, packing, sharding, substrings, tokencount
+from tipoff.llm import bytebpe, chat, langid, lzprint, neardup, packing, sharding, substrings, tokencount
 from tipoff.llm.common import table
 
 
@@ -68,6 +68,10 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(table(spark, sf_dir, "documents"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     learnable = langid.learnable(docs)
@@ -84,6 +88,7 @@ QUERIES = {
     "op6_lz_fingerprints": op6_lz_fingerprints,
     "op7_histogram_shards": op7_histogram_shards,
     "op8_suffix_dedup": op8_suffix_dedup,
+    "op9_prob_minhash": op9_prob_minhash,
     "op10_language_id": op10_language_id,
 }
 ORACLES: dict[str, str] = {}
