@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tipoff.llm import bytebpe, chat, langid, lzprint, neardup, packing, sharding, substrings, tokencount
+from tipoff.llm import ann, bytebpe, chat, langid, lzprint, neardup, packing, sharding, substrings, tokencount
 from tipoff.llm.common import table
 
 
@@ -20,6 +20,11 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, F.col("vec_id") % 20 == 0)
+
+
 def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     ids = bytebpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text")
@@ -83,6 +88,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_nearest_neighbours": op3_nearest_neighbours,
     "op4_bpe_round_trip": op4_bpe_round_trip,
     "op5_chat_formatting": op5_chat_formatting,
     "op6_lz_fingerprints": op6_lz_fingerprints,
