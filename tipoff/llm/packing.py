@@ -17,33 +17,66 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tipoff.llm.bytebpe import library, read_file
+from tipoff.llm.bytebpe import byte_letters, library, read_file
 from tipoff.llm.common import settle
 
 CAPACITY = 2048
 CACHE_ENTRIES = 300_000
 
 
+#: Marks that may follow a word; no apostrophe, which the pre-tokeniser can join to letters.
+MARKS = ".,;:!?%$#*&|()[]{}\"<>/=+-_~^@`\\"
+
+
 class ChunkEncoder:
     """Ids of whole texts as little-endian uint32 bytes, for vocabularies whose pre-tokeniser
-    drops white space: what stands between white space is encoded once by the library."""
+    drops white space: what stands between white space is encoded once by the library.
+
+    A chunk of letters and then marks is two pre-tokens, so its word goes to the library's
+    model by itself and is remembered without marks and case; other chunks go whole.
+    """
 
     def __init__(self, spec: str):
         self.library = library(spec)
+        self.model = self.library.model
+        self.normal = self.library.normalizer.normalize_str
+        self.letters = byte_letters()
         self.cache: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {"": b""}
         self.strict = regex.compile(r"\P{White_Space}+")
         self.odd = regex.compile("[\x1c-\x1f]")  # str.split() takes these for white space
 
+    def _word(self, word: str) -> bytes:
+        found = self.words.get(word)
+        if found is None:
+            mapped = word if word.isascii() else "".join([self.letters[b] for b in word.encode()])
+            found = self.words[word] = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+        return found
+
+    def _learn(self, chunks: set) -> None:
+        whole = []
+        for c in chunks:
+            core = c.rstrip(MARKS)
+            word = core.lower() if core.isascii() else self.normal(core)
+            if word.isalpha() and core.isalpha():
+                self.cache[c] = self._word(word) + self._word(c[len(core) :])
+            else:
+                whole.append(c)
+        for c, e in zip(whole, self.library.encode_batch_fast(whole, add_special_tokens=False)):
+            self.cache[c] = array("I", e.ids).tobytes()
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        chunks = [self.strict.findall(t) if self.odd.search(t) else t.split() for t in texts]
-        if len(self.cache) > CACHE_ENTRIES:
-            self.cache = {}
-        cache = self.cache
-        new = list({c for x in chunks for c in x}.difference(cache))
-        if new:
-            for c, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
-                cache[c] = array("I", e.ids).tobytes()
-        return [b"".join(map(cache.__getitem__, x)) for x in chunks]
+        if len(self.cache) > CACHE_ENTRIES or len(self.words) > CACHE_ENTRIES:
+            self.cache, self.words = {}, {"": b""}
+        cache, out = self.cache, []
+        for text in texts:
+            chunks = self.strict.findall(text) if self.odd.search(text) else text.split()
+            try:
+                out.append(b"".join(map(cache.__getitem__, chunks)))
+            except KeyError:
+                self._learn(set(chunks).difference(cache))
+                out.append(b"".join(map(cache.__getitem__, chunks)))
+        return out
 
 
 _BUILT: dict = {}
