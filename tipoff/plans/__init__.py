@@ -1 +1,3 @@
+"""Registered queries; importing the package files them."""
 
+from tipoff.plans import features  # noqa: F401

@@ -19,8 +19,12 @@ def register(name: str, oracle: str | None = None):
 
 
 def queries() -> dict:
+    import tipoff.plans  # noqa: F401  (registers)
+
     return QUERIES
 
 
 def oracle_sql() -> dict:
+    import tipoff.plans  # noqa: F401  (registers)
+
     return ORACLES
