@@ -58,6 +58,17 @@ def _sliding(take, values: np.ndarray, width: int) -> np.ndarray:
     return take(out[: len(out) - (width - have)], out[width - have :]) if have < width else out
 
 
+def _hash(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * _MIX
+    return h ^ (h >> np.uint64(29))
+
+
+def _key(h: np.ndarray) -> np.ndarray:
+    """Anchors have small hashes; their keys are even again."""
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(_ODD)
+    return h ^ (h >> np.uint64(29))
+
+
 class Shape:
     """Lengths that follow from the string length."""
 
@@ -97,17 +108,13 @@ class Shape:
                 tail = powers[size][have:]
                 h = h[: len(tail)] * np.uint64(pow(_ODD, size, 1 << 64)) + tail
                 have, rest = have + size, rest - size
-        h = h ^ (h >> np.uint64(31))
-        h *= _MIX
-        h ^= h >> np.uint64(29)
+        h = _hash(h)
         least = _sliding(np.minimum, h, self.side + 1)
         for end in ends[1:-1]:  # strings never cross documents
             least[max(0, end - self.length + 1) : end] = 0
         pad = np.zeros(self.side, np.uint64)
         chosen = np.flatnonzero((_sliding(np.maximum, np.concatenate([pad, least, pad]), self.side + 1) == h) & (h != 0))
-        key = h[chosen]
-        key = (key ^ (key >> np.uint64(32))) * np.uint64(_ODD)
-        return chosen, key ^ (key >> np.uint64(29))
+        return chosen, _key(h[chosen])
 
     def contexts(self, data, offsets, at, owner) -> np.ndarray:
         """Bytes on both sides of each anchor within its document, and how many they are:
@@ -123,25 +130,53 @@ class Shape:
         return out
 
     def names(self, records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """64-bit hashes of whole records and of their anchors alone."""
+        """64-bit hashes of whole records, and the keys of their anchors."""
         whole = np.zeros(len(records), np.uint64)
         anchor = np.zeros(len(records), np.uint64)
         for c in range(records.shape[1]):
-            v = records[:, c].astype(np.uint64)
-            whole = (whole ^ (whole >> np.uint64(33))) * np.uint64(_ODD) + v + np.uint64(1)
+            v = records[:, c].astype(np.uint64) + np.uint64(1)
+            whole = (whole ^ (whole >> np.uint64(33))) * np.uint64(_ODD) + v
             if self.side + 2 <= c < self.side + 2 + self.gram:
-                anchor = (anchor ^ (anchor >> np.uint64(33))) * _MIX + v + np.uint64(1)
-        return whole ^ (whole >> np.uint64(32)), anchor ^ (anchor >> np.uint64(32))
+                anchor = anchor * np.uint64(_ODD) + v
+        return whole ^ (whole >> np.uint64(32)), _key(_hash(anchor))
+
+    def _longest(self, group: np.ndarray, sides: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """How much of its side (bytes outwards from the anchor) each record shares with some
+        other record of its group, at most."""
+        n = len(group)
+        rows = np.concatenate([group.astype(">u8").view(np.uint8).reshape(n, 8), sides, sizes[:, None].astype(np.uint8)], axis=1)
+        order = np.argsort(np.ascontiguousarray(rows).view(f"V{rows.shape[1]}").ravel(), kind="stable")
+        x, have, own = sides[order], sizes[order], group[order]
+        alike = (x[1:] == x[:-1]) & (np.arange(x.shape[1]) < np.minimum(have[1:], have[:-1])[:, None])
+        same = np.where(own[1:] == own[:-1], np.logical_and.accumulate(alike, axis=1).sum(axis=1), 0)
+        out = np.empty(n, np.int64)
+        out[order] = np.maximum(np.append(same, 0), np.append(0, same)) if n else 0
+        return out
 
     def least_ids(self, records: np.ndarray, ids: np.ndarray, anchor: np.ndarray) -> np.ndarray:
         """For distinct records and each number of bytes before the anchor (0 to side): the
-        least id among records that hold the same string there; NEVER where there is none."""
-        n, side = len(records), self.side
-        order = np.argsort(anchor, kind="stable")
-        records, ids, anchor = records[order], ids[order], anchor[order]
+        least id among records that hold the same string there; NEVER where there is none.
+
+        Left out of the symbol string: what no other record of the anchor shares (no equal
+        string reaches there) and what all of them share (it tells none apart).
+        """
+        side = self.side
+        left, right, body = records[:, 0].astype(np.int64), records[:, 1].astype(np.int64), records[:, 2:]
+        before = np.arange(side + 1)[:, None]
+        out = np.where((before <= left) & (side - before <= right), ids, NEVER)
+        far_left = self._longest(anchor, body[:, side - 1 :: -1] if side else body[:, :0], left)
+        far_right = self._longest(anchor, body[:, side + self.gram :], right)
+        live = np.flatnonzero(far_left + far_right >= side)
+        # Records with the same anchor stand together, in the order of the anchors' keys.
+        live = live[np.argsort(anchor[live], kind="stable")]
+        if len(live):
+            out[:, live] = np.minimum(out[:, live], self._sorted(body[live], ids[live], anchor[live], far_left[live], far_right[live]))
+        return out
+
+    def _sorted(self, body, ids, anchor, left, right) -> np.ndarray:
+        n, side = len(body), self.side
         new = np.concatenate([[True], anchor[1:] != anchor[:-1]])
         group, firsts = np.cumsum(new) - 1, np.flatnonzero(new)
-        left, right, body = records[:, 0].astype(np.int64), records[:, 1].astype(np.int64), records[:, 2:]
         head = firsts[group]
 
         def shared(columns, sizes):
@@ -178,14 +213,12 @@ class Shape:
             span = own + 1 + np.maximum(0, after - cut_right[fits])
             by = np.argsort(rank[begin], kind="stable")
             fits, begin, span = fits[by], begin[by], span[by]
-            same = np.ones(len(fits) - 1, bool)
+            same = group[fits[1:]] == group[fits[:-1]]
             for k in range(int(span.max())):
                 a, b = (symbols[np.minimum(x + k, len(symbols) - 1)] for x in (begin[:-1], begin[1:]))
                 same &= (a == b) | (k >= span[1:])
-            same &= group[fits[1:]] == group[fits[:-1]]
             starts = np.flatnonzero(np.concatenate([[True], ~same]))
-            least = np.minimum.reduceat(ids[fits], starts)
-            out[before, order[fits]] = np.repeat(least, np.diff(np.append(starts, len(fits))))
+            out[before, fits] = np.repeat(np.minimum.reduceat(ids[fits], starts), np.diff(np.append(starts, len(fits))))
         return out
 
 
@@ -250,9 +283,10 @@ def _by_bucket(bucket: np.ndarray):
     return order, list(zip(used.tolist(), first.tolist(), np.append(first[1:], len(bucket)).tolist()))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, as_text: bool = False) -> DataFrame:
     """All columns of docs plus kept binary (the bytes that stay) and spans
-    array<struct<start long, length long>> (the maximal runs of bytes that go).
+    array<struct<start long, length long>> (the maximal runs of bytes that go). With
+    `as_text`, kept is a string, without characters of which a part is gone.
 
     Ids are integers; a null id counts as smaller than all others. Null texts are empty. Rows
     with equal ids do not remove each other's bytes; equal texts under different ids lose all
@@ -352,7 +386,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             part = inverse[at : at + len(mine)]
             useful = many | (least[:, part].min(axis=0) < mine)
             if useful.any():
-                body = whole[at : at + len(mine)][useful].tobytes() + least[:, part[useful]].tobytes()
+                here = slice(at, at + len(mine))
+                body = whole[here][useful].tobytes() + (anchor[here][useful] >> np.uint64(32)).astype(np.uint32).tobytes() + least[:, part[useful]].tobytes()
                 out.append((bucket, name, _shrink(body)))
             at += len(mine)
         return pa.table({"bucket": pa.array([o[0] for o in out], pa.int64()), "block": pa.array([o[1] for o in out], pa.string()), "data": pa.array([o[2] for o in out], pa.binary())})
@@ -360,23 +395,27 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     by_block = lambda df: df.groupBy("block")
     contexts = by_block(blocks).cogroup(by_block(shared)).applyInArrow(send_contexts, schema)
     answers = contexts.groupBy("bucket").applyInArrow(answer, schema)
-    final = docs.withColumn("kept", F.lit(b"")).withColumn("spans", F.lit(None).cast("array<struct<start:long,length:long>>"))
+    final = docs.withColumn("kept", F.lit("") if as_text else F.lit(b"")).withColumn("spans", F.lit(None).cast("array<struct<start:long,length:long>>"))
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
 
     def mark(left: pa.Table, right: pa.Table) -> pa.Table:
         table, ids, data, offsets = _load(left.column("blob")[0].as_py(), id_col, text_col)
         gone = np.zeros(len(data) + 1, np.int32)
         if right.num_rows:
-            found, least = [], []
+            found, keys, least = [], [], []
             for d in right.column("data"):
                 raw = _grow(d.as_py())
-                n = len(raw) // (8 * (shape.side + 2))
+                n = len(raw) // (8 * (shape.side + 2) + 4)
                 found.append(np.frombuffer(raw, np.uint64, n))
-                least.append(np.frombuffer(raw, np.int64, n * (shape.side + 1), 8 * n).reshape(shape.side + 1, n))
-            found, least = np.concatenate(found), np.concatenate(least, axis=1)
+                keys.append(np.frombuffer(raw, np.uint32, n, 8 * n))
+                least.append(np.frombuffer(raw, np.int64, n * (shape.side + 1), 12 * n).reshape(shape.side + 1, n))
+            found, keys, least = np.concatenate(found), np.unique(np.concatenate(keys)), np.concatenate(least, axis=1)
             order = np.argsort(found)
             found, least = found[order], least[:, order]
-            at, _, owner = shape.anchors(data, offsets)
+            at, key, owner = shape.anchors(data, offsets)
+            high = (key >> np.uint64(32)).astype(np.uint32)
+            near = keys[np.minimum(np.searchsorted(keys, high), len(keys) - 1)] == high
+            at, owner = at[near], owner[near]
             for k in range(0, len(at), 1 << 16):
                 a, o = at[k : k + (1 << 16)], owner[k : k + (1 << 16)]
                 whole, _ = shape.names(shape.contexts(data, offsets, a, o))
@@ -399,6 +438,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             kept.append(data[a:b][~here].tobytes())
             edge = np.flatnonzero(np.diff(np.concatenate([[0], here.view(np.int8), [0]])))
             spans.append([{"start": int(s), "length": int(e - s)} for s, e in zip(edge[::2], edge[1::2])])
-        return table.append_column("kept", pa.array(kept, pa.binary())).append_column("spans", pa.array(spans, span_type))
+        if as_text:
+            kept = [k.decode("utf-8", "ignore") for k in kept]
+        return table.append_column("kept", pa.array(kept, pa.string() if as_text else pa.binary())).append_column("spans", pa.array(spans, span_type))
 
     return by_block(blocks).cogroup(by_block(answers)).applyInArrow(mark, final.schema)
