@@ -24,11 +24,11 @@ FIT_ROWS = 16_384
 #: Queries whose exact neighbours calibrate the visits, at most about.
 CALIBRATION_ROWS = 256
 BRANCH = 8
-LEAF_ROWS = 256
-#: Sampled vectors that a leaf is fitted on, at least; with FIT_ROWS it bounds the leaves.
-LEAF_SAMPLE = 8
-#: Vectors or queries that meet in one task's group, at most.
-CHUNK = 4096
+#: Sampled vectors in a leaf, at most; with FIT_ROWS it keeps the number of leaves, and so
+#: the rows that a query turns into, about the same however many vectors there are.
+LEAF_SAMPLE = 128
+#: Vectors and queries that meet in one task's group, at most.
+CHUNK, QUERY_CHUNK = 16_384, 1024
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -90,7 +90,8 @@ class Tree:
         different = np.unique(points, axis=0)
         if len(different) < 2:
             return []
-        centres = different[rng.choice(len(different), min(BRANCH, len(different)), replace=False)]
+        parts = min(BRANCH, len(different), -(-len(points) // LEAF_SAMPLE))
+        centres = different[rng.choice(len(different), parts, replace=False)]
         for _ in range(rounds):
             near = ((centres**2).sum(axis=1) - 2 * points @ centres.T).argmin(axis=1)
             centres = np.array([points[near == k].mean(axis=0) if (near == k).any() else centres[k] for k in range(len(centres))])
@@ -125,7 +126,17 @@ class Tree:
         return out
 
 
-def best(query_ids, queries, ids, points, k: int):
+def best(query_ids, queries, ids, points, k: int, rows: int = 128):
+    """`_best` for a few queries at a time, which bounds the matrix of scores."""
+    parts = [_best(query_ids[i : i + rows], queries[i : i + rows], ids, points, k) for i in range(0, len(queries), rows)]
+    if not parts:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    shift = np.repeat(np.arange(0, len(queries), rows), [len(p[0]) for p in parts])
+    q, vec_id, score = (np.concatenate(x) for x in zip(*parts))
+    return q + shift, vec_id, score
+
+
+def _best(query_ids, queries, ids, points, k: int):
     """(query position, id, score) of each query's k best points, its own id aside: largest
     score, then smallest id. A matrix product finds who may be among them; scores are then
     summed pair by pair, so that equal vectors have equal scores."""
@@ -146,8 +157,7 @@ def best(query_ids, queries, ids, points, k: int):
 
 
 def fit(points: DataFrame, fit_rows: int = FIT_ROWS) -> Tree | None:
-    """A tree over (id, vec); leaves hold about LEAF_ROWS vectors, but there are no more of
-    them than the sample bears."""
+    """A tree over (id, vec), with at most about LEAF_SAMPLE sampled vectors to a leaf."""
     norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     row = points.agg(F.count("*").alias("n"), F.max(norm).alias("top")).first()
     if not row["n"]:
@@ -156,8 +166,7 @@ def fit(points: DataFrame, fit_rows: int = FIT_ROWS) -> Tree | None:
     sample = points.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share).orderBy("id").toArrow()
     if not sample.num_rows:
         sample = points.orderBy("id").limit(1).toArrow()
-    leaf_rows = max(LEAF_SAMPLE, -(-LEAF_ROWS * sample.num_rows // row["n"]))
-    return Tree(matrix(sample.column("vec")), row["top"] * (1 + 1e-9), leaf_rows)
+    return Tree(matrix(sample.column("vec")), row["top"] * (1 + 1e-9), LEAF_SAMPLE)
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
@@ -233,10 +242,12 @@ def search(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str
             yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(leaves, pa.int32())], names=["id", "vec", "leaf"])
 
     asked = queries.mapInArrow(visit, f"id long, vec {vec_type}, leaf int")
+    visited = settle(asked.select("id", "leaf"), "visits")
+    asked = visited.join(queries, "id")
     # Both sides of a leaf are cut into chunks, and each pair of chunks meets in one group.
-    asked_sizes = settle(asked.select("id", "leaf"), "visits").groupBy("leaf").count().withColumnRenamed("count", "asked")
+    asked_sizes = visited.groupBy("leaf").count().withColumnRenamed("count", "asked")
     sizes = points.groupBy("leaf").count().join(asked_sizes, "leaf").select(
-        "leaf", F.ceil(F.col("count") / CHUNK).cast("int").alias("np"), F.ceil(F.col("asked") / CHUNK).cast("int").alias("nq")
+        "leaf", F.ceil(F.col("count") / CHUNK).cast("int").alias("np"), F.ceil(F.col("asked") / QUERY_CHUNK).cast("int").alias("nq")
     )  # a row per leaf: no more than the sample bears
     sizes = F.broadcast(sizes)
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
