@@ -17,6 +17,15 @@ SEED_ORDER = (1, 16, 8, 9, 5, 12, 4, 13, 6, 11, 3, 14, 7, 10, 2, 15)
 POINTS = (10, 20, 40, 80, 160, 320)
 
 
+def pinned(df: DataFrame, most: int = 4096) -> DataFrame:
+    """A table of a bracket's size, as a literal: rounds that read it twice do not double the
+    plan. Anything larger is refused."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows are no bracket")
+    return df.sparkSession.createDataFrame(rows, df.schema)
+
+
 def slots(teams: DataFrame, regions: tuple[str, ...]) -> DataFrame:
     """Adds slot: regions in the given order (the first two meet in one semifinal, the last
     two in the other), seeds in bracket order."""
@@ -43,7 +52,7 @@ def blend_lines(pairs: DataFrame, lines: DataFrame, weight: float = 0.35, sigma:
 
 def exact_advancement(bracket: DataFrame, probs: DataFrame, rounds: int = 6) -> DataFrame:
     """(slot, TeamID, R1..R<rounds>): the exact probability of winning each round (SM3)."""
-    now = bracket.select("slot", "TeamID", F.lit(1.0).alias("R0"))
+    now = pinned(bracket.select("slot", "TeamID", F.lit(1.0).alias("R0")))
     for r in range(1, rounds + 1):
         half = 1 << (r - 1)
         rival = now.select(F.col("slot").alias("o_slot"), F.col("TeamID").alias("TeamID_b"), F.col(f"R{r - 1}").alias("o"))
@@ -51,7 +60,7 @@ def exact_advancement(bracket: DataFrame, probs: DataFrame, rounds: int = 6) ->
         meets = F.floor(F.col("o_slot") / half) == F.when(block % 2 == 0, block + 1).otherwise(block - 1)
         won = now.join(F.broadcast(rival), meets).join(F.broadcast(probs.withColumnRenamed("TeamID_a", "TeamID").select("TeamID", "TeamID_b", "p")), ["TeamID", "TeamID_b"])
         chance = won.groupBy("slot").agg(F.sum(F.col("o") * F.col("p")).alias("c"))
-        now = now.join(chance, "slot").withColumn(f"R{r}", F.col(f"R{r - 1}") * F.col("c")).drop("c")
+        now = pinned(now.join(chance, "slot").withColumn(f"R{r}", F.col(f"R{r - 1}") * F.col("c")).drop("c"))
     return now.drop("R0")
 
 
