@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def common_subsequence(a: str, b: str) -> int:
@@ -25,6 +26,6 @@ def token_sort_score(a: str | None, b: str | None) -> float | None:
     return 100.0 if not total else 200.0 * common_subsequence(a, b) / total
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def token_sort_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([token_sort_score(a, b) for a, b in zip(left, right)], dtype="float64")

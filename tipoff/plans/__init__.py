@@ -2,3 +2,4 @@
 
 from tipoff.plans import features  # noqa: F401
 from tipoff.plans import tournament  # noqa: F401
+from tipoff.plans import names  # noqa: F401
