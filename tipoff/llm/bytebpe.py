@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import unicodedata
 from array import array
 
 import numpy as np
@@ -44,7 +45,8 @@ def read_file(path: str) -> str:
 class PreTokenizer:
     """Splits text as the tokenizers library does before merging.
 
-    Characters that the regex module's Unicode tables do not know go to the library itself.
+    Texts with characters that Python's Unicode tables do not know go to the library itself:
+    tables of other years may class them differently.
     """
 
     def __init__(self, spec: str):
@@ -54,12 +56,11 @@ class PreTokenizer:
         longest_first = sorted(self.specials, key=len, reverse=True)
         self.special = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if longest_first else None
         self.find = regex.compile(PATTERN).findall
-        self.high = re.compile("[՘-\U0010ffff]")
-        self.unknown = regex.compile(r"\p{Cn}")
+        self.high = re.compile("[\u0558-\U0010ffff]")  # the first unassigned code point and on
         self._library = None
 
     def _plain(self, text: str) -> list[str]:
-        if text.isascii() or not self.high.search(text) or not self.unknown.search(text):
+        if text.isascii() or not self.high.search(text) or not any(unicodedata.category(c) == "Cn" for c in set(text)):
             return self.find(text)
         if self._library is None:
             self._library = library(self.spec)
