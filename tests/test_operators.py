@@ -142,3 +142,15 @@ def test_medians_and_sparse_columns(spark):
     df = spark.createDataFrame([(1, 1.0, None), (2, None, None), (3, 4.0, 2.0)], "k int, a double, b double")
     assert [r["a"] for r in fx.fill_medians(df, ["a"]).orderBy("k").collect()] == [1.0, 2.5, 4.0]
     assert fx.drop_sparse(df, ["a", "b"], 0.5).columns == ["k", "a"]
+
+
+def test_stream_of_games(spark, tmp_path):
+    from tipoff.sources.adapter import game_log
+    from tipoff.streaming.season_totals import read_games, season_totals
+
+    games = game_log(spark, "/root/testdata/sf0.001")
+    games.repartition(3).write.parquet(str(tmp_path / "games"))
+    stream = season_totals(read_games(spark, str(tmp_path / "games"), games.schema, 1))
+    query = stream.writeStream.outputMode("complete").format("memory").queryName("totals").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert sorted(map(tuple, spark.table("totals").collect())) == sorted(map(tuple, season_totals(games).collect()))
