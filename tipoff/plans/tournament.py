@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tipoff.functions.scalars import blend, line_to_prob, logistic
+from tipoff.functions.scalars import line_to_prob, logistic
 from tipoff.operators import bracket as br
 from tipoff.operators import features as fx
 from tipoff.operators import matchups as mu
