@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -35,6 +38,31 @@ def small_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> N
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+_KEPT: dict = {}
+
+
+def kept(group: str, key, make):
+    """Tables that a worker process keeps between tasks, made once. It keeps those of one
+    operator at a time: when another one's task comes, the former's go."""
+    if _KEPT.get("group") != group:
+        _KEPT.clear()
+        _KEPT["group"] = group
+    if key not in _KEPT:
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def tidy(group: str | None = None) -> None:
+    """Gives memory that a worker has freed back to the system: workers live on between
+    tasks, and several share an executor's limit. With `group`, other operators' tables go."""
+    if group is not None and _KEPT.get("group") != group:
+        _KEPT.clear()
+        _KEPT["group"] = group
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries lack it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tipoff.llm.common import settle
+from tipoff.llm.common import settle, tidy
 from tipoff.llm.suffixes import suffix_array
 
 LENGTH = 50
@@ -39,10 +39,12 @@ NEVER = np.iinfo(np.int64).max
 _ODD = 0x9E3779B97F4A7C15
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _LOW = 17  # bits of a key that may choose its bucket
+_HIGH = np.uint64((1 << 39) - 1)  # of the others, those that are sent beside a flag in 5 bytes
+LEVEL = 9  # of compression: what is written is read over again or crosses the network
 
 
 def _shrink(data: bytes) -> bytes:
-    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd", compression_level=LEVEL).compress(data, asbytes=True)
 
 
 def _grow(data: bytes) -> bytes:
@@ -78,7 +80,7 @@ class Shape:
         self.side = length - self.gram  # bytes of a string beside its anchor
         self.width = 2 * self.side + self.gram
 
-    def anchors(self, data: np.ndarray, offsets: np.ndarray, slice_bytes: int = 1 << 19):
+    def anchors(self, data: np.ndarray, offsets: np.ndarray, slice_bytes: int = 1 << 18):
         """(position, 64-bit key, document) of each anchor in a block."""
         at, keys, owner, first, n = [], [], [], 0, len(offsets) - 1
         while first < n:
@@ -119,14 +121,16 @@ class Shape:
     def contexts(self, data, offsets, at, owner) -> np.ndarray:
         """Bytes on both sides of each anchor within its document, and how many they are:
         uint8 columns left count, right count, then the context."""
-        left = np.minimum(self.side, at - offsets[owner])
-        right = np.minimum(self.side, offsets[owner + 1] - at - self.gram)
-        column = np.arange(self.width)
-        where = np.clip(at[:, None] - self.side + column, 0, max(0, len(data) - 1))
-        out = np.empty((len(at), self.width + 2), np.uint8)
-        out[:, 0], out[:, 1] = left, right
-        inside = (column >= (self.side - left)[:, None]) & (column < (self.side + self.gram + right)[:, None])
-        out[:, 2:] = np.where(inside, data[where], 0) if len(data) else 0
+        out = np.zeros((len(at), self.width + 2), np.uint8)
+        column = np.arange(self.width, dtype=np.int32)
+        for k in range(0, len(at), 1 << 13):  # a matrix of places for a few at a time
+            a, o = at[k : k + (1 << 13)], owner[k : k + (1 << 13)]
+            left = np.minimum(self.side, a - offsets[o])
+            right = np.minimum(self.side, offsets[o + 1] - a - self.gram)
+            where = np.clip((a - self.side).astype(np.int32)[:, None] + column, 0, len(data) - 1)
+            inside = (column >= (self.side - left)[:, None]) & (column < (self.side + self.gram + right)[:, None])
+            out[k : k + (1 << 13), 0], out[k : k + (1 << 13), 1] = left, right
+            out[k : k + (1 << 13), 2:] = data[where] * inside
         return out
 
     def names(self, records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -243,7 +247,7 @@ def _blocks(docs: DataFrame, text_col: str) -> DataFrame:
 
         def block():
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=LEVEL))) as w:
                 w.write_table(pa.Table.from_batches(held).combine_chunks())
             return pa.RecordBatch.from_arrays([pa.array([f"{part}-{number}"]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "blob"])
 
@@ -266,13 +270,13 @@ def _blocks(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.mapInArrow(work, "block string, blob binary")
 
 
-def _six(values: np.ndarray) -> bytes:
-    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+def _five(values: np.ndarray) -> bytes:
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
 
 
-def _from_six(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+def _from_five(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
     return out.view("<u8").ravel()
 
 
@@ -304,6 +308,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     blocks = settle(_blocks(docs, text_col), "blocks")
 
     def send_keys(batches):
+        tidy("substrings")
         for batch in batches:
             for name, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
                 _, _, data, offsets = _load(blob.as_py(), id_col, text_col)
@@ -313,18 +318,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
                 many = owner[first] != owner[np.append(first[1:], len(key)) - 1] if len(key) else np.empty(0, bool)
                 key = key[first]
-                value = (key >> np.uint64(_LOW) << np.uint64(1)) | many.astype(np.uint64)
+                value = (((key >> np.uint64(_LOW)) & _HIGH) << np.uint64(1)) | many.astype(np.uint64)
                 bucket = (key & np.uint64(buckets - 1)).astype(np.int64)
                 order, parts = _by_bucket(bucket)
                 value = value[order]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([b for b, _, _ in parts], pa.int64()), pa.array([name] * len(parts), pa.string()), pa.array([_six(value[i:j]) for _, i, j in parts], pa.binary())],
+                    [pa.array([b for b, _, _ in parts], pa.int64()), pa.array([name] * len(parts), pa.string()), pa.array([_five(value[i:j]) for _, i, j in parts], pa.binary())],
                     names=["bucket", "block", "data"],
                 )
+        tidy("substrings")
 
     def find_shared(table: pa.Table) -> pa.Table:
         names, bucket = table.column("block").to_pylist(), table.column("bucket")[0].as_py()
-        values = [_from_six(x.as_py()) for x in table.column("data")]
+        values = [_from_five(x.as_py()) for x in table.column("data")]
         flat = np.concatenate(values)
         _, inverse, counts = np.unique(flat >> np.uint64(1), return_inverse=True, return_counts=True)
         counts = counts + np.bincount(inverse, weights=(flat & np.uint64(1)).astype(float), minlength=len(counts))
@@ -334,21 +340,22 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             here = shared[at : at + len(v)]
             at += len(v)
             if here.any():
-                out.append((bucket, name, _six(v[here])))
+                out.append((bucket, name, _five(v[here])))
         return pa.table({"bucket": pa.array([o[0] for o in out], pa.int64()), "block": pa.array([o[1] for o in out], pa.string()), "data": pa.array([o[2] for o in out], pa.binary())})
 
     schema = "bucket long, block string, data binary"
     shared = blocks.mapInArrow(send_keys, schema).groupBy("bucket").applyInArrow(find_shared, schema)
 
     def send_contexts(left: pa.Table, right: pa.Table) -> pa.Table:
+        tidy("substrings")
         rows = []
         if left.num_rows and right.num_rows:
             name = left.column("block")[0].as_py()
             _, ids, data, offsets = _load(left.column("blob")[0].as_py(), id_col, text_col)
             low = np.uint64(_LOW)
-            wanted = np.sort(np.concatenate([((_from_six(d.as_py()) >> np.uint64(1)) << low) | np.uint64(b.as_py()) for b, d in zip(right.column("bucket"), right.column("data"))]))
+            wanted = np.sort(np.concatenate([((_from_five(d.as_py()) >> np.uint64(1)) << low) | np.uint64(b.as_py()) for b, d in zip(right.column("bucket"), right.column("data"))]))
             at, key, owner = shape.anchors(data, offsets)
-            short = ((key >> low) << low) | (key & np.uint64(buckets - 1))
+            short = (((key >> low) & _HIGH) << low) | (key & np.uint64(buckets - 1))
             place = np.minimum(np.searchsorted(wanted, short), len(wanted) - 1)
             hit = wanted[place] == short
             at, owner = at[hit], owner[hit]
@@ -399,6 +406,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
 
     def mark(left: pa.Table, right: pa.Table) -> pa.Table:
+        tidy("substrings")
         table, ids, data, offsets = _load(left.column("blob")[0].as_py(), id_col, text_col)
         gone = np.zeros(len(data) + 1, np.int32)
         if right.num_rows:
@@ -416,8 +424,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             high = (key >> np.uint64(32)).astype(np.uint32)
             near = keys[np.minimum(np.searchsorted(keys, high), len(keys) - 1)] == high
             at, owner = at[near], owner[near]
-            for k in range(0, len(at), 1 << 16):
-                a, o = at[k : k + (1 << 16)], owner[k : k + (1 << 16)]
+            for k in range(0, len(at), 1 << 14):
+                a, o = at[k : k + (1 << 14)], owner[k : k + (1 << 14)]
                 whole, _ = shape.names(shape.contexts(data, offsets, a, o))
                 place = np.minimum(np.searchsorted(found, whole), len(found) - 1)
                 hit = np.flatnonzero(found[place] == whole)
