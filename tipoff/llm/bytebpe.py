@@ -18,6 +18,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tipoff.llm.common import kept
+
 #: The split that byte-level vocabularies of this family are trained with (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Distinct pre-tokens that a worker remembers before it starts anew.
@@ -245,15 +247,9 @@ class Decoder:
         return self.blob[at].tobytes().decode("utf-8", "replace")
 
 
-_BUILT: dict = {}
-
-
 def built(kind, spec: str):
     """One table set per worker process and vocabulary."""
-    key = (kind.__name__, hash(spec))
-    if key not in _BUILT:
-        _BUILT[key] = kind(spec)
-    return _BUILT[key]
+    return kept("bytebpe", (kind.__name__, hash(spec)), lambda: kind(spec))
 
 
 def encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", ids_col: str = "ids", slice_rows: int = 256) -> DataFrame:

@@ -29,8 +29,8 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> None:
-    """Whole texts go to Python a thousand rows and 16 MB at a time, unless the session sets
+def small_batches(spark: SparkSession, rows: int = 1000, size: str = "4m") -> None:
+    """Whole texts go to Python a thousand rows and 4 MB at a time, unless the session sets
     rows itself: at the defaults, long texts fill an executor's memory."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) == 10_000:

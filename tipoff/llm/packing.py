@@ -18,10 +18,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tipoff.llm.bytebpe import byte_letters, library, read_file
-from tipoff.llm.common import settle
+from tipoff.llm.common import kept, settle, tidy
 
 CAPACITY = 2048
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 100_000
 
 
 #: Marks that may follow a word; no apostrophe, which the pre-tokeniser can join to letters.
@@ -79,9 +79,6 @@ class ChunkEncoder:
         return out
 
 
-_BUILT: dict = {}
-
-
 def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
     """One row per piece: `id_col`, piece int, start long, length int, ids_le binary (unsigned
     little-endian 32-bit ids).
@@ -99,9 +96,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def work(batches):
-        if hash(spec.value) not in _BUILT:
-            _BUILT[hash(spec.value)] = ChunkEncoder(spec.value)
-        encoder = _BUILT[hash(spec.value)]
+        encoder = kept("packing", hash(spec.value), lambda: ChunkEncoder(spec.value))
         for whole in batches:
             for k in range(0, whole.num_rows, 512):
                 batch = whole.slice(k, 512)
@@ -117,6 +112,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
                     [batch.column(0).take(pa.array(owner, pa.int32())), pa.array(number), pa.array(number.astype(np.int64) * capacity), pa.array([len(p) // 4 for p in parts], pa.int32()), pa.array(parts, pa.binary())],
                     names=["id", "piece", "start", "length", "ids_le"],
                 )
+        tidy()
 
     return chosen.mapInArrow(work, f"id {id_type}, piece int, start long, length int, ids_le binary").withColumnRenamed("id", id_col)
 

@@ -329,6 +329,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         tidy("substrings")
 
     def find_shared(table: pa.Table) -> pa.Table:
+        tidy("substrings")
         names, bucket = table.column("block").to_pylist(), table.column("bucket")[0].as_py()
         values = [_from_five(x.as_py()) for x in table.column("data")]
         flat = np.concatenate(values)
@@ -374,6 +375,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int64()), "block": pa.array([r[1] for r in rows], pa.string()), "data": pa.array([r[2] for r in rows], pa.binary())})
 
     def answer(table: pa.Table) -> pa.Table:
+        tidy("substrings")
         bucket, size = table.column("bucket")[0].as_py(), shape.width + 2
         names, lows, manys, bodies = table.column("block").to_pylist(), [], [], []
         for d in table.column("data"):

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tipoff.llm.bytebpe import PreTokenizer, built, library, read_file
-from tipoff.llm.common import settle
+from tipoff.llm.common import kept, settle
 
 #: Pre-tokens that go to every task at most.
 HEAD = 1 << 17
@@ -60,13 +60,8 @@ def count_pieces(pretokens: DataFrame, spec) -> DataFrame:
     return pretokens.withColumn("pieces", pieces("piece"))
 
 
-_LIBRARY: dict = {}
-
-
 def built_library(spec: str):
-    if hash(spec) not in _LIBRARY:
-        _LIBRARY[hash(spec)] = library(spec)
-    return _LIBRARY[hash(spec)]
+    return kept("bytebpe", ("library", hash(spec)), lambda: library(spec))
 
 
 def head_of(counted: DataFrame, head: int) -> dict[str, int]:
