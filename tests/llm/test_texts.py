@@ -116,6 +116,34 @@ def test_classes_against_all_pairs(docs, corpus):
     assert got == want
 
 
+def test_links_inside_a_family_that_meets_one_hub(spark):
+    rng = random.Random(5)
+    pages = []
+    for i in range(60):
+        page = [f"w{k}" for k in range(600)]
+        places = rng.sample(range(5, 595, 10), 14)
+        for k in places[:9]:
+            page[k] = f"p{i}x{k}"
+        pages.append(page)
+        if i < 10:
+            twin = [f"w{k}" for k in range(600)]
+            for k in places[:4]:
+                twin[k] = page[k]
+            for k in places[9:]:
+                twin[k] = f"t{i}x{k}"
+            pages.append(twin)
+    sets = [shingles(" ".join(p)) for p in pages]
+    label = list(range(len(pages)))
+    for i in range(len(pages)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    assert len(set(label)) > 45
+    df = spark.createDataFrame([(i, " ".join(p)) for i, p in enumerate(pages)], "doc_id long, text string")
+    assert dict(map(tuple, neardup.classes(df).collect())) == dict(enumerate(label))
+
+
 def test_prob_minhash_estimates_probability_likeness():
     rng = np.random.default_rng(3)
     a, b = rng.integers(1, 1 << 60, 300, dtype=np.uint64), rng.integers(1, 1 << 60, 100, dtype=np.uint64)

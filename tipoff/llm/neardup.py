@@ -9,11 +9,14 @@ are compared: first by signature, then exactly.
 Equal texts are one node from the start. A shared band compares its members with one member
 of it, first the one that meets most texts, not with each other. Where members are still apart
 but the band has linked some, one of each component meets another one in the next round, until
-its members are one component or a round links none of them.
+its members are one component or a round links none of them. At last, in every band that still
+holds several components, all pairs across them that have not met are compared, in blocks.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -30,6 +33,8 @@ BANDS = 32
 #: errors of 128 registers at 0.8, and what weights may add.
 SLACK = 0.25
 CACHE_ENTRIES = 100_000
+#: About how many texts of a band a task compares with as many others at a time.
+BLOCK = 256
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -205,6 +210,41 @@ def _meetings(bands: DataFrame, turn: int) -> DataFrame:
     return met.select("band", F.least("f", "g").alias("a"), F.greatest("f", "g").alias("b"))
 
 
+def _untested(shared: DataFrame, labels: DataFrame, signatures: DataFrame, least: float) -> DataFrame:
+    """(a, b): the pairs across components in all bands of three and more texts whose signatures
+    agree in at least that share of the registers, each pair once: in the first band they share.
+    (Two texts alone in a band have met.)"""
+    named = shared.where("size > 2").join(labels, "node")
+    parted = named.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("band")
+    # A band of n texts has n / BLOCK blocks, and each pair of blocks is a group of its own.
+    blocks = F.ceil(F.col("size") / BLOCK)
+    open_ = named.join(parted, "band", "left_semi").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    sides = open_.join(signatures, "node").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = sides.select("band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "label", "bands", "signature")
+
+    def work(group):
+        band, low, high = group.column("band")[0].as_py(), group.column("low")[0].as_py(), group.column("high")[0].as_py()
+        block = group.column("block").to_numpy()
+        node, label = (np.array(group.column(c).to_pylist(), dtype=object) for c in ("node", "label"))
+        bands = np.array(group.column("bands").to_pylist(), dtype=np.int64).reshape(len(node), BANDS)
+        marks = np.frombuffer(b"".join(group.column("signature").to_pylist()), "<u2").reshape(len(node), REGISTERS)
+        above = np.flatnonzero(block == high)
+        a, b = [], []
+        for i in np.flatnonzero(block == low):
+            js = above[node[above] > node[i]] if low == high else above
+            js = js[label[js] != label[i]]
+            same = bands[js] == bands[i]
+            js = js[bands[i][same.argmax(axis=1)] == band]
+            js = js[(marks[js] == marks[i]).mean(axis=1) >= least]
+            for j in js:
+                x, y = sorted((node[i], node[j]))
+                a.append(x)
+                b.append(y)
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+    return rows.groupBy("band", "low", "high").applyInArrow(work, "a binary, b binary")
+
+
 def _relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
     """Components after more links, from those before: only what the links join moves."""
     joined = _labelled(links, labels).where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
@@ -241,11 +281,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     texts = settle(keyed.join(members.hint("merge"), same, "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
     labels = settle(members.select("node", F.col("node").alias("label")), "labels")
     active = settle(shared.join(members.select("node", "met", F.col("node").alias("label")), "node").select("band", "node", "met", "label"), "active")
-    turn = 0
+    turn, tested = 0, []
     while True:
         # Pairs of this round by likeness; a text's likeliest partner first, others only where
-        # that left them apart. A band that has linked nothing in a round is done.
+        # that left them apart. A band that has linked nothing in a round waits for the last one.
         met = settle(_meetings(active, turn), "met")
+        tested.append(met.select("a", "b"))
         near = settle(_estimated(met.select("a", "b").distinct(), signatures).where(F.col("near") >= similarity - SLACK), "near")
         if not near.limit(1).count():
             break
@@ -264,6 +305,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
         if not active.limit(1).count():
             break
         turn += 1
+    pairs = _untested(shared, labels, signatures, similarity - SLACK).join(reduce(DataFrame.union, tested), ["a", "b"], "left_anti")
+    last = settle(_verified(settle(pairs, "untested"), texts, words, similarity), "links")
+    if last.limit(1).count():
+        labels = _relabel(labels, last)
     named = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     lowest = named.groupBy("label").agg(F.min("least").alias("class_id"))
     least = named.join(lowest, "label").select("node", "class_id")
