@@ -144,6 +144,20 @@ def test_links_inside_a_family_that_meets_one_hub(spark):
     assert dict(map(tuple, neardup.classes(df).collect())) == dict(enumerate(label))
 
 
+def test_copies_that_repeat_a_block_more_often(spark):
+    rows = []
+    for i in range(10):
+        page = [f"d{i}w{k}" for k in range(400)]
+        copy = page[:100] * 200 + page[100:]
+        for k in range(110, 395, 60):
+            copy[19900 + k] = "edited"
+        x, y = shingles(" ".join(page)), shingles(" ".join(copy))
+        assert len(x & y) >= 0.8 * len(x | y)
+        rows += [(2 * i, " ".join(page)), (2 * i + 1, " ".join(copy))]
+    got = neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["class_id"] for r in got} == {k: k // 2 * 2 for k in range(20)}
+
+
 def test_prob_minhash_estimates_probability_likeness():
     rng = np.random.default_rng(3)
     a, b = rng.integers(1, 1 << 60, 300, dtype=np.uint64), rng.integers(1, 1 << 60, 100, dtype=np.uint64)

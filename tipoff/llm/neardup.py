@@ -3,7 +3,8 @@
 Every shingle of a text is a Poisson process whose rate is its weight; arrivals fall into
 random registers, each register keeps the shingle that came first, and a text is done when no
 later arrival can come first anywhere. Two texts agree in a register with the probability
-Jaccard likeness of their weighted shingles. Registers make bands; texts that share a band
+Jaccard likeness of their weighted shingles. All weights are 1 here, so that signatures
+estimate the plain likeness that decides, however often a shingle repeats. Registers make bands; texts that share a band
 are compared: first by signature, then exactly.
 
 Equal texts are one node from the start. A shared band compares its members with one member
@@ -29,8 +30,8 @@ WORDS = 5
 SIMILARITY = 0.8
 REGISTERS = 128
 BANDS = 32
-#: How far an estimate may be below the threshold before a pair is left out: five standard
-#: errors of 128 registers at 0.8, and what weights may add.
+#: How far an estimate may be below the threshold before a pair is left out: seven standard
+#: errors of 128 registers at 0.8.
 SLACK = 0.25
 CACHE_ENTRIES = 100_000
 #: About how many texts of a band a task compares with as many others at a time.
@@ -72,9 +73,6 @@ class Shingler:
             out = _mix(out + h[k : len(h) - n + 1 + k] + _ODD)
         return out
 
-    def counted(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        return np.unique(self.hashes(text), return_counts=True)
-
 
 def prob_minhash(shingles: np.ndarray, weights: np.ndarray, registers: int = REGISTERS) -> np.ndarray:
     """The shingle that arrives first in each register; all 0 where there is no shingle."""
@@ -103,11 +101,6 @@ def prob_minhash(shingles: np.ndarray, weights: np.ndarray, registers: int = REG
     return out
 
 
-def weight(counts: np.ndarray) -> np.ndarray:
-    """A repeated shingle weighs more, but a repeated line does not drown the text."""
-    return 1.0 + np.log(counts)
-
-
 def _signatures(docs: DataFrame, words: int) -> DataFrame:
     """(node, bands array<long>, signature binary: 16 bits a register) of distinct texts;
     texts without words have no bands."""
@@ -123,10 +116,10 @@ def _signatures(docs: DataFrame, words: int) -> DataFrame:
                     continue
                 if len(done) < CACHE_ENTRIES:
                     done.add(node)
-                h, n = shingler.counted(text or "")
+                h = np.unique(shingler.hashes(text or ""))
                 if not len(h):
                     continue
-                sig = prob_minhash(h, weight(n))
+                sig = prob_minhash(h, np.ones(len(h)))
                 band = np.arange(1, BANDS + 1, dtype=np.uint64) * _ODD
                 for k in range(rows):
                     band = _mix(band + sig.reshape(BANDS, rows)[:, k])
