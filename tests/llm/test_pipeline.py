@@ -43,6 +43,16 @@ def test_stages_and_run(spark, tmp_path):
     assert again == sorted((r["doc_id"], r["piece"], r["length"], r["ids_crc32"]) for r in packed)
 
 
+def test_different_texts_of_one_id_stay(spark, tmp_path):
+    rng = random.Random(9)
+    prose = lambda: " ".join(f"w{rng.randint(0, 9999)}" for _ in range(60))
+    one, two, three, four, five = (prose() for _ in range(5))
+    rows = [(None, one), (None, two), (None, two), (1, three), (1, four), (2, three + " end"), (2, five)]
+    docs = spark.createDataFrame([(i, t, "xx", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()]
+    assert sorted(left, key=str) == sorted([(None, one), (None, two), (1, three), (1, four), (2, five)], key=str)
+
+
 def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

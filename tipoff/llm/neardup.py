@@ -251,18 +251,11 @@ def _labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b")
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """One row per row of docs: `id_col` and class_id, the least id of its class.
-
-    Equal texts are one class (null counts as empty, and all empty texts are one class);
-    texts whose sets of five-word shingles have a Jaccard likeness of 0.8 or more are linked,
-    and linked texts share a class. Texts of fewer words are one shingle. Null ids take part
-    (a class of null ids only has a null class id); rows with equal ids each get a row; other
-    columns are not read; an empty table gives no rows.
-    """
+def _named(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """(id, node) of each row of docs, and (node, least id, label) of each distinct text."""
     id_ = F.col(id_col).alias("id")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.select(id_, F.unhex(F.md5(text.cast("binary"))).alias("node"), text.alias("text"))
+    keyed = docs.select(id_, node_of(F.col(text_col)).alias("node"), text.alias("text"))
     rows = settle(keyed.select("id", "node"), "rows")
     nodes = settle(rows.groupBy("node").agg(F.min("id").alias("least")), "nodes")
     signatures = settle(_signatures(keyed, words), "signatures")
@@ -302,7 +295,32 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     last = settle(_verified(settle(pairs, "untested"), texts, words, similarity), "links")
     if last.limit(1).count():
         labels = _relabel(labels, last)
-    named = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    return rows, nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """One row per row of docs: `id_col` and class_id, the least id of its class.
+
+    Equal texts are one class (null counts as empty, and all empty texts are one class);
+    texts whose sets of five-word shingles have a Jaccard likeness of 0.8 or more are linked,
+    and linked texts share a class. Texts of fewer words are one shingle. Null ids take part
+    (a class of null ids only has a null class id); rows with equal ids each get a row; other
+    columns are not read; an empty table gives no rows.
+    """
+    rows, named = _named(docs, id_col, text_col, words, similarity)
     lowest = named.groupBy("label").agg(F.min("least").alias("class_id"))
     least = named.join(lowest, "label").select("node", "class_id")
     return rows.join(least, "node").select(F.col("id").alias(id_col), "class_id")
+
+
+def node_of(text: F.Column) -> F.Column:
+    """The key of a text: equal texts share it, and null is the empty text."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+
+
+def firsts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """(id, node): the one text of each class that stays, that of the least id (null ids last)
+    and, of several with this id, of the least node."""
+    _, named = _named(docs, id_col, text_col, words, similarity)
+    least = F.min(F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("id"), "node"))
+    return named.groupBy("label").agg(least.alias("m")).select("m.id", "m.node")
