@@ -219,6 +219,19 @@ def test_languages(spark):
     assert {r["lang_pred"] for r in langid.predict(df, nobody).collect()} == {"und"}
 
 
+def test_more_languages_than_bits_of_a_word(spark):
+    rng = random.Random(6)
+    names = [f"l{k:03d}" for k in range(70)]
+    letters = {n: "".join(chr(0x4E00 + 40 * k + j) for j in range(4)) for k, n in enumerate(names)}
+    make = lambda n: " ".join("".join(rng.choice(letters[n]) for _ in range(3)) for _ in range(30))
+    rows = [(10 * k + j, make(n), n) for k, n in enumerate(names) for j in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    filters = langid.fit(df)
+    assert filters.languages == names
+    out = langid.predict(df, filters).collect()
+    assert all(r["lang"] == r["lang_pred"] for r in out)
+
+
 def test_no_rows(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert substrings.remove_repeats(empty).count() == 0

@@ -1,6 +1,6 @@
 """Language identification with bit-sliced Bloom filters of character n-grams.
 
-Every cell of one table holds a bitmask with a bit per language; the AND of the cells that an
+Every cell of a table holds a bitmask with a bit per language (a table for each 64 of them); the AND of the cells that an
 n-gram hashes to gives all languages whose filter holds it. A text's n-grams are counted per
 language by those bits, the counts are corrected for each filter's false positives, and the
 language with most decides.
@@ -70,23 +70,30 @@ def cells(h: np.ndarray, probe: int) -> np.ndarray:
 
 
 class Filters:
-    """The learnt model: languages, the cell table, and each filter's false-positive rate."""
+    """The learnt model: languages, a cell table for each 64 of them, and each filter's
+    false-positive rate."""
 
     def __init__(self, languages: list[str], table: np.ndarray):
         self.languages, self.table = languages, table
-        fill = np.array([float(((table >> table.dtype.type(k)) & table.dtype.type(1)).mean()) for k in range(len(languages))])
+        fill = np.array([float(self.bit(table[k // 64], k).mean()) for k in range(len(languages))])
         self.chance = fill**PROBES
 
+    @staticmethod
+    def bit(mask: np.ndarray, k: int) -> np.ndarray:
+        return (mask >> mask.dtype.type(k % 64)) & mask.dtype.type(1)
+
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         row, h, n_letters = grams(texts)
         if not self.languages or not len(texts):
             return ["und"] * len(texts), np.zeros(len(texts))
-        mask = self.table[cells(h, 0)]
-        for k in range(1, PROBES):
-            mask &= self.table[cells(h, k)]
         total = np.bincount(row, minlength=len(texts)).astype(float)
-        one = self.table.dtype.type(1)
-        hits = np.stack([np.bincount(row, weights=(mask >> self.table.dtype.type(k)) & one, minlength=len(texts)) for k in range(len(self.languages))])
+        places, hits = [cells(h, k) for k in range(PROBES)], []
+        for word, table in enumerate(self.table):
+            mask = table[places[0]]
+            for place in places[1:]:
+                mask &= table[place]
+            hits += [np.bincount(row, weights=self.bit(mask, k), minlength=len(texts)) for k in range(word * 64, min(word * 64 + 64, len(self.languages)))]
+        hits = np.stack(hits)
         true = np.maximum(0, hits - total * self.chance[:, None]) / (1 - self.chance[:, None])
         best = true.argmax(axis=0)
         score = np.clip(true.max(axis=0) / np.maximum(total, 1), 0, 1)
@@ -102,24 +109,20 @@ def learnable(docs: DataFrame) -> F.Column:
 def fit(docs: DataFrame, label_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", fit_rows: int = FIT_ROWS) -> Filters:
     """Learns filters from rows of docs with text and label (all others are left out).
 
-    About `fit_rows` rows per language are taken by a hash of their id, at most 64
-    languages (the most frequent; the bitmask's width). The table has 2^20 cells whatever
-    the corpus; bits are set by a distributed OR and only cells in use reach the driver.
+    About `fit_rows` rows per language are taken by a hash of their id, of all languages.
+    A table has 2^20 cells whatever the corpus, and there is one for each 64 languages; bits are set by a distributed OR and only cells in use reach the driver.
     """
     spark = docs.sparkSession
     known = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(label_col).alias("label"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(id_col), F.lit(1 << 30)).alias("place"))
-    sizes = {r["label"]: r["count"] for r in known.groupBy("label").count().orderBy(F.desc("count"), "label").limit(64).collect()}
+    sizes = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     languages = sorted(sizes)
-    dtype = next(t for t, bits in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if len(languages) <= bits)
-    table = np.zeros(1 << CELL_BITS, dtype=dtype)
+    dtype = next(t for t, bits in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if len(languages) <= bits or bits == 64)
+    table = np.zeros((-(-len(languages) // 64), 1 << CELL_BITS), dtype=dtype)
     if not languages:
         return Filters([], table)
-    limit = F.lit(None).cast("long")
-    code = F.lit(None).cast("int")
-    for k, name in enumerate(languages):
-        limit = F.when(F.col("label") == name, min(1 << 30, -(-fit_rows * (1 << 30) // sizes[name]))).otherwise(limit)
-        code = F.when(F.col("label") == name, k).otherwise(code)
-    sample = known.where(F.col("place") < limit).select(code.alias("lang"), "text")
+    rows = [(n, k, min(1 << 30, -(-fit_rows * (1 << 30) // sizes[n])), max(1, min(fit_rows, sizes[n]))) for k, n in enumerate(languages)]
+    codes = spark.createDataFrame(rows, "label string, lang int, limit long, taken long")
+    sample = known.join(F.broadcast(codes), "label").where(F.col("place") < F.col("limit")).select("lang", "text")
 
     def work(batches):
         for batch in batches:
@@ -132,11 +135,8 @@ def fit(docs: DataFrame, label_col: str = "lang", text_col: str = "text", id_col
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), k, dtype=np.int32)), pa.array(values.astype(np.int64)), pa.array(counts)], names=["lang", "gram", "docs"])
 
     seen = sample.mapInArrow(work, "lang int, gram long, docs long").groupBy("gram", "lang").agg(F.sum("docs").alias("docs"))
-    taken = {k: max(1, min(fit_rows, sizes[n])) for k, n in enumerate(languages)}
-    share = F.lit(None).cast("double")
-    for k, n in taken.items():
-        share = F.when(F.col("lang") == k, F.col("docs") / n).otherwise(share)
-    shares = settle(seen.withColumn("share", share).where("docs >= 2 or share >= 0.01"), "grams")
+    share = F.col("docs") / F.col("taken")
+    shares = settle(seen.join(F.broadcast(codes.select("lang", "taken")), "lang").withColumn("share", share).where("docs >= 2 or share >= 0.01").select("gram", "lang", "docs", "share"), "grams")
     top = shares.groupBy("gram").agg(F.max("share").alias("top"))
     fair = shares.join(top, "gram").where(F.col("share") >= SHARE * F.col("top"))
     # The commonest PROFILE n-grams of a language: a floor on their share, from a histogram.
@@ -149,14 +149,12 @@ def fit(docs: DataFrame, label_col: str = "lang", text_col: str = "text", id_col
             floors[r["lang"]] = r["level"]
         else:
             room[r["lang"]] = 0
-    chosen = F.lit(False)
-    for k, floor in floors.items():
-        chosen = chosen | ((F.col("lang") == k) & (level >= floor))
-    picked = fair.where(chosen)
+    least = spark.createDataFrame(list(floors.items()), "lang int, least int")
+    picked = fair.join(F.broadcast(least), "lang").where(level >= F.col("least"))
     places = F.array(*(F.shiftright("gram", k * CELL_BITS).bitwiseAND(F.lit((1 << CELL_BITS) - 1)) for k in range(PROBES)))
-    bits = picked.select(F.explode(places).alias("cell"), F.expr("shiftleft(1L, lang)").alias("bit")).groupBy("cell").agg(F.bit_or("bit").alias("bits"))
+    bits = picked.select(F.explode(places).alias("cell"), F.shiftright("lang", 6).alias("word"), F.expr("shiftleft(1L, lang % 64)").alias("bit")).groupBy("cell", "word").agg(F.bit_or("bit").alias("bits"))
     held = bits.toArrow()
-    at = held.column("cell").to_numpy()
+    at = held.column("word").to_numpy(), held.column("cell").to_numpy()
     table[at] = held.column("bits").to_numpy().astype(np.uint64).astype(dtype)
     return Filters(languages, table)
 
