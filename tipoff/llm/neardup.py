@@ -16,8 +16,6 @@ holds several components, all pairs across them that have not met are compared,
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -34,8 +32,11 @@ BANDS = 32
 #: errors of 128 registers at 0.8.
 SLACK = 0.25
 CACHE_ENTRIES = 100_000
-#: About how many texts of a band a task compares with as many others at a time.
-BLOCK = 256
+#: Texts of a band, and bytes of their sets, that a task compares with as many others at a
+#: time, about.
+BLOCK, BLOCK_BYTES = 256, 4 << 20
+#: Pairs of one text that a task compares at a time, about.
+PER = 1024
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -135,8 +136,25 @@ def _signatures(docs: DataFrame, words: int) -> DataFrame:
     return made.groupBy("node").agg(F.first("bands").alias("bands"), F.first("signature").alias("signature"))
 
 
+def _deal(pairs: DataFrame) -> DataFrame:
+    """(f, g, salt) of pairs (f, g, n), each once. In a round a text f may meet any number of
+    others (n of them in the largest band), g only one per band: f's rows are dealt to groups
+    of about PER, and its values are sent to each of these."""
+    salt = F.pmod(F.xxhash64("g"), F.ceil(F.col("n") / PER)).cast("int")
+    return pairs.groupBy("f", "g").agg(F.max("n").alias("n")).withColumn("salt", salt)
+
+
+def _beside(dealt: DataFrame, values: DataFrame, column: str) -> DataFrame:
+    """Adds `column` of values (node, column) for both ends of dealt pairs, as x (of f) and y."""
+    salts = dealt.groupBy("f").agg(F.max("salt").alias("most"))
+    named = values.select(F.col("node").alias("f"), F.col(column).alias("x")).join(salts, "f").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("most")))).drop("most")
+    # Always merge joins: whether a side is small enough to be sent to all would depend on the
+    # table's size, and so would the plan.
+    return dealt.hint("merge").join(values.select(F.col("node").alias("g"), F.col(column).alias("y")), "g").hint("merge").join(named, ["f", "salt"])
+
+
 def _estimated(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
-    """Adds `near`: the share of registers in which a and b agree."""
+    """(f, g, n, near): the share of registers in which f and g agree."""
 
     @F.pandas_udf("double")
     def near(a, b):
@@ -145,35 +163,48 @@ def _estimated(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
         x, y = (np.frombuffer(b"".join(s), "<u2").reshape(len(s), REGISTERS) for s in (a, b))
         return a.__class__((x == y).mean(axis=1))
 
-    sides = signatures.select("node", "signature")
-    left = sides.select(F.col("node").alias("a"), F.col("signature").alias("sa"))
-    right = sides.select(F.col("node").alias("b"), F.col("signature").alias("sb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", near("sa", "sb").alias("near"))
+    return _beside(_deal(pairs), signatures, "signature").select("f", "g", "n", near("x", "y").alias("near"))
+
 
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """How many values two sorted sets share."""
+    if len(a) > len(b):
+        a, b = b, a
+    return int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum()) if len(a) else 0
 
-def _verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets of shingles have at least that Jaccard likeness."""
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs (f, g, n), as (a, b), whose sets of shingles have at least that
+    Jaccard likeness."""
 
     def work(batches):
-        shingler = Shingler(words)
+        tidy("neardup")
         for batch in batches:
-            good, sets, last = [], None, None
-            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                if a != last:
-                    last, sets = a, np.unique(shingler.hashes(a))
-                other = np.unique(shingler.hashes(b))
-                both = len(np.intersect1d(sets, other, assume_unique=True))
-                union = len(sets) + len(other) - both
-                good.append(union > 0 and both >= similarity * union)
+            good, mine, last = [], None, None
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = x.as_buffer(), np.frombuffer(y.as_buffer(), np.uint64)
+                if last is None or not x.equals(last):
+                    last, mine = x, np.frombuffer(x, np.uint64)
+                both = _common(mine, y)
+                good.append(both > 0 and both >= similarity * (len(mine) + len(y) - both))
             yield batch.filter(pa.array(good, pa.bool_())).select([0, 1])
         tidy()
 
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
-    right = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
-    # Texts always move by merge joins: whether a side is small enough to be sent to all would
-    # depend on the table's size, and so would the plan.
-    met = pairs.select("a", "b").hint("merge").join(right, "b").hint("merge").join(left, "a")
-    return met.select("a", "b", "ta", "tb").mapInArrow(work, "a binary, b binary")
+    return _beside(_deal(pairs), sets, "shingles").select(F.col("f").alias("a"), F.col("g").alias("b"), "x", "y").mapInArrow(work, "a binary, b binary")
+
+
+def _sets(texts: DataFrame, words: int) -> DataFrame:
+    """(node, shingles binary: the sorted 64-bit hashes of its shingles) of (node, text)."""
+
+    def work(batches):
+        tidy("neardup")
+        shingler = Shingler(words)
+        for batch in batches:
+            made = [np.unique(shingler.hashes(t)).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["node", "shingles"])
+        tidy()
+
+    return texts.select("node", "text").mapInArrow(work, "node binary, shingles binary")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -193,47 +224,91 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _meetings(bands: DataFrame, turn: int) -> DataFrame:
-    """(band, a, b): within each band, one member of each component and the one that stands
-    first. In the first round a text stands before those that meet fewer texts in all their
-    bands (a text that others were copied from meets most); later rounds draw lots."""
+    """(band, f, g, n): within each band, the member that stands first (f) and one member of
+    each other component; n components. In the first round a text stands before those that meet
+    fewer texts in all their bands (a text that others were copied from meets most); later
+    rounds draw lots."""
     order = F.struct(F.lit(0).alias("x"), F.xxhash64("band", "node", F.lit(turn)).alias("lot"), "node") if turn else F.struct((-F.col("met")).alias("x"), F.xxhash64("node").alias("lot"), "node")
-    members = bands.groupBy("band", "label").agg(F.min(order).alias("m"))
-    firsts = members.groupBy("band").agg(F.min("m").alias("first"), F.count("*").alias("n")).where("n > 1").select("band", F.col("first.node").alias("f"))
-    met = members.select("band", F.col("m.node").alias("g")).join(firsts, "band").where("f <> g")
-    return met.select("band", F.least("f", "g").alias("a"), F.greatest("f", "g").alias("b"))
-
-
-def _untested(shared: DataFrame, labels: DataFrame, signatures: DataFrame, least: float) -> DataFrame:
-    """(a, b): the pairs across components in all bands of three and more texts whose signatures
-    agree in at least that share of the registers, each pair once: in the first band they share.
-    (Two texts alone in a band have met.)"""
+    members = settle(bands.groupBy("band", "label").agg(F.min(order).alias("m")), "chosen")
+    firsts = members.groupBy("band").agg(F.min("m").alias("first"), F.count("*").alias("n")).where("n > 1").select("band", F.col("first.node").alias("f"), "n")
+    return members.select("band", F.col("m.node").alias("g")).join(firsts, "band").where("f <> g").select("band", "f", "g", "n")
+
+
+def _alike(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
+    """For pairs (i, j) of positions in sets: whether their Jaccard likeness is that large.
+    Values that several sets hold make columns of 0 and 1; a matrix product counts them."""
+    sizes = np.array([len(s) for s in sets])
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+    times = np.diff(np.append(first, len(flat)))
+    column = np.repeat(np.cumsum(times > 1) - 1, times)
+    shared = np.repeat(times > 1, times)
+    owner, column = owner[shared], column[shared]
+    rows, cols = np.unique(i), np.unique(j)
+    both = np.zeros((len(rows), len(cols)), np.float32)
+    n = int(column[-1]) + 1 if len(column) else 0
+    for start in range(0, n, 4096):
+        a, b = np.searchsorted(column, [start, start + 4096])
+        held = np.zeros((len(sets), min(4096, n - start)), np.float32)
+        held[owner[a:b], column[a:b] - start] = 1
+        both += held[rows] @ held[cols].T
+    common = both[np.searchsorted(rows, i), np.searchsorted(cols, j)].astype(np.int64)
+    return (common > 0) & (common >= similarity * (sizes[i] + sizes[j] - common))
+
+
+def _rest(shared: DataFrame, labels: DataFrame, signatures: DataFrame, sets: DataFrame, least: float, similarity: float) -> DataFrame:
+    """Links (a, b) across the components that are left in a band, all pairs of it compared:
+    by signature (agreement of `least` at the least) and then by sets. A pair is compared in
+    the first band it shares. (Two texts alone in a band have met.)
+
+    A band is cut into blocks of about BLOCK texts and BLOCK_BYTES of sets, and each pair of
+    blocks is a group of its own; a group gives enough of its links to join what they join.
+    """
     named = shared.where("size > 2").join(labels, "node")
     parted = named.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("band")
-    # A band of n texts has n / BLOCK blocks, and each pair of blocks is a group of its own.
-    blocks = F.ceil(F.col("size") / BLOCK)
-    open_ = named.join(parted, "band", "left_semi").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    sides = open_.join(signatures, "node").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = sides.select("band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "label", "bands", "signature")
+    open_ = settle(named.join(parted, "band", "left_semi").join(signatures.select("node", "signature", "bands"), "node").join(sets, "node"), "open")
+    weight = open_.groupBy("band").agg(F.sum(F.octet_length("shingles")).alias("bytes"))
+    blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("bytes") / BLOCK_BYTES))
+    sides = open_.join(weight, "band").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    sides = sides.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = sides.select("band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "label", "bands", "signature", "shingles")
 
     def work(group):
+        tidy("neardup")
         band, low, high = group.column("band")[0].as_py(), group.column("low")[0].as_py(), group.column("high")[0].as_py()
         block = group.column("block").to_numpy()
-        node, label = (np.array(group.column(c).to_pylist(), dtype=object) for c in ("node", "label"))
-        bands = np.array(group.column("bands").to_pylist(), dtype=np.int64).reshape(len(node), BANDS)
+        nodes = group.column("node").to_pylist()
+        node, label = (np.unique(np.array(group.column(c).to_pylist(), dtype=object), return_inverse=True)[1] for c in ("node", "label"))
+        bands = group.column("bands").combine_chunks().flatten().to_numpy().reshape(len(node), BANDS)
         marks = np.frombuffer(b"".join(group.column("signature").to_pylist()), "<u2").reshape(len(node), REGISTERS)
         above = np.flatnonzero(block == high)
         a, b = [], []
         for i in np.flatnonzero(block == low):
             js = above[node[above] > node[i]] if low == high else above
             js = js[label[js] != label[i]]
-            same = bands[js] == bands[i]
-            js = js[bands[i][same.argmax(axis=1)] == band]
+            js = js[bands[i][(bands[js] == bands[i]).argmax(axis=1)] == band]
             js = js[(marks[js] == marks[i]).mean(axis=1) >= least]
-            for j in js:
-                x, y = sorted((node[i], node[j]))
-                a.append(x)
-                b.append(y)
-        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+            a.append(np.full(len(js), i))
+            b.append(js)
+        a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (a, b))
+        if len(a):
+            used, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+            held = group.column("shingles").take(pa.array(used)).to_pylist()
+            good = _alike([np.frombuffer(h, np.uint64) for h in held], place[: len(a)], place[len(a) :], similarity)
+            a, b = a[good], b[good]
+        home, out = {}, []
+        for i, j in zip(a.tolist(), b.tolist()):
+            x, y = label[i], label[j]
+            while x in home:
+                x = home[x]
+            while y in home:
+                y = home[y]
+            if x != y:
+                home[x] = y
+                out.append((nodes[i], nodes[j]))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.binary()), "b": pa.array([y for _, y in out], pa.binary())})
 
     return rows.groupBy("band", "low", "high").applyInArrow(work, "a binary, b binary")
 
@@ -245,10 +320,10 @@ def _relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
     return settle(labels.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
 
 
-def _labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    left = labels.select(F.col("node").alias("a"), F.col("label").alias("la"))
-    right = labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
-    return pairs.join(left, "a").join(right, "b")
+def _labelled(pairs: DataFrame, labels: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    left = labels.select(F.col("node").alias(a), F.col("label").alias("la"))
+    right = labels.select(F.col("node").alias(b), F.col("label").alias("lb"))
+    return pairs.join(left, a).join(right, b)
 
 
 def _named(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> tuple[DataFrame, DataFrame]:
@@ -264,35 +339,36 @@ def _named(docs: DataFrame, id_col: str, text_col: str, words: int, similarity:
     shared = settle(bands.join(busy, "band"), "shared")
     members = settle(shared.groupBy("node").agg(F.sum("size").alias("met")).join(nodes, "node").select("node", "met", F.col("least").alias("id")), "members")
     same = (keyed["node"] == members["node"]) & keyed["id"].eqNullSafe(members["id"])
-    texts = settle(keyed.join(members.hint("merge"), same, "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
+    texts = keyed.join(members.hint("merge"), same, "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    sets = settle(_sets(texts, words), "sets")
     labels = settle(members.select("node", F.col("node").alias("label")), "labels")
     active = settle(shared.join(members.select("node", "met", F.col("node").alias("label")), "node").select("band", "node", "met", "label"), "active")
-    turn, tested = 0, []
+    turn = 0
     while True:
         # Pairs of this round by likeness; a text's likeliest partner first, others only where
         # that left them apart. A band that has linked nothing in a round waits for the last one.
         met = settle(_meetings(active, turn), "met")
-        tested.append(met.select("a", "b"))
-        near = settle(_estimated(met.select("a", "b").distinct(), signatures).where(F.col("near") >= similarity - SLACK), "near")
+        near = settle(_estimated(met, signatures).where(F.col("near") >= similarity - SLACK), "near")
         if not near.limit(1).count():
             break
-        ends = near.select(F.col("a").alias("node"), "a", "b", "near").union(near.select("b", "a", "b", "near"))
-        best = ends.groupBy("node").agg(F.max(F.struct("near", "a", "b")).alias("m")).select("m.a", "m.b").distinct()
-        links = settle(_verified(best, texts, words, similarity), "links")
+        pair = F.struct("near", "f", "g", "n")
+        ends = near.select(F.col("f").alias("node"), pair.alias("m")).union(near.select("g", pair))
+        best = ends.groupBy("node").agg(F.max("m").alias("m")).select("m.f", "m.g", "m.n").distinct()
+        links = settle(_verified(best, sets, similarity), "links")
         labels = _relabel(labels, links)
-        rest = _labelled(near.select("a", "b").join(best, ["a", "b"], "left_anti"), labels).where("la <> lb").select("a", "b")
-        more = settle(_verified(rest, texts, words, similarity), "links")
+        rest = _labelled(near.join(best, ["f", "g"], "left_anti"), labels, "f", "g").where("la <> lb").select("f", "g", "n")
+        more = settle(_verified(rest, sets, similarity), "links")
         if more.limit(1).count():
             labels = _relabel(labels, more)
-        alive = met.join(links.union(more), ["a", "b"], "left_semi").select("band").distinct()
+        linked = links.union(more).withColumnsRenamed({"a": "f", "b": "g"})
+        alive = met.join(linked, ["f", "g"], "left_semi").select("band").distinct()
         renamed = active.drop("label").join(alive, "band", "left_semi").join(labels, "node")
         parted = renamed.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("band")
         active = settle(renamed.join(parted, "band", "left_semi").select("band", "node", "met", "label"), "active")
         if not active.limit(1).count():
             break
         turn += 1
-    pairs = _untested(shared, labels, signatures, similarity - SLACK).join(reduce(DataFrame.union, tested), ["a", "b"], "left_anti")
-    last = settle(_verified(settle(pairs, "untested"), texts, words, similarity), "links")
+    last = settle(_rest(shared, labels, signatures, sets, similarity - SLACK, similarity), "links")
     if last.limit(1).count():
         labels = _relabel(labels, last)
     return rows, nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
