@@ -15,15 +15,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tipoff.llm.common import settle
+from tipoff.llm.common import settle, tidy
 
 N = 4
-CELL_BITS = 20
 PROBES = 3
-#: About how many labelled rows of each language the filters are learnt from, at most.
-FIT_ROWS = 6_000
-#: N-grams in one language's filter, at most (the commonest); this bounds the model.
-PROFILE = 30_000
+#: Labelled rows and characters of each language that the filters are learnt from, at most
+#: about (one row at least, whole); this bounds the model.
+FIT_ROWS, FIT_CHARS = 6_000, 4_000_000
+#: Cells of a table: a power of two that has CELLS_EACH for each n-gram of the largest filter,
+#: within these bounds.
+CELLS_EACH, CELL_BITS = 10, (16, 23)
 #: An n-gram belongs to a language if the share of that language's rows with it is at least
 #: this part of the largest share among languages.
 SHARE = 0.5
@@ -65,8 +66,8 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, h, count
 
 
-def cells(h: np.ndarray, probe: int) -> np.ndarray:
-    return (h >> np.uint64(probe * CELL_BITS)) & np.uint64((1 << CELL_BITS) - 1)
+def cells(h: np.ndarray, probe: int, bits: int) -> np.ndarray:
+    return (h * np.uint64((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)[probe])) >> np.uint64(64 - bits)
 
 
 class Filters:
@@ -75,6 +76,7 @@ class Filters:
 
     def __init__(self, languages: list[str], table: np.ndarray):
         self.languages, self.table = languages, table
+        self.bits = table.shape[1].bit_length() - 1
         fill = np.array([float(self.bit(table[k // 64], k).mean()) for k in range(len(languages))])
         self.chance = fill**PROBES
 
@@ -87,7 +89,7 @@ class Filters:
         if not self.languages or not len(texts):
             return ["und"] * len(texts), np.zeros(len(texts))
         total = np.bincount(row, minlength=len(texts)).astype(float)
-        places, hits = [cells(h, k) for k in range(PROBES)], []
+        places, hits = [cells(h, k, self.bits) for k in range(PROBES)], []
         for word, table in enumerate(self.table):
             mask = table[places[0]]
             for place in places[1:]:
@@ -106,25 +108,34 @@ def learnable(docs: DataFrame) -> F.Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2
 
 
-def fit(docs: DataFrame, label_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", fit_rows: int = FIT_ROWS) -> Filters:
-    """Learns filters from rows of docs with text and label (all others are left out).
+def sampled(docs: DataFrame, label_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", fit_rows: int = FIT_ROWS, fit_chars: int = FIT_CHARS) -> DataFrame:
+    """(label, text): of each label, about `fit_rows` rows and `fit_chars` characters at most,
+    by a hash of id and text, and always the row of least hash. Texts stay whole; rows that
+    repeat id and text count once; rows without label or text are left out."""
+    known = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(label_col).alias("label"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("place"))
+    sizes = known.groupBy("label").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"), F.min("place").alias("least"))
+    share = F.least(F.lit(1.0), fit_rows / F.col("n"), fit_chars / F.greatest(F.col("chars"), F.lit(1)))
+    # A row for each label, however many documents there are.
+    held = known.join(F.broadcast(sizes.select("label", "least", F.ceil(share * (1 << 30)).alias("limit"))), "label")
+    return held.where((F.pmod("place", F.lit(1 << 30)) < F.col("limit")) | (F.col("place") == F.col("least"))).dropDuplicates(["label", "place"]).select("label", "text")
 
-    About `fit_rows` rows per language are taken by a hash of their id, of all languages.
-    A table has 2^20 cells whatever the corpus, and there is one for each 64 languages; bits are set by a distributed OR and only cells in use reach the driver.
+
+def fit(docs: DataFrame, label_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", fit_rows: int = FIT_ROWS, fit_chars: int = FIT_CHARS) -> Filters:
+    """Learns filters from a bounded sample of the rows of docs with text and label (see
+    `sampled`), of all languages: every n-gram of the sample that is not rare takes part, and
+    tables have room for them. Bits are set by a distributed OR; only cells in use reach the
+    driver. A language without any n-gram has an empty filter.
     """
     spark = docs.sparkSession
-    known = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(label_col).alias("label"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(id_col), F.lit(1 << 30)).alias("place"))
-    sizes = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
-    languages = sorted(sizes)
-    dtype = next(t for t, bits in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if len(languages) <= bits or bits == 64)
-    table = np.zeros((-(-len(languages) // 64), 1 << CELL_BITS), dtype=dtype)
+    sample = settle(sampled(docs, label_col, text_col, id_col, fit_rows, fit_chars), "sample")
+    taken = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
+    languages = sorted(taken)
     if not languages:
-        return Filters([], table)
-    rows = [(n, k, min(1 << 30, -(-fit_rows * (1 << 30) // sizes[n])), max(1, min(fit_rows, sizes[n]))) for k, n in enumerate(languages)]
-    codes = spark.createDataFrame(rows, "label string, lang int, limit long, taken long")
-    sample = known.join(F.broadcast(codes), "label").where(F.col("place") < F.col("limit")).select("lang", "text")
+        return Filters([], np.zeros((0, 1 << CELL_BITS[0]), np.uint8))
+    codes = spark.createDataFrame([(n, k, taken[n]) for k, n in enumerate(languages)], "label string, lang int, taken long")
 
     def work(batches):
+        tidy("langid")
         for batch in batches:
             langs, texts = np.array(batch.column(0).to_pylist(), dtype=np.int32), batch.column(1).to_pylist()
             for k in np.unique(langs):
@@ -133,32 +144,40 @@ def fit(docs: DataFrame, label_col: str = "lang", text_col: str = "text", id_col
                     held.append(np.unique(grams([texts[i]])[1]))
                 values, counts = np.unique(np.concatenate(held), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), k, dtype=np.int32)), pa.array(values.astype(np.int64)), pa.array(counts)], names=["lang", "gram", "docs"])
+        tidy()
 
-    seen = sample.mapInArrow(work, "lang int, gram long, docs long").groupBy("gram", "lang").agg(F.sum("docs").alias("docs"))
+    seen = sample.join(F.broadcast(codes), "label").select("lang", "text").mapInArrow(work, "lang int, gram long, docs long").groupBy("gram", "lang").agg(F.sum("docs").alias("docs"))
     share = F.col("docs") / F.col("taken")
-    shares = settle(seen.join(F.broadcast(codes.select("lang", "taken")), "lang").withColumn("share", share).where("docs >= 2 or share >= 0.01").select("gram", "lang", "docs", "share"), "grams")
+    shares = settle(seen.join(F.broadcast(codes.select("lang", "taken")), "lang").withColumn("share", share).where("docs >= 2 or share >= 0.01").select("gram", "lang", "share"), "grams")
     top = shares.groupBy("gram").agg(F.max("share").alias("top"))
-    fair = shares.join(top, "gram").where(F.col("share") >= SHARE * F.col("top"))
-    # The commonest PROFILE n-grams of a language: a floor on their share, from a histogram.
-    level = F.floor(F.log2("share") * 8).cast("int")
-    floors: dict[int, int] = {}
-    room = dict.fromkeys(range(len(languages)), PROFILE)
-    for r in fair.groupBy("lang", level.alias("level")).count().orderBy(F.desc("level")).collect():
-        if room.get(r["lang"], 0) >= r["count"]:
-            room[r["lang"]] -= r["count"]
-            floors[r["lang"]] = r["level"]
-        else:
-            room[r["lang"]] = 0
-    least = spark.createDataFrame(list(floors.items()), "lang int, least int")
-    picked = fair.join(F.broadcast(least), "lang").where(level >= F.col("least"))
-    places = F.array(*(F.shiftright("gram", k * CELL_BITS).bitwiseAND(F.lit((1 << CELL_BITS) - 1)) for k in range(PROBES)))
-    bits = picked.select(F.explode(places).alias("cell"), F.shiftright("lang", 6).alias("word"), F.expr("shiftleft(1L, lang % 64)").alias("bit")).groupBy("cell", "word").agg(F.bit_or("bit").alias("bits"))
-    held = bits.toArrow()
-    at = held.column("word").to_numpy(), held.column("cell").to_numpy()
-    table[at] = held.column("bits").to_numpy().astype(np.uint64).astype(dtype)
+    fair = settle(shares.join(top, "gram").where(F.col("share") >= SHARE * F.col("top")).select("gram", "lang"), "fair")
+    most = max((r["count"] for r in fair.groupBy("lang").count().collect()), default=1)
+    bits = min(CELL_BITS[1], max(CELL_BITS[0], (CELLS_EACH * most - 1).bit_length()))
+
+    def place(batches):
+        for batch in batches:
+            h, lang = batch.column(0).to_numpy().astype(np.uint64), batch.column(1).to_numpy()
+            bit = pa.array((np.uint64(1) << (lang % 64).astype(np.uint64)).astype(np.int64))
+            for k in range(PROBES):
+                yield pa.RecordBatch.from_arrays([pa.array(cells(h, k, bits).astype(np.int32)), pa.array(lang // 64), bit], names=["cell", "word", "bit"])
+
+    held = fair.mapInArrow(place, "cell int, word int, bit long").groupBy("cell", "word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    dtype = next(t for t, wide in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if len(languages) <= wide or wide == 64)
+    table = np.zeros((-(-len(languages) // 64), 1 << bits), dtype=dtype)
+    table[held.column("word").to_numpy(), held.column("cell").to_numpy()] = held.column("bits").to_numpy().astype(np.uint64).astype(dtype)
     return Filters(languages, table)
 
 
+def least_scores(docs: DataFrame, filters: Filters, highest: float, label_col: str = "lang", text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """(lang_pred, least): for each learnt language, the score below which a text is not taken
+    for it: half of what all but one in a hundred of its rows in docs reach (rows that the
+    filters were not learnt from; a bounded sample), and `highest` at most."""
+    judged = predict(sampled(docs, label_col, text_col, id_col), filters, "text").where("label = lang_pred")
+    found = judged.groupBy("lang_pred").agg(F.percentile_approx("score", 0.01, 1000).alias("p"))
+    every = docs.sparkSession.createDataFrame([(n,) for n in filters.languages], "lang_pred string")
+    return every.join(found, "lang_pred", "left").select("lang_pred", F.least(F.lit(highest), F.col("p") / 2).alias("least"))
+
+
 def predict(docs: DataFrame, filters: Filters, text_col: str = "text", chars: int = 300_000) -> DataFrame:
     """All columns of docs plus lang_pred string and score double (0 to 1: the corrected
     share of the text's n-grams that the language's filter holds).
@@ -175,6 +194,7 @@ def predict(docs: DataFrame, filters: Filters, text_col: str = "text", chars: in
     built: dict = {}
 
     def work(batches):
+        tidy("langid")
         if "model" not in built:
             built["model"] = Filters(*shared.value)
         model = built["model"]
@@ -192,5 +212,6 @@ def predict(docs: DataFrame, filters: Filters, text_col: str = "text", chars: in
                     start, size = i + 1, 0
             score = np.concatenate(scores) if scores else np.empty(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(named, pa.string()), pa.array(score)], names=[*batch.schema.names, "lang_pred", "score"])
+        tidy()
 
     return base.mapInArrow(work, schema)
