@@ -5,7 +5,7 @@ from tipoff.llm import sharding
 
 
 def place(spark, rows, shards, **options):
-    df = spark.createDataFrame(rows, "doc_id long, text string, size long, shard string").drop("shard")
+    df = spark.createDataFrame(rows, "doc_id long, text string, size long, shard string").withColumns({"key": F.lit("x"), "slot": F.lit(1), "row": F.lit(None).cast("string")})
     return df, sharding.shard(df, "size", ["text"], ["doc_id"], shards, **options).collect()
 
 
@@ -24,6 +24,30 @@ def test_bytes_are_near_equal_with_a_hot_group(spark, shards):
     assert all(sorted(v) == list(range(len(v))) for v in slots.values())
 
 
+@pytest.mark.parametrize("row", [(7, "same", 50, "x"), (None, None, 50, "x")])
+def test_equal_rows_part(spark, row):
+    rows = [row] * 500 + [(i, f"t{i}", 50, "x") for i in range(500)]
+    _, out = place(spark, rows, 10)
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in out) == sorted((str(i), str(t)) for i, t, _, _ in rows)
+    sizes = [sum(r["size"] for r in out if r["shard"] == k) for k in range(10)]
+    assert all(abs(s - 5000) <= 25 + 50 for s in sizes)
+    assert all(r["key"] == "x" for r in out)
+
+
+def test_placement_against_a_sort(spark):
+    rows = [(i, "hot" if i % 2 else f"t{i}", 16 + i % 9, "x") for i in range(900)] + [(5, "hot", 21, "x")] * 300
+    df, out = place(spark, rows, 7)
+    keys = df.select(*(sharding._key(c).alias(c) for c in ("text", "doc_id")), "size").collect()
+    order = sorted((r["text"], r["doc_id"], r["size"]) for r in keys)
+    hashed = {(r["t"], r["i"]): (r["text"], r["doc_id"]) for r in df.select(F.col("text").alias("t"), F.col("doc_id").alias("i"), sharding._key("text").alias("text"), sharding._key("doc_id").alias("doc_id")).collect()}
+    mine = sorted((r["shard"], *hashed[r["text"], r["doc_id"]], r["size"]) for r in out)
+    assert [m[1:] for m in mine] == order  # one order, cut at boundaries
+    assert all(sorted(r["slot"] for r in out if r["shard"] == k) == list(range(sum(m[0] == k for m in mine))) for k in range(7))
+    total, slack = sum(r[2] for r in rows), 0.005 * sum(r[2] for r in rows) / 7
+    for k in range(1, 7):
+        assert abs(sum(m[3] for m in mine if m[0] < k) - k * total / 7) <= slack + 25
+
+
 def test_small_groups_stay_together(spark):
     rows = [(i, f"t{i // 4}", 100, "x") for i in range(8000)]
     _, out = place(spark, rows, 5, tolerance=0.02)

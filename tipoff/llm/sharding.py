@@ -17,6 +17,7 @@ from tipoff.llm.packing import rank_within
 #: Candidates counted per pass; the counts that reach the driver are at most so many.
 PROBES = 8192
 TOP = 1 << 62
+LEVELS = ("key", "tie", "row")
 
 
 def _key(*columns) -> F.Column:
@@ -68,40 +69,55 @@ def _passes(keys: DataFrame, column: str, within, targets: dict[int, float], bel
     return found
 
 
-def splitters(keys: DataFrame, shards: int, tolerance: float) -> list[tuple[int, int]]:
-    """Ascending (key, tie) of the first document of shards 1 to shards - 1."""
+def splitters(keys: DataFrame, shards: int, tolerance: float) -> list[tuple[int, ...]]:
+    """Ascending (key, tie, row) of the first document of shards 1 to shards - 1. Each level
+    takes over where one value of the level before exceeds the tolerance at a boundary."""
     total = keys.agg(F.sum("size")).first()[0] or 0
     slack = tolerance * total / shards
     targets = {k: k * total / shards for k in range(1, shards)}
-    split_groups: dict[int, tuple[int, list[int], float]] = {}
+    cuts: dict[int, tuple[int, ...]] = {}
 
-    def narrow(t, key, under, edge):
-        split_groups.setdefault(key, (key, [], under))[1].append(t)
-        return key
+    def level(fixed: tuple[int, ...], wanted: list[int], below: float) -> None:
+        column, deeper = LEVELS[len(fixed)], {}
+        within = None
+        for name, value in zip(LEVELS, fixed):
+            within = (F.col(name) == value) if within is None else within & (F.col(name) == value)
 
-    cuts = {t: (k, 0) for t, k in _passes(keys, "key", None, targets, 0, slack, narrow).items()}
-    for key, wanted, under in split_groups.values():  # at most shards - 1 of them
-        inner = _passes(keys, "tie", F.col("key") == key, {t: targets[t] for t in wanted}, under, slack, lambda t, a, u, edge: edge)
-        cuts.update({t: (key, tie) for t, tie in inner.items()})
-    return sorted(cuts.values())
+        def narrow(t, value, under, edge):
+            deeper.setdefault((value, under), []).append(t)
+            return edge
+
+        found = _passes(keys, column, within, {t: targets[t] for t in wanted}, below, slack, narrow)
+        cuts.update({t: (*fixed, v) for t, v in found.items()})
+        if len(fixed) + 1 < len(LEVELS):
+            for (value, under), again in deeper.items():  # at most shards - 1 of them
+                level((*fixed, value), again, under)
+
+    level((), list(targets), 0)
+    return sorted((*c, *(0,) * (len(LEVELS) - len(c))) for c in cuts.values())
 
 
 def shard(docs: DataFrame, size_col: str, key_cols: list[str], tie_cols: list[str], shards: int, tolerance: float = 0.005) -> DataFrame:
     """All columns of docs plus shard int (0 to shards - 1) and slot long (gapless from 0).
 
-    Rows are ordered by a hash of `key_cols` and then one of `tie_cols`; each shard's bytes
-    (sum of `size_col`, not null, not negative) are within about `tolerance` of the mean, or
-    of it and the largest single row. Rows with equal keys stay together unless together
-    they exceed the tolerance just where a boundary falls; then they part by tie. Nulls hash
-    like any value; repeated rows share a place in the order and get slots of their own; an
-    empty table gives no rows.
+    Rows are ordered by a hash of `key_cols`, then one of `tie_cols`, then a number of the row
+    itself; each shard's bytes (sum of `size_col`, not null, not negative) are within about
+    `tolerance` of the mean, or of it and the largest single row. Rows with equal keys stay
+    together unless together they exceed the tolerance just where a boundary falls; then they
+    part by tie, and rows equal in both by row. Nulls hash like any value; an empty table gives
+    no rows. Columns named shard and slot are replaced; other names of docs may be any.
+
+    The rows are written once, with their numbers, so that all passes and the last exchange see
+    the same ones whatever is lost and computed anew.
     """
-    keyed = docs.withColumn("__key", _key(*key_cols)).withColumn("__tie", _key(*tie_cols))
-    keys = settle(keyed.select(F.col("__key").alias("key"), F.col("__tie").alias("tie"), F.col(size_col).alias("size")), "keys")
+    kept = [c for c in docs.columns if c not in ("shard", "slot")]
+    whole = F.struct(*(F.col(f"`{c}`") for c in kept)).alias("doc")
+    numbered = docs.select(whole, F.col(f"`{size_col}`").alias("size"), _key(*key_cols).alias("key"), _key(*tie_cols).alias("tie"), F.monotonically_increasing_id().alias("row"))
+    keyed = settle(numbered.withColumn("row", _key("key", "row")), "keyed")
     case = F.lit(shards - 1)
-    cuts = splitters(keys, shards, tolerance)
-    for n, (key, tie) in reversed(list(enumerate(cuts))):
-        before = (F.col("__key") < key) | ((F.col("__key") == key) & (F.col("__tie") < tie))
+    for n, cut in reversed(list(enumerate(splitters(keyed.select("size", *LEVELS), shards, tolerance)))):
+        before = F.struct(*LEVELS) < F.struct(*(F.lit(v).cast("long").alias(c) for c, v in zip(LEVELS, cut)))
         case = F.when(before, n).otherwise(case)
     salts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return rank_within(keyed.withColumn("shard", case.cast("int")), "shard", ["__key", "__tie"], "slot", salts).drop("__key", "__tie")
+    placed = rank_within(keyed.drop("size").withColumn("shard", case.cast("int")), "shard", list(LEVELS), "slot", salts)
+    return placed.select("doc.*", "shard", "slot")
