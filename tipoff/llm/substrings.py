@@ -38,7 +38,8 @@ NO_ID = np.iinfo(np.int64).min
 NEVER = np.iinfo(np.int64).max
 _ODD = 0x9E3779B97F4A7C15
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
-_LOW = 17  # bits of a key that may choose its bucket
+_LOW = 17  # bits of a key that choose its bucket, at least
+_MOST = 25  # and at most: 128 TB at BUCKET_BYTES
 _HIGH = np.uint64((1 << 39) - 1)  # of the others, those that are sent beside a flag in 5 bytes
 LEVEL = 9  # of compression: what is written is read over again or crosses the network
 
@@ -144,6 +145,16 @@ class Shape:
                 anchor = anchor * np.uint64(_ODD) + v
         return whole ^ (whole >> np.uint64(32)), _key(_hash(anchor))
 
+    def distinct(self, records: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(hash of each record, key of its anchor, first record of each distinct one, number of
+        its distinct one). Hashes find the equal ones; should records of one hash differ, their
+        bytes tell them apart."""
+        whole, anchor = self.names(records)
+        _, first, inverse = np.unique(whole, return_index=True, return_inverse=True)
+        if len(first) < len(records) and any((records[k : k + (1 << 14)] != records[first[inverse[k : k + (1 << 14)]]]).any() for k in range(0, len(records), 1 << 14)):
+            _, first, inverse = np.unique(np.ascontiguousarray(records).view(f"V{records.shape[1]}").ravel(), return_index=True, return_inverse=True)
+        return whole, anchor, first, inverse
+
     def _longest(self, group: np.ndarray, sides: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """How much of its side (bytes outwards from the anchor) each record shares with some
         other record of its group, at most."""
@@ -243,6 +254,7 @@ def _blocks(docs: DataFrame, text_col: str) -> DataFrame:
     at = docs.columns.index(text_col)
 
     def work(batches):
+        tidy("substrings")
         part, number, held, size = TaskContext.get().partitionId(), 0, [], 0
 
         def block():
@@ -266,6 +278,7 @@ def _blocks(docs: DataFrame, text_col: str) -> DataFrame:
                 held.append(batch.slice(first))
         if held:
             yield block()
+        tidy("substrings")
 
     return docs.mapInArrow(work, "block string, blob binary")
 
@@ -295,8 +308,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Ids are integers; a null id counts as smaller than all others. Null texts are empty. Rows
     with equal ids do not remove each other's bytes; equal texts under different ids lose all
     covered bytes but in the least id. Texts under `length` bytes stay. Whole texts count; an
-    empty table gives no rows. Two contexts count as equal by a 64-bit hash of all their
-    bytes and sizes within an exchange; strings are compared symbol by symbol.
+    empty table gives no rows. Contexts and strings are compared byte by byte; answers find
+    their way back to their own block's contexts by 96 bits of hashes.
     """
     spark = docs.sparkSession
     shape = Shape(length)
@@ -304,7 +317,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     docs = docs.select(*(F.col(f"`{c}`") for c in taken))
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     least = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")), total // BUCKET_BYTES)
-    buckets = min(1 << _LOW, 1 << (int(least) - 1).bit_length())
+    buckets = min(1 << _MOST, 1 << (int(least) - 1).bit_length())
+    low = np.uint64(max(_LOW, buckets.bit_length() - 1))
     blocks = settle(_blocks(docs, text_col), "blocks")
 
     def send_keys(batches):
@@ -318,7 +332,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
                 many = owner[first] != owner[np.append(first[1:], len(key)) - 1] if len(key) else np.empty(0, bool)
                 key = key[first]
-                value = (((key >> np.uint64(_LOW)) & _HIGH) << np.uint64(1)) | many.astype(np.uint64)
+                value = (((key >> low) & _HIGH) << np.uint64(1)) | many.astype(np.uint64)
                 bucket = (key & np.uint64(buckets - 1)).astype(np.int64)
                 order, parts = _by_bucket(bucket)
                 value = value[order]
@@ -353,7 +367,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if left.num_rows and right.num_rows:
             name = left.column("block")[0].as_py()
             _, ids, data, offsets = _load(left.column("blob")[0].as_py(), id_col, text_col)
-            low = np.uint64(_LOW)
             wanted = np.sort(np.concatenate([((_from_five(d.as_py()) >> np.uint64(1)) << low) | np.uint64(b.as_py()) for b, d in zip(right.column("bucket"), right.column("data"))]))
             at, key, owner = shape.anchors(data, offsets)
             short = (((key >> low) & _HIGH) << low) | (key & np.uint64(buckets - 1))
@@ -361,8 +374,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             hit = wanted[place] == short
             at, owner = at[hit], owner[hit]
             records = shape.contexts(data, offsets, at, owner)
-            whole, anchor = shape.names(records)
-            _, first, inverse = np.unique(whole, return_index=True, return_inverse=True)
+            _, anchor, first, inverse = shape.distinct(records)
             low_id, high_id = np.full(len(first), NEVER), np.full(len(first), NO_ID)
             np.minimum.at(low_id, inverse, ids[owner])
             np.maximum.at(high_id, inverse, ids[owner])
@@ -385,8 +397,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             manys.append(np.frombuffer(raw, bool, n, 8 * n))
             bodies.append(np.frombuffer(raw, np.uint8, n * size, 9 * n).reshape(n, size))
         records, low = np.concatenate(bodies), np.concatenate(lows)
-        whole, anchor = shape.names(records)
-        _, first, inverse = np.unique(whole, return_index=True, return_inverse=True)
+        whole, anchor, first, inverse = shape.distinct(records)
         ids = np.full(len(first), NEVER)
         np.minimum.at(ids, inverse, low)
         least = shape.least_ids(records[first], ids, anchor[first])
@@ -419,18 +430,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 found.append(np.frombuffer(raw, np.uint64, n))
                 keys.append(np.frombuffer(raw, np.uint32, n, 8 * n))
                 least.append(np.frombuffer(raw, np.int64, n * (shape.side + 1), 12 * n).reshape(shape.side + 1, n))
-            found, keys, least = np.concatenate(found), np.unique(np.concatenate(keys)), np.concatenate(least, axis=1)
-            order = np.argsort(found)
-            found, least = found[order], least[:, order]
+            found, tags, least = np.concatenate(found), np.concatenate(keys), np.concatenate(least, axis=1)
+            keys, order = np.unique(tags), np.argsort(found)
+            found, tags, least = found[order], tags[order], least[:, order]
             at, key, owner = shape.anchors(data, offsets)
             high = (key >> np.uint64(32)).astype(np.uint32)
             near = keys[np.minimum(np.searchsorted(keys, high), len(keys) - 1)] == high
             at, owner = at[near], owner[near]
             for k in range(0, len(at), 1 << 14):
                 a, o = at[k : k + (1 << 14)], owner[k : k + (1 << 14)]
-                whole, _ = shape.names(shape.contexts(data, offsets, a, o))
+                whole, anchor = shape.names(shape.contexts(data, offsets, a, o))
                 place = np.minimum(np.searchsorted(found, whole), len(found) - 1)
-                hit = np.flatnonzero(found[place] == whole)
+                hit = np.flatnonzero((found[place] == whole) & (tags[place] == (anchor >> np.uint64(32)).astype(np.uint32)))
                 a, mine, place = a[hit], ids[o[hit]], place[hit]
                 for before in range(shape.side + 1):
                     begin = a[least[before, place] < mine] - before
