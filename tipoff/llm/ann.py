@@ -1,16 +1,20 @@
 """Approximate nearest neighbours by largest inner product, over a hierarchical k-means tree.
 
 Vectors get one more coordinate, so that the largest inner product is the least distance. The
-tree is fitted on a bounded sample; every vector goes down it to a leaf. A query visits
-leaves best-bin first: a priority queue holds the nodes seen so far by distance, and each
-step opens the nearest. How many leaves a query visits is calibrated: exact neighbours of a
-few queries show after how many leaves they have been met, and visits widen until the wanted
-share of them is.
+tree is fitted on a bounded sample, with more leaves the more vectors there are; every vector
+goes down it to a leaf. A query visits leaves best-bin first: a priority queue holds the nodes
+seen so far by distance, and each step opens the nearest. After its first leaves a query knows
+how far its k-th best vector is; it widens its visits until the queue's nearest node is further
+than a multiple of that. The multiple is calibrated: exact neighbours of a few queries show how
+far one must go to meet the wanted share of them. Vectors of each dimension are searched among
+themselves.
 """
 
 from __future__ import annotations
 
 import heapq
+import logging
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,29 +23,32 @@ from pyspark.sql import functions as F
 
 from tipoff.llm.common import settle
 
-#: Vectors that the tree is fitted on, at most about (taken by a hash of their id).
-FIT_ROWS = 16_384
+#: Vectors that a tree is fitted on, at most about, and their values.
+FIT_ROWS, FIT_VALUES = 65_536, 4 << 20
 #: Queries whose exact neighbours calibrate the visits, at most about.
 CALIBRATION_ROWS = 256
 BRANCH = 8
-#: Sampled vectors in a leaf, at most; with FIT_ROWS it keeps the number of leaves, and so
-#: the rows that a query turns into, about the same however many vectors there are.
-LEAF_SAMPLE = 128
+#: Vectors in a leaf, about, and sampled vectors in a leaf at least. Leaves grow in number with
+#: the table up to FIT_ROWS / LEAF_SAMPLE, and beyond that in size.
+LEAF_ROWS, LEAF_SAMPLE = 256, 8
 #: Vectors and queries that meet in one task's group, at most.
 CHUNK, QUERY_CHUNK = 16_384, 1024
+#: Dimensions with fewer vectors than this are one leaf each, and searched whole.
+SMALL = 1024
+_PLACES = 1 << 30
+_LOG = logging.getLogger(__name__)
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, vec array<float>) of rows with an id and a vector that is not null, empty or zero
-    and has no null or non-finite component; of several dimensions the commonest stays."""
+    """(id, vec array<float>, d int) of rows with an id and a vector that is not null, empty or
+    zero and has no null or non-finite component; d is its dimension."""
     v = F.col(vector_col)
     good = vectors.where(
         F.col(id_col).isNotNull() & v.isNotNull() & (F.size(v) > 0)
         & F.forall(v, lambda x: F.coalesce(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
         & F.exists(v, lambda x: x != 0)
-    ).select(F.col(id_col).cast("long").alias("id"), v.alias("vec"))
-    sizes = good.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    return good.where(F.size("vec") == (sizes[0]["d"] if sizes else 0))
+    )
+    return good.select(F.col(id_col).cast("long").alias("id"), v.alias("vec"), F.size(v).alias("d"))
 
 
 def matrix(column) -> np.ndarray:
@@ -58,7 +65,7 @@ class Tree:
     """Centroids of all nodes; `children[n]` is empty for a leaf, `leaf[n]` its number."""
 
     def __init__(self, sample: np.ndarray, top_norm: float, leaf_rows: int, seed: int = 7):
-        self.top = top_norm
+        self.top, self.leaf_rows = top_norm, leaf_rows
         points = self.lift(sample)
         rng = np.random.default_rng(seed)
         self.centres: list[np.ndarray] = []
@@ -90,7 +97,7 @@ class Tree:
         different = np.unique(points, axis=0)
         if len(different) < 2:
             return []
-        parts = min(BRANCH, len(different), -(-len(points) // LEAF_SAMPLE))
+        parts = min(BRANCH, len(different), -(-len(points) // self.leaf_rows))
         centres = different[rng.choice(len(different), parts, replace=False)]
         for _ in range(rounds):
             near = ((centres**2).sum(axis=1) - 2 * points @ centres.T).argmin(axis=1)
@@ -112,18 +119,27 @@ class Tree:
             todo += [(kid, rows[near == k]) for k, kid in enumerate(kids) if (near == k).any()]
         return out
 
-    def visits(self, query: np.ndarray, most: int) -> list[int]:
-        """The first `most` leaves, best bin first."""
-        wide, out, queue = np.append(query, 0.0), [], [(0.0, 0)]
-        while queue and len(out) < most:
-            _, node = heapq.heappop(queue)
+    def visits(self, query: np.ndarray):
+        """(leaf, reach) best bin first: reach is how far, squared, the queue had to go."""
+        wide, reach, queue = np.append(query, 0.0), 0.0, [(0.0, 0)]
+        size = float(query @ query)
+        while queue:
+            far, node = heapq.heappop(queue)
+            reach = max(reach, far)
             kids = self.children[node]
             if not kids:
-                out.append(self.leaf[node])
+                yield self.leaf[node], reach
                 continue
-            for far, kid in zip((self.squares[kids] - 2 * self.centres[kids] @ wide).tolist(), kids):
+            for far, kid in zip((self.squares[kids] - 2 * self.centres[kids] @ wide + size).tolist(), kids):
                 heapq.heappush(queue, (far, kid))
-        return out
+
+    def first(self) -> int:
+        """How many leaves every query visits before it widens."""
+        return min(self.leaves, 1 + round(self.leaves**0.5))
+
+    def distance(self, query: np.ndarray, score) -> float:
+        """Squared distance of a vector with that inner product."""
+        return float(query @ query) + self.top**2 - 2 * score
 
 
 def best(query_ids, queries, ids, points, k: int, rows: int = 128):
@@ -156,17 +172,24 @@ def _best(query_ids, queries, ids, points, k: int):
     return q[keep], ids[p[keep]], score[keep]
 
 
-def fit(points: DataFrame, fit_rows: int = FIT_ROWS) -> Tree | None:
-    """A tree over (id, vec), with at most about LEAF_SAMPLE sampled vectors to a leaf."""
+def _sampled(rows: DataFrame, share: float, most: int, salt: int) -> pa.Table:
+    """About that share of (id, vec), by a hash of both; equal rows count once, and never more
+    than `most` rows come."""
+    place = F.xxhash64("id", "vec", F.lit(salt))
+    held = rows.select("id", "vec", place.alias("place")).where(F.pmod("place", F.lit(_PLACES)) < max(1, int(share * _PLACES)))
+    return held.groupBy("place").agg(F.first("id").alias("id"), F.first("vec").alias("vec")).orderBy("place").limit(most).select("id", "vec").toArrow()
+
+
+def fit(points: DataFrame, n: int, fit_rows: int = FIT_ROWS) -> Tree:
+    """A tree over n rows (id, vec) of one dimension, at least one of them."""
     norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    row = points.agg(F.count("*").alias("n"), F.max(norm).alias("top")).first()
-    if not row["n"]:
-        return None
-    share = min(1 << 30, -(-fit_rows * (1 << 30) // row["n"]))
-    sample = points.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share).orderBy("id").toArrow()
-    if not sample.num_rows:
-        sample = points.orderBy("id").limit(1).toArrow()
-    return Tree(matrix(sample.column("vec")), row["top"] * (1 + 1e-9), LEAF_SAMPLE)
+    row = points.agg(F.max(norm).alias("top"), F.first("vec").alias("any"), F.first("id").alias("id")).first()
+    most = max(LEAF_SAMPLE, min(fit_rows, FIT_VALUES // len(row["any"])))
+    sample = matrix(_sampled(points, min(1.0, most / n), 2 * most, 0).column("vec"))
+    if not len(sample):
+        sample = np.array([row["any"]], np.float64)
+    leaves = max(1, min(n // LEAF_ROWS, len(sample) // LEAF_SAMPLE))
+    return Tree(sample, row["top"] * (1 + 1e-9), -(-len(sample) // leaves))
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
@@ -189,17 +212,103 @@ def exact(points: DataFrame, queries: pa.Table, k: int) -> DataFrame:
     return _ranked(points.select("id", "vec").mapInArrow(work, "query_id long, vec_id long, score double"), k)
 
 
-def calibrate(tree: Tree, points: DataFrame, queries: DataFrame, n_queries: int, k: int, recall: float) -> int:
-    """Leaves to visit so that the calibration queries meet that share of their neighbours."""
-    share = min(1 << 30, -(-CALIBRATION_ROWS * (1 << 30) // max(1, n_queries)))
-    sample = queries.select("id", "vec").where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 30)) < share).toArrow()
+def _meet(points: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, score): for each row (id, vec, d, leaf, floor) of asked, its k best
+    of the leaf's points (id, vec, d, leaf), none below floor."""
+    # Both sides of a leaf are cut into chunks, and each pair of chunks meets in one group.
+    asked_sizes = asked.groupBy("d", "leaf").agg(F.count("*").alias("asked"))
+    sizes = points.groupBy("d", "leaf").count().join(asked_sizes, ["d", "leaf"]).select(
+        "d", "leaf", F.ceil(F.col("count") / CHUNK).cast("int").alias("np"), F.ceil(F.col("asked") / QUERY_CHUNK).cast("int").alias("nq")
+    )  # a row per leaf: no more than the sample bears
+    sizes = F.broadcast(sizes)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = points.join(sizes, ["d", "leaf"]).withColumn("p", F.pmod(F.xxhash64("id", "vec", "nth"), "np").cast("int")).withColumn("q", every("nq"))
+    right = asked.join(sizes, ["d", "leaf"]).withColumn("q", F.pmod(F.xxhash64("id"), "nq").cast("int")).withColumn("p", every("np"))
+    cut = ["d", "leaf", "p", "q"]
+
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not a.num_rows or not b.num_rows:
+            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        ids = b.column("id").to_numpy()
+        q, vec_id, score = best(ids, matrix(b.column("vec")), a.column("id").to_numpy(), matrix(a.column("vec")), k)
+        keep = score >= b.column("floor").to_numpy()[q]
+        return pa.table({"query_id": pa.array(ids[q[keep]]), "vec_id": pa.array(vec_id[keep]), "score": pa.array(score[keep])})
+
+    return left.select(*cut, "id", "vec").groupBy(*cut).cogroup(right.select(*cut, "id", "vec", "floor").groupBy(*cut)).applyInArrow(meet, "query_id long, vec_id long, score double")
+
+
+def calibrate(tree: Tree, points: DataFrame, queries: DataFrame, near: DataFrame, k: int, recall: float) -> tuple[float, float]:
+    """(multiple, share of leaves): how many times as far (squared) as its k-th best vector of
+    the first leaves a query must go, so that sampled queries meet that share of their exact
+    neighbours, and what share of the leaves they visit then. `near`: (id, floor), the score of
+    that k-th best vector."""
+    n = queries.count()
+    sample = _sampled(queries.select("id", "vec"), min(1.0, CALIBRATION_ROWS / max(1, n)), 2 * CALIBRATION_ROWS, 3)
     if not sample.num_rows:
-        return tree.leaves
+        return float("inf"), 1.0
     vectors = dict(zip(sample.column("id").to_pylist(), matrix(sample.column("vec"))))
-    near = exact(points, sample, k).select("query_id", F.col("vec_id").alias("id")).join(points.select("id", "leaf"), "id").select("query_id", "leaf").collect()
-    place = {i: {leaf: n for n, leaf in enumerate(tree.visits(v, tree.leaves))} for i, v in vectors.items()}
-    met = np.sort([place[r["query_id"]][r["leaf"]] + 1 for r in near])
-    return int(met[min(len(met) - 1, int(np.ceil(recall * len(met))) - 1)]) if len(met) else 1
+    spark = points.sparkSession
+    ids = spark.createDataFrame([(i,) for i in vectors], "id long")
+    floors = {r["id"]: r["floor"] for r in near.join(F.broadcast(ids), "id").collect()}
+    exact_ = exact(points, sample, k).select("query_id", F.col("vec_id").alias("id"))
+    met = exact_.join(points.select("id", "leaf").distinct(), "id").groupBy("query_id", "leaf").agg(F.countDistinct("id").alias("n")).collect()
+    reach = {i: dict(tree.visits(v)) for i, v in vectors.items()}
+    base = {i: max(tree.distance(v, floors[i]), 1e-300) if floors.get(i) is not None else None for i, v in vectors.items()}
+    first = {i: set(list(reach[i])[: tree.first()]) for i in vectors}
+    need = [0.0 if r["leaf"] in first[r["query_id"]] or base[r["query_id"]] is None else reach[r["query_id"]][r["leaf"]] / base[r["query_id"]] for r in met for _ in range(r["n"])]
+    need.sort()
+    multiple = need[min(len(need) - 1, int(np.ceil(recall * len(need))) - 1)] if need else 0.0
+    visited = [sum(base[i] is None or leaf in first[i] or far <= multiple * base[i] for leaf, far in reach[i].items()) for i in vectors]
+    return multiple, float(np.mean(visited)) / tree.leaves
+
+
+def _searched(points: DataFrame, wanted: DataFrame, d: int, n: int, k: int, recall: float) -> DataFrame:
+    """(query_id, vec_id, score) of one dimension's points; each query's k best are among them."""
+    spark = points.sparkSession
+    vec_type = points.schema["vec"].dataType.simpleString()
+    tree = fit(points, n)
+    held = spark.sparkContext.broadcast(tree)
+
+    def down(batches):
+        for batch in batches:
+            leaf = held.value.assign(matrix(batch.column(1))) if batch.num_rows else np.empty(0, np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf)], names=["id", "vec", "d", "leaf"])
+
+    placed = settle(points.mapInArrow(down, f"id long, vec {vec_type}, d int, leaf int").withColumn("nth", F.monotonically_increasing_id()), "points")
+    queries = settle(placed.join(wanted, "id", "left_semi").groupBy("id").agg(F.first("vec").alias("vec")), "queries")
+
+    def visit(multiple, rest):
+        def work(batches):
+            tree = held.value
+            for batch in batches:
+                owner, leaves = [], []
+                floor = batch.column(2).to_pylist() if rest else [None] * batch.num_rows
+                for i, v in enumerate(matrix(batch.column(1))):
+                    far = float("inf") if floor[i] is None else multiple * max(tree.distance(v, floor[i]), 1e-300)
+                    for at, (leaf, reach) in enumerate(tree.visits(v)):
+                        if rest and at >= tree.first() and reach > far or not rest and at >= tree.first():
+                            break
+                        if not rest or at >= tree.first():
+                            owner.append(i)
+                            leaves.append(leaf)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner, pa.int32())), pa.array(leaves, pa.int32())], names=["id", "leaf"])
+
+        return work
+
+    def asked(rows, multiple, rest):
+        made = rows.mapInArrow(visit(multiple, rest), "id long, leaf int")
+        return settle(made.join(rows, "id").select("id", "vec", F.lit(d).alias("d"), "leaf", F.coalesce("floor", F.lit(float("-inf"))).alias("floor")), "asked")
+
+    begun = queries.withColumn("floor", F.lit(None).cast("double"))
+    found = settle(_ranked(_meet(placed, asked(begun, 0.0, False), k), k), "first")
+    if tree.first() == tree.leaves:
+        return found.select("query_id", "vec_id", "score")
+    near = found.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("floor"))
+    multiple, share = calibrate(tree, placed, queries, near, k, recall)
+    _LOG.info("dimension %d: %d vectors, %d leaves, %.3f of them visited for a recall of %.3f on sampled queries", d, n, tree.leaves, share, recall)
+    widened = queries.join(near, "id", "left").select("id", "vec", "floor")
+    more = _meet(placed, asked(widened, multiple, True), k)
+    return found.select("query_id", "vec_id", "score").union(more)
 
 
 def search(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, recall: float = 0.94) -> DataFrame:
@@ -207,60 +316,23 @@ def search(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str
     found, all rows but its own id being candidates; fewer where there are fewer.
 
     Queries are the rows where `is_query` (a condition on vectors) holds. Unusable vectors
-    (see `usable`) take no part. Ties go to the smaller id; repeated vectors under different
-    ids are all candidates; rows that repeat an id count as separate candidates. Other
-    columns are not read. An empty table gives no rows.
+    (see `usable`) take no part; a vector's candidates are those of its dimension. Ties go to
+    the smaller id; repeated vectors under different ids are all candidates; rows that repeat
+    an id count as separate candidates, and one of them is the query. Other columns are not
+    read. An empty table gives no rows. Dimensions with fewer than SMALL vectors are searched
+    whole, all in one pass; each other one (there are at most rows / SMALL) has its own tree.
     """
     spark = vectors.sparkSession
-    schema = "query_id long, rank int, vec_id long, score double"
-    wanted = vectors.where(is_query).select(F.col(id_col).cast("long").alias("id")).distinct().withColumn("q", F.lit(True))
+    wanted = vectors.where(is_query).select(F.col(id_col).cast("long").alias("id")).distinct()
     clean = usable(vectors, id_col, vector_col)
-    tree = fit(clean)
-    if tree is None:
-        return spark.createDataFrame([], schema)
-    held = spark.sparkContext.broadcast(tree)
-
-    def down(batches):
-        for batch in batches:
-            leaf = held.value.assign(matrix(batch.column(1))) if batch.num_rows else np.empty(0, np.int32)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf)], names=["id", "vec", "leaf"])
-
-    vec_type = clean.schema["vec"].dataType.simpleString()
-    points = settle(clean.mapInArrow(down, f"id long, vec {vec_type}, leaf int"), "points")
-    queries = settle(points.join(wanted, "id").select("id", "vec").dropDuplicates(["id"]), "queries")
-    n_queries = queries.count()
-    most = calibrate(tree, points, queries, n_queries, k, recall)
-
-    def visit(batches):
-        for batch in batches:
-            owner, leaves = [], []
-            for i, v in enumerate(matrix(batch.column(1))):
-                found = held.value.visits(v, most)
-                owner += [i] * len(found)
-                leaves += found
-            taken = batch.take(pa.array(owner, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(leaves, pa.int32())], names=["id", "vec", "leaf"])
-
-    asked = queries.mapInArrow(visit, f"id long, vec {vec_type}, leaf int")
-    visited = settle(asked.select("id", "leaf"), "visits")
-    asked = visited.join(queries, "id")
-    # Both sides of a leaf are cut into chunks, and each pair of chunks meets in one group.
-    asked_sizes = visited.groupBy("leaf").count().withColumnRenamed("count", "asked")
-    sizes = points.groupBy("leaf").count().join(asked_sizes, "leaf").select(
-        "leaf", F.ceil(F.col("count") / CHUNK).cast("int").alias("np"), F.ceil(F.col("asked") / QUERY_CHUNK).cast("int").alias("nq")
-    )  # a row per leaf: no more than the sample bears
-    sizes = F.broadcast(sizes)
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = points.join(sizes, "leaf").withColumn("p", F.pmod(F.xxhash64("id"), "np").cast("int")).withColumn("q", every("nq"))
-    right = asked.join(sizes, "leaf").withColumn("q", F.pmod(F.xxhash64("id"), "nq").cast("int")).withColumn("p", every("np"))
-    cut = ["leaf", "p", "q"]
-
-    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
-        if not a.num_rows or not b.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        ids = b.column("id").to_numpy()
-        q, vec_id, score = best(ids, matrix(b.column("vec")), a.column("id").to_numpy(), matrix(a.column("vec")), k)
-        return pa.table({"query_id": pa.array(ids[q]), "vec_id": pa.array(vec_id), "score": pa.array(score)})
-
-    found = left.select(*cut, "id", "vec").groupBy(*cut).cogroup(right.select(*cut, "id", "vec").groupBy(*cut)).applyInArrow(meet, "query_id long, vec_id long, score double")
-    return _ranked(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    sizes = clean.groupBy("d").count()
+    large = {r["d"]: r["count"] for r in sizes.where(F.col("count") >= SMALL).collect()}
+    parts = [_searched(clean.where(F.col("d") == d), wanted, d, n, k, recall) for d, n in sorted(large.items())]
+    few = sizes.where(F.col("count") < SMALL).select("d")
+    if few.limit(1).count():
+        small = settle(clean.join(few, "d", "left_semi").select("id", "vec", "d", F.lit(0).alias("leaf"), F.monotonically_increasing_id().alias("nth")), "points")
+        asking = small.join(wanted, "id", "left_semi").groupBy("id", "d").agg(F.first("vec").alias("vec"))
+        parts.append(_meet(small, settle(asking.select("id", "vec", "d", F.lit(0).alias("leaf"), F.lit(float("-inf")).alias("floor")), "asked"), k))
+    if not parts:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return _ranked(reduce(DataFrame.union, parts), k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
