@@ -70,20 +70,31 @@ def uniform(*parts) -> F.Column:
 
 
 def simulate(bracket: DataFrame, probs: DataFrame, n: int, seed: int = 42, rounds: int = 6) -> DataFrame:
-    """(sim, round, slot, TeamID): the winner of every game of n tournaments (SM1). Games of
-    a simulation stay in its partition; probabilities, 2^(2 rounds) rows, go to all."""
-    spark = bracket.sparkSession
-    table = F.broadcast(probs.select("TeamID_a", "TeamID_b", "p"))
-    now = spark.range(n).withColumnRenamed("id", "sim").crossJoin(F.broadcast(bracket.select("slot", "TeamID")))
-    out = None
+    """(sim, round, slot, TeamID): the winner of every game of n tournaments (SM1). A
+    simulation is one row that plays all its rounds, so nothing moves but the bracket and its
+    2^(2 rounds) probabilities, which go to all as one row. All slots must be taken."""
+    spark, size = bracket.sparkSession, 1 << rounds
+    a, b = (bracket.select(F.col("TeamID").alias(f"TeamID_{s}"), F.col("slot").alias(s)) for s in "ab")
+    cells = probs.join(F.broadcast(a), "TeamID_a").join(F.broadcast(b), "TeamID_b").select((F.col("a") * size + F.col("b")).alias("at"), "p")
+    chance = cells.agg(F.map_from_entries(F.collect_list(F.struct("at", "p"))).alias("chance"))
+    named = bracket.agg(F.transform(F.sort_array(F.collect_list(F.struct("slot", "TeamID"))), lambda x: x["TeamID"]).alias("named"))
+    now = spark.range(n).withColumnRenamed("id", "sim").crossJoin(F.broadcast(chance)).crossJoin(F.broadcast(named))
+    now = now.withColumn("w0", F.sequence(F.lit(0).cast("long"), F.lit(size - 1).cast("long")))
+
+    def play(r):
+        def game(i):
+            up, down = F.get(f"w{r - 1}", 2 * i), F.get(f"w{r - 1}", 2 * i + 1)
+            lot = uniform(F.lit(str(seed)), F.col("sim").cast("string"), F.lit(str(r)), i.cast("string"))
+            return F.when(lot < F.element_at("chance", up * size + down), up).otherwise(down)
+
+        return F.transform(F.sequence(F.lit(0), F.lit((size >> r) - 1)), game)
+
+    def winners(r):
+        return F.transform(f"w{r}", lambda x, i: F.struct(F.lit(r).cast("long").alias("round"), i.cast("long").alias("slot"), F.get("named", x.cast("int")).alias("TeamID")))
+
     for r in range(1, rounds + 1):
-        game = now.groupBy("sim", F.floor(F.col("slot") / 2).alias("slot")).agg(F.min(F.struct("slot", "TeamID")).alias("a"), F.max(F.struct("slot", "TeamID")).alias("b"))
-        game = game.select("sim", "slot", F.col("a.TeamID").alias("TeamID_a"), F.col("b.TeamID").alias("TeamID_b")).join(table, ["TeamID_a", "TeamID_b"])
-        lot = uniform(F.lit(str(seed)), F.col("sim").cast("string"), F.lit(str(r)), F.col("slot").cast("string"))
-        now = game.select("sim", "slot", F.when(lot < F.col("p"), F.col("TeamID_a")).otherwise(F.col("TeamID_b")).alias("TeamID"))
-        won = now.select("sim", F.lit(r).cast("long").alias("round"), "slot", "TeamID")
-        out = won if out is None else out.unionByName(won)
-    return out
+        now = now.withColumn(f"w{r}", play(r))
+    return now.select("sim", F.inline(F.flatten(F.array(*map(winners, range(1, rounds + 1))))))
 
 
 def advancement(winners: DataFrame, n: int) -> DataFrame:
@@ -181,9 +192,26 @@ def scorecard(picks: DataFrame, actual: DataFrame, played: int) -> DataFrame:
 
 
 def stakes(card: DataFrame, points: tuple[int, ...] = POINTS) -> DataFrame:
-    """Points that still ride on each team alive (BR10)."""
+    """(TeamID, at_stake, picks, rounds): points that still ride on each team alive, and the
+    rounds it is picked for (BR10)."""
     each = F.element_at(F.array(*map(F.lit, points)), F.col("round").cast("int"))
-    return card.where("status = 'PENDING'").groupBy("TeamID").agg(F.sum(each).cast("long").alias("at_stake"), F.count("*").alias("picks"))
+    rounds = F.concat_ws("+", F.sort_array(F.collect_list("round")).cast("array<string>"))  # six at most
+    return card.where("status = 'PENDING'").groupBy("TeamID").agg(F.sum(each).cast("long").alias("at_stake"), F.count("*").alias("picks"), rounds.alias("rounds"))
+
+
+def pending_games(games: DataFrame, probs: DataFrame, held: DataFrame, p: str = "p") -> DataFrame:
+    """(place, pick, other, pick_p, at_stake): games to come (TeamID_a, TeamID_b), those with
+    most points riding on the pick first (BR10). The pick is the first team if its chance is
+    one half at least; held: what `stakes` gives."""
+    first = F.col("p") >= 0.5
+    met = games.join(F.broadcast(probs.select("TeamID_a", "TeamID_b", F.col(p).alias("p"))), ["TeamID_a", "TeamID_b"])
+    picked = met.select(
+        F.when(first, F.col("TeamID_a")).otherwise(F.col("TeamID_b")).alias("pick"), F.when(first, F.col("TeamID_b")).otherwise(F.col("TeamID_a")).alias("other"),
+        F.when(first, F.col("p")).otherwise(1 - F.col("p")).alias("pick_p"),
+    )
+    risk = picked.join(held.select(F.col("TeamID").alias("pick"), "at_stake"), "pick", "left").withColumn("at_stake", F.coalesce("at_stake", F.lit(0)).cast("long"))
+    order = Window.orderBy(F.desc("at_stake"), "pick")  # a round's games
+    return risk.select(F.row_number().over(order).cast("long").alias("place"), "pick", "other", "pick_p", "at_stake")
 
 
 def luck(games: DataFrame, low: float = 0.58, high: float = 0.60) -> DataFrame:
@@ -205,19 +233,21 @@ def sweep(games: DataFrame, actual: DataFrame, weights: list[float], weights2: l
     TeamID_b, p, and q, the line's chance, null where there is none.
     """
     spark = games.sparkSession
-    grid = [spark.createDataFrame([(float(x),) for x in xs], [name]) for name, xs in (("w1", weights), ("w2", weights2), ("shrink", shrinks))]
-    settings = grid[0].crossJoin(grid[1]).crossJoin(grid[2])
-    w = F.when(F.col("round") == 1, F.col("w1")).otherwise(F.col("w2"))
-    mixed = F.when(F.col("q").isNotNull(), blend("p", "q", w)).otherwise(blend("p", F.lit(0.5), F.col("shrink")))
-    every = settings.crossJoin(F.broadcast(games)).withColumn("pick", F.when(mixed >= 0.5, F.col("TeamID_a")).otherwise(F.col("TeamID_b")))
-    keys = ["w1", "w2", "shrink"]
-    first = every.where("round = 1").select(*keys, "slot", "pick")
-    side = first.groupBy(*keys, F.floor(F.col("slot") / 2).alias("slot")).agg(F.min_by("pick", "slot").alias("TeamID_a"), F.max_by("pick", "slot").alias("TeamID_b"))
-    second = every.where("round = 2").join(side, [*keys, "slot", "TeamID_a", "TeamID_b"], "left_semi").select(*keys, "slot", "pick")
+    grid = lambda xs, name: spark.createDataFrame([(float(x),) for x in xs], [name])
+    # A game's pick depends on its own round's weight and on the shrink only.
     won = F.broadcast(actual.where("round <= 2").select("round", F.col("TeamID").alias("pick"), F.lit(1).alias("hit")))
-    both = first.withColumn("round", F.lit(1)).unionByName(second.withColumn("round", F.lit(2))).join(won, ["round", "pick"], "left")
-    count = lambda r: F.count_if((F.col("round") == r) & F.col("hit").isNotNull())
-    return both.groupBy(*keys).agg(count(1).alias("r1"), count(2).alias("r2")).withColumn("total", F.col("r1") * 10 + F.col("r2") * 20)
+
+    def picks(r, name, ws):
+        mixed = F.when(F.col("q").isNotNull(), blend("p", "q", F.col(name))).otherwise(blend("p", F.lit(0.5), F.col("shrink")))
+        every = F.broadcast(games.where(F.col("round") == r)).crossJoin(grid(ws, name)).crossJoin(grid(shrinks, "shrink"))
+        return every.withColumn("pick", F.when(mixed >= 0.5, F.col("TeamID_a")).otherwise(F.col("TeamID_b"))).join(won, ["round", "pick"], "left")
+
+    first = picks(1, "w1", weights)
+    side = first.groupBy("w1", "shrink", F.floor(F.col("slot") / 2).alias("slot")).agg(F.min_by("pick", "slot").alias("TeamID_a"), F.max_by("pick", "slot").alias("TeamID_b"))
+    second = picks(2, "w2", weights2).select("w2", "shrink", "slot", "TeamID_a", "TeamID_b", "hit")
+    r1 = first.groupBy("w1", "shrink").agg(F.count("hit").alias("r1"))
+    r2 = side.join(second, ["shrink", "slot", "TeamID_a", "TeamID_b"]).groupBy("w1", "w2", "shrink").agg(F.count("hit").alias("r2"))
+    return r2.join(r1, ["w1", "shrink"]).select("w1", "w2", "shrink", "r1", "r2", (F.col("r1") * 10 + F.col("r2") * 20).alias("total"))
 
 
 def best_setting(settings: DataFrame) -> DataFrame:

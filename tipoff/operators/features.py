@@ -11,10 +11,15 @@ from tipoff.functions.scalars import efficiency, ratio, seed_number
 KEY = ["Season", "TeamID"]
 
 
-def four_factors(tg: DataFrame) -> DataFrame:
-    """Shooting, turnovers, rebounds and free throws, for and against (F1)."""
-    names = [c for c in tg.columns if c.removeprefix("opp_").isupper() or c.endswith("FGM3")]
-    sums = tg.groupBy(*KEY).agg(*(F.sum(c).alias(c) for c in names))
+KINDS = ("efg", "to_rate", "or_rate", "ft_rate")
+
+
+def _box_columns(tg: DataFrame) -> list[str]:
+    return [c for c in tg.columns if c.removeprefix("opp_").isupper() or c.endswith("FGM3")]
+
+
+def _factors() -> list[F.Column]:
+    """The eight ratios out of summed box columns."""
 
     def side(p, q):
         c = lambda n: F.col(p + n)
@@ -23,8 +28,45 @@ def four_factors(tg: DataFrame) -> DataFrame:
             ratio(c("OR"), c("OR") + F.col(q + "DR")), ratio(c("FTM"), c("FGA")),
         ]
 
-    kinds = ("efg", "to_rate", "or_rate", "ft_rate")
-    return sums.select(*KEY, *(x.alias(f"off_{k}") for k, x in zip(kinds, side("", "opp_"))), *(x.alias(f"def_{k}") for k, x in zip(kinds, side("opp_", ""))))
+    return [x.alias(f"{name}_{k}") for name, p, q in (("off", "", "opp_"), ("def", "opp_", "")) for k, x in zip(KINDS, side(p, q))]
+
+
+def four_factors(tg: DataFrame) -> DataFrame:
+    """Shooting, turnovers, rebounds and free throws, for and against (F1)."""
+    sums = tg.groupBy(*KEY).agg(*(F.sum(c).alias(c) for c in _box_columns(tg)))
+    return sums.select(*KEY, *_factors())
+
+
+def season_features(tg: DataFrame, top: DataFrame, last_n: int = 10, days: int = 30, trend_days: int = 45, least: int = 3) -> DataFrame:
+    """four_factors, rolling, form, road_win_pct, late_season and trajectory side by side:
+    games move once, by team, for all of them. A team without rows for one has nulls there."""
+    order = Window.partitionBy(*KEY).orderBy(F.desc("DayNum"), F.desc("game_id"))
+    best = top.select("Season", F.col("TeamID").alias("OppID"), F.lit(True).alias("vs_top"))
+    rows = _with_last_day(tg).join(F.broadcast(best), ["Season", "OppID"], "left").withColumn("rn", F.row_number().over(order))
+    age, real, margin = F.col("last_day") - F.col("DayNum"), F.col("poss") > 0, F.col("pts") - F.col("opp_pts")
+    last, recent = F.col("rn") <= last_n, real & (age < days)
+    late, trend = real & (age <= days) & F.col("vs_top"), real & (age <= trend_days)
+    of = lambda when, x: F.when(when, x)
+    oe, de = F.avg(of(late, efficiency("pts", "poss"))), F.avg(of(late, efficiency("opp_pts", "poss")))
+    day, wide = of(trend, F.col("DayNum").cast("double")), margin.cast("double")
+    slope = lambda y: F.when(F.count(day) >= least, F.regr_slope(of(trend, y), day))
+    out = rows.groupBy(*KEY).agg(
+        *(F.sum(c).alias(c) for c in _box_columns(tg)),
+        (100.0 * F.sum(of(recent, F.col("pts"))) / F.sum(of(recent, F.col("poss")))).alias("rolling_oe"),
+        (100.0 * F.sum(of(recent, F.col("opp_pts"))) / F.sum(of(recent, F.col("poss")))).alias("rolling_de"),
+        F.avg(of(recent, F.col("win"))).alias("win_pct_30d"),
+        F.avg(of(last, F.col("win"))).alias("win_pct_last10"),
+        F.avg(of(last, margin)).alias("avg_mov_last10"),
+        (F.avg(of(last, F.col("pts"))) - F.avg("pts")).alias("scoring_trend"),
+        F.avg("win").alias("season_win_pct"),
+        F.avg(margin).alias("season_avg_mov"),
+        F.avg(of(F.col("loc").isin("A", "N"), F.col("win"))).alias("road_win_pct"),
+        oe.alias("late_adj_oe"), de.alias("late_adj_de"), (oe - de).alias("late_adj_em"),
+        F.nullif(F.size(F.collect_set(of(late, F.col("OppID")))).cast("long"), F.lit(0)).alias("late_sos"),  # of the season's best at most
+        slope(100 * wide / F.col("poss")).alias("efficiency_trend"),
+        slope(wide).alias("margin_trend"),
+    )
+    return out.select(*KEY, *_factors(), *(c for c in out.columns if c not in (*KEY, *_box_columns(tg))))
 
 
 def rolling(tg: DataFrame, days: int = 30) -> DataFrame:
@@ -96,6 +138,41 @@ def top_teams(latest: DataFrame, n: int) -> DataFrame:
     return mean.withColumn("place", F.row_number().over(order).cast("long")).where(F.col("place") <= n)
 
 
+def first_source(sources: list[DataFrame], n: int) -> DataFrame:
+    """(Season, TeamID, rank_mean, place): the n best of (Season, TeamID, rank) of the first
+    source that knows a season, later ones only for seasons that none before has (W7). In
+    every source ranks are averaged by team."""
+    out, known = None, None
+    for source in sources:
+        mean = source.groupBy(*KEY).agg(F.avg("rank").alias("rank_mean"))
+        if known is not None:
+            mean = mean.join(F.broadcast(known), "Season", "left_anti")  # a row per season
+        have = mean.select("Season").distinct()
+        known = have if known is None else known.union(have)
+        out = mean if out is None else out.unionByName(mean)
+    order = Window.partitionBy("Season").orderBy("rank_mean", "TeamID")
+    return out.withColumn("place", F.row_number().over(order).cast("long")).where(F.col("place") <= n)
+
+
+def with_placeholders(df: DataFrame, teams: DataFrame, columns: list[str]) -> DataFrame:
+    """A row of column medians for each of teams (Season, TeamID) that df has none of (PF10);
+    columns of teams that df has too come from there."""
+    middle = df.agg(*(F.median(c).alias(c) for c in columns if c not in teams.columns))
+    missing = teams.join(df.select(*KEY), KEY, "left_anti").crossJoin(F.broadcast(middle))
+    return df.unionByName(missing.select(*(F.col(c) if c in missing.columns else F.lit(None).alias(c) for c in df.columns)))
+
+
+def value_counts(df: DataFrame, column: str) -> DataFrame:
+    """How often each value occurs, by value."""
+    return df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
+
+
+def leaders(df: DataFrame, column: str, n: int, ties: str = "TeamID") -> DataFrame:
+    """The n rows with the largest value, numbered from 1."""
+    top = df.orderBy(F.desc(column), ties).limit(n)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(column), ties)).cast("long"))  # n rows
+
+
 def late_season(tg: DataFrame, top: DataFrame, days: int = 30) -> DataFrame:
     """Mean efficiencies late in the season against the best (F9); `late_sos` is the number
     of different such opponents."""

@@ -13,6 +13,8 @@ from tipoff.operators.features import KEY, _with_last_day
 
 #: Rounds between two lineage cuts.
 CUT = 5
+#: Ratings (a row per team and season, four numbers) that are sent to every task at most.
+SMALL_ROWS = 500_000
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -35,18 +37,25 @@ def weighted_games(tg: DataFrame, half_life: float) -> DataFrame:
     return aged.select(*KEY, "OppID", efficiency("pts", "poss").alias("oe"), efficiency("opp_pts", "poss").alias("de"), F.col("poss").alias("tempo"), F.when(F.col("loc") == "H", 1.0).otherwise(0.0).alias("home"), weight.alias("w"))
 
 
+def meetings(games: DataFrame) -> DataFrame:
+    """Sums of weighted efficiencies by team and opponent: a round only scales them by the
+    opponent's rating, so games themselves are read once."""
+    return games.groupBy(*KEY, "OppID").agg(F.sum(F.col("w") * F.col("oe")).alias("w_oe"), F.sum(F.col("w") * F.col("de")).alias("w_de"), F.sum(F.col("w") * F.col("home")).alias("w_home"), F.sum("w").alias("w"))
+
+
 def start_ratings(games: DataFrame) -> DataFrame:
     return games.groupBy(*KEY).agg(F.avg("oe").alias("r_oe"), F.avg("de").alias("r_de"))
 
 
-def step(games: DataFrame, ratings: DataFrame, league: DataFrame, hca: float) -> DataFrame:
-    """One round: every rating from the opponents' ratings of the round before."""
+def step(met: DataFrame, ratings: DataFrame, league: DataFrame, hca: float, small: bool = False) -> DataFrame:
+    """One round: every rating from the opponents' ratings of the round before. `small`: the
+    ratings were counted and fit every task."""
     other = ratings.select("Season", F.col("TeamID").alias("OppID"), F.col("r_oe").alias("o_oe"), F.col("r_de").alias("o_de"))
-    met = games.join(other, ["Season", "OppID"], "left").join(F.broadcast(league), "Season")
-    edge = F.col("home") * (hca / 2)
-    oe = F.col("oe") * (F.col("l_de") / F.coalesce("o_de", "l_de")) - edge
-    de = F.col("de") * (F.col("l_oe") / F.coalesce("o_oe", "l_oe")) + edge
-    return met.groupBy(*KEY).agg((F.sum(F.col("w") * oe) / F.sum("w")).alias("r_oe"), (F.sum(F.col("w") * de) / F.sum("w")).alias("r_de"))
+    rated = met.join(F.broadcast(other) if small else other, ["Season", "OppID"], "left").join(F.broadcast(league), "Season")
+    edge = F.col("w_home") * (hca / 2)
+    oe = F.col("w_oe") * (F.col("l_de") / F.coalesce("o_de", "l_de")) - edge
+    de = F.col("w_de") * (F.col("l_oe") / F.coalesce("o_oe", "l_oe")) + edge
+    return rated.groupBy(*KEY).agg((F.sum(oe) / F.sum("w")).alias("r_oe"), (F.sum(de) / F.sum("w")).alias("r_de"))
 
 
 def adjusted_tempo(games: DataFrame) -> DataFrame:
@@ -66,9 +75,11 @@ def adjusted_efficiency(tg: DataFrame, rounds: int = 15, half_life: float = 30.0
     """
     games = written(weighted_games(tg, half_life), "games")
     league = games.groupBy("Season").agg(F.avg("oe").alias("l_oe"), F.avg("de").alias("l_de"))
-    ratings, before = start_ratings(games), None
+    met, league = written(meetings(games), "meetings"), written(league, "league")
+    ratings, before = written(start_ratings(games), "start"), None
+    small = ratings.count() <= SMALL_ROWS
     for k in range(rounds):
-        before, ratings = ratings, step(games, ratings, league, hca)
+        before, ratings = ratings, step(met, ratings, league, hca, small)
         if k % CUT == CUT - 1 or k == rounds - 1:
             ratings = written(ratings, f"round{k}")
     out = ratings.join(adjusted_tempo(games), KEY).select(*KEY, F.col("r_oe").alias("adj_oe"), F.col("r_de").alias("adj_de"), (F.col("r_oe") - F.col("r_de")).alias("adj_em"), "adj_tempo")

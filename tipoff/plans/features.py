@@ -8,7 +8,7 @@ from tipoff.functions.scalars import clip, efficiency, line_to_prob, seed_baseli
 from tipoff.operators import features as fx
 from tipoff.operators import ratings as rt
 from tipoff.operators.games import TEAM_GAMES_SQL, games_from_rows, team_games
-from tipoff.plans.registry import register
+from tipoff.plans.registry import ORACLES, register
 from tipoff.sources import adapter as ad
 
 G, TG = ad.GAMES_SQL, ad.GAMES_SQL + "," + TEAM_GAMES_SQL
@@ -127,9 +127,9 @@ def massey_composite(spark, sf):
     return rounded(latest(spark, sf).groupBy(*fx.KEY).agg(F.avg("OrdinalRank").alias("rank_composite")), "rank_composite")
 
 
-@register("seed_parse", f"""WITH {SEEDED} SELECT "Season", "TeamID", "Seed", coalesce(try_cast(nullif(regexp_extract("Seed", '(\\d+)', 1), '') AS BIGINT), 16) AS seed FROM seeds""")
+@register("seed_parse", f"""WITH {SEEDED} SELECT "Season", "TeamID", "Seed", coalesce(try_cast(nullif(regexp_extract("Seed", '(\\d+)', 1), '') AS BIGINT), 16) AS seed_no FROM seeds""")
 def seed_parse(spark, sf):
-    return ad.seeds(ad.game_log(spark, sf)).select("Season", "TeamID", "Seed", seed_number("Seed").cast("long").alias("seed"))
+    return ad.seeds(ad.game_log(spark, sf)).select("Season", "TeamID", "Seed", seed_number("Seed").cast("long").alias("seed_no"))
 
 
 TOP = f"""top AS (SELECT * FROM (SELECT "Season", "TeamID", avg("OrdinalRank") AS rank_mean, row_number() OVER (PARTITION BY "Season" ORDER BY avg("OrdinalRank"), "TeamID") AS place FROM latest GROUP BY 1, 2) WHERE place <= 50)"""
@@ -150,7 +150,7 @@ def _efficiency(rounds):
         return rounded(out, *out.columns[2:], digits=5)
 
 
-for _rounds in (1, 5, 10):
+for _rounds in (1, 5, 10, 15):
     _efficiency(_rounds)
 
 
@@ -226,38 +226,77 @@ def vegas_trend(spark, sf):
     return rounded(fx.market_trend(market_rows(spark, sf)), "vegas_late_spread_delta")
 
 
-MATRIX_COLUMNS = ["off_efg", "rolling_oe", "season_avg_mov", "road_win_pct", "vegas_avg_spread", "seed"]
-MATRIX = f"""mx AS (SELECT s."Season", s."TeamID", off_efg, rolling_oe, season_avg_mov, road_win_pct, vegas_avg_spread, CAST(seeds.seed_no AS DOUBLE) AS seed
- FROM (SELECT "Season", "TeamID", avg(pts - opp_pts) AS season_avg_mov, avg(win) FILTER (WHERE loc IN ('A', 'N')) AS road_win_pct,
-   (sum("FGM")::DOUBLE + 0.5::DOUBLE * sum("FGM3")) / sum("FGA") AS off_efg FROM tg GROUP BY 1, 2) s
- LEFT JOIN (SELECT "Season", "TeamID", 100.0::DOUBLE * sum(pts) / sum(poss) AS rolling_oe FROM {LAST.format('tg')} WHERE "DayNum" > last_day - 30 AND poss > 0 GROUP BY 1, 2) r ON r."Season" = s."Season" AND r."TeamID" = s."TeamID"
- LEFT JOIN (SELECT "Season", "TeamID", avg(team_spread) AS vegas_avg_spread FROM mk GROUP BY 1, 2 HAVING count(*) >= 3) v ON v."Season" = s."Season" AND v."TeamID" = s."TeamID"
- LEFT JOIN seeds ON seeds."Season" = s."Season" AND seeds."TeamID" = s."TeamID")"""
-
-
-def matrix(spark, sf):
-    games = ad.game_log(spark, sf)
-    rows = team_games(games)
+#: The full matrix by source: each part's columns, and the query whose rows they are.
+PARTS = {
+    "four_factors": [f"{side}_{k}" for side in ("off", "def") for k in fx.KINDS],
+    "rolling_30d": ["rolling_oe", "rolling_de", "win_pct_30d"],
+    "recent_form": ["win_pct_last10", "avg_mov_last10", "scoring_trend", "season_win_pct", "season_avg_mov"],
+    "road_win_pct": ["road_win_pct"],
+    "late_season": ["late_adj_oe", "late_adj_de", "late_adj_em", "late_sos"],
+    "trajectory": ["efficiency_trend", "margin_trend"],
+    "adj_efficiency_k15": ["adj_oe", "adj_de", "adj_em", "adj_tempo"],
+    "conf_strength": ["conf_strength"],
+    "massey_pivot": ["rank_1_urgent", "rank_2_high", "rank_3_medium", "rank_5_low", "rank_composite"],
+    "conf_tourney": ["conf_tourney_wins", "conf_tourney_champ"],
+    "vegas_features": ["vegas_avg_spread", "vegas_avg_margin", "vegas_ats_pct", "vegas_power_rating", "vegas_consistency", "vegas_game_count"],
+    "vegas_trend": ["vegas_late_spread_delta"],
+}
+MATRIX_COLUMNS = [*(c for cs in PARTS.values() for c in cs), "seed"]
+DIGITS = {c: 5 for part in ("trajectory", "adj_efficiency_k15") for c in PARTS[part]}
+#: The columns of the four published lineages, as far as the game log has their sources.
+LINEAGES = {
+    "a": [*PARTS["adj_efficiency_k15"], *PARTS["four_factors"], *PARTS["rolling_30d"], *PARTS["recent_form"], *PARTS["road_win_pct"], *PARTS["conf_strength"], *PARTS["massey_pivot"], "seed"],
+    "b": [*PARTS["adj_efficiency_k15"], *PARTS["four_factors"], *PARTS["recent_form"], *PARTS["massey_pivot"], *PARTS["vegas_features"], "seed"],
+    "c": [*PARTS["adj_efficiency_k15"], *PARTS["four_factors"], *PARTS["late_season"], *PARTS["trajectory"], *PARTS["conf_tourney"], *PARTS["vegas_features"], *PARTS["vegas_trend"], *PARTS["massey_pivot"], "seed"],
+    "d": MATRIX_COLUMNS,
+}
+_KEYED = " UNION ".join(f'SELECT "Season", "TeamID" FROM mx_{n}' for n in PARTS)
+MATRIX = ", ".join(f"mx_{n} AS ({ORACLES[n]})" for n in PARTS) + f""", mx AS (SELECT k."Season", k."TeamID", {", ".join(f"CAST({c} AS DOUBLE) AS {c}" for cs in PARTS.values() for c in cs)}, CAST(seeds.seed_no AS DOUBLE) AS seed
+ FROM ({_KEYED} UNION SELECT "Season", "TeamID" FROM seeds) k {" ".join(f'LEFT JOIN mx_{n} ON mx_{n}."Season" = k."Season" AND mx_{n}."TeamID" = k."TeamID"' for n in PARTS)}
+ LEFT JOIN seeds ON seeds."Season" = k."Season" AND seeds."TeamID" = k."TeamID")"""
+
+
+def matrix(spark, sf, games=None):
+    """All feature groups of every team and season. The game log and its team rows are settled
+    once; each part then reads the columns it needs."""
+    games = rt.written(ad.game_log(spark, sf), "games") if games is None else games
+    rows = rt.written(team_games(games), "team_games")
+    ranked = rt.written(fx.latest_rankings(ad.rankings(rows, True), SYSTEMS), "latest")
+    conf = ad.conferences(rows, ad.table(spark, sf, "nation"), True)
+    em = rows.where("poss > 0").groupBy(*fx.KEY).agg(F.avg(efficiency(F.col("pts") - F.col("opp_pts"), "poss")).alias("adj_em"))
+    lined = fx.market_records(games, ad.TOURNEY_DAY)
     parts = [
-        fx.four_factors(rows).select(*fx.KEY, "off_efg"), fx.rolling(rows).select(*fx.KEY, "rolling_oe"),
-        fx.form(rows).select(*fx.KEY, "season_avg_mov"), fx.road_win_pct(rows),
-        fx.market(fx.market_records(games, ad.TOURNEY_DAY)).select(*fx.KEY, "vegas_avg_spread"),
-        fx.seed_numbers(ad.seeds(games)).withColumn("seed", F.col("seed").cast("double")),
+        fx.season_features(rows, fx.top_teams(ranked, 50)), rt.adjusted_efficiency(rows, 15), fx.conf_strength(conf, em),
+        fx.ranking_columns(ranked, SYSTEMS), fx.conf_tourney(conference_games(games, conf)), fx.market(lined), fx.market_trend(lined),
+        fx.seed_numbers(ad.seeds(rows, True)),
     ]
-    return fx.assemble(fx.key_union(parts), parts)
+    out = fx.assemble(fx.key_union(parts), [rt.written(part, "part") for part in parts])
+    return out.select(*fx.KEY, *(F.round(F.col(c).cast("double"), DIGITS.get(c, 6)).alias(c) for c in MATRIX_COLUMNS))
 
 
-@register("feature_matrix", f"""WITH {SEEDED}, {MARKET}, {MATRIX} SELECT "Season", "TeamID", {", ".join(f"round({c}, 6) AS {c}" for c in MATRIX_COLUMNS)} FROM mx""")
+@register("feature_matrix", f"""WITH {SEEDED}, {MATRIX} SELECT * FROM mx""")
 def feature_matrix(spark, sf):
-    return rounded(matrix(spark, sf), *MATRIX_COLUMNS)
+    return matrix(spark, sf)
+
+
+def _lineage(name):
+    columns = LINEAGES[name]
+
+    @register(f"feature_matrix_{name}", f"""WITH {SEEDED}, {MATRIX} SELECT "Season", "TeamID", {", ".join(columns)} FROM mx""")
+    def query(spark, sf):
+        return matrix(spark, sf).select(*fx.KEY, *columns)
+
 
+for _name in ("a", "b", "c"):
+    _lineage(_name)
 
-@register("null_fraction", f"""WITH {SEEDED}, {MARKET}, {MATRIX} """ + " UNION ALL ".join(f"""SELECT '{c}' AS "column", round(avg(CASE WHEN {c} IS NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS null_fraction FROM mx""" for c in MATRIX_COLUMNS))
+
+@register("null_fraction", f"""WITH {SEEDED}, {MATRIX} """ + " UNION ALL ".join(f"""SELECT '{c}' AS "column", round(avg(CASE WHEN {c} IS NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS null_fraction FROM mx""" for c in MATRIX_COLUMNS))
 def null_fraction(spark, sf):
     return rounded(fx.null_fractions(matrix(spark, sf), MATRIX_COLUMNS), "null_fraction")
 
 
-@register("median_impute", f"""WITH {SEEDED}, {MARKET}, {MATRIX} SELECT "Season", "TeamID", {", ".join(f"round(coalesce({c}, (SELECT median({c}) FROM mx)), 6) AS {c}" for c in MATRIX_COLUMNS)} FROM mx""")
+@register("median_impute", f"""WITH {SEEDED}, {MATRIX} SELECT "Season", "TeamID", {", ".join(f"round(coalesce({c}, (SELECT median({c}) FROM mx)), 6) AS {c}" for c in MATRIX_COLUMNS)} FROM mx""")
 def median_impute(spark, sf):
     return rounded(fx.fill_medians(matrix(spark, sf), MATRIX_COLUMNS), *MATRIX_COLUMNS)
 
@@ -276,6 +315,29 @@ def missing_teams(spark, sf):
     return team_games(games).select(*fx.KEY).distinct().join(ad.seeds(games), fx.KEY, "left_anti")
 
 
+@register("placeholder_teams", f"""WITH {TG}, m AS (SELECT "Season", "TeamID", round(avg(win) FILTER (WHERE loc = 'A'), 6) AS away_win_pct, round(avg(pts), 6) AS avg_pts FROM tg WHERE "TeamID" % 3 > 0 GROUP BY 1, 2)
+ SELECT * FROM m UNION ALL SELECT t."Season", t."TeamID", round((SELECT median(away_win_pct) FROM m), 6), round((SELECT median(avg_pts) FROM m), 6) FROM (SELECT DISTINCT "Season", "TeamID" FROM tg) t WHERE NOT EXISTS (SELECT 1 FROM m WHERE m."Season" = t."Season" AND m."TeamID" = t."TeamID")""")
+def placeholder_teams(spark, sf):
+    rows = tg(spark, sf)
+    known = rows.where("TeamID % 3 > 0").groupBy(*fx.KEY).agg(F.avg(F.when(F.col("loc") == "A", F.col("win"))).alias("away_win_pct"), F.avg("pts").alias("avg_pts"))
+    columns = ["away_win_pct", "avg_pts"]
+    return rounded(fx.with_placeholders(rounded(known, *columns), rows.select(*fx.KEY).distinct(), columns), *columns)
+
+
+@register("seed_counts", f'WITH {SEEDED} SELECT seed_no, count(*) AS n FROM seeds GROUP BY 1')
+def seed_counts(spark, sf):
+    return fx.value_counts(fx.seed_numbers(ad.seeds(ad.game_log(spark, sf))).withColumnRenamed("seed", "seed_no"), "seed_no")
+
+
+@register("top_in_turn", f"""WITH {RK}, {_latest_sql(True)}, s1 AS (SELECT "Season", "TeamID", avg("OrdinalRank") AS r FROM latest WHERE "SystemName" = '1-URGENT' AND "Season" % 2 = 0 GROUP BY 1, 2),
+ u AS (SELECT * FROM s1 UNION ALL SELECT "Season", "TeamID", avg("OrdinalRank") FROM latest WHERE "Season" NOT IN (SELECT "Season" FROM s1) GROUP BY 1, 2)
+ SELECT "Season", "TeamID", round(r, 6) AS rank_mean, place FROM (SELECT *, row_number() OVER (PARTITION BY "Season" ORDER BY r, "TeamID") AS place FROM u) WHERE place <= 100""")
+def top_in_turn(spark, sf):
+    ranked = latest(spark, sf).withColumnRenamed("OrdinalRank", "rank")
+    first = ranked.where((F.col("SystemName") == "1-URGENT") & (F.col("Season") % 2 == 0))
+    return rounded(fx.first_source([first, ranked], 100), "rank_mean")
+
+
 @register("seed_baseline", f"""WITH {SEEDED},{ad.TOURNEY_SQL} SELECT t.game_id, round(1 / (1 + exp(-0.15::DOUBLE * (l.seed_no - w.seed_no))), 6) AS p FROM tourney t
  JOIN seeds w ON w."Season" = t."Season" AND w."TeamID" = t."WTeamID" JOIN seeds l ON l."Season" = t."Season" AND l."TeamID" = t."LTeamID" """)
 def seed_baseline_query(spark, sf):

@@ -8,14 +8,15 @@ from tipoff.functions.scalars import line_to_prob, logistic
 from tipoff.operators import bracket as br
 from tipoff.operators import features as fx
 from tipoff.operators import matchups as mu
+from tipoff.operators import ratings as rt
 from tipoff.operators.games import team_games
-from tipoff.plans.features import MARKET, MATRIX, MATRIX_COLUMNS, RK, SEEDED, TOP, _latest_sql, latest, matrix, phi_sql, rounded
+from tipoff.plans.features import MATRIX, MATRIX_COLUMNS, RK, SEEDED, TOP, _latest_sql, latest, matrix, phi_sql, rounded
 from tipoff.plans.registry import register
 from tipoff.sources import adapter as ad
 
 #: The season whose bracket is played out, and how many tournaments are simulated.
-SEASON, SIMS, RANDOM_SEED = 2000, 200, 42
-NO_SEED = [c for c in MATRIX_COLUMNS if c not in ("seed", "vegas_avg_spread")]
+SEASON, SIMS, RANDOM_SEED = 2000, 10_000, 42
+FEATURES = MATRIX_COLUMNS
 
 ORDER_SQL = "[" + ", ".join(map(str, br.SEED_ORDER)) + "]"
 #: Bracket teams with their slot, and the win probability of every ordered pair.
@@ -25,21 +26,30 @@ FIELD = f"""field AS (SELECT "TeamID", seed_no AS seed, CAST(region_no * 16 + li
 BASE = f"{SEEDED},{FIELD}"
 
 
-def field(spark, sf):
-    games = ad.game_log(spark, sf)
-    chosen = ad.seeds(games).where(F.col("Season") == SEASON)
-    rating = team_games(games.where(F.col("Season") == SEASON)).groupBy("TeamID").agg(F.avg(F.col("pts") - F.col("opp_pts")).alias("rating"))
-    teams = chosen.select("Season", "TeamID", F.substring("Seed", 1, 1).alias("region"), F.expr("cast(substring(Seed, 2) as bigint)").alias("seed"))
-    return br.slots(teams, ad.REGIONS).join(F.broadcast(rating), "TeamID")
+def season_games(spark, sf):
+    """The games of the one season, settled: teams, ratings and lines all read these."""
+    return rt.written(ad.game_log(spark, sf, SEASON), "season")
+
+
+def field(games):
+    rows = team_games(games)
+    rating = rows.groupBy("TeamID").agg(F.avg(F.col("pts") - F.col("opp_pts")).alias("rating"))
+    teams = ad.seeds(rows, True).select("Season", "TeamID", F.substring("Seed", 1, 1).alias("region"), F.expr("cast(substring(Seed, 2) as bigint)").alias("seed"))
+    return br.slots(teams, ad.REGIONS).join(F.broadcast(rating), "TeamID")  # a row per team of a season
 
 
 def pair_probs(teams):
     return br.all_pairs(teams, ["TeamID", "rating"]).select("TeamID_a", "TeamID_b", logistic(F.lit(0.1) * (F.col("rating_a") - F.col("rating_b"))).alias("p"))
 
 
+def three(spark, sf):
+    games = season_games(spark, sf)
+    teams = br.pinned(field(games))
+    return games, teams, br.pinned(pair_probs(teams))
+
+
 def both(spark, sf):
-    teams = br.pinned(field(spark, sf))
-    return teams, br.pinned(pair_probs(teams))
+    return three(spark, sf)[1:]
 
 
 @register("pair_probs", f'WITH {BASE} SELECT "TeamID_a", "TeamID_b", round(p, 6) AS p FROM pp')
@@ -55,8 +65,8 @@ LINES = f"""lines AS (SELECT home_id AS "TeamID_a", road_id AS "TeamID_b", arg_m
  bp AS (SELECT "TeamID_a", "TeamID_b", p, CASE WHEN spread IS NULL THEN p ELSE 0.65::DOUBLE * p + 0.35::DOUBLE * {phi_sql('(spread / 11.0::DOUBLE)')} END AS p_blended FROM pl)"""
 
 
-def lines(spark, sf, teams):
-    games = ad.game_log(spark, sf).where((F.col("Season") == SEASON) & F.col("line").isNotNull())
+def lines(games, teams):
+    games = games.where(F.col("line").isNotNull())
     for side in ("home_id", "road_id"):
         games = games.join(F.broadcast(teams.select(F.col("TeamID").alias(side))), side, "left_semi")
     return games.groupBy(F.col("home_id").alias("TeamID_a"), F.col("road_id").alias("TeamID_b")).agg(F.max_by("line", F.struct("DayNum", "game_id")).alias("spread"))
@@ -64,8 +74,8 @@ def lines(spark, sf, teams):
 
 @register("blend_lines", f'WITH {BASE},{LINES} SELECT "TeamID_a", "TeamID_b", round(p, 6) AS p, round(p_blended, 6) AS p_blended FROM bp')
 def blend_lines(spark, sf):
-    teams, probs = both(spark, sf)
-    return rounded(br.blend_lines(probs, lines(spark, sf, teams)), "p", "p_blended")
+    games, teams, probs = three(spark, sf)
+    return rounded(br.blend_lines(probs, lines(games, teams)), "p", "p_blended")
 
 
 def adv_sql() -> str:
@@ -139,8 +149,8 @@ def pair_fill_sql(table: str = "pp", p: str = "p") -> str:
 
 @register("pair_chalk", f'WITH {BASE},{LINES},{pair_fill_sql("bp", "p_blended")} SELECT round, slot, "TeamID", loser, round(pick_p, 6) AS pick_p FROM pc')
 def pair_chalk(spark, sf):
-    teams, probs = both(spark, sf)
-    return rounded(br.fill_by_pairs(teams, br.blend_lines(probs, lines(spark, sf, teams)), p="p_blended"), "pick_p")
+    games, teams, probs = three(spark, sf)
+    return rounded(br.fill_by_pairs(teams, br.blend_lines(probs, lines(games, teams)), p="p_blended"), "pick_p")
 
 
 @register("scurve_bracket", f"""WITH {SEEDED}, r AS (SELECT s."Season", s."TeamID", s.seed_no AS seed, (SELECT avg(pts - opp_pts) FROM tg WHERE tg."Season" = s."Season" AND tg."TeamID" = s."TeamID") AS rating FROM seeds s),
@@ -198,11 +208,30 @@ def scorecard(spark, sf):
     return br.scorecard(chalk_picks(spark, sf), happened(spark, sf, teams, probs), 2)
 
 
-@register("stakes", f"""WITH {BASE},{ADV},{fill_sql()},{ACTUAL},{CARD} SELECT "TeamID", CAST(sum(list_extract([10, 20, 40, 80, 160, 320], CAST(round AS INT))) AS BIGINT) AS at_stake, count(*) AS picks FROM card WHERE status = 'PENDING' GROUP BY 1""")
+@register("stakes", f"""WITH {BASE},{ADV},{fill_sql()},{ACTUAL},{CARD} SELECT "TeamID", CAST(sum(list_extract([10, 20, 40, 80, 160, 320], CAST(round AS INT))) AS BIGINT) AS at_stake, count(*) AS picks, string_agg(CAST(round AS VARCHAR), '+' ORDER BY round) AS rounds FROM card WHERE status = 'PENDING' GROUP BY 1""")
 def stakes(spark, sf):
     return br.stakes(scorecard(spark, sf))
 
 
+@register("pending_games", f"""WITH {BASE},{ADV},{fill_sql()},{ACTUAL},{CARD}, st AS (SELECT "TeamID", CAST(sum(list_extract([10, 20, 40, 80, 160, 320], CAST(round AS INT))) AS BIGINT) AS at_stake FROM card WHERE status = 'PENDING' GROUP BY 1),
+ g AS (SELECT CASE WHEN pp.p >= 0.5 THEN a."TeamID" ELSE b."TeamID" END AS pick, CASE WHEN pp.p >= 0.5 THEN b."TeamID" ELSE a."TeamID" END AS other, greatest(pp.p, 1 - pp.p) AS pick_p
+   FROM s2 a JOIN s2 b ON a.slot % 2 = 0 AND b.slot = a.slot + 1 JOIN pp ON pp."TeamID_a" = a."TeamID" AND pp."TeamID_b" = b."TeamID")
+ SELECT row_number() OVER (ORDER BY coalesce(at_stake, 0) DESC, pick) AS place, pick, other, round(pick_p, 6) AS pick_p, coalesce(at_stake, 0) AS at_stake FROM g LEFT JOIN st ON st."TeamID" = g.pick""")
+def pending_games(spark, sf):
+    teams, probs = both(spark, sf)
+    won = happened(spark, sf, teams, probs)
+    alive = won.where("round = 2")
+    sides = alive.groupBy(F.floor(F.col("slot") / 2)).agg(F.min_by("TeamID", "slot").alias("TeamID_a"), F.max_by("TeamID", "slot").alias("TeamID_b"))
+    picks = br.fill(br.exact_advancement(teams, probs), lambda r: F.col(f"R{r}"))
+    return rounded(br.pending_games(sides, probs, br.stakes(br.scorecard(picks, won, 2))), "pick_p")
+
+
+@register("title_favourites", f'WITH {BASE},{ADV} SELECT row_number() OVER (ORDER BY round(r6, 6) DESC, "TeamID") AS rank, "TeamID", round(r6, 6) AS champion, round(r5, 6) AS final FROM a6 ORDER BY 1 LIMIT 15')
+def title_favourites(spark, sf):
+    adv = br.exact_advancement(*both(spark, sf)).select("TeamID", F.round("R6", 6).alias("champion"), F.round("R5", 6).alias("final"))
+    return fx.leaders(adv, "champion", 15)
+
+
 PLAYED = """played AS (SELECT a.round, pp.p FROM won a JOIN """ + "(" + " UNION ALL ".join(f'SELECT {r} AS round, slot // 2 AS slot, "TeamID" FROM s{r - 1}' for r in range(1, 7)) + """) o ON o.round = a.round AND o.slot = a.slot AND o."TeamID" <> a."TeamID"
    JOIN pp ON pp."TeamID_a" = a."TeamID" AND pp."TeamID_b" = o."TeamID")"""
 
@@ -231,8 +260,8 @@ SWEEP = f"""early AS (SELECT r.round, a.slot // (1 << r.round) AS slot, a."TeamI
 
 
 def swept(spark, sf):
-    teams, probs = both(spark, sf)
-    known = lines(spark, sf, teams)
+    games, teams, probs = three(spark, sf)
+    known = lines(games, teams)
     mirror = known.select(F.col("TeamID_b").alias("TeamID_a"), F.col("TeamID_a").alias("TeamID_b"), (-F.col("spread")).alias("back"))
     lined = probs.join(known, ["TeamID_a", "TeamID_b"], "left").join(mirror, ["TeamID_a", "TeamID_b"], "left").withColumn("q", line_to_prob(F.coalesce("spread", "back")))
     a, b = (teams.select(F.col("TeamID").alias(f"TeamID_{s}"), F.col("slot").alias(f"slot_{s}")) for s in "ab")
@@ -240,8 +269,8 @@ def swept(spark, sf):
     early = None
     for r in (1, 2):
         block, half = 1 << r, 1 << (r - 1)
-        games = met.where((F.floor(F.col("slot_a") / half) % 2 == 0) & (F.floor(F.col("slot_b") / half) == F.floor(F.col("slot_a") / half) + 1)).select(F.lit(r).alias("round"), F.floor(F.col("slot_a") / block).alias("slot"), "TeamID_a", "TeamID_b", "p", "q")
-        early = games if early is None else early.unionByName(games)
+        pairs = met.where((F.floor(F.col("slot_a") / half) % 2 == 0) & (F.floor(F.col("slot_b") / half) == F.floor(F.col("slot_a") / half) + 1)).select(F.lit(r).alias("round"), F.floor(F.col("slot_a") / block).alias("slot"), "TeamID_a", "TeamID_b", "p", "q")
+        early = pairs if early is None else early.unionByName(pairs)
     return br.sweep(br.pinned(early), happened(spark, sf, teams, probs), WEIGHTS, WEIGHTS, SHRINKS)
 
 
@@ -258,20 +287,26 @@ def sweep_best(spark, sf):
 @register("cascade_lines", f"""WITH {BASE},{LINES} SELECT pl."TeamID_a", pl."TeamID_b", round(coalesce(CASE WHEN l2.spread IS NOT NULL THEN l2.spread END, pl.spread), 6) AS spread, CASE WHEN l2.spread IS NOT NULL THEN 'late' WHEN pl.spread IS NOT NULL THEN 'any' ELSE 'none' END AS source
  FROM pl LEFT JOIN (SELECT home_id AS a, road_id AS b, arg_max(line, "DayNum" * 1000000000 + game_id) AS spread FROM games WHERE "Season" = {SEASON} AND "DayNum" > {ad.TOURNEY_DAY} AND line IS NOT NULL GROUP BY 1, 2) l2 ON l2.a = pl."TeamID_a" AND l2.b = pl."TeamID_b" """)
 def cascade_lines(spark, sf):
-    teams, probs = both(spark, sf)
-    every = lines(spark, sf, teams)
+    games, teams, probs = three(spark, sf)
+    every = lines(games, teams)
     mirror = every.select(F.col("TeamID_b").alias("TeamID_a"), F.col("TeamID_a").alias("TeamID_b"), (-F.col("spread")).alias("back"))
-    games = ad.game_log(spark, sf).where((F.col("Season") == SEASON) & F.col("line").isNotNull() & (F.col("DayNum") > ad.TOURNEY_DAY))
-    late = games.groupBy(F.col("home_id").alias("TeamID_a"), F.col("road_id").alias("TeamID_b")).agg(F.max_by("line", F.struct("DayNum", "game_id")).alias("late"))
+    late = games.where(F.col("line").isNotNull() & (F.col("DayNum") > ad.TOURNEY_DAY)).groupBy(F.col("home_id").alias("TeamID_a"), F.col("road_id").alias("TeamID_b")).agg(F.max_by("line", F.struct("DayNum", "game_id")).alias("late"))
     key = ["TeamID_a", "TeamID_b"]
     met = probs.select(*key).join(late, key, "left").join(every, key, "left").join(mirror, key, "left")
     any_line = F.coalesce("spread", "back")
     return met.select(*key, F.round(F.coalesce("late", any_line), 6).alias("spread"), F.when(F.col("late").isNotNull(), "late").when(any_line.isNotNull(), "any").otherwise("none").alias("source"))
 
 
-PAIR_COLUMNS = ", ".join(f"round(CASE WHEN y = 1 THEN w.{c} - l.{c} ELSE l.{c} - w.{c} END, 6) AS {c}" for c in NO_SEED)
+PAIR_COLUMNS = ", ".join(f"round(CASE WHEN y = 1 THEN w.{c} - l.{c} ELSE l.{c} - w.{c} END, 6) AS {c}" for c in FEATURES)
 PAIRS = f"""pairs AS (SELECT t.game_id, t."Season", y AS label, {PAIR_COLUMNS} FROM tourney t JOIN mx w ON w."Season" = t."Season" AND w."TeamID" = t."WTeamID" JOIN mx l ON l."Season" = t."Season" AND l."TeamID" = t."LTeamID", (SELECT unnest([1, 0]) AS y))"""
-MX = f"{SEEDED}, {MARKET}, {MATRIX},{ad.TOURNEY_SQL}"
+MX = f"{SEEDED}, {MATRIX},{ad.TOURNEY_SQL}"
+
+
+def pairs_of(spark, sf, features):
+    """Pairs of the tournament's games over features(spark, sf, games), all out of one settled
+    game log."""
+    games = rt.written(ad.game_log(spark, sf), "games")
+    return mu.pairs(ad.tourney_games(games, ad.seeds(games)), features(spark, sf, games), FEATURES)
 
 
 def tourney(spark, sf):
@@ -281,7 +316,7 @@ def tourney(spark, sf):
 
 @register("matchup_pairs", f'WITH {MX}, {PAIRS} SELECT * FROM pairs')
 def matchup_pairs(spark, sf):
-    return rounded(mu.pairs(tourney(spark, sf), matrix(spark, sf), NO_SEED).drop("weight"), *NO_SEED)
+    return rounded(pairs_of(spark, sf, matrix).drop("weight"), *FEATURES)
 
 
 @register("weighted_pairs", f"""WITH {RK},{ad.SEEDS_SQL},{ad.TOURNEY_SQL}, {_latest_sql(True)}, {TOP}, u AS (SELECT game_id, "Season", 1.0::DOUBLE AS weight FROM tourney
@@ -298,7 +333,8 @@ SCORED = f"""scored AS (SELECT "Season", label, 1 / (1 + exp(-(0.1::DOUBLE * sea
 
 
 def scored(spark, sf):
-    return matchup_pairs(spark, sf).withColumn("p", logistic(F.lit(0.1) * F.col("season_avg_mov")))
+    rows = matchup_pairs(spark, sf).withColumn("p", logistic(F.lit(0.1) * F.col("season_avg_mov")))
+    return rt.written(rows.select("Season", "label", "p"), "scored")
 
 
 @register("logloss_brier_acc", f"""WITH {MX}, {PAIRS}, {SCORED} SELECT "Season", count(*) AS n, round(-avg(label * ln(greatest(least(p, 1 - 1e-15), 1e-15)) + (1 - label) * ln(1 - greatest(least(p, 1 - 1e-15), 1e-15))), 6) AS log_loss,
@@ -334,24 +370,36 @@ def submission_qa(spark, sf):
     return rounded(mu.submission_check(submission(spark, sf)), "mean", "std", "low", "high", "default_share")
 
 
+#: Size of the registered models; `booster` itself has the published one (300 trees of depth 4).
+TREES, DEPTH = 10, 4
+
+
 def training(spark, sf):
-    rows = fx.fill_medians(matrix(spark, sf), [c for c in MATRIX_COLUMNS if c != "seed"])
-    return mu.pairs(tourney(spark, sf), rows, NO_SEED).cache()
+    """Pairs of the whole matrix, settled: models read them once per tree. Columns of which more
+    than a half is null go, and the others' nulls become medians."""
+
+    def filled(spark, sf, games):
+        rows = matrix(spark, sf, games)
+        kept = fx.feature_columns(fx.drop_sparse(rows, FEATURES, 0.5))
+        return fx.fill_medians(rows, kept).select(*fx.KEY, *kept, *(F.lit(0.0).alias(c) for c in FEATURES if c not in kept))
+
+    return rt.written(pairs_of(spark, sf, filled), "training")
 
 
 @register("gbt_fit_score")
 def gbt_fit_score(spark, sf):
-    rows = training(spark, sf)
-    scored_rows = mu.scores(mu.booster(NO_SEED, trees=10, depth=3).fit(rows), rows)
+    """Scores of games that the model has not seen (a fifth of them)."""
+    rows = training(spark, sf).withColumn("fold", mu.fold())
+    scored_rows = mu.scores(mu.booster(FEATURES, trees=TREES, depth=DEPTH).fit(rows.where("fold > 0")), rows.where("fold = 0"))
     return rounded(mu.metrics(scored_rows), "log_loss", "brier", "accuracy")
 
 
 @register("platt")
 def platt(spark, sf):
-    oof = mu.out_of_fold(training(spark, sf), NO_SEED, folds=3, trees=5, depth=3)
+    oof = rt.written(mu.out_of_fold(training(spark, sf), FEATURES, trees=TREES, depth=DEPTH).select("game_id", "weight", "label", "raw", "p"), "oof")
     return rounded(mu.metrics(mu.calibrated(mu.platt(oof), oof).withColumn("p", F.col("p_calibrated"))), "log_loss", "brier", "accuracy")
 
 
 @register("loso")
 def loso(spark, sf):
-    return rounded(mu.metrics(mu.leave_season_out(training(spark, sf), NO_SEED, trees=3, depth=2), ["Season"]), "log_loss", "brier", "accuracy")
+    return rounded(mu.metrics(mu.leave_season_out(training(spark, sf), FEATURES, trees=TREES, depth=DEPTH), ["Season"]), "log_loss", "brier", "accuracy")

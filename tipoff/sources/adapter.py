@@ -25,11 +25,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def game_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+def game_log(spark: SparkSession, sf_dir: str, season: int | None = None) -> DataFrame:
     """One row per game: consecutive lines of an order meet. One exchange on the order key
-    serves the join and the window."""
+    serves the join and the window. With a season, only its dates are read from the orders."""
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_returnflag")
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate", "o_orderpriority")
+    if season is not None:
+        day = lambda y: F.lit(f"{y}-01-01").cast(orders.schema["o_orderdate"].dataType)
+        orders = orders.where((F.col("o_orderdate") >= day(season)) & (F.col("o_orderdate") < day(season + 1)))
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     score = F.lit(40) + F.floor("l_quantity").cast("long")
     side = F.struct(F.col("l_partkey").alias("p"), F.col("l_linenumber").cast("long").alias("n"), score.alias("score"), (FIRST_TEAM + F.col("l_partkey") % TEAMS).alias("team"))
@@ -84,12 +87,13 @@ games AS (
   FROM met)"""
 
 
-def seeds(games: DataFrame) -> DataFrame:
-    """(Season, TeamID, rank, Seed): the 64 teams with most points; region by turns."""
+def seeds(games: DataFrame, by_team: bool = False) -> DataFrame:
+    """(Season, TeamID, rank, Seed): the 64 teams with most points; region by turns.
+    `by_team`: games are team rows already."""
     from tipoff.operators.games import team_games
 
     order = Window.partitionBy("Season").orderBy(F.desc("total"), "TeamID")
-    totals = team_games(games).groupBy("Season", "TeamID").agg(F.sum("pts").alias("total"))
+    totals = (games if by_team else team_games(games)).groupBy("Season", "TeamID").agg(F.sum("pts").alias("total"))
     ranked = totals.withColumn("rank", F.row_number().over(order).cast("long")).where("rank <= 64")
     region = F.element_at(F.array(*map(F.lit, REGIONS)), ((F.col("rank") - 1) % 4 + 1).cast("int"))
     return ranked.select("Season", "TeamID", "rank", F.concat(region, F.lpad(((F.col("rank") - 1) / 4).cast("int") + 1, 2, "0")).alias("Seed"))
@@ -120,11 +124,11 @@ tourney AS (
     AND EXISTS (SELECT 1 FROM seeds s WHERE s."Season" = g."Season" AND s."TeamID" = g."LTeamID"))"""
 
 
-def conferences(games: DataFrame, nation: DataFrame) -> DataFrame:
+def conferences(games: DataFrame, nation: DataFrame, by_team: bool = False) -> DataFrame:
     """(Season, TeamID, ConfAbbrev): teams that played, each in the conference of a nation."""
     from tipoff.operators.games import team_games
 
-    played = team_games(games).select("Season", "TeamID").distinct()
+    played = (games if by_team else team_games(games)).select("Season", "TeamID").distinct()
     names = nation.select(F.col("n_nationkey").cast("long").alias("k"), F.col("n_name").alias("ConfAbbrev"))
     return played.join(F.broadcast(names), F.col("TeamID") % 25 == F.col("k")).select("Season", "TeamID", "ConfAbbrev")
 
@@ -134,13 +138,13 @@ conf AS (
   SELECT DISTINCT t."Season", t."TeamID", n.n_name AS "ConfAbbrev" FROM tg t JOIN nation n ON t."TeamID" % 25 = n.n_nationkey)"""
 
 
-def rankings(games: DataFrame) -> DataFrame:
+def rankings(games: DataFrame, by_team: bool = False) -> DataFrame:
     """(Season, RankingDayNum, SystemName, TeamID, OrdinalRank): each system ranks, every 30
     days, the teams it has seen by their point margin so far that month."""
     from tipoff.operators.games import team_games
 
     day = (F.floor(F.col("DayNum") / 30) * 30).cast("long")
-    margins = team_games(games).groupBy("Season", day.alias("RankingDayNum"), F.col("system").alias("SystemName"), "TeamID").agg(F.sum(F.col("pts") - F.col("opp_pts")).alias("margin"))
+    margins = (games if by_team else team_games(games)).groupBy("Season", day.alias("RankingDayNum"), F.col("system").alias("SystemName"), "TeamID").agg(F.sum(F.col("pts") - F.col("opp_pts")).alias("margin"))
     order = Window.partitionBy("Season", "RankingDayNum", "SystemName").orderBy(F.desc("margin"), "TeamID")
     return margins.select("Season", "RankingDayNum", "SystemName", "TeamID", F.row_number().over(order).cast("long").alias("OrdinalRank"))
 
