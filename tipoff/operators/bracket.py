@@ -75,8 +75,8 @@ def simulate(bracket: DataFrame, probs: DataFrame, n: int, seed: int = 42, round
     2^(2 rounds) probabilities, which go to all as one row. All slots must be taken."""
     spark, size = bracket.sparkSession, 1 << rounds
     a, b = (bracket.select(F.col("TeamID").alias(f"TeamID_{s}"), F.col("slot").alias(s)) for s in "ab")
-    cells = probs.join(F.broadcast(a), "TeamID_a").join(F.broadcast(b), "TeamID_b").select((F.col("a") * size + F.col("b")).alias("at"), "p")
-    chance = cells.agg(F.map_from_entries(F.collect_list(F.struct("at", "p"))).alias("chance"))
+    cells = a.crossJoin(F.broadcast(b)).join(probs, ["TeamID_a", "TeamID_b"], "left")  # of one bracket
+    chance = cells.agg(F.transform(F.sort_array(F.collect_list(F.struct("a", "b", "p"))), lambda x: x["p"]).alias("chance"))
     named = bracket.agg(F.transform(F.sort_array(F.collect_list(F.struct("slot", "TeamID"))), lambda x: x["TeamID"]).alias("named"))
     now = spark.range(n).withColumnRenamed("id", "sim").crossJoin(F.broadcast(chance)).crossJoin(F.broadcast(named))
     now = now.withColumn("w0", F.sequence(F.lit(0).cast("long"), F.lit(size - 1).cast("long")))
@@ -85,7 +85,7 @@ def simulate(bracket: DataFrame, probs: DataFrame, n: int, seed: int = 42, round
         def game(i):
             up, down = F.get(f"w{r - 1}", 2 * i), F.get(f"w{r - 1}", 2 * i + 1)
             lot = uniform(F.lit(str(seed)), F.col("sim").cast("string"), F.lit(str(r)), i.cast("string"))
-            return F.when(lot < F.element_at("chance", up * size + down), up).otherwise(down)
+            return F.when(lot < F.get("chance", (up * size + down).cast("int")), up).otherwise(down)
 
         return F.transform(F.sequence(F.lit(0), F.lit((size >> r) - 1)), game)
 

@@ -249,6 +249,15 @@ def assemble(spine: DataFrame, parts: list[DataFrame]) -> DataFrame:
     return spine
 
 
+def side_by_side(parts: list[DataFrame]) -> DataFrame:
+    """The same as `assemble` over `key_union` for numeric parts with different columns and a
+    row per key: one grouping puts them together, and each part is computed once."""
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part, allowMissingColumns=True)
+    return rows.groupBy(*KEY).agg(*(F.max(c).alias(c) for c in rows.columns if c not in KEY))
+
+
 def key_union(frames: list[DataFrame]) -> DataFrame:
     """Every (Season, TeamID) that any source has."""
     out = frames[0].select(*KEY)

@@ -270,7 +270,7 @@ def matrix(spark, sf, games=None):
         fx.ranking_columns(ranked, SYSTEMS), fx.conf_tourney(conference_games(games, conf)), fx.market(lined), fx.market_trend(lined),
         fx.seed_numbers(ad.seeds(rows, True)),
     ]
-    out = fx.assemble(fx.key_union(parts), [rt.written(part, "part") for part in parts])
+    out = fx.side_by_side(parts)
     return out.select(*fx.KEY, *(F.round(F.col(c).cast("double"), DIGITS.get(c, 6)).alias(c) for c in MATRIX_COLUMNS))
 
 

@@ -306,7 +306,7 @@ def pairs_of(spark, sf, features):
     """Pairs of the tournament's games over features(spark, sf, games), all out of one settled
     game log."""
     games = rt.written(ad.game_log(spark, sf), "games")
-    return mu.pairs(ad.tourney_games(games, ad.seeds(games)), features(spark, sf, games), FEATURES)
+    return mu.pairs(ad.tourney_games(games, ad.seeds(games)), rt.written(features(spark, sf, games), "features"), FEATURES)
 
 
 def tourney(spark, sf):
@@ -379,7 +379,7 @@ def training(spark, sf):
     than a half is null go, and the others' nulls become medians."""
 
     def filled(spark, sf, games):
-        rows = matrix(spark, sf, games)
+        rows = rt.written(matrix(spark, sf, games), "matrix")
         kept = fx.feature_columns(fx.drop_sparse(rows, FEATURES, 0.5))
         return fx.fill_medians(rows, kept).select(*fx.KEY, *kept, *(F.lit(0.0).alias(c) for c in FEATURES if c not in kept))
 
