@@ -8,10 +8,10 @@ set is the fingerprint. Texts that compress each other share phrases and so bins
 from __future__ import annotations
 
 import hashlib
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,20 +20,43 @@ _SHIFT = BINS.bit_length() - 1
 _EDGES = np.arange(BINS + 1, dtype=np.uint64)
 
 
-def parse(text: str, seen: dict, pending: str) -> str:
-    """Adds the phrases of text to `seen` (in order), going on from a pending phrase;
-    returns what is pending at the end."""
-    for c in text:
-        pending += c
-        if pending not in seen:
-            seen[pending] = None
-            pending = ""
-    return pending
+_ODD = 0x9E3779B97F4A7C15
+_WORD = (1 << 64) - 1
 
 
-def hashes(phrases) -> np.ndarray:
-    digest = xxhash.xxh3_64_intdigest
-    return np.fromiter((digest(p) for p in phrases), dtype=np.uint64)
+class Phrases:
+    """A text's dictionary as a tree: a phrase is its parent and one more code point, so a step
+    costs the same however long phrases grow. marks[n] hashes phrase n, 0 is the empty one."""
+
+    def __init__(self):
+        self.steps: dict[int, int] = {}
+        self.marks = [1]
+
+    def parse(self, text: str, node: int = 0) -> int:
+        """Adds the phrases of text, going on from a pending one; returns what is pending."""
+        steps, marks = self.steps, self.marks
+        for c in np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32).tolist():
+            key = node << 21 | c
+            child = steps.get(key)
+            if child is None:
+                steps[key] = len(marks)
+                marks.append(((marks[node] ^ c) * _ODD + 1) & _WORD)
+                node = 0
+            else:
+                node = child
+        return node
+
+    def until(self, n: int) -> Phrases:
+        """As it was when it had n phrases."""
+        out = Phrases()
+        out.steps, out.marks = dict(islice(self.steps.items(), n)), self.marks[: n + 1]
+        return out
+
+    def hashes(self) -> np.ndarray:
+        h = np.array(self.marks[1:], np.uint64)
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return h ^ (h >> np.uint64(31))
 
 
 def signature(values: np.ndarray) -> np.ndarray:
@@ -58,9 +81,9 @@ def from_text(fingerprint: str) -> np.ndarray:
 
 
 def fingerprint(text: str) -> str:
-    seen: dict = {}
-    parse(text, seen, "")
-    return to_text(signature(hashes(seen)))
+    phrases = Phrases()
+    phrases.parse(text)
+    return to_text(signature(phrases.hashes()))
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -83,13 +106,16 @@ def with_fingerprints(docs: DataFrame, text_col: str = "text", out_col: str = "f
     return docs.withColumn(out_col, of(F.coalesce(F.col(text_col), F.lit(""))))
 
 
-def _buckets(ids: DataFrame, id_col: str, n: int) -> tuple[F.Column, list]:
-    """A column that cuts the order of ids into about n even ranges (null first), and for
-    each range in use: (range, is not null, least id). Only ids are read."""
+def _buckets(ids: DataFrame, n: int) -> tuple[F.Column, list]:
+    """A column that cuts the order by (id, h) into about n even ranges (null first), and for
+    each range in use: (range, is not null, id, h) of its first row. ids: id, and h from 0 to
+    2^63 - 1. An id that holds several ranges' rows is cut by h."""
     shares = [k / n for k in range(1, n)] or [0.5]
-    cuts = ids.agg(F.percentile_approx(id_col, shares, 10_000).alias("cuts")).first()["cuts"] or []
-    cuts = sorted(set(cuts))
-    bucket = F.lit(0)
+    row = ids.agg(F.percentile_approx("id", shares, 10_000).alias("cuts"), F.count("*").alias("n"), F.count_if(F.col("id").isNull()).alias("nulls")).first()
+    found = row["cuts"] or []
+    cuts = sorted(set(found))
+    times = [1 + row["nulls"] * n // max(1, row["n"]), *(found.count(c) for c in cuts)]
+    bucket, held = F.lit(0), F.col("id").isNull()
     if cuts:
         # Binary search: from the largest power of two down, step on while the cut is not above.
         edges = F.array(*(F.lit(c) for c in cuts))
@@ -97,11 +123,15 @@ def _buckets(ids: DataFrame, id_col: str, n: int) -> tuple[F.Column, list]:
 
         def step(at, size):
             to = at + size
-            return F.when((to <= len(cuts)) & (F.get(edges, F.least(to, F.lit(len(cuts))) - 1) <= F.col(id_col)), to).otherwise(at)
+            return F.when((to <= len(cuts)) & (F.get(edges, F.least(to, F.lit(len(cuts))) - 1) <= F.col("id")), to).otherwise(at)
 
-        bucket = F.when(F.col(id_col).isNull(), 0).otherwise(F.aggregate(steps, F.lit(0), step))
-    least = ids.groupBy(bucket.alias("b")).agg(F.min(F.struct(F.col(id_col).isNotNull().alias("set"), F.col(id_col).alias("id"))).alias("m"))
-    return bucket, sorted((r["b"], r["m"]["set"], r["m"]["id"]) for r in least.collect())
+        bucket = F.when(F.col("id").isNull(), 0).otherwise(F.aggregate(steps, F.lit(0), step))
+        held = held | F.coalesce(F.get(edges, bucket - 1) == F.col("id"), F.lit(False))
+    parts = F.get(F.array(*map(F.lit, times)), bucket)
+    part = F.when(held, F.shiftright(F.shiftright("h", 32) * parts, 31)).otherwise(parts)
+    bucket = bucket * (max(times) + 1) + part.cast("int")
+    least = ids.groupBy(bucket.alias("b")).agg(F.min(F.struct(F.col("id").isNotNull().alias("set"), "id", "h")).alias("m"))
+    return bucket, sorted(((r["b"], r["m"]["set"], r["m"]["id"], r["m"]["h"]) for r in least.collect()), key=lambda r: r[0])
 
 
 def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -110,52 +140,50 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     The edited text ends, for the last quarter of its code points (rounded down), in the
     first as many (or all) of the next row's text; next goes by id (nulls first; equal ids
-    by text), and after the last comes the first. A single row is its own next. Null texts
-    count as empty. Texts move once: ranges of ids are dealt out, each with a copy of the
-    first row of the range after it.
+    by a hash of the text, then the text), and after the last comes the first. A single row is
+    its own next. Null texts count as empty. Texts move once: ranges of that order are dealt
+    out, each with a copy of the first row of the range after it; rows of one id are cut into
+    several ranges where they are many, rows equal in id and text stay in one (which streams).
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.shiftrightunsigned(F.xxhash64(text), 1).alias("h"))
     schema = f"id {docs.schema[id_col].dataType.simpleString()}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    bucket, heads = _buckets(rows.select("id"), "id", 2 * parts)
+    bucket, heads = _buckets(rows.select("id", "h"), 2 * parts)
     if not heads:
         return spark.createDataFrame([], schema).withColumnRenamed("id", id_col)
     before = [heads[k - 1][0] for k in range(len(heads))]
-    table = spark.createDataFrame([(b, p, i) for (b, _, i), p in zip(heads, before)], f"b int, previous int, first {docs.schema[id_col].dataType.simpleString()}")
-    placed = rows.withColumn("b", bucket).join(F.broadcast(table), "b")
-    own = F.struct(F.col("b").alias("b"), F.lit(0).alias("ahead"))
-    ahead = F.struct(F.col("previous").alias("b"), F.lit(1).alias("ahead"))
-    both = F.when(F.col("id").eqNullSafe(F.col("first")), F.array(own, ahead)).otherwise(F.array(own))
+    table = spark.createDataFrame([(b, p, i, h) for (b, _, i, h), p in zip(heads, before)], f"b int, previous int, first {docs.schema[id_col].dataType.simpleString()}, least long")
+    own = rows.withColumn("b", bucket)
+    starts = (F.col("h") == F.col("least")) & F.col("id").eqNullSafe(F.col("first"))
+    ahead = own.join(F.broadcast(table), "b").where(starts).groupBy("previous").agg(F.first("id").alias("id"), F.min("text").alias("text"), F.first("h").alias("h"))
     dealt = (
-        placed.select("id", "text", F.explode(both).alias("x"))
-        .select("x.b", "x.ahead", "id", "text")
+        own.select("b", F.lit(0).alias("ahead"), "id", "text", "h")
+        .union(ahead.select(F.col("previous"), F.lit(1), "id", "text", "h"))
         .repartition(parts, "b")
-        .sortWithinPartitions("b", "ahead", F.col("id").asc_nulls_first(), "text")
+        .sortWithinPartitions("b", "ahead", F.col("id").asc_nulls_first(), "h", "text")
+        .drop("h")
     )
 
     def work(batches):
         out: list[tuple] = []
-        last = None  # the row that waits for its next: (bucket, id, text, phrase hashes, phrases, signature)
+        last = None  # the row that waits for its next: (bucket, id, text, what parsed gives)
         closed = None  # the bucket whose last row has met its next
 
         def parsed(text):
-            k = len(text) - len(text) // 4
-            seen: dict = {}
-            pending = parse(text[:k], seen, "")
-            at = len(seen), pending
-            parse(text[k:], seen, pending)
-            phrases = list(seen)
-            values = hashes(phrases)
-            return k, at, phrases, values, signature(values)
+            k, phrases = len(text) - len(text) // 4, Phrases()
+            pending = phrases.parse(text[:k])
+            at = len(phrases.marks) - 1, pending
+            phrases.parse(text[k:], pending)
+            return k, at, phrases, signature(phrases.hashes())
 
         def finish(row, text, sig):
-            _, i, mine, (k, (n, pending), phrases, values, own_sig) = row
+            _, i, mine, (k, (n, pending), phrases, own_sig) = row
             tail = text[: len(mine) - k]
-            seen = dict.fromkeys(phrases[:n])
-            parse(tail, seen, pending)
-            fresh = list(seen)[n:]
-            changed = signature(np.concatenate([values[:n], hashes(fresh)]))
+            edited = phrases.until(n)
+            edited.parse(tail, pending)
+            changed = signature(edited.hashes())
             digest = hashlib.sha256((mine[:k] + tail).encode("utf-8")).hexdigest()
             out.append((i, len(mine), digest, to_text(own_sig), to_text(changed), likeness(own_sig, changed), likeness(own_sig, sig)))
 
@@ -165,7 +193,7 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     continue  # further copies of a row ahead
                 details = parsed(text)
                 if last is not None:
-                    finish(last, text, details[4])
+                    finish(last, text, details[3])
                 last = None if is_ahead else (b, i, text, details)
                 closed = b if is_ahead else None
                 if len(out) >= 256:
