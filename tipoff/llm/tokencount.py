@@ -123,9 +123,12 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
         return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(np.array(rows_, dtype=np.int64)), pa.array(ids, pa.string()), pa.array(sizes, pa.int64()), pa.array(np.array(counts, dtype=np.int64))], names=["piece", "row", "id", "n_bytes", "n"])
 
     frequencies = rows.mapInArrow(work, "piece string, row long, id string, n_bytes long, n long")
+    # A document's own row has its size and stands for tokens; every other must have met its piece.
+    missed = F.raise_error(F.lit("a pre-token without a count")).cast("int")
+    known = F.when(F.col("n_bytes").isNotNull(), 1).otherwise(F.coalesce("pieces", missed))
     joined = frequencies.join(counted.select("piece", "pieces"), "piece", "left")
     return (
         joined.groupBy("row")
-        .agg(F.max("id").alias("id"), F.max("n_bytes").alias("n_bytes"), F.sum(F.col("n") * F.coalesce("pieces", F.lit(1))).alias("n_tokens"))
+        .agg(F.max("id").alias("id"), F.max("n_bytes").alias("n_bytes"), F.sum(F.col("n") * known).alias("n_tokens"))
         .select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), "n_bytes", "n_tokens")
     )
