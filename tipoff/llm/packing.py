@@ -196,22 +196,21 @@ def pack(pieces: DataFrame, order: list[str], length_col: str = "length", capaci
 
     `order` names columns that tell rows apart; rows equal in all of them are still placed
     one by one. Lengths must be 1 to `capacity` (others raise an error; a null length too).
-    An empty table packs to an empty table. The plan has at most a few runs per length and
+    An empty table packs to an empty table. Columns named sequence_id and offset are replaced;
+    other names may be any. The plan has at most a few runs per length and
     group of sequences: its size depends on `capacity`, not on the rows.
     """
     spark = pieces.sparkSession
-    counted = pieces.groupBy(length_col).agg(F.count("*").alias("n")).collect()
-    runs = plan({r[length_col]: r["n"] for r in counted}, capacity)
-    schema = "__length long, __first long, __count long, __sequence long, __offset long"
-    planned = spark.createDataFrame(runs, schema)
+    kept = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    by = [f"by{k}" for k in range(len(order))]
+    slim = pieces.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("piece"), F.col(f"`{length_col}`").alias("length"), *(F.col(f"`{c}`").alias(b) for c, b in zip(order, by)))
+    counted = slim.groupBy("length").agg(F.count("*").alias("n")).collect()
+    runs = plan({r["length"]: r["n"] for r in counted}, capacity)
+    planned = spark.createDataFrame(runs, "size long, first long, count long, sequence long, offset long")
     salts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ranked = rank_within(pieces, length_col, order, "__rank", salts)
-    fits = (F.col(length_col) == F.col("__length")) & (F.col("__rank") >= F.col("__first")) & (F.col("__rank") < F.col("__first") + F.col("__count"))
-    return ranked.join(F.broadcast(planned), fits).select(
-        *(F.col(f"`{c}`") for c in pieces.columns),
-        (F.col("__sequence") + F.col("__rank") - F.col("__first")).alias("sequence_id"),
-        F.col("__offset").alias("offset"),
-    )
+    ranked = rank_within(slim, "length", by, "rank", salts)
+    fits = (F.col("length") == F.col("size")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("count"))
+    return ranked.join(F.broadcast(planned), fits).select("piece.*", (F.col("sequence") + F.col("rank") - F.col("first")).alias("sequence_id"), "offset")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
