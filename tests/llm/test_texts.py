@@ -177,8 +177,45 @@ def test_components_of_a_chain_and_a_star(spark):
     assert labels[b"\xf0"] == bytes([200])
 
 
+def plain_fingerprint(text):
+    """Phrases as strings in a set, hashes by definition, bins one by one."""
+    seen, pending = set(), ""
+    for c in text:
+        pending += c
+        if pending not in seen:
+            seen.add(pending)
+            pending = ""
+    word, least = (1 << 64) - 1, {}
+    for phrase in seen:
+        h = 1
+        for c in phrase:
+            h = ((h ^ ord(c)) * 0x9E3779B97F4A7C15 + 1) & word
+        h = (h ^ (h >> 30)) * 0xBF58476D1CE4E5B9 & word
+        h = (h ^ (h >> 27)) * 0x94D049BB133111EB & word
+        h ^= h >> 31
+        k = h % lzprint.BINS
+        least[k] = min(least.get(k, word), h // lzprint.BINS)
+    return "".join(f"{((k << 57) | least[k]) % 65535 + 1 if k in least else 0:04x}" for k in range(lzprint.BINS))
+
+
+def test_many_rows_of_one_id(spark):
+    rows = [(i, f"text {i} " * 9) for i in range(300)] + [(150, f"same id {k} " * 7) for k in range(400)] + [(None, f"none {k} " * 5) for k in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    _, heads = lzprint._buckets(df.select(F.col("doc_id").alias("id"), F.shiftrightunsigned(F.xxhash64("text"), 1).alias("h")), 16)
+    assert sum(h[2] == 150 for h in heads) > 3 and sum(not h[1] for h in heads) > 2
+    place = {r["text"]: r["h"] for r in df.select("text", F.shiftrightunsigned(F.xxhash64("text"), 1).alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, place[r[1]]))
+    want = []
+    for k, (i, text) in enumerate(order):
+        nxt, cut = order[(k + 1) % len(order)][1], len(text) // 4
+        want.append((str(i), hashlib.sha256((text[: len(text) - cut] + nxt[:cut]).encode()).hexdigest()))
+    assert sorted((str(r["doc_id"]), r["edited_sha256"]) for r in lzprint.edited_likeness(df).collect()) == sorted(want)
+
+
 def test_fingerprints(docs, corpus, spark):
-    rows = sorted(corpus, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    texts = {t or "" for _, t in corpus}
+    place = {r["t"]: r["h"] for r in spark.createDataFrame([(t,) for t in texts], "t string").withColumn("h", F.shiftrightunsigned(F.xxhash64("t"), 1)).collect()}
+    rows = sorted(corpus, key=lambda r: (r[0] is not None, r[0] or 0, place[r[1] or ""]))
     got = sorted((r.asDict() for r in lzprint.edited_likeness(docs).collect()), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0))
     assert len(got) == len(rows)
     for k, (i, text) in enumerate(rows):
@@ -191,6 +228,8 @@ def test_fingerprints(docs, corpus, spark):
         assert (r["fingerprint"], r["edited_fingerprint"]) == tuple(prints[:2])
         a, b, c = map(lzprint.from_text, prints)
         assert (r["near_edited"], r["near_next"]) == (lzprint.likeness(a, b), lzprint.likeness(a, c))
+    for text in (*texts, "ab" * 30_000 + "c"):
+        assert lzprint.fingerprint(text) == plain_fingerprint(text)
     same = lzprint.with_fingerprints(docs.where("text is null or text = ''")).select("fingerprint").distinct().collect()
     assert [r[0] for r in same] == ["0" * 4 * lzprint.BINS]
     one = spark.createDataFrame([(1, "only")], "doc_id long, text string")
@@ -219,6 +258,38 @@ def test_languages(spark):
     assert {r["lang_pred"] for r in langid.predict(df, nobody).collect()} == {"und"}
 
 
+def test_one_long_document_a_language(spark):
+    rng = random.Random(12)
+    rows = []
+    for k, (name, low) in enumerate((("xx", 0x61), ("yy", 0x430), ("zz", 0x4E00))):
+        letters = [chr(low + j) for j in range(2000 if name == "zz" else 26)]
+        rows.append((k, "".join(rng.choice(letters) if rng.random() < 0.85 else " " for _ in range(150_000)), name))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    filters = langid.fit(df, fit_chars=50_000)
+    assert [int(filters.bit(filters.table[0], k).any()) for k in range(3)] == [1, 1, 1]
+    for r in langid.predict(df, filters).collect():
+        assert r["lang_pred"] == r["lang"] and r["score"] > 0.5
+
+
+def test_filters_against_sets(spark):
+    rng = random.Random(13)
+    make = lambda low, n: " ".join("".join(chr(low + rng.randrange(9)) for _ in range(rng.randint(2, 6))) for _ in range(n))
+    rows = [(i, make(0x61 if i % 2 else 0x64, 30), "xx" if i % 2 else "yy") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    filters = langid.fit(df)
+    pieces = lambda t: {f" {t} "[k : k + 4] for k in range(len(t) - 1)}
+    share = {}
+    for n in ("xx", "yy"):
+        texts = [pieces(t) for _, t, lang in rows if lang == n]
+        share[n] = {g: sum(g in p for p in texts) / len(texts) for g in set().union(*texts)}
+    held = {n: {g for g, s in share[n].items() if s >= langid.SHARE * max(s, share["xx" if n == "yy" else "yy"].get(g, 0))} for n in share}
+    for r in langid.predict(df, filters).collect():
+        every = [f" {r['text']} "[k : k + 4] for k in range(len(r["text"]) - 1)]
+        want = {n: sum(g in held[n] for g in every) / len(every) for n in held}
+        assert abs(r["score"] - max(want.values())) < 0.05
+        assert want[r["lang_pred"]] > max(want.values()) - 0.05
+
+
 def test_more_languages_than_bits_of_a_word(spark):
     rng = random.Random(6)
     names = [f"l{k:03d}" for k in range(70)]
