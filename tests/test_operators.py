@@ -120,6 +120,9 @@ def test_sources_and_sinks(spark, tmp_path, teams):
     rows = readers.load_lines(spark, str(tmp_path)).collect()
     assert [(r["season"], r["home"], r["line"], r["neutral"]) for r in rows] == [(2026, "A", 3.5, 0)]
     assert readers.load_optional(spark, str(tmp_path / "none.csv"), "a int").count() == 0
+    (tmp_path / "some.csv").write_text(" a , b\n1,x\nodd,y\n")
+    some = readers.load_optional(spark, str(tmp_path / "some.csv"), "a int, c string")
+    assert (some.dtypes, [tuple(r) for r in some.collect()]) == ([("a", "int"), ("b", "string")], [(1, "x"), (None, "y")])
     with pytest.raises(FileNotFoundError):
         readers.load_tables(spark, str(tmp_path))
     with pytest.raises(ValueError):

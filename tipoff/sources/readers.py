@@ -53,11 +53,15 @@ def load_tables(spark: SparkSession, folder: str, letter: str = "M") -> dict[str
 
 
 def load_optional(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """An empty table where the file is missing; blanks around header names are cut (IO2)."""
+    """An empty table where the file is missing; blanks around header names are cut (IO2).
+    Columns that the schema names get its types (text that is no such value: null); others
+    stay text."""
     if not _exists(spark, path):
         return spark.createDataFrame([], schema)
     raw = spark.read.option("header", True).csv(path)
-    return raw.toDF(*(c.strip() for c in raw.columns))
+    types = {f.name: f.dataType for f in spark.createDataFrame([], schema).schema}
+    named = raw.toDF(*(c.strip() for c in raw.columns))
+    return named.select(*((F.col(f"`{c}`").try_cast(types[c]) if c in types else F.col(f"`{c}`")).alias(c) for c in named.columns))
 
 
 def rankings_of(spark: SparkSession, path: str, systems: list[str]) -> DataFrame:
