@@ -97,7 +97,57 @@ QUERIES = {
     "op9_prob_minhash": op9_prob_minhash,
     "op10_language_id": op10_language_id,
 }
-ORACLES: dict[str, str] = {}
+#: White space as str.split() has it (fixed values).
+SPACE = r"\t-\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+
+CHAT_SQL = r"""
+WITH said AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL
+    SELECT -1, t, r, '<|im_end|><|im_start|>assistant ok' FROM (VALUES (0, 'user'), (1, 'assistant')) p(t, r)),
+turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    regexp_replace(coalesce(text, ''), '<(\\*)\|', '<\\\1|', 'g') AS body,
+    replace(regexp_replace(coalesce(role, ''), '<(\\*)\|', '<\\\1|', 'g'), chr(10), '<|nl|>') AS head FROM said)
+SELECT conv_id, count(*) AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, body)) AS turns_sha256,
+    CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, body) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    CAST(sum(length('<|im_start|>' || head || chr(10) || body || '<|im_end|>' || chr(10))) AS BIGINT) AS formatted_chars
+FROM turns GROUP BY conv_id"""
+
+#: Every 50-byte string of every text, as hex, and the least id that holds it.
+REPEATS_SQL = """
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS n, doc_id, coalesce(doc_id, -9223372036854775808) AS id, coalesce(hex(encode(text)), '') AS h FROM documents),
+chunks AS (SELECT n, id, j, substr(h, 2048 * j + 1, 2146) AS c FROM (SELECT n, id, h, unnest(range(0, length(h) // 2048 + 1)) AS j FROM d)),
+strings AS MATERIALIZED (SELECT n, id, 1024 * j + i AS place, substr(c, 2 * i + 1, 100) AS string
+    FROM (SELECT n, id, j, c, unnest(range(0, least(1024, length(c) // 2 - 49))) AS i FROM chunks)),
+firsts AS (SELECT string, min(id) AS least FROM strings GROUP BY string HAVING min(id) < max(id)),
+gone AS (SELECT n, place, CASE WHEN place <= lag(place) OVER (PARTITION BY n ORDER BY place) + 50 THEN 0 ELSE 1 END AS fresh
+    FROM strings JOIN firsts USING (string) WHERE least < id),
+numbered AS (SELECT n, place, sum(fresh) OVER (PARTITION BY n ORDER BY place) AS run FROM gone),
+runs AS (SELECT n, min(place) AS a, max(place) + 50 AS b FROM numbered GROUP BY n, run),
+gaps AS (SELECT n, a, b, coalesce(lag(b) OVER (PARTITION BY n ORDER BY a), 0) AS since FROM runs),
+held AS (SELECT n, count(*) AS spans, sum(b - a) AS removed, max(b) AS rest, string_agg(substr(h, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) AS kept FROM gaps JOIN d USING (n) GROUP BY n)
+SELECT doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans,
+    sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(rest, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN held USING (n)"""
+
+CLASSES_SQL = f"""
+WITH RECURSIVE nodes AS MATERIALIZED (SELECT row_number() OVER (ORDER BY txt) AS node, txt, least
+    FROM (SELECT coalesce(text, '') AS txt, min(doc_id) AS least FROM documents GROUP BY 1)),
+words AS (SELECT node, unnest(l) AS w, generate_subscripts(l, 1) AS i FROM (SELECT node, regexp_extract_all(txt, '[^{SPACE}]+') AS l FROM nodes)),
+runs AS (SELECT node, i, count(*) OVER (PARTITION BY node) AS c,
+    concat_ws(' ', w, lead(w) OVER o, lead(w, 2) OVER o, lead(w, 3) OVER o, lead(w, 4) OVER o) AS shingle FROM words WINDOW o AS (PARTITION BY node ORDER BY i)),
+shingles AS MATERIALIZED (SELECT DISTINCT node, shingle FROM runs WHERE i <= greatest(c - 4, 1)),
+sizes AS (SELECT node, count(*) AS c FROM shingles GROUP BY node),
+pairs AS (SELECT a.node AS x, b.node AS y, count(*) AS common FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.node < b.node GROUP BY 1, 2),
+links AS MATERIALIZED (SELECT x, y FROM pairs JOIN sizes p ON p.node = x JOIN sizes q ON q.node = y WHERE common >= CAST(0.8 AS DOUBLE) * (p.c + q.c - common)),
+sides AS MATERIALIZED (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach(node, label) AS (SELECT node, node FROM nodes UNION SELECT sides.y, reach.label FROM reach JOIN sides ON sides.x = reach.node),
+labels AS (SELECT node, min(label) AS label FROM reach GROUP BY node),
+lowest AS (SELECT label, min(least) AS class_id FROM labels JOIN nodes USING (node) GROUP BY label)
+SELECT doc_id, lowest.class_id FROM documents JOIN nodes ON coalesce(text, '') = txt JOIN labels USING (node) JOIN lowest USING (label)"""
+
+#: The others depend on a tokenizer's merges, on a fitted model or on hashes.
+ORACLES = {"op5_chat_formatting": CHAT_SQL, "op8_suffix_dedup": REPEATS_SQL, "op9_prob_minhash": CLASSES_SQL}
 
 
 def queries() -> dict:
