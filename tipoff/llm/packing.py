@@ -96,6 +96,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def work(batches):
+        tidy("packing")
         encoder = kept("packing", hash(spec.value), lambda: ChunkEncoder(spec.value))
         for whole in batches:
             for k in range(0, whole.num_rows, 512):

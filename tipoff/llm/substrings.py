@@ -41,6 +41,8 @@ _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _LOW = 17  # bits of a key that choose its bucket, at least
 _MOST = 25  # and at most: 128 TB at BUCKET_BYTES
 _HIGH = np.uint64((1 << 39) - 1)  # of the others, those that are sent beside a flag in 5 bytes
+#: Contexts that are sorted at a time, about; those of one anchor always together.
+SECTION = 1 << 14
 LEVEL = 9  # of compression: what is written is read over again or crosses the network
 
 
@@ -48,9 +50,12 @@ def _shrink(data: bytes) -> bytes:
     return len(data).to_bytes(8, "little") + pa.Codec("zstd", compression_level=LEVEL).compress(data, asbytes=True)
 
 
+def _grown(data: bytes) -> int:
+    return int.from_bytes(data[:8], "little")
+
+
 def _grow(data: bytes) -> bytes:
-    size = int.from_bytes(data[:8], "little")
-    return pa.decompress(data[8:], decompressed_size=size, codec="zstd", asbytes=True)
+    return pa.decompress(data[8:], decompressed_size=_grown(data), codec="zstd", asbytes=True)
 
 
 def _sliding(take, values: np.ndarray, width: int) -> np.ndarray:
@@ -173,8 +178,20 @@ class Shape:
         least id among records that hold the same string there; NEVER where there is none.
 
         Left out of the symbol string: what no other record of the anchor shares (no equal
-        string reaches there) and what all of them share (it tells none apart).
+        string reaches there) and what all of them share (it tells none apart). Anchors have
+        nothing to do with each other, so some of them are worked on at a time.
         """
+        out = np.empty((self.side + 1, len(records)), np.int64)
+        order = np.argsort(anchor, kind="stable")
+        by = anchor[order]
+        starts = np.flatnonzero(np.concatenate([[True], by[1:] != by[:-1]])) if len(by) else np.empty(0, np.int64)
+        cuts = starts[np.unique(np.searchsorted(starts, np.arange(0, starts[-1] + 1, SECTION)))] if len(by) else starts
+        for first, last in zip(cuts, np.append(cuts[1:], len(by))):
+            pick = order[first:last]
+            out[:, pick] = self._least(records[pick], ids[pick], by[first:last])
+        return out
+
+    def _least(self, records: np.ndarray, ids: np.ndarray, anchor: np.ndarray) -> np.ndarray:
         side = self.side
         left, right, body = records[:, 0].astype(np.int64), records[:, 1].astype(np.int64), records[:, 2:]
         before = np.arange(side + 1)[:, None]
@@ -394,9 +411,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             raw = _grow(d.as_py())
             n = len(raw) // (size + 9)
             lows.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n).reshape(8, n).T).view(np.int64).ravel())
-            manys.append(np.frombuffer(raw, bool, n, 8 * n))
+            manys.append(np.frombuffer(raw, bool, n, 8 * n).copy())
             bodies.append(np.frombuffer(raw, np.uint8, n * size, 9 * n).reshape(n, size))
         records, low = np.concatenate(bodies), np.concatenate(lows)
+        bodies = raw = None
         whole, anchor, first, inverse = shape.distinct(records)
         ids = np.full(len(first), NEVER)
         np.minimum.at(ids, inverse, low)
@@ -423,16 +441,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         table, ids, data, offsets = _load(left.column("blob")[0].as_py(), id_col, text_col)
         gone = np.zeros(len(data) + 1, np.int32)
         if right.num_rows:
-            found, keys, least = [], [], []
-            for d in right.column("data"):
-                raw = _grow(d.as_py())
-                n = len(raw) // (8 * (shape.side + 2) + 4)
-                found.append(np.frombuffer(raw, np.uint64, n))
-                keys.append(np.frombuffer(raw, np.uint32, n, 8 * n))
-                least.append(np.frombuffer(raw, np.int64, n * (shape.side + 1), 12 * n).reshape(shape.side + 1, n))
-            found, tags, least = np.concatenate(found), np.concatenate(keys), np.concatenate(least, axis=1)
+            counts = [_grown(d.as_py()) // (8 * (shape.side + 2) + 4) for d in right.column("data")]
+            found, tags, least = np.empty(sum(counts), np.uint64), np.empty(sum(counts), np.uint32), np.empty((shape.side + 1, sum(counts)), np.int64)
+            end = 0
+            for n, d in zip(counts, right.column("data")):
+                raw, here = _grow(d.as_py()), slice(end, end + n)
+                found[here], tags[here] = np.frombuffer(raw, np.uint64, n), np.frombuffer(raw, np.uint32, n, 8 * n)
+                least[:, here] = np.frombuffer(raw, np.int64, n * (shape.side + 1), 12 * n).reshape(shape.side + 1, n)
+                end += n
             keys, order = np.unique(tags), np.argsort(found)
-            found, tags, least = found[order], tags[order], least[:, order]
+            found, tags = found[order], tags[order]
             at, key, owner = shape.anchors(data, offsets)
             high = (key >> np.uint64(32)).astype(np.uint32)
             near = keys[np.minimum(np.searchsorted(keys, high), len(keys) - 1)] == high
@@ -442,7 +460,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 whole, anchor = shape.names(shape.contexts(data, offsets, a, o))
                 place = np.minimum(np.searchsorted(found, whole), len(found) - 1)
                 hit = np.flatnonzero((found[place] == whole) & (tags[place] == (anchor >> np.uint64(32)).astype(np.uint32)))
-                a, mine, place = a[hit], ids[o[hit]], place[hit]
+                a, mine, place = a[hit], ids[o[hit]], order[place[hit]]
                 for before in range(shape.side + 1):
                     begin = a[least[before, place] < mine] - before
                     np.add.at(gone, begin, 1)
