@@ -31,7 +31,11 @@ def settle(df: DataFrame, name: str) -> DataFrame:
 
 def small_batches(spark: SparkSession, rows: int = 1000, size: str = "4m") -> None:
     """Whole texts go to Python a thousand rows and 4 MB at a time, unless the session sets
-    rows itself: at the defaults, long texts fill an executor's memory."""
+    rows itself: at the defaults, long texts fill an executor's memory.
+
+    Tracebacks stay whole: some kinds of Python nodes ask for short ones and some don't, and
+    Spark keeps a pool of workers (and their daemon) for each, idle ones for a minute."""
+    spark.conf.set("spark.sql.execution.pyspark.udf.simplifiedTraceback.enabled", "false")
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) == 10_000:
         spark.conf.set(key, rows)
