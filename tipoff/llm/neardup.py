@@ -163,6 +163,7 @@ def _estimated(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
         x, y = (np.frombuffer(b"".join(s), "<u2").reshape(len(s), REGISTERS) for s in (a, b))
         return a.__class__((x == y).mean(axis=1))
 
+    near = near.asNondeterministic()  # else a filter on it is a second Python node in the same task
     return _beside(_deal(pairs), signatures, "signature").select("f", "g", "n", near("x", "y").alias("near"))
 
 
