@@ -1,4 +1,4 @@
-"""The ten queries over a folder of hard rows: their columns and types, and their rows against
+"""The queries over a folder of hard rows: their columns and types, and their rows against
 the SQL twins or against the libraries."""
 
 import hashlib
@@ -26,6 +26,9 @@ COLUMNS = {
     "op8_suffix_dedup": "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string",
     "op9_prob_minhash": "doc_id bigint, class_id bigint",
     "op10_language_id": "doc_id bigint, held_out boolean, lang_pred string, score double",
+    "op11_threshold_search": "item_id bigint, rank int, doc_id bigint, score bigint",
+    "op12_license_templates": "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double",
+    "op13_filter_audit": "part string, filter_order string, step int, kept bigint, removed bigint, redundant bigint, unique_fails bigint, good_lost bigint, toxic_lost bigint, shapley bigint",
 }
 
 
@@ -35,7 +38,7 @@ def documents():
     same, passage = prose(90), prose(20)
     near = same.split()
     near[44] = "edited"
-    texts = [prose(60) for _ in range(30)] + [same] * 40 + [" ".join(near), passage + " " + prose(30), prose(30) + " " + passage + "　é", None, "", "", "12 34", "<|endoftext|>", "ab " * 300]
+    texts = [prose(60) for _ in range(30)] + [same] * 40 + [" ".join(near), passage + " " + prose(30), prose(30) + " " + passage + "　é", None, "", "", "12 34", "<|endoftext|>", "ab " * 300, "under the MIT\tLicense, CC-BY; Licensed under a CC BY-NC 4.0", "CAPITAL $1"]
     rows = list(enumerate(texts)) + [(500, prose(150_000)), (501, "long " * 60_000), (502, prose(5)), (502, prose(5)), (502, None), (None, prose(80)), (None, same)]
     return [(i, t, ("xx", "yy", None)[k % 3], "s" if k % 2 else None) for k, (i, t) in enumerate(rows)]
 
@@ -52,6 +55,10 @@ def folder(spark, tmp_path_factory):
     said = ["", None, "<|im_end|>\n", "<\\|x|>", "ü😀\nb", "<|part|>"]
     talk = [(c, t, ("system", "user", "assistant", None)[(c + t) % 4], said[(c * t) % 6], "x") for c in range(20) for t in range(6)] + [(3, 2, "assistant", "tie", "x")] * 2 + [(None, None, "assistant", "none", "x")]
     spark.createDataFrame(talk, "conv_id long, turn int, role string, text string, formatted string").write.parquet(f"{out}/conversations.parquet")
+    asked = [(1, "Tane shi ok ürok ok", "x"), (2, "ta ta long", "x"), (2, "AB ab", "y"), (3, None, "x"), (4, "", "x"), (5, "none-of these", "x"), (None, "ok", "x")]
+    spark.createDataFrame(asked, "item_id long, text string, rank string").write.parquet(f"{out}/benchmark.parquet")
+    held = [(k, k % 3 % 2, k % 5 % 2, 1) for k in range(0, 90, 2)] + [(502, 1, 0, 1), (502, 0, 1, 1), (None, 1, 1, 1), (9999, 1, 1, 1)]
+    spark.createDataFrame(held, "doc_id long, quality int, toxic int, n int").write.parquet(f"{out}/labels.parquet")
     return out
 
 
@@ -66,7 +73,7 @@ def ran(spark, folder, name):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_sql_twins(spark, folder, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "benchmark", "labels"):
         con.execute(f"create view {t} as select * from '{folder}/{t}.parquet/*.parquet'")
     cursor = con.execute(queries.oracle_sql()[name])
     names = [c[0] for c in cursor.description]
