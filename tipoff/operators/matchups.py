@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tipoff.functions.scalars import clip
+from tipoff.operators import boosting
 
 
 def pairs(games: DataFrame, features: DataFrame, columns: list[str], weight: float = 1.0) -> DataFrame:
@@ -57,31 +57,17 @@ def auc(scored: DataFrame) -> DataFrame:
     return ranked.agg(((rank_sum - n1 * (n1 + 1) / 2) / (n1 * (n - n1))).alias("auc"), n.alias("n"))
 
 
-def booster(columns: list[str], trees: int = 300, depth: int = 4, rate: float = 0.05, seed: int = 42) -> Pipeline:
-    """Boosted trees on differences; nulls must be filled before (ML3)."""
-    gbt = GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", maxIter=trees, maxDepth=depth, stepSize=rate, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed)
-    return Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="features"), gbt])
-
-
-def scores(model: PipelineModel, rows: DataFrame) -> DataFrame:
-    """Adds p (chance of label 1) and raw (the margin) (ML8)."""
-    out = model.transform(rows)
-    return out.withColumn("p", vector_to_array("probability")[1]).withColumn("raw", vector_to_array("rawPrediction")[1]).drop("features", "rawPrediction", "probability", "prediction")
-
-
 def fold(column: str = "game_id", folds: int = 5) -> F.Column:
     """Mirror rows of a game share a fold."""
     return F.pmod(F.xxhash64(column), F.lit(folds)).cast("int")
 
 
-def out_of_fold(rows: DataFrame, columns: list[str], folds: int = 5, **options) -> DataFrame:
-    """Every row scored by a model that has not seen its game."""
-    rows = rows.withColumn("fold", fold(folds=folds))
-    parts = [scores(booster(columns, **options).fit(rows.where(F.col("fold") != k)), rows.where(F.col("fold") == k)) for k in range(folds)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def out_of_fold(rows: DataFrame, columns: list[str], folds: int = 5, held_out: tuple[int, ...] | None = None, **options) -> DataFrame:
+    """Every row (of the folds in `held_out`, if given) scored by a model that has not seen its
+    game; the models of all folds grow together (ML3)."""
+    specs = [boosting.Spec(k, **options) for k in (range(folds) if held_out is None else held_out)]
+    _, scored = boosting.fit(rows.withColumn("fold", fold(folds=folds)), columns, specs, ["game_id", "Season"])
+    return boosting.held_out_scores(scored, specs)
 
 
 def platt(oof: DataFrame):
@@ -96,27 +82,12 @@ def calibrated(model, scored: DataFrame) -> DataFrame:
 
 
 def leave_season_out(rows: DataFrame, columns: list[str], **options) -> DataFrame:
-    """Rows of each season scored by a model of the others (ML5); a loop over seasons, each
-    of which trains a distributed model."""
+    """Rows of each season scored by a model of the others (ML5); the models of all seasons
+    grow together."""
     seasons = [r["Season"] for r in rows.select("Season").distinct().orderBy("Season").collect()]
-    out = None
-    for s in seasons:
-        part = scores(booster(columns, **options).fit(rows.where(F.col("Season") != s)), rows.where(F.col("Season") == s))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def search(rows: DataFrame, columns: list[str], trials: int = 10, seed: int = 42) -> list[tuple[float, dict]]:
-    """Seeded random search over depth, rate and size by season-held-out log loss (ML7)."""
-    import random
-
-    rng = random.Random(seed)
-    tried = []
-    for _ in range(trials):
-        option = {"trees": rng.choice((20, 50, 100)), "depth": rng.randint(2, 6), "rate": round(10 ** rng.uniform(-2, -0.5), 4)}
-        loss = metrics(leave_season_out(rows, columns, **option)).first()["log_loss"]
-        tried.append((loss, option))
-    return sorted(tried, key=lambda t: t[0])
+    specs = [boosting.Spec(s, **options) for s in seasons]
+    _, scored = boosting.fit(rows.withColumn("fold", F.col("Season").cast("int")), columns, specs, ["game_id", "Season"])
+    return boosting.held_out_scores(scored, specs)
 
 
 def submission(ids: DataFrame, probs: DataFrame, women_from: int = 3000) -> DataFrame:

@@ -9,6 +9,7 @@ from tipoff.operators import bracket as br
 from tipoff.operators import features as fx
 from tipoff.operators import matchups as mu
 from tipoff.operators import ratings as rt
+from tipoff.operators import tuning
 from tipoff.operators.games import team_games
 from tipoff.plans.features import MATRIX, MATRIX_COLUMNS, RK, SEEDED, TOP, _latest_sql, latest, matrix, phi_sql, rounded
 from tipoff.plans.registry import register
@@ -370,10 +371,6 @@ def submission_qa(spark, sf):
     return rounded(mu.submission_check(submission(spark, sf)), "mean", "std", "low", "high", "default_share")
 
 
-#: Size of the registered models; `booster` itself has the published one (300 trees of depth 4).
-TREES, DEPTH = 10, 4
-
-
 def training(spark, sf):
     """Pairs of the whole matrix, settled: models read them once per tree. Columns of which more
     than a half is null go, and the others' nulls become medians."""
@@ -389,17 +386,27 @@ def training(spark, sf):
 @register("gbt_fit_score")
 def gbt_fit_score(spark, sf):
     """Scores of games that the model has not seen (a fifth of them)."""
-    rows = training(spark, sf).withColumn("fold", mu.fold())
-    scored_rows = mu.scores(mu.booster(FEATURES, trees=TREES, depth=DEPTH).fit(rows.where("fold > 0")), rows.where("fold = 0"))
-    return rounded(mu.metrics(scored_rows), "log_loss", "brier", "accuracy")
+    return rounded(mu.metrics(mu.out_of_fold(training(spark, sf), FEATURES, held_out=(0,))), "log_loss", "brier", "accuracy")
 
 
 @register("platt")
 def platt(spark, sf):
-    oof = rt.written(mu.out_of_fold(training(spark, sf), FEATURES, trees=TREES, depth=DEPTH).select("game_id", "weight", "label", "raw", "p"), "oof")
+    oof = mu.out_of_fold(training(spark, sf), FEATURES)
     return rounded(mu.metrics(mu.calibrated(mu.platt(oof), oof).withColumn("p", F.col("p_calibrated"))), "log_loss", "brier", "accuracy")
 
 
 @register("loso")
 def loso(spark, sf):
-    return rounded(mu.metrics(mu.leave_season_out(training(spark, sf), FEATURES, trees=TREES, depth=DEPTH), ["Season"]), "log_loss", "brier", "accuracy")
+    return rounded(mu.metrics(mu.leave_season_out(training(spark, sf), FEATURES), ["Season"]), "log_loss", "brier", "accuracy")
+
+
+#: The registered search: fewer and smaller models than `tuning.SPACE`, which a search of 50
+#: trials would grow in some tens of thousands of jobs.
+TUNED = {**tuning.SPACE, "trees": tuning.Range(10, 40, whole=True), "depth": tuning.Range(2, 4, whole=True)}
+
+
+@register("tuning")
+def tuning_query(spark, sf):
+    tried = tuning.tune(training(spark, sf), FEATURES, TUNED, trials=9, batch=3, startup=3)
+    rows = [(t.place, *(float(t.params[k]) for k in TUNED), round(t.loss, 6), k + 1) for k, t in enumerate(tried)]
+    return spark.createDataFrame(rows, "trial long, " + ", ".join(f"{k} double" for k in TUNED) + ", log_loss double, rank int")

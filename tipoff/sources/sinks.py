@@ -5,10 +5,12 @@ from __future__ import annotations
 import hashlib
 import json
 
-from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tipoff.operators.boosting import Boosted, Spec, Tree
+
 ROUNDS = range(1, 7)
 
 
@@ -49,15 +51,36 @@ def splice(html: str, data: str, name: str = "RAW") -> str:
     return html[:at] + data + html[html.index(";", at) :]
 
 
-def save_model(model: PipelineModel, path: str, config: dict, metrics: dict) -> str:
-    """The model, and beside it a JSON of metrics and the config's hash (IO14, C2)."""
+NODES = "model int, tree int, node int, feature int, cut int, null_left boolean, value double"
+
+
+def save_model(spark: SparkSession, booster: Boosted, path: str, config: dict, metrics: dict) -> str:
+    """The trees as Parquet, a row per node in use, and beside them a line of JSON: columns,
+    bins, parameters, metrics and the config's hash (IO14, C2). Any file system of Spark's."""
     digest = hashlib.md5(json.dumps(config, sort_keys=True).encode()).hexdigest()
-    model.write().overwrite().save(path)
-    with open(f"{path.rstrip('/')}.json", "w", encoding="utf-8") as f:
-        json.dump({"config_md5": digest, "metrics": metrics}, f, sort_keys=True)
+    rows = [
+        (m, t, n, int(tree.feature[n]), int(tree.cut[n]), bool(tree.null_left[n]), float(tree.value[n]))
+        for m, trees in enumerate(booster.trees) for t, tree in enumerate(trees)
+        for n in range(len(tree.feature)) if n == 0 or tree.feature[(n - 1) // 2] >= 0
+    ]
+    spark.createDataFrame(rows, NODES).coalesce(1).write.mode("overwrite").parquet(f"{path}/trees")
+    about = {"config_md5": digest, "metrics": metrics, "columns": booster.columns, "edges": [e.tolist() for e in booster.edges], "specs": [vars(s) for s in booster.specs]}
+    spark.createDataFrame([(json.dumps(about, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
     return digest
 
 
+def load_model(spark: SparkSession, path: str) -> tuple[Boosted, dict]:
+    """What `save_model` wrote: the models, and {config_md5, metrics}."""
+    about = json.loads(spark.read.text(f"{path}/about").first()[0])
+    specs = [Spec(**s) for s in about["specs"]]
+    trees = [[Tree.grown(s.depth) for _ in range(s.trees)] for s in specs]
+    for m, t, n, *values in spark.read.schema(NODES).parquet(f"{path}/trees").collect():  # a model's nodes
+        for name, v in zip(("feature", "cut", "null_left", "value"), values):
+            getattr(trees[m][t], name)[n] = v
+    edges = [np.array(e, dtype=np.float64) for e in about["edges"]]
+    return Boosted(about["columns"], edges, specs, trees), {k: about[k] for k in ("config_md5", "metrics")}
+
+
 def advancement_text(table: DataFrame, names: dict[int, str]) -> str:
     """A printed table, a line per team (IO15)."""
     lines = [f"{'Team':<20}" + "".join(f"{f'R{r}':>8}" for r in ROUNDS)]
