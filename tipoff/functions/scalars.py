@@ -79,10 +79,6 @@ def clean_name(name) -> Column:
     return F.trim(F.replace(F.lower(F.btrim(F.trim(col(name)), F.lit('"'))), F.lit("_"), F.lit(" ")))
 
 
-def sorted_tokens(name) -> Column:
-    return F.array_join(F.array_sort(F.split(F.trim(col(name)), r"\s+")), " ")
-
-
 def numeric(x) -> Column:
     """A number, or null where the text is none."""
     return F.trim(col(x)).try_cast("double")

@@ -28,7 +28,20 @@ def name_exact(spark, sf):
     return naming.exact(spelled(spark, sf), known(spark, sf))
 
 
-@register("name_fuzzy")
+#: Bits of a number stand for the characters of one name; each character of the other moves
+#: them by an addition (names here are short of 40 characters).
+FUZZY_SQL = """WITH spelled AS (SELECT DISTINCT CASE n_nationkey % 3 WHEN 0 THEN ' ' || lower(n_name) WHEN 1 THEN replace(n_name, ' ', '_') ELSE n_name || 'x' END AS name FROM nation),
+ known AS (SELECT replace(lower(n_name), '_', ' ') AS clean, max(CAST(n_nationkey AS BIGINT)) AS "TeamID" FROM nation GROUP BY 1),
+ wanted AS (SELECT name, trim(replace(lower(trim(name)), '_', ' ')) AS clean FROM spelled WHERE name <> 'nowhere'),
+ same AS (SELECT name, "TeamID" FROM wanted JOIN known USING (clean)),
+ pairs AS (SELECT w.name, k."TeamID", k.clean AS other, array_to_string(list_sort(string_split(w.clean, ' ')), ' ') AS a, array_to_string(list_sort(string_split(k.clean, ' ')), ' ') AS b FROM wanted w, known k WHERE w.name NOT IN (SELECT name FROM same)),
+ masks AS (SELECT *, (CAST(1 AS BIGINT) << length(a)) - 1 AS bits, list_transform(range(1, length(b) + 1), lambda j: CAST(list_sum(list_transform(range(1, length(a) + 1), lambda i: CASE WHEN a[i] = b[j] THEN CAST(1 AS BIGINT) << (i - 1) ELSE 0 END)) AS BIGINT)) AS m FROM pairs),
+ scored AS (SELECT *, 200.0::DOUBLE * (length(a) - bit_count(list_reduce(m, lambda v, x: ((v + (v & x)) | (v - (v & x))) & bits, bits))) / (length(a) + length(b)) AS score FROM masks),
+ best AS (SELECT name, "TeamID", score, row_number() OVER (PARTITION BY name ORDER BY score DESC, other) AS place FROM scored)
+ SELECT 'nowhere' AS name, CAST(99 AS BIGINT) AS "TeamID", 'override' AS how UNION ALL SELECT name, "TeamID", 'exact' FROM same UNION ALL SELECT name, "TeamID", 'fuzzy' FROM best WHERE place = 1 AND score >= 85"""
+
+
+@register("name_fuzzy", FUZZY_SQL)
 def name_fuzzy(spark, sf):
     overrides = spark.createDataFrame([("nowhere", 99)], "name string, TeamID long")
     return naming.resolve(spelled(spark, sf), overrides, known(spark, sf))
