@@ -4,6 +4,8 @@ import os
 import random
 
 import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -53,12 +55,58 @@ def test_different_texts_of_one_id_stay(spark, tmp_path):
     assert sorted(left, key=str) == sorted([(None, one), (None, two), (1, three), (1, four), (2, five)], key=str)
 
 
+ODD = ["score", "lang_pred", "least", "kept", "spans", "__key", "__node", "a.b", "rest", "has_letter", "node", "key", "first_id", "block", "least id", "id"]
+
+
+def odd_docs(spark, n_chars=True):
+    rng = random.Random(6)
+    prose = lambda n: " ".join(rng.choice(["tion", "the", "ing", "and", "or"]) + str(rng.randint(0, 999)) + rng.choice("aeiou") for _ in range(n))
+    passage = prose(15)
+    rows = [(k, prose(50), "xx") for k in range(40)] + [(None, prose(60), "xx"), (None, prose(60), None), (7, prose(40), "xx"), (50, passage + prose(30), None), (51, prose(30) + passage, None), (60, prose(110_000), "xx")]
+    rows += [(0, rows[0][1], "xx"), (70, rows[1][1], "xx"), (71, None, "xx"), (72, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    mark = F.concat(F.lit("m"), F.xxhash64("doc_id", "text", "lang").cast("string"))
+    docs = docs.select("*", *([F.length("text").cast("int").alias("n_chars")] if n_chars else []), *(F.concat(mark, F.lit(c)).alias(c) for c in ODD))
+    return settle(docs, "odd"), rows
+
+
+@pytest.mark.parametrize("n_chars", [True, False])
+def test_columns_of_any_name_come_back(spark, tmp_path, n_chars):
+    docs, rows = odd_docs(spark, n_chars)
+    given = {(r["doc_id"], r["text"]): r for r in docs.collect()}
+    others = [c for c in docs.columns if c not in ("text", "n_chars")]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes
+        found = out.collect()
+        marks = {r["score"]: r for r in given.values()}
+        assert found and all(r[c] == marks[r["score"]][c] for r in found for c in others)
+        assert out.schema["doc_id"].dataType == docs.schema["doc_id"].dataType
+        if name == "near_duplicates":
+            assert sorted((r["doc_id"] for r in found), key=str) == sorted([k for k in range(40)] + [None, None, 7, 50, 51, 60, 71], key=str)
+        if name == "repeated_passages":
+            assert len(found) == len(rows)
+            if n_chars:
+                assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in found)
+        else:
+            assert all(r["text"] == marks[r["score"]]["text"] for r in found)
+    packed = corpus_pipeline.pack(spark, docs, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in packed} == {r[0] for r in rows}
+
+
+@pytest.mark.parametrize("k", range(4))
+def test_empty_table_of_any_columns(spark, tmp_path, k):
+    docs, _ = odd_docs(spark)
+    out = corpus_pipeline.STAGES[k][1](spark, docs.limit(0), str(tmp_path))
+    assert out.count() == 0 and (k == 3 or out.columns == docs.columns)
+
+
 def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
-def test_all_ten_are_registered():
+def test_all_are_registered():
     names = set(queries.queries())
-    assert {n.split("_")[0] for n in names} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in names} == {f"op{k}" for k in range(1, 14)}
     assert os.path.isdir(SF)
