@@ -80,31 +80,59 @@ def test_metrics_and_auc(spark):
 
 @pytest.fixture(scope="module")
 def teams(spark):
-    rows = [(2023, "EWSM"[k % 4], k // 4 + 1, 100 + k, 30.0 - k / 3) for k in range(64)]
-    return br.pinned(br.slots(spark.createDataFrame(rows, "Season int, region string, seed int, TeamID long, rating double"), ("E", "W", "S", "M")))
+    """Two seasons: the second one's teams are further apart, and another 64 teams."""
+    rows = [(2023 + y, "EWSM"[k % 4], k // 4 + 1, 100 + k + 1000 * y, (30.0 - k / 3) * (1 + y)) for y in (0, 1) for k in range(64)]
+    return br.slots(spark.createDataFrame(rows, "Season int, region string, seed int, TeamID long, rating double"), ("E", "W", "S", "M"))
 
 
 @pytest.fixture(scope="module")
 def probs(teams):
-    return br.pinned(br.all_pairs(teams, ["TeamID", "rating"]).select("TeamID_a", "TeamID_b", sc.logistic(F.lit(0.2) * (F.col("rating_a") - F.col("rating_b"))).alias("p")))
+    return br.all_pairs(teams, ["TeamID", "rating"]).select("Season", "TeamID_a", "TeamID_b", sc.logistic(F.lit(0.2) * (F.col("rating_a") - F.col("rating_b"))).alias("p"))
+
+
+def by_hand(teams, probs):
+    """Chances of winning each round, team by team."""
+    slot = {r["TeamID"]: r["slot"] for r in teams}
+    p = {(r["TeamID_a"], r["TeamID_b"]): r["p"] for r in probs}
+    won = [{t: 1.0 for t in slot}]
+    for r in range(6):
+        won.append({t: won[-1][t] * sum(won[-1][o] * p[t, o] for o in slot if slot[o] >> r == (slot[t] >> r) ^ 1) for t in slot})
+    return {t: [w[t] for w in won[1:]] for t in slot}
 
 
 def test_brackets(spark, teams, probs):
     adv = br.exact_advancement(teams, probs)
-    sums = adv.agg(*(F.sum(f"R{r}").alias(str(r)) for r in range(1, 7))).first()
-    assert [sums[str(r)] for r in range(1, 7)] == [pytest.approx(64 / 2**r) for r in range(1, 7)]
+    found = {r["TeamID"]: [r[f"R{k}"] for k in range(1, 7)] for r in adv.collect()}
+    for y in (2023, 2024):
+        hand = by_hand(teams.where(F.col("Season") == y).collect(), probs.where(F.col("Season") == y).collect())
+        assert all(found[t] == pytest.approx(v) for t, v in hand.items())
+        sums = adv.where(F.col("Season") == y).agg(*(F.sum(f"R{r}").alias(str(r)) for r in range(1, 7))).first()
+        assert [sums[str(r)] for r in range(1, 7)] == [pytest.approx(64 / 2**r) for r in range(1, 7)]
     n = 400
-    shares = {(r["TeamID"], r["round"]): r["p"] for r in br.advancement(br.simulate(teams, probs, n), n).collect()}
+    shares = {(r["TeamID"], r["round"]): r["p"] for r in br.advancement(br.simulate(teams, probs, n, part=150), n).collect()}
     for r in adv.collect():
         for k in range(1, 7):
             p = r[f"R{k}"]
             assert abs(shares.get((r["TeamID"], k), 0) - p) <= 4.5 * math.sqrt(p * (1 - p) / n) + 0.005
-    chalk = {(r["round"], r["slot"]): r["TeamID"] for r in br.fill(adv, lambda r: F.col(f"R{r}")).collect()}
-    ev = {(r["round"], r["slot"]): r["TeamID"] for r in br.fill(adv, lambda r: F.col(f"R{r}") * 2**r).collect()}
-    assert chalk == ev and len(chalk) == 63
-    assert all(t in {chalk[r - 1, 2 * s], chalk[r - 1, 2 * s + 1]} for (r, s), t in chalk.items() if r > 1)
-    with pytest.raises(ValueError):
-        br.pinned(spark.range(5000))
+    chalk = {(r["Season"], r["round"], r["slot"]): r["TeamID"] for r in br.fill(adv, lambda r: F.col(f"R{r}")).collect()}
+    ev = {(r["Season"], r["round"], r["slot"]): r["TeamID"] for r in br.fill(adv, lambda r: F.col(f"R{r}") * 2**r).collect()}
+    assert chalk == ev and len(chalk) == 126
+    assert all(t in {chalk[y, r - 1, 2 * s], chalk[y, r - 1, 2 * s + 1]} for (y, r, s), t in chalk.items() if r > 1)
+
+
+def test_every_slot_has_to_be_taken(spark, teams, probs):
+    for odd in (teams.where("slot > 0"), teams.withColumn("slot", F.greatest("slot", F.lit(1).cast("long")))):
+        with pytest.raises(Exception, match="slots are not taken"):
+            br.exact_advancement(odd, probs).collect()
+    assert br.exact_advancement(teams.limit(0), probs).count() == 0
+
+
+def test_brackets_never_meet_on_the_driver(spark, teams, probs):
+    """The plan is made without a job, and seasons never cross."""
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    plan = br.exact_advancement(teams, probs)._jdf.queryExecution().executedPlan().toString()
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) == before
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
 def test_blended_lines(spark, probs):

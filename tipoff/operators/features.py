@@ -167,10 +167,12 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
     return df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
 
 
-def leaders(df: DataFrame, column: str, n: int, ties: str = "TeamID") -> DataFrame:
-    """The n rows with the largest value, numbered from 1."""
-    top = df.orderBy(F.desc(column), ties).limit(n)
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(column), ties)).cast("long"))  # n rows
+def leaders(df: DataFrame, column: str, n: int, *ties: str) -> DataFrame:
+    """The n rows with the largest value, numbered from 1; equal ones by `ties` (TeamID, if none
+    are given) (W8)."""
+    order = [F.desc(column), *(ties or ("TeamID",))]
+    top = df.orderBy(*order).limit(n)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))  # n rows
 
 
 def late_season(tg: DataFrame, top: DataFrame, days: int = 30) -> DataFrame:
@@ -242,30 +244,16 @@ def market_trend(records: DataFrame, days: int = 30, least: int = 5, late_least:
     ).where((F.col("n") >= least) & (F.col("k") >= late_least)).drop("n", "k")
 
 
-def assemble(spine: DataFrame, parts: list[DataFrame]) -> DataFrame:
-    """Left joins of all features onto the spine of (Season, TeamID)."""
-    for part in parts:
-        spine = spine.join(part, KEY, "left")
-    return spine
-
-
 def side_by_side(parts: list[DataFrame]) -> DataFrame:
-    """The same as `assemble` over `key_union` for numeric parts with different columns and a
-    row per key: one grouping puts them together, and each part is computed once."""
+    """All numeric parts (different columns, a row per key each) beside one another, for every
+    key that any of them has (F14, J1, J8): one grouping puts them together, and each part is
+    computed once."""
     rows = parts[0]
     for part in parts[1:]:
         rows = rows.unionByName(part, allowMissingColumns=True)
     return rows.groupBy(*KEY).agg(*(F.max(c).alias(c) for c in rows.columns if c not in KEY))
 
 
-def key_union(frames: list[DataFrame]) -> DataFrame:
-    """Every (Season, TeamID) that any source has."""
-    out = frames[0].select(*KEY)
-    for f in frames[1:]:
-        out = out.union(f.select(*KEY))
-    return out.distinct()
-
-
 def feature_columns(df: DataFrame, exclude=("Season", "TeamID", "game_id", "label", "weight")) -> list[str]:
     """Numeric columns but the keys (PF7)."""
     return [f.name for f in df.schema.fields if f.dataType.typeName() in ("integer", "long", "double", "float", "short") and f.name not in exclude]
