@@ -1,4 +1,8 @@
+import json
 import math
+import os
+import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +13,8 @@ from tipoff.operators import bracket as br
 from tipoff.operators import features as fx
 from tipoff.operators import matchups as mu
 from tipoff.operators import naming, ratings
-from tipoff.operators.games import games_from_rows
+from tipoff.operators.games import games_from_rows, numbered
+from tipoff.operators.medians import medians
 from tipoff.sources import readers, sinks, validation
 
 
@@ -169,6 +174,129 @@ def test_sources_and_sinks(spark, tmp_path, teams):
     assert one(spark, readers.parsed_date(F.lit("3/5/2024"))).isoformat() == "2024-03-05T00:00:00"
 
 
+@pytest.mark.parametrize("few", [1, 40, 4096])
+def test_exact_medians(spark, few):
+    rng = random.Random(few)
+    spread = [rng.choice([0.0, -1.5, 1e-300, 1e300, -1e308, 1.7e308, rng.gauss(0, 1), rng.gauss(5, 1e-9), float(rng.randint(0, 3))]) for _ in range(2001)]
+    columns = {
+        "odd": spread, "even": [*spread[:-1], None], "ties": [float(k % 3) for k in range(2001)], "two": [1.0, 4.0] + [None] * 1999, "none": [None] * 2001,
+        "same": [7.0] * 2001, "nan": [float("nan") if k % 2 else float(k) for k in range(2001)], "far": [0.0] * 1000 + [1.0] * 1000 + [None], "line": [float(k) for k in range(2000)] + [None],
+    }
+    df = spark.createDataFrame(list(zip(*columns.values())), ", ".join(f"`{c}` double" for c in columns)).repartition(3)
+    got = medians(df, list(columns), few)
+    for name, values in columns.items():
+        held = [v for v in values if v is not None and v == v]
+        assert got[name] == (pytest.approx(statistics.median(held)) if held else None), name
+    assert medians(df.limit(0), ["odd"]) == {"odd": None} and medians(df, []) == {}
+
+
+def test_numbers_without_gaps(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice([1, 2, None]), rng.randint(0, 400), "x") for _ in range(1500)] + [(9, 1, "y")]
+    df = spark.createDataFrame(rows, "y int, k int, rn_of string").repartition(4)
+    by = {}
+    for r in numbered(df, "y", F.desc("k")).collect():
+        by.setdefault(r["y"], []).append((r["rn"], -r["k"]))
+    assert sum(map(len, by.values())) == 1501
+    for held in by.values():
+        held.sort()
+        assert [n for n, _ in held] == list(range(len(held))) and [k for _, k in held] == sorted(k for _, k in held)
+    assert numbered(df.limit(0), "y", F.desc("k")).count() == 0
+
+
+def test_lines_of_drifting_files(spark, tmp_path):
+    files = {
+        "ncaabb03.csv": '"date","home","hscore","road","rscore","line","lineavg","neutral"\n11/1/2002,"Duke, NC",80,"UNC",70,-3.5,x,1\n11/2/2002,A,1,B,2,.,x,0\n',
+        "ncaabb04.csv": "date, road,rscore ,home,line\n11/3/2003,Caf\xe9,60,Home,4\n\n",
+        "ncaabb05.csv": "line,date,home,road,hscore\n2.5,2004-11-04, C ,D,50\n1,2004-11-05,E,F,51,extra\n",
+        "ncaabb06.csv": "date,home,road\n1/1/2006,G,H\n",
+        "ncaabb07.csv": "",
+        "other.csv": "date,home,road,line\n1/1/2007,I,J,1\n",
+    }
+    for name, text in files.items():
+        (tmp_path / name).write_text(text, encoding="latin-1")
+    got = sorted(tuple(r) for r in readers.load_lines(spark, f"file://{tmp_path}").collect())
+    assert got == [
+        (2004, "11/1/2002", "Duke, NC", "UNC", 80.0, 70.0, -3.5, 1), (2005, "11/3/2003", "Home", "Caf\xe9", None, 60.0, 4.0, 0),
+        (2006, "2004-11-04", "C", "D", 50.0, None, 2.5, 0), (2006, "2004-11-05", "E", "F", 51.0, None, 1.0, 0),
+    ]
+    (tmp_path / "empty").mkdir()
+    none = readers.load_lines(spark, str(tmp_path / "empty"))
+    assert none.count() == 0 and none.dtypes == readers.load_lines(spark, str(tmp_path)).dtypes
+
+
+def test_seasons_are_renewed_and_pruned(spark, tmp_path):
+    path = str(tmp_path / "features")
+    sinks.write_seasons(spark.createDataFrame([(2001, 1, 0.5), (2002, 1, 0.6), (2003, 1, 0.7)], "Season int, TeamID int, x double"), path)
+    sinks.write_seasons(spark.createDataFrame([(2002, 2, 0.9)], "Season int, TeamID int, x double"), path)
+    stored = spark.read.parquet(path)
+    assert sorted((r["Season"], r["TeamID"], r["x"]) for r in stored.collect()) == [(2001, 1, 0.5), (2002, 2, 0.9), (2003, 1, 0.7)]
+    plan = stored.where("Season = 2003")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(Season" in plan and len(stored.where("Season = 2003").select("x").inputFiles()) >= 1
+
+
+def test_validation_in_passing(spark):
+    rows = [(1, 2001, 10, 60, 11, 50), (2, 2001, 10, 60, 12, 61), (3, 2002, 11, 70, 12, 60)]
+    games = spark.createDataFrame(rows, "game_id int, Season int, WTeamID int, WScore int, LTeamID int, LScore int")
+    passed, seen = validation.watched(games, [2001, 2002])
+    assert passed.groupBy("WTeamID").count().count() == 2
+    with pytest.warns(UserWarning, match="2002"):
+        figures = validation.verdict(seen, few=2)
+    report = {r["Season"]: r for r in validation.season_report(games).collect()}
+    assert figures["games"] == sum(r["games"] for r in report.values()) and figures["bad_scores"] == sum(r["bad_scores"] for r in report.values()) == 1
+    assert all(figures[f"season_{y}"] == r["games"] for y, r in report.items())
+    odd = games.withColumn("LTeamID", F.when(F.col("game_id") < 3, F.col("LTeamID")))
+    passed, seen = validation.watched(odd, [])
+    passed.count()
+    with pytest.raises(ValueError):
+        validation.verdict(seen)
+    with pytest.raises(Exception, match="lacks its season or a team"):
+        validation.refuse_null_keys(odd).select("Season").collect()
+    assert validation.refuse_null_keys(games).count() == 3
+
+
+def test_pairs_as_json_parts(spark, tmp_path, probs):
+    for name, pairs in (("all", probs.repartition(7)), ("one", probs.where("Season = 2023").drop("Season")), ("none", probs.limit(0))):
+        path = str(tmp_path / name)
+        sinks.write_pair_json(pairs, path)
+        parts = sorted(p for p in os.listdir(path) if p.startswith("part"))
+        joined = json.loads("".join((tmp_path / name / p).read_text() for p in parts))
+        keys = [c for c in ("Season", "TeamID_a", "TeamID_b") if c in pairs.columns]
+        want = {"_".join(str(r[c]) for c in keys): round(r["p"], 4) for r in pairs.where("TeamID_a < TeamID_b").collect()}
+        assert joined == want and (name != "all" or len(parts) > 1)
+        back = readers.pair_probabilities(spark, path).collect()
+        assert {"_".join(str(r[c]) for c in keys): r["p"] for r in back} == want and len(back) == len(want)
+    (tmp_path / "whole.json").write_text(sinks.pair_json(probs.where("Season = 2024")))
+    back = readers.pair_probabilities(spark, str(tmp_path / "whole.json"))
+    assert back.count() == 64 * 63 // 2 and back.first()["Season"] is None
+
+
+def test_other_sources_and_sinks(spark, tmp_path, teams):
+    (tmp_path / "MMasseyOrdinals.csv").write_text("Season,RankingDayNum,SystemName,TeamID,OrdinalRank\n2023,1,POM,5,2\n2023,1,SAG,5,3\n2023,1,XXX,5,4\n")
+    assert sorted(r["SystemName"] for r in readers.rankings_of(spark, str(tmp_path / "MMasseyOrdinals.csv"), ["POM", "SAG"]).collect()) == ["POM", "SAG"]
+    assert readers.ratings_from_csv(spark, "Team,1,Comp\nA,2,3.5\n").first()["Comp"] == 3.5 and readers.ratings_from_csv(spark, None) is None
+    (tmp_path / "config.yaml").write_text("data: {raw: x}\nseasons: {}\nefficiency: {}\nmodel: {}\nbracket: {n: 2}\n")
+    assert readers.load_config(str(tmp_path / "config.yaml")).bracket == {"n": 2}
+    (tmp_path / "short.yaml").write_text("data: {}\n")
+    with pytest.raises(ValueError, match="seasons"):
+        readers.load_config(str(tmp_path / "short.yaml"))
+    with pytest.raises(FileNotFoundError):
+        readers.load_config(str(tmp_path / "absent.yaml"))
+    (tmp_path / "bracket.csv").write_text("Region,Seed,TeamID,TeamName\n" + "".join(f"East,{k},{k},T{k}\n" for k in range(64)))
+    assert readers.load_bracket(spark, str(tmp_path / "bracket.csv")).count() == 64
+    with pytest.raises(ValueError, match="64"):
+        readers.load_bracket(spark, str(tmp_path / "bracket.csv"), 32)
+    (tmp_path / "odd.csv").write_text("Region,Seed\nEast,1\n")
+    with pytest.raises(ValueError, match="TeamID"):
+        readers.load_bracket(spark, str(tmp_path / "odd.csv"))
+    adv = spark.createDataFrame([(1, 1, 0.9), (1, 6, 0.1), (2, 1, 0.5)], "TeamID long, round int, p double")
+    sinks.write_csv(sinks.advancement_table(adv), str(tmp_path / "adv"))
+    back = spark.read.option("header", True).csv(str(tmp_path / "adv"))
+    assert back.columns == ["TeamID", *(f"R{r}" for r in range(1, 7))] and [r["TeamID"] for r in back.collect()] == ["1", "2"]
+    two = spark.createDataFrame([(1, "A", 1, "E"), (2, "B", 2, "W")], "TeamID long, name string, seed int, region string")
+    assert json.loads(sinks.bracket_json(two, adv)) == {"1": {"name": "A", "seed": 1, "region": "E", "advancement": {"1": 0.9, "6": 0.1}}, "2": {"name": "B", "seed": 2, "region": "W", "advancement": {"1": 0.5}}}
+
+
 def test_medians_and_sparse_columns(spark):
     df = spark.createDataFrame([(1, 1.0, None), (2, None, None), (3, 4.0, 2.0)], "k int, a double, b double")
     assert [r["a"] for r in fx.fill_medians(df, ["a"]).orderBy("k").collect()] == [1.0, 2.5, 4.0]

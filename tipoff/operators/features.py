@@ -7,10 +7,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tipoff.functions.scalars import efficiency, ratio, seed_number
+from tipoff.operators.medians import medians
 
 KEY = ["Season", "TeamID"]
-
-
 KINDS = ("efg", "to_rate", "or_rate", "ft_rate")
 
 
@@ -157,9 +156,11 @@ def first_source(sources: list[DataFrame], n: int) -> DataFrame:
 def with_placeholders(df: DataFrame, teams: DataFrame, columns: list[str]) -> DataFrame:
     """A row of column medians for each of teams (Season, TeamID) that df has none of (PF10);
     columns of teams that df has too come from there."""
-    middle = df.agg(*(F.median(c).alias(c) for c in columns if c not in teams.columns))
-    missing = teams.join(df.select(*KEY), KEY, "left_anti").crossJoin(F.broadcast(middle))
-    return df.unionByName(missing.select(*(F.col(c) if c in missing.columns else F.lit(None).alias(c) for c in df.columns)))
+    own = [c for c in columns if c not in teams.columns]
+    middle = medians(df, own)
+    missing = teams.join(df.select(*KEY), KEY, "left_anti")
+    filler = lambda c: F.col(c) if c in teams.columns else F.lit(middle.get(c)).cast(df.schema[c].dataType)
+    return df.unionByName(missing.select(*(filler(c).alias(c) for c in df.columns)))
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
@@ -272,9 +273,9 @@ def drop_sparse(df: DataFrame, columns: list[str], limit: float) -> DataFrame:
     return df.drop(*(c for c, v in held.items() if v is not None and v > limit))
 
 
-def fill_medians(df: DataFrame, columns: list[str], medians: DataFrame | None = None) -> DataFrame:
-    """Nulls become the column's exact median (PF10, A12), of `medians`' rows where given, so
-    that a model's held-out rows do not fill themselves."""
-    middle = (df if medians is None else medians).agg(*(F.median(c).alias(f"__{c}") for c in columns))
+def fill_medians(df: DataFrame, columns: list[str], of: DataFrame | None = None) -> DataFrame:
+    """Nulls become the column's exact median (PF10, A12), of the rows of `of` where given, so
+    that a model's held-out rows do not fill themselves. df is read twice: settle it before."""
+    middle = medians(df if of is None else of, columns)
     rest = [c for c in df.columns if c not in columns]
-    return df.crossJoin(F.broadcast(middle)).select(*rest, *(F.coalesce(F.col(c).cast("double"), F.col(f"__{c}")).alias(c) for c in columns))
+    return df.select(*(F.col(f"`{c}`") for c in rest), *(F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(middle[c]).cast("double")).alias(c) for c in columns))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tipoff.functions.scalars import possessions
+from tipoff.operators.lineage import written
 from tipoff.sources.adapter import BOX
 
 
@@ -40,12 +41,26 @@ tg AS (
   {_side_sql("L", "W", 0, "CASE \"WLoc\" WHEN 'H' THEN 'A' WHEN 'A' THEN 'H' ELSE 'N' END")})"""
 
 
+def numbered(rows: DataFrame, by: str, *order) -> DataFrame:
+    """Adds rn long: the place of a row in its group's order, from 0 without gaps. Rows are
+    dealt out in ranges of the order and numbered there; what ranges before hold of the group
+    is added. A group of any size is in as many tasks as it takes."""
+    ranges = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = rows.repartitionByRange(ranges, F.col(by), *order).sortWithinPartitions(F.col(by), *order)
+    placed = written(dealt.withColumn("__at", F.monotonically_increasing_id()), "ordered")
+    part = F.shiftright("__at", 33)
+    held = placed.groupBy(F.col(by).alias("__by"), part.alias("__part")).agg(F.count("*").alias("n"), F.min("__at").alias("__first"))
+    before = Window.partitionBy("__by").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    starts = held.withColumn("__start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    met = placed.withColumn("__own", part).join(starts, F.col(by).eqNullSafe(F.col("__by")) & (F.col("__own") == F.col("__part")))
+    return met.select(*(F.col(c) for c in rows.columns), (F.col("__start") + F.col("__at") - F.col("__first")).alias("rn"))
+
+
 def games_from_rows(rows: DataFrame) -> DataFrame:
     """One game out of each two consecutive team rows of a year (YEAR, BY_YEAR_NO descending):
     different rounds and ties are skipped, an odd last row is left over."""
-    order = Window.partitionBy("YEAR").orderBy(F.desc("BY_YEAR_NO"))
     entry = F.struct("SCORE", "TEAM_NO", "TEAM", "SEED")
-    met = rows.withColumn("rn", F.row_number().over(order) - 1).withColumn("pair", F.floor(F.col("rn") / 2))
+    met = numbered(rows, "YEAR", F.desc("BY_YEAR_NO")).withColumn("pair", F.floor(F.col("rn") / 2))
     joined = met.groupBy("YEAR", "pair").agg(
         F.count("*").alias("n"), F.min("CURRENT_ROUND").alias("Round"), F.max("CURRENT_ROUND").alias("other_round"),
         F.max(entry).alias("w"), F.min(entry).alias("l"),

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tipoff.functions.scalars import efficiency
 from tipoff.operators.features import KEY, _with_last_day
+from tipoff.operators.lineage import written
 
 #: Rounds between two lineage cuts.
 CUT = 5
@@ -17,19 +15,6 @@ CUT = 5
 SMALL_ROWS = 500_000
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage: writes to the folder of spark.checkpoint.dir (a temporary one where it
-    is unset, as in tests) and reads back."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='tipoff-')}"
-        spark.sparkContext.setCheckpointDir(base)
-    path = f"{base.rstrip('/')}/tipoff/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def weighted_games(tg: DataFrame, half_life: float) -> DataFrame:
     """Efficiencies of each game and its recency weight."""
     aged = _with_last_day(tg).where(F.col("poss") > 0)

@@ -298,7 +298,7 @@ def null_fraction(spark, sf):
 
 @register("median_impute", f"""WITH {SEEDED}, {MATRIX} SELECT "Season", "TeamID", {", ".join(f"round(coalesce({c}, (SELECT median({c}) FROM mx)), 6) AS {c}" for c in MATRIX_COLUMNS)} FROM mx""")
 def median_impute(spark, sf):
-    return rounded(fx.fill_medians(matrix(spark, sf), MATRIX_COLUMNS), *MATRIX_COLUMNS)
+    return rounded(fx.fill_medians(rt.written(matrix(spark, sf), "matrix"), MATRIX_COLUMNS), *MATRIX_COLUMNS)
 
 
 @register("validation", f"""WITH {G} SELECT "Season", count(*) AS games, count(DISTINCT game_id) AS ids, count(*) FILTER (WHERE "WTeamID" IS NULL OR "LTeamID" IS NULL) AS null_keys,

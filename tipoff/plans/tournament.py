@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tipoff.functions.scalars import line_to_prob, logistic
@@ -11,9 +13,11 @@ from tipoff.operators import matchups as mu
 from tipoff.operators import ratings as rt
 from tipoff.operators import tuning
 from tipoff.operators.games import team_games
+from tipoff.operators.lineage import shared_folder
 from tipoff.plans.features import MATRIX, MATRIX_COLUMNS, RK, SEEDED, TOP, _latest_sql, latest, matrix, phi_sql, rounded
 from tipoff.plans.registry import register
 from tipoff.sources import adapter as ad
+from tipoff.sources import readers, sinks
 
 #: How many tournaments are simulated, and the lottery's seed.
 SIMS, RANDOM_SEED = 10_000, 42
@@ -58,6 +62,14 @@ def pair_probs_query(spark, sf):
     return rounded(both(spark, sf)[1], "p")
 
 
+@register("pairs_exported", f'WITH {BASE} SELECT "Season", "TeamID_a", "TeamID_b", round_even(p, 4) AS p FROM pp WHERE "TeamID_a" < "TeamID_b"')
+def pairs_exported(spark, sf):
+    """Every season's chances, written as JSON by the tasks that have them and read back."""
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}/pairs.json"
+    sinks.write_pair_json(both(spark, sf)[1], path)
+    return readers.pair_probabilities(spark, path)
+
+
 #: One line per pair of bracket teams: the season's last game between them.
 LINES = f"""lines AS (SELECT g."Season", home_id AS "TeamID_a", road_id AS "TeamID_b", arg_max(line, "DayNum" * 1000000000 + game_id) AS spread FROM games g
    JOIN field h ON h."Season" = g."Season" AND h."TeamID" = g.home_id JOIN field r ON r."Season" = g."Season" AND r."TeamID" = g.road_id WHERE line IS NOT NULL GROUP BY 1, 2, 3),
@@ -296,6 +308,19 @@ def cascade_lines(spark, sf):
     return met.select(*KEY, F.round(F.coalesce("late", any_line), 6).alias("spread"), F.when(F.col("late").isNotNull(), "late").when(any_line.isNotNull(), "any").otherwise("none").alias("source"))
 
 
+@register("season_store", f"""WITH {BASE}, renewed AS (SELECT max("Season") AS y FROM tg) SELECT "Season", "TeamID", round(avg(pts) * CASE WHEN "Season" = y THEN 2 ELSE 1 END, 6) AS avg_pts FROM tg, renewed GROUP BY "Season", "TeamID", y""")
+def season_store(spark, sf):
+    """Features kept in a folder a season; the last season is renewed in place."""
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}/features"
+    means = team_games(ad.game_log(spark, sf)).groupBy(*fx.KEY).agg(F.avg("pts").alias("avg_pts"))
+    sinks.write_seasons(means, path)
+    stored = spark.read.parquet(path)
+    last = stored.agg(F.max("Season")).first()[0]
+    again = rt.written(stored.where(F.col("Season") == last).withColumn("avg_pts", F.col("avg_pts") * 2), "again")
+    sinks.write_seasons(again, path)
+    return rounded(spark.read.parquet(path).withColumn("Season", F.col("Season").cast("long")), "avg_pts").select(*fx.KEY, "avg_pts")
+
+
 PAIR_COLUMNS = ", ".join(f"round(CASE WHEN y = 1 THEN w.{c} - l.{c} ELSE l.{c} - w.{c} END, 6) AS {c}" for c in FEATURES)
 PAIRS = f"""pairs AS (SELECT t.game_id, t."Season", y AS label, {PAIR_COLUMNS} FROM tourney t JOIN mx w ON w."Season" = t."Season" AND w."TeamID" = t."WTeamID" JOIN mx l ON l."Season" = t."Season" AND l."TeamID" = t."LTeamID", (SELECT unnest([1, 0]) AS y))"""
 MX = f"{SEEDED}, {MATRIX},{ad.TOURNEY_SQL}"

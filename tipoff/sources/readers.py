@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import glob
 import json
 import os
 import time
@@ -41,6 +40,11 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
 
 
+def _matches(spark: SparkSession, pattern: str) -> bool:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    return bool(hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(hadoop))
+
+
 def load_tables(spark: SparkSession, folder: str, letter: str = "M") -> dict[str, DataFrame]:
     """All tables of a folder; a missing file is an error (IO1)."""
     out = {}
@@ -69,6 +73,7 @@ def rankings_of(spark: SparkSession, path: str, systems: list[str]) -> DataFrame
     return read_csv(spark, path, TABLES["rankings"][1]).where(F.col("SystemName").isin(systems))
 
 
+NEEDED = ("date", "home", "road", "line")
 LINE_COLUMNS = ("date", "home", "hscore", "road", "rscore", "line", "neutral")
 
 
@@ -76,7 +81,7 @@ def clean_lines(raw: DataFrame, season) -> DataFrame:
     """Quotes off names and columns, numbers or null, neutral 0 where absent, rows without a
     line gone (IO5, S5, S8)."""
     raw = raw.toDF(*(c.strip().strip('"') for c in raw.columns))
-    require_columns(raw, ("date", "home", "road", "line"), "lines")
+    require_columns(raw, NEEDED, "lines")
     for c in ("hscore", "rscore", "neutral"):
         if c not in raw.columns:
             raw = raw.withColumn(c, F.lit(None).cast("string"))
@@ -94,18 +99,31 @@ def season_of(path) -> F.Column:
 
 
 def load_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """All yearly line files, whose columns drift; files that lack needed ones are left out.
-    One read per file, since each has its own header: as many as there are seasons."""
-    out = None
-    for path in sorted(glob.glob(f"{folder}/ncaabb[0-9][0-9].csv")):
-        raw = spark.read.option("header", True).option("encoding", "ISO-8859-1").option("ignoreLeadingWhiteSpace", True).csv(path)
-        try:
-            part = clean_lines(raw, season_of(F.lit(os.path.basename(path))))
-        except ValueError:
-            continue
-        out = part if out is None else out.unionByName(part)
-    empty = "season int, date string, home string, road string, hscore double, rscore double, line double, neutral int"
-    return spark.createDataFrame([], empty) if out is None else out
+    """All yearly line files of a folder on any file system, whose columns drift (IO5).
+
+    One read brings every line with its file. A line that names all needed columns is its
+    file's header; a table of (file, position of each column), a row a file, tells where the
+    other lines have their values. Files without such a header are left out; a folder without
+    files gives no rows.
+    """
+    pattern = f"{folder}/ncaabb[0-9][0-9].csv"
+    if not _matches(spark, pattern):
+        empty = "season int, date string, home string, road string, hscore double, rscore double, line double, neutral int"
+        return spark.createDataFrame([], empty)
+    whole = spark.read.schema("text string").option("sep", "\x01").option("quote", "").option("encoding", "ISO-8859-1").csv(pattern)
+    rows = whole.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_name").alias("file_name"), "text").where("text is not null")
+    names = F.transform(F.split("text", ","), lambda x: F.trim(F.btrim(F.trim(x), F.lit('"'))))
+    is_header = F.size(F.array_intersect(names, F.array(*map(F.lit, NEEDED)))) == len(NEEDED)
+    at = lambda c: F.nullif(F.array_position("names", c).cast("int"), F.lit(0)) - 1
+    headers = rows.where(is_header).groupBy("file").agg(F.first(names).alias("names"), F.first(F.size(names)).alias("width"))
+    places = headers.select("file", "width", *(at(c).alias(f"at_{c}") for c in LINE_COLUMNS))
+    widest = places.agg(F.max("width")).first()[0] or 1
+    cells = F.from_csv("text", F.lit(", ".join(f"c{k} string" for k in range(widest))), {"ignoreLeadingWhiteSpace": "true"})
+    data = rows.where(~is_header).join(places, "file").select("file_name", *(f"at_{c}" for c in LINE_COLUMNS), cells.alias("cells"))
+    listed = F.array(*(F.col(f"cells.c{k}") for k in range(widest)))
+    value = lambda c: F.when(F.col(f"at_{c}").isNotNull(), F.get(listed, F.col(f"at_{c}")))
+    raw = data.select("file_name", *(value(c).alias(c) for c in LINE_COLUMNS))
+    return clean_lines(raw, season_of(F.col("file_name")))
 
 
 def parsed_date(column) -> F.Column:
@@ -177,7 +195,12 @@ def load_bracket(spark: SparkSession, path: str, teams: int = 64) -> DataFrame:
 
 
 def pair_probabilities(spark: SparkSession, path: str) -> DataFrame:
-    """(TeamID_a, TeamID_b, p) from a JSON object of `lo_hi: p` (JS1)."""
-    text = spark.read.text(path, wholetext=True)
-    entries = text.select(F.explode(F.from_json("value", "map<string,double>")).alias("k", "p"))
-    return entries.select(F.split("k", "_")[0].cast("long").alias("TeamID_a"), F.split("k", "_")[1].cast("long").alias("TeamID_b"), "p")
+    """(TeamID_a, TeamID_b, p) from a JSON object of `lo_hi: p`, with Season first where keys
+    are `season_lo_hi` (JS1): a file of one line, or parts with an entry a line."""
+    body = F.btrim("value", F.lit(" ,"))
+    whole = F.concat(F.when(body.startswith("{"), "").otherwise("{"), body, F.when(body.endswith("}"), "").otherwise("}"))
+    entries = spark.read.text(path).where("trim(value) not in ('', '{', '}')").select(F.explode(F.from_json(whole, "map<string,double>")).alias("k", "p"))
+    ids = F.split("k", "_")
+    n = F.size(ids)
+    out = entries.select(F.when(n == 3, ids[0]).cast("long").alias("Season"), F.get(ids, n - 2).cast("long").alias("TeamID_a"), F.get(ids, n - 1).cast("long").alias("TeamID_b"), "p")
+    return out

@@ -15,8 +15,9 @@ ROUNDS = range(1, 7)
 
 
 def write_seasons(df: DataFrame, path: str) -> None:
-    """Parquet, a folder per season, which later filters prune (IO6)."""
-    df.write.mode("overwrite").partitionBy("Season").parquet(path)
+    """Parquet, a folder per season, which later filters prune; seasons that df holds are
+    renewed in place, others stay (IO6)."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("Season").parquet(path)
 
 
 def advancement_table(adv: DataFrame) -> DataFrame:
@@ -37,11 +38,33 @@ def pair_json(pairs: DataFrame) -> str:
     return held or "{}"
 
 
+def write_pair_json(pairs: DataFrame, path: str) -> None:
+    """The same object as text parts that executors write, an entry a line in order of keys, so
+    that the parts one after another are the object (IO12). Keys are `season_lo_hi` where pairs
+    have a Season. No row comes to the driver but the first key."""
+    parts = [c for c in ("Season", "TeamID_a", "TeamID_b") if c in pairs.columns]
+    rows = pairs.where("TeamID_a < TeamID_b").select(F.struct(*parts).alias("k"), F.bround("p", 4).alias("p"))
+    first = rows.agg(F.min("k").alias("k")).first()["k"]
+    opening = F.when(F.to_json("k") == F.lit(None if first is None else _json_of(first)), "{").otherwise(",")
+    entry = F.concat(opening, F.lit('"'), F.concat_ws("_", *(F.col(f"k.{c}").cast("string") for c in parts)), F.lit('":'), F.coalesce(F.col("p").cast("string"), F.lit("null")))
+    lines = rows.select(F.lit(0).alias("end"), "k", entry.alias("value"))
+    closing = pairs.sparkSession.range(1).select(F.lit(1).alias("end"), F.lit(None).cast(rows.schema["k"].dataType).alias("k"), F.lit("{}" if first is None else "}").alias("value"))
+    n = max(1, int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ordered = lines.union(closing).repartitionByRange(n, "end", "k").sortWithinPartitions("end", "k")
+    ordered.select("value").write.mode("overwrite").text(path)
+
+
+def _json_of(row) -> str:
+    return json.dumps(row.asDict(), separators=(",", ":"))
+
+
 def bracket_json(teams: DataFrame, adv: DataFrame) -> str:
-    """Per team its name, seed, region and advancement by round."""
+    """Per team of one bracket its name, seed, region and advancement by round."""
     rounds = adv.groupBy("TeamID").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("round").cast("string"), F.col("p"))))).alias("advancement"))
     rows = teams.join(rounds, "TeamID", "left").select("TeamID", F.struct("name", "seed", "region", "advancement").alias("v"))
-    return rows.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("TeamID").cast("string"), "v")))))).first()[0]
+    held = F.collect_list(F.struct(F.col("TeamID").cast("string").alias("k"), "v"))  # a bracket's
+    in_order = F.array_sort(held, lambda a, b: F.when(a["k"] < b["k"], -1).when(a["k"] > b["k"], 1).otherwise(0))
+    return rows.agg(F.to_json(F.map_from_entries(in_order))).first()[0]
 
 
 def splice(html: str, data: str, name: str = "RAW") -> str:
