@@ -56,13 +56,13 @@ def test_first_cut_is_the_best_of_all(spark):
 
 def test_learns_and_is_the_same_however_rows_are_dealt(spark, monkeypatch):
     df, _ = table(spark)
-    specs = [Spec(k, trees=30, depth=3, rate=0.1) for k in range(4)]
+    specs = [Spec(k, trees=12, depth=3, rate=0.25) for k in range(4)]
     one, scored = boosting.fit(df, COLUMNS, specs, ["game_id"], fold="part")
     monkeypatch.setattr(boosting, "PART_ROWS", 100)
     monkeypatch.setattr(boosting, "HELD_BYTES", 1 << 16)
-    monkeypatch.setattr(boosting, "CUT", 7)
+    monkeypatch.setattr(boosting, "CUT", 5)
     many, again = boosting.fit(df, COLUMNS, specs, ["game_id"], fold="part")
-    assert len(one.trees) == 4 and all(len(t) == 30 for t in one.trees)
+    assert len(one.trees) == 4 and all(len(t) == 12 for t in one.trees)
     for a, b in zip(sum(one.trees, []), sum(many.trees, [])):
         assert (a.feature == b.feature).all() and (a.cut == b.cut).all() and np.allclose(a.value, b.value)
     out = boosting.held_out_scores(scored, specs).collect()

@@ -9,7 +9,7 @@ from tipoff.plans import registry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
-SLOW = {"loso", "platt", "gbt_fit_score"}
+SLOW = {"loso", "platt", "gbt_fit_score", "tuning"}
 
 
 @pytest.fixture(scope="module")

@@ -35,21 +35,24 @@ def _shared_grams(a: Column, b: Column, least: float, q: int) -> Column:
 
 
 def _grams(keys: DataFrame) -> DataFrame:
-    """key, n, q, gram: every gram of every length, repeats numbered."""
+    """key, n, q, gram, at: every gram of every length, repeats numbered; at is the place of a
+    gram that the key holds once, and null of others."""
     q = F.explode(F.array(*(F.lit(x) for x in GRAMS)))
     starts = F.sequence(F.lit(1), F.col("n") - F.col("q") + 1)
     all_ = F.transform(starts, lambda i: F.substring(F.col("key"), i, F.col("q")))
     sorted_ = F.array_sort(all_)
     # A gram's number: its place in the sorted list less the place of the first like it.
-    numbered = F.transform(sorted_, lambda g, i: F.concat(g, F.lit("\x00"), (i + 1 - F.array_position(sorted_, g)).cast("string")))
+    number = lambda g, i: (i + 1 - F.array_position(sorted_, g)).cast("string")
+    once = lambda g: F.size(F.filter(sorted_, lambda x: x == g)) == 1
+    numbered = F.transform(sorted_, lambda g, i: F.struct(F.concat(g, F.lit("\x00"), number(g, i)).alias("gram"), F.when(once(g), F.array_position(all_, g)).cast("int").alias("at")))
     rows = keys.select("key", "n", q.alias("q")).where(F.col("n") >= F.col("q"))
-    return rows.select("key", "n", "q", F.explode(numbered).alias("gram"))
+    return rows.select("key", "n", "q", F.explode(numbered).alias("g")).select("key", "n", "q", "g.gram", "g.at")
 
 
 def _prefixes(grams: DataFrame, counts: DataFrame, least: float, own: str, other: str) -> DataFrame:
     """key and, for each length of a partner, the rarest of its grams: so many that a partner
     that shares enough grams shares one of these."""
-    ranked = grams.join(counts, ["q", "gram"], "left").groupBy("key", "n", "q").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("held", F.lit(0)).alias("held"), "gram"))).alias("grams"))  # of one name
+    ranked = grams.join(counts, ["q", "gram"], "left").groupBy("key", "n", "q").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("held", F.lit(0)).alias("held"), "gram", "at"))).alias("grams"))  # of one name
     low, high = least / (200 - least), (200 - least) / least
     partners = F.sequence(F.greatest(F.lit(1), F.ceil(F.col("n") * low - 1e-9)).cast("int"), F.floor(F.col("n") * high + 1e-9).cast("int"))
     rows = ranked.select("key", "n", "q", "grams", F.explode(partners).alias("m"))
@@ -63,7 +66,7 @@ def _prefixes(grams: DataFrame, counts: DataFrame, least: float, own: str, other
         shared = F.when(F.col("q") == q, each).otherwise(shared) if shared is not None else F.when(F.col("q") == q, each)
     rows = rows.where(F.col("q") == wanted).withColumn("take", F.size("grams") - shared + 1).where("take > 0")
     first = F.slice("grams", F.lit(1), F.col("take").cast("int"))
-    return rows.select(F.col("key").alias(f"key_{own}"), F.col("n").alias(f"n_{own}"), F.col("m").alias(f"n_{other}"), "q", F.explode(F.transform(first, lambda g: g["gram"])).alias("gram"))
+    return rows.select(F.col("key").alias(f"key_{own}"), F.col("n").alias(f"n_{own}"), F.col("m").alias(f"n_{other}"), "q", F.explode(first).alias("g")).select(f"key_{own}", f"n_{own}", f"n_{other}", "q", "g.gram", F.col("g.at").alias(f"at_{own}"))
 
 
 def similar(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
@@ -78,6 +81,10 @@ def similar(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     a, b = (_grams(x.select("key", F.length("key").alias("n"))) for x in (left, right))
     counts = b.groupBy("q", "gram").agg(F.count("*").alias("held"))
     met = _prefixes(a, counts, least, "a", "b").join(_prefixes(b, counts, least, "b", "a"), ["n_a", "n_b", "q", "gram"])
+    # A gram of the common subsequence stands behind what either name has left out before it.
+    common = _common_length(F.col("n_a"), F.col("n_b"), least)
+    shift = F.col("at_a") - F.col("at_b")
+    met = met.where(F.coalesce((shift <= F.col("n_a") - common) & (-shift <= F.col("n_b") - common), F.lit(True)))
     scored = met.select("key_a", "key_b").distinct().withColumn("score", indel_score("key_a", "key_b")).where(F.col("score") >= least)
     empty = left.where("key = ''").select(F.col("key").alias("key_a")).join(right.where("key = ''").select(F.col("key").alias("key_b")), F.col("key_a") == F.col("key_b"))
     return scored.union(empty.withColumn("score", F.lit(100.0)))
