@@ -5,6 +5,7 @@ import zlib
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tipoff.llm import bytebpe, packing, tokencount
@@ -132,3 +133,27 @@ def test_digest_of_ids(spark, docs):
 
     r = bytebpe.encode(docs.where("doc_id = 3"), BYTE).select("ids", F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("h")).first()
     assert r["h"] == hashlib.sha256(",".join(map(str, r["ids"])).encode()).hexdigest()
+
+
+def test_equal_rows_without_id_are_ranked_by_many_tasks(spark):
+    docs = spark.range(100_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("one and the same row").alias("text"))
+    packed = packing.pack_documents(docs, WORD)
+    length = packed.first()["length"]
+    each = 2048 // length
+    fill = packed.groupBy("sequence_id").agg(F.count("*").alias("n"), F.countDistinct("offset").alias("places"), F.max("offset").alias("last"))
+    assert fill.where(f"n <> places or last <> (n - 1) * {length}").count() == 0
+    assert packed.count() == 100_000 and fill.count() == -(-100_000 // each)
+    seen = []
+    plain = packing.rank_within
+
+    def spy(df, group, order, rank, salts):
+        cell = F.pmod(F.xxhash64(*(F.col(c) for c in order)), F.lit(salts))
+        seen.extend(r["count"] for r in df.groupBy(cell).count().collect())
+        return plain(df, group, order, rank, salts)
+
+    packing.rank_within = spy
+    try:
+        packing.pack_documents(docs, WORD)
+    finally:
+        packing.rank_within = plain
+    assert len(seen) == 8 and max(seen) < 2 * 100_000 / 8

@@ -196,7 +196,8 @@ def pack(pieces: DataFrame, order: list[str], length_col: str = "length", capaci
     """All columns of pieces plus sequence_id long and offset long.
 
     `order` names columns that tell rows apart; rows equal in all of them are still placed
-    one by one. Lengths must be 1 to `capacity` (others raise an error; a null length too).
+    one by one, by one task of their length (pack_documents numbers rows to avoid that).
+    Lengths must be 1 to `capacity` (others raise an error; a null length too).
     An empty table packs to an empty table. Columns named sequence_id and offset are replaced;
     other names may be any. The plan has at most a few runs per length and
     group of sequences: its size depends on `capacity`, not on the rows.
@@ -217,7 +218,8 @@ def pack(pieces: DataFrame, order: list[str], length_col: str = "length", capaci
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
     """Token pieces of documents, each with its place: doc_id, piece, start, length,
     ids_crc32, sequence_id, offset. Ids stay where they were made; only their checksum and
-    length take part in planning (token_pieces gives the ids)."""
+    length take part in planning (token_pieces gives the ids). Pieces are numbered as they are
+    written, so that any number of rows equal in all columns is ranked by many tasks."""
     pieces = token_pieces(docs, tokenizer_path, capacity=capacity)
-    slim = settle(pieces.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), F.crc32("ids_le").alias("ids_crc32")), "pieces")
-    return pack(slim, ["doc_id", "piece", "ids_crc32"], capacity=capacity)
+    slim = settle(pieces.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), F.crc32("ids_le").alias("ids_crc32"), F.monotonically_increasing_id().alias("row")), "pieces")
+    return pack(slim, ["doc_id", "piece", "ids_crc32", "row"], capacity=capacity).drop("row")
