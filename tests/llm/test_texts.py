@@ -67,8 +67,10 @@ def remaining(corpus, length):
     return {i: sorted(v) for i, v in out.items()}
 
 
-@pytest.mark.parametrize(("length", "block"), [(50, 4 << 20), (50, 3000), (20, 3000)])
-def test_repeats_against_all_strings(docs, corpus, length, block, monkeypatch):
+@pytest.mark.parametrize(("length", "block", "hot"), [(50, 4 << 20, 1 << 15), (50, 3000, 1 << 15), (20, 3000, 1 << 15), (50, 4 << 20, 1), (50, 3000, 3), (20, 3000, 8)])
+def test_repeats_against_all_strings(docs, corpus, length, block, hot, monkeypatch):
+    monkeypatch.setattr(substrings, "HOT", hot)
+    monkeypatch.setattr(substrings, "RECOUNT", min(hot, 64))
     monkeypatch.setattr(substrings, "BLOCK_BYTES", block)
     monkeypatch.setattr(substrings, "BUCKET_BYTES", block)
     got = defaultdict(list)

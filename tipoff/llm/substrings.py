@@ -15,6 +15,11 @@ at equal offsets.
    their least id goes back to the blocks.
 4. Blocks mark the strings whose least id is below their own document's.
 
+An anchor with very many different contexts (a line that stands in documents of all kinds) would
+be one task's work in step 3. Buckets therefore also count contexts; of an anchor with HOT or
+more, blocks send the strings themselves, each distinct one once with its least id, to buckets
+of their own by the strings' hashes.
+
 Every exchange carries compressed columns of anchors or contexts, not rows per position.
 """
 
@@ -43,6 +48,11 @@ _MOST = 25  # and at most: 128 TB at BUCKET_BYTES
 _HIGH = np.uint64((1 << 39) - 1)  # of the others, those that are sent beside a flag in 5 bytes
 #: Contexts that are sorted at a time, about; those of one anchor always together.
 SECTION = 1 << 14
+#: Contexts of one anchor, about, from which its strings are sent instead.
+HOT = 1 << 15
+#: Occurrences of an anchor in a block that are counted beside its key (fewer count as one), and
+#: from which on it is the different contexts that are counted.
+OFTEN, RECOUNT = 4, 64
 LEVEL = 9  # of compression: what is written is read over again or crosses the network
 
 
@@ -77,6 +87,23 @@ def _key(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def _fold(rows: np.ndarray, factor: int = _ODD) -> np.ndarray:
+    """A 64-bit hash of each row of bytes."""
+    out = np.zeros(len(rows), np.uint64)
+    for c in range(rows.shape[1]):
+        out = (out ^ (out >> np.uint64(33))) * np.uint64(factor) + (rows[:, c].astype(np.uint64) + np.uint64(1))
+    return out ^ (out >> np.uint64(32))
+
+
+def _equal(whole: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first of each distinct row, number of its distinct one). Hashes find the equal ones;
+    should rows of one hash differ, their bytes tell them apart."""
+    _, first, inverse = np.unique(whole, return_index=True, return_inverse=True)
+    if len(first) < len(rows) and any((rows[k : k + (1 << 14)] != rows[first[inverse[k : k + (1 << 14)]]]).any() for k in range(0, len(rows), 1 << 14)):
+        _, first, inverse = np.unique(np.ascontiguousarray(rows).view(f"V{rows.shape[1]}").ravel(), return_index=True, return_inverse=True)
+    return first, inverse
+
+
 class Shape:
     """Lengths that follow from the string length."""
 
@@ -141,24 +168,36 @@ class Shape:
 
     def names(self, records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """64-bit hashes of whole records, and the keys of their anchors."""
-        whole = np.zeros(len(records), np.uint64)
         anchor = np.zeros(len(records), np.uint64)
-        for c in range(records.shape[1]):
-            v = records[:, c].astype(np.uint64) + np.uint64(1)
-            whole = (whole ^ (whole >> np.uint64(33))) * np.uint64(_ODD) + v
-            if self.side + 2 <= c < self.side + 2 + self.gram:
-                anchor = anchor * np.uint64(_ODD) + v
-        return whole ^ (whole >> np.uint64(32)), _key(_hash(anchor))
+        for c in range(self.side + 2, self.side + 2 + self.gram):
+            anchor = anchor * np.uint64(_ODD) + (records[:, c].astype(np.uint64) + np.uint64(1))
+        return _fold(records), _key(_hash(anchor))
+
+    def strings(self, records: np.ndarray, anchor: np.ndarray):
+        """For each number of bytes before the anchor: it, the records that have such a string,
+        and these strings, each after four bytes of its anchor's key."""
+        left, right = records[:, 0].astype(np.int64), records[:, 1].astype(np.int64)
+        tag = (anchor >> np.uint64(32)).astype("<u4").view(np.uint8).reshape(-1, 4)
+        for before in range(self.side + 1):
+            fits = np.flatnonzero((before <= left) & (self.side - before <= right))
+            begin = 2 + self.side - before
+            yield before, fits, np.concatenate([tag[fits], records[fits, begin : begin + self.length]], axis=1)
+
+    def different(self, data, offsets, at, owner, key) -> np.ndarray:
+        """How many different contexts each key has, keys ascending; `key` is sorted."""
+        whole = [self.names(self.contexts(data, offsets, at[k : k + (1 << 14)], owner[k : k + (1 << 14)]))[0] for k in range(0, len(at), 1 << 14)]
+        number = np.cumsum(np.append(False, key[1:] != key[:-1]))
+        whole = np.concatenate(whole)
+        order = np.lexsort((whole, number))
+        whole, number = whole[order], number[order]
+        new = np.append(True, (whole[1:] != whole[:-1]) | (number[1:] != number[:-1]))
+        return np.bincount(number[new])
 
     def distinct(self, records: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(hash of each record, key of its anchor, first record of each distinct one, number of
-        its distinct one). Hashes find the equal ones; should records of one hash differ, their
-        bytes tell them apart."""
+        its distinct one)."""
         whole, anchor = self.names(records)
-        _, first, inverse = np.unique(whole, return_index=True, return_inverse=True)
-        if len(first) < len(records) and any((records[k : k + (1 << 14)] != records[first[inverse[k : k + (1 << 14)]]]).any() for k in range(0, len(records), 1 << 14)):
-            _, first, inverse = np.unique(np.ascontiguousarray(records).view(f"V{records.shape[1]}").ravel(), return_index=True, return_inverse=True)
-        return whole, anchor, first, inverse
+        return whole, anchor, *_equal(whole, records)
 
     def _longest(self, group: np.ndarray, sides: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """How much of its side (bytes outwards from the anchor) each record shares with some
@@ -343,19 +382,25 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for batch in batches:
             for name, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
                 _, _, data, offsets = _load(blob.as_py(), id_col, text_col)
-                _, key, owner = shape.anchors(data, offsets)
+                at, key, owner = shape.anchors(data, offsets)
                 order = np.argsort(key, kind="stable")
-                key, owner = key[order], owner[order]
+                at, key, owner = at[order], key[order], owner[order]
                 first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
                 many = owner[first] != owner[np.append(first[1:], len(key)) - 1] if len(key) else np.empty(0, bool)
+                times = np.diff(np.append(first, len(key)))
+                again = np.repeat(times >= RECOUNT, times)
+                if again.any():
+                    times[times >= RECOUNT] = shape.different(data, offsets, at[again], owner[again], key[again])
                 key = key[first]
                 value = (((key >> low) & _HIGH) << np.uint64(1)) | many.astype(np.uint64)
                 bucket = (key & np.uint64(buckets - 1)).astype(np.int64)
                 order, parts = _by_bucket(bucket)
-                value = value[order]
+                value, times = value[order], times[order].astype("<u4")
+                often = [np.flatnonzero(times[i:j] >= OFTEN).astype("<u4") for _, i, j in parts]
+                often = [w.tobytes() + times[i:j][w].tobytes() if len(w) else None for w, (_, i, j) in zip(often, parts)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([b for b, _, _ in parts], pa.int64()), pa.array([name] * len(parts), pa.string()), pa.array([_five(value[i:j]) for _, i, j in parts], pa.binary())],
-                    names=["bucket", "block", "data"],
+                    [pa.array([b for b, _, _ in parts], pa.int64()), pa.array([name] * len(parts), pa.string()), pa.array([_five(value[i:j]) for _, i, j in parts], pa.binary()), pa.array(often, pa.binary())],
+                    names=["bucket", "block", "data", "often"],
                 )
         tidy("substrings")
 
@@ -367,16 +412,24 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         _, inverse, counts = np.unique(flat >> np.uint64(1), return_inverse=True, return_counts=True)
         counts = counts + np.bincount(inverse, weights=(flat & np.uint64(1)).astype(float), minlength=len(counts))
         shared = counts[inverse] >= 2
+        times, at = np.ones(len(flat)), 0
+        for v, w in zip(values, table.column("often").to_pylist()):
+            if w:
+                place, number = np.frombuffer(w, "<u4").reshape(2, -1)
+                times[at + place] = number
+            at += len(v)
+        hot = (np.bincount(inverse, weights=times) >= HOT)[inverse] if len(flat) else shared
+        flat = (flat >> np.uint64(1) << np.uint64(1)) | hot.astype(np.uint64)
         out, at = [], 0
         for name, v in zip(names, values):
-            here = shared[at : at + len(v)]
+            here = at + np.flatnonzero(shared[at : at + len(v)])
             at += len(v)
-            if here.any():
-                out.append((bucket, name, _five(v[here])))
+            if len(here):
+                out.append((bucket, name, _five(flat[here])))
         return pa.table({"bucket": pa.array([o[0] for o in out], pa.int64()), "block": pa.array([o[1] for o in out], pa.string()), "data": pa.array([o[2] for o in out], pa.binary())})
 
     schema = "bucket long, block string, data binary"
-    shared = blocks.mapInArrow(send_keys, schema).groupBy("bucket").applyInArrow(find_shared, schema)
+    shared = blocks.mapInArrow(send_keys, f"{schema}, often binary").groupBy("bucket").applyInArrow(find_shared, schema)
 
     def send_contexts(left: pa.Table, right: pa.Table) -> pa.Table:
         tidy("substrings")
@@ -384,28 +437,47 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if left.num_rows and right.num_rows:
             name = left.column("block")[0].as_py()
             _, ids, data, offsets = _load(left.column("blob")[0].as_py(), id_col, text_col)
-            wanted = np.sort(np.concatenate([((_from_five(d.as_py()) >> np.uint64(1)) << low) | np.uint64(b.as_py()) for b, d in zip(right.column("bucket"), right.column("data"))]))
+            values = [_from_five(d.as_py()) for d in right.column("data")]
+            wanted = np.concatenate([((v >> np.uint64(1)) << low) | np.uint64(b.as_py()) for b, v in zip(right.column("bucket"), values)])
+            order = np.argsort(wanted)
+            wanted, hot = wanted[order], (np.concatenate(values)[order] & np.uint64(1)).astype(bool)
             at, key, owner = shape.anchors(data, offsets)
             short = (((key >> low) & _HIGH) << low) | (key & np.uint64(buckets - 1))
             place = np.minimum(np.searchsorted(wanted, short), len(wanted) - 1)
             hit = wanted[place] == short
-            at, owner = at[hit], owner[hit]
+            at, owner, hot = at[hit], owner[hit], hot[place[hit]]
             records = shape.contexts(data, offsets, at, owner)
             _, anchor, first, inverse = shape.distinct(records)
             low_id, high_id = np.full(len(first), NEVER), np.full(len(first), NO_ID)
             np.minimum.at(low_id, inverse, ids[owner])
             np.maximum.at(high_id, inverse, ids[owner])
-            records, anchor = records[first], anchor[first]
-            order, parts = _by_bucket((anchor & np.uint64(buckets - 1)).astype(np.int64))
-            for b, i, j in parts:
-                pick = order[i:j]
-                body = np.ascontiguousarray(low_id[pick]).view(np.uint8).reshape(-1, 8).T.tobytes() + (high_id[pick] > low_id[pick]).tobytes() + records[pick].tobytes()
-                rows.append((b, name, _shrink(body)))
+            records, anchor, hot = records[first], anchor[first], hot[first]
+
+            def send(bucket, records, low_id, many):
+                order, parts = _by_bucket(bucket.astype(np.int64))
+                for b, i, j in parts:
+                    pick = order[i:j]
+                    body = np.ascontiguousarray(low_id[pick]).view(np.uint8).reshape(-1, 8).T.tobytes() + many[pick].tobytes() + records[pick].tobytes()
+                    rows.append((b, name, _shrink(body)))
+
+            few = np.flatnonzero(~hot)
+            send(anchor[few] & np.uint64(buckets - 1), records[few], low_id[few], high_id[few] > low_id[few])
+            if hot.any():
+                low_id, high_id = low_id[hot], high_id[hot]
+                for _, fits, found in shape.strings(records[hot], anchor[hot]):
+                    whole = _fold(found)
+                    one, inverse = _equal(whole, found)
+                    least, most = np.full(len(one), NEVER), np.full(len(one), NO_ID)
+                    np.minimum.at(least, inverse, low_id[fits])
+                    np.maximum.at(most, inverse, high_id[fits])
+                    send((whole[one] & np.uint64(buckets - 1)) + np.uint64(buckets), found[one], least, most > least)
         return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int64()), "block": pa.array([r[1] for r in rows], pa.string()), "data": pa.array([r[2] for r in rows], pa.binary())})
 
     def answer(table: pa.Table) -> pa.Table:
         tidy("substrings")
-        bucket, size = table.column("bucket")[0].as_py(), shape.width + 2
+        bucket = table.column("bucket")[0].as_py()
+        hot = bucket >= buckets
+        size = length + 4 if hot else shape.width + 2
         names, lows, manys, bodies = table.column("block").to_pylist(), [], [], []
         for d in table.column("data"):
             raw = _grow(d.as_py())
@@ -415,17 +487,25 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             bodies.append(np.frombuffer(raw, np.uint8, n * size, 9 * n).reshape(n, size))
         records, low = np.concatenate(bodies), np.concatenate(lows)
         bodies = raw = None
-        whole, anchor, first, inverse = shape.distinct(records)
+        if hot:
+            whole = _fold(records)
+            first, inverse = _equal(whole, records)
+            tag = (_fold(records, int(_MIX)) >> np.uint64(32)).astype(np.uint32)
+        else:
+            whole, anchor, first, inverse = shape.distinct(records)
+            tag = (anchor >> np.uint64(32)).astype(np.uint32)
         ids = np.full(len(first), NEVER)
         np.minimum.at(ids, inverse, low)
-        least = shape.least_ids(records[first], ids, anchor[first])
+        least = ids[None, :] if hot else shape.least_ids(records[first], ids, anchor[first])
         out, at = [], 0
         for name, mine, many in zip(names, lows, manys):
             part = inverse[at : at + len(mine)]
             useful = many | (least[:, part].min(axis=0) < mine)
             if useful.any():
                 here = slice(at, at + len(mine))
-                body = whole[here][useful].tobytes() + (anchor[here][useful] >> np.uint64(32)).astype(np.uint32).tobytes() + least[:, part[useful]].tobytes()
+                body = whole[here][useful].tobytes() + tag[here][useful].tobytes() + least[:, part[useful]].tobytes()
+                if hot:
+                    body += np.ascontiguousarray(records[here][useful, :4]).tobytes()
                 out.append((bucket, name, _shrink(body)))
             at += len(mine)
         return pa.table({"bucket": pa.array([o[0] for o in out], pa.int64()), "block": pa.array([o[1] for o in out], pa.string()), "data": pa.array([o[2] for o in out], pa.binary())})
@@ -440,31 +520,55 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         tidy("substrings")
         table, ids, data, offsets = _load(left.column("blob")[0].as_py(), id_col, text_col)
         gone = np.zeros(len(data) + 1, np.int32)
-        if right.num_rows:
-            counts = [_grown(d.as_py()) // (8 * (shape.side + 2) + 4) for d in right.column("data")]
+        is_hot = np.array([b >= buckets for b in right.column("bucket").to_pylist()], bool)
+        replies = right.column("data")
+        at, key, owner = shape.anchors(data, offsets) if len(is_hot) else (None, None, None)
+
+        def cover(begin):
+            np.add.at(gone, begin, 1)
+            np.add.at(gone, begin + length, -1)
+
+        def places(keys):
+            """Of anchors whose keys begin as one of `keys`: positions and documents, some at a time."""
+            high = (key >> np.uint64(32)).astype(np.uint32)
+            near = keys[np.minimum(np.searchsorted(keys, high), len(keys) - 1)] == high
+            here, who = at[near], owner[near]
+            for k in range(0, len(here), 1 << 14):
+                yield here[k : k + (1 << 14)], who[k : k + (1 << 14)]
+
+        if len(is_hot) > is_hot.sum():
+            few = [d for d, h in zip(replies, is_hot) if not h]
+            counts = [_grown(d.as_py()) // (8 * (shape.side + 2) + 4) for d in few]
             found, tags, least = np.empty(sum(counts), np.uint64), np.empty(sum(counts), np.uint32), np.empty((shape.side + 1, sum(counts)), np.int64)
             end = 0
-            for n, d in zip(counts, right.column("data")):
+            for n, d in zip(counts, few):
                 raw, here = _grow(d.as_py()), slice(end, end + n)
                 found[here], tags[here] = np.frombuffer(raw, np.uint64, n), np.frombuffer(raw, np.uint32, n, 8 * n)
                 least[:, here] = np.frombuffer(raw, np.int64, n * (shape.side + 1), 12 * n).reshape(shape.side + 1, n)
                 end += n
             keys, order = np.unique(tags), np.argsort(found)
             found, tags = found[order], tags[order]
-            at, key, owner = shape.anchors(data, offsets)
-            high = (key >> np.uint64(32)).astype(np.uint32)
-            near = keys[np.minimum(np.searchsorted(keys, high), len(keys) - 1)] == high
-            at, owner = at[near], owner[near]
-            for k in range(0, len(at), 1 << 14):
-                a, o = at[k : k + (1 << 14)], owner[k : k + (1 << 14)]
+            for a, o in places(keys):
                 whole, anchor = shape.names(shape.contexts(data, offsets, a, o))
                 place = np.minimum(np.searchsorted(found, whole), len(found) - 1)
                 hit = np.flatnonzero((found[place] == whole) & (tags[place] == (anchor >> np.uint64(32)).astype(np.uint32)))
                 a, mine, place = a[hit], ids[o[hit]], order[place[hit]]
                 for before in range(shape.side + 1):
-                    begin = a[least[before, place] < mine] - before
-                    np.add.at(gone, begin, 1)
-                    np.add.at(gone, begin + length, -1)
+                    cover(a[least[before, place] < mine] - before)
+        if is_hot.any():
+            raw = [_grow(d.as_py()) for d, h in zip(replies, is_hot) if h]
+            column = lambda kind, at: np.concatenate([np.frombuffer(r, kind, len(r) // 24, at * (len(r) // 24)) for r in raw])
+            found, tags, least, keys = column(np.uint64, 0), column(np.uint32, 8), column(np.int64, 12), np.unique(column("<u4", 20))
+            order = np.argsort(found)
+            found, tags, least = found[order], tags[order], least[order]
+            for a, o in places(keys):
+                records = shape.contexts(data, offsets, a, o)
+                for before, fits, string in shape.strings(records, shape.names(records)[1]):
+                    whole = _fold(string)
+                    place = np.minimum(np.searchsorted(found, whole), len(found) - 1)
+                    hit = (found[place] == whole) & (least[place] < ids[o[fits]])
+                    fits, place, string = fits[hit], place[hit], string[hit]
+                    cover(a[fits[tags[place] == (_fold(string, int(_MIX)) >> np.uint64(32)).astype(np.uint32)]] - before)
         gone = np.cumsum(gone[:-1]) > 0
         kept, spans = [], []
         for i in range(len(ids)):
