@@ -74,6 +74,24 @@ def test_learns_and_is_the_same_however_rows_are_dealt(spark, monkeypatch):
     assert fresh and all(r["raw"] == pytest.approx(by[r["game_id"]]) for r in fresh)
 
 
+def test_many_games_of_few_pairs_take_few_jobs(spark, monkeypatch):
+    df, _ = table(spark, 300)
+    copies = df.crossJoin(spark.range(6).withColumnRenamed("id", "copy")).selectExpr("game_id * 6 + copy as game_id", "if(copy = 5, 1 - label, label) as label", "weight", "cast((game_id + copy) % 4 as int) as part", *COLUMNS)
+    specs = [Spec(k, trees=30, depth=2, rate=0.2) for k in range(4)] + [Spec(None, trees=7, depth=1, rows=0.6, seed=5)]
+    spark.sparkContext.setJobGroup("few", "")
+    few, scored = boosting.fit(copies, COLUMNS, specs, ["game_id"], fold="part")
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("few"))
+    spark.sparkContext.setJobGroup("rest", "")
+    assert jobs < 30  # neither a level nor a tree is a job
+    monkeypatch.setattr(boosting, "PART_ROWS", 100)  # 300 different rows are many then
+    many, again = boosting.fit(copies, COLUMNS, specs, ["game_id"], fold="part")
+    assert [len(t) for t in few.trees] == [30] * 4 + [7]
+    for a, b in zip(sum(few.trees, []), sum(many.trees, [])):
+        assert (a.feature == b.feature).all() and (a.cut == b.cut).all() and np.allclose(a.value, b.value)
+    left, right = ({r["game_id"]: r["margins"] for r in boosting.unpacked(x, 5).collect()} for x in (scored, again))
+    assert len(left) == 1800 and left.keys() == right.keys() and all(np.allclose(left[k], right[k]) for k in left)
+
+
 def test_held_out_labels_are_not_seen(spark):
     df, rows = table(spark, 300)
     turned = spark.createDataFrame([(r[0], 1 - r[1] if r[3] == 0 else r[1], *r[2:]) for r in rows], df.schema)

@@ -1,10 +1,18 @@
 """Boosted trees by histograms, all models of a task at once.
 
 Folds, held-out seasons and trials of a search differ in the rows they leave out and in their
-parameters; they read the same rows. So one job a level grows the next level of a tree of every
-model: tasks sum gradients by (model, node, feature, bin) over their rows, the sums meet by
-(model, node, feature), and each gives its best cut. A row per model, node and feature comes
-back, whatever the number of rows. Margins are written every few trees.
+parameters; they read the same rows. Rows with the same bins go the same way in every tree, so
+gradients only need the weights and labels drawn among them. There are two ways to grow:
+
+* Few different bins (team pairs of a season, however many games): a job adds up, for some tens
+  of trees, what each model draws of each bins' rows, and grows the models by model, each from
+  these sums. Work of the trees doesn't grow with the rows; every row is still drawn by itself.
+* Many: one job a level grows the next level of a tree of every model: tasks sum gradients by
+  (model, node, feature, bin) over their rows, the sums meet by (model, node, feature), and each
+  gives its best cut. A row per model, node and feature comes back, whatever the number of rows.
+  Margins are written every few trees.
+
+Both draw the same rows and grow the same trees.
 """
 
 from __future__ import annotations
@@ -20,7 +28,8 @@ from pyspark.sql import functions as F
 from tipoff.operators.ratings import written
 
 #: Cuts of a feature; trees between two writes of the margins; rows of a partition; bytes of
-#: the sums that a task holds (more models or nodes take more jobs).
+#: the sums that a task holds (more models or nodes take more jobs). Different bins under
+#: 2 * PART_ROWS are few.
 BINS, CUT, PART_ROWS, HELD_BYTES = 64, 25, 50_000, 64 << 20
 
 
@@ -118,6 +127,12 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _is_drawn(at: np.ndarray, seed: int, share: float, turn: int) -> np.ndarray:
+    """Whether the tree of this turn learns from each row."""
+    salt = _mixed(np.array([turn * 1_000_003 + seed], dtype=np.uint64))[0]
+    return (_mixed(at ^ salt) >> np.uint64(11)).astype(np.float64) * 2.0**-53 < share
+
+
 STATE = "label double, weight double, fold int, at long, bins binary, margins binary"
 
 
@@ -185,8 +200,7 @@ def _sums(specs: list[Spec], width: int, block, growing: dict[int, Tree], fronti
             at = c["at"].to_numpy().view(np.uint64)
             for m, nodes in frontier.items():
                 s = specs[m]
-                salt = _mixed(np.array([turn * 1_000_003 + s.seed], dtype=np.uint64))[0]
-                drawn = (_mixed(at ^ salt) >> np.uint64(11)).astype(np.float64) * 2.0**-53 < s.rows
+                drawn = _is_drawn(at, s.seed, s.rows, turn)
                 lookup = np.full(len(growing[m].feature), -1, np.int64)
                 lookup[list(place[m])] = list(place[m].values())
                 node = lookup[growing[m].nodes(bins)]
@@ -264,15 +278,166 @@ def _level(state: DataFrame, parts: int, booster: Boosted, block, growing, front
     out = []
     for group in _groups(frontier, used):
         sums, cuts = _sums(booster.specs, len(booster.columns), block, {m: growing[m] for m in group}, group, {m: used[m] for m in group}, turn), _cuts(booster.specs)
-        if parts == 1:  # nothing to meet
-            met = state.mapInArrow(lambda batches: cuts(sums(batches)), CUTS)  # noqa: B023
-        else:
-            dealt = min(parts, 1 + sum(len(n) * len(used[m]) for m, n in group.items()) // 200)
-            met = state.mapInArrow(sums, "model int, node int, feature int, sums binary").repartition(dealt, "model", "node", "feature").mapInArrow(cuts, CUTS)
+        dealt = min(parts, 1 + sum(len(n) * len(used[m]) for m, n in group.items()) // 200)
+        met = state.mapInArrow(sums, "model int, node int, feature int, sums binary").repartition(dealt, "model", "node", "feature").mapInArrow(cuts, CUTS)
         out += met.collect()  # a row per model, node and feature
     return out
 
 
+RUNS = "bins binary, at binary, label binary, weight binary, fold binary"
+
+
+def _runs(width: int):
+    """Rows in order of their bins: a row for each run of equal bins in a batch, with the rest of
+    its rows side by side."""
+
+    def work(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            bins = _array(batch.column(0), np.uint8, width)
+            first = np.concatenate([[0], 1 + np.flatnonzero((bins[1:] != bins[:-1]).any(axis=1))])
+            sizes = np.diff(np.append(first, len(bins)))
+            held = [batch.column(k).to_numpy() for k in range(1, 5)]
+            yield pa.RecordBatch.from_arrays([_binary(bins[first]), *(_ragged(x, sizes) for x in held)], names=[x.split()[0] for x in RUNS.split(", ")])
+
+    return work
+
+
+def _ragged(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """The bytes of consecutive values, so many for each row."""
+    values = np.ascontiguousarray(values)
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32) * np.int32(values.dtype.itemsize)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(values)])
+
+
+def _flat(column: pa.Array, kind) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a column of `_ragged`, and how many each row has."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]].view(kind), np.diff(offsets) // np.dtype(kind).itemsize
+
+
+def _pieces(batch: pa.RecordBatch, most: int = 1 << 18, runs: int = 2_000):
+    """Consecutive runs of a batch with not many more than `most` rows together."""
+    offsets = np.frombuffer(batch.column(1).buffers()[1], np.int32)[batch.column(1).offset :][: batch.num_rows + 1] // 8
+    start = 0
+    while start < batch.num_rows:
+        end = min(max(start + 1, int(np.searchsorted(offsets, offsets[start] + most))), start + runs, batch.num_rows)
+        yield batch.slice(start, end - start)
+        start = end
+
+
+def _drawn_sums(specs: list[Spec], turns: range):
+    """Of runs: for each model with trees among these turns, sums by turn of the weights it draws
+    and of weight by label, where there are any."""
+    folds_out = [s.held_out for s in specs]
+    draws = sorted({(s.seed, s.rows) for s in specs if s.trees > turns.start})
+
+    def work(batches):
+        for batch in (piece for batch in batches for piece in _pieces(batch)):
+            at, sizes = _flat(batch.column(1), np.int64)
+            label, weight, fold = (_flat(batch.column(k), kind)[0] for k, kind in ((2, np.float64), (3, np.float64), (4, np.int32)))
+            run, n = np.repeat(np.arange(len(sizes)), sizes), len(sizes)
+            folds, fold = np.unique(fold, return_inverse=True)
+            cell, size = run * len(folds) + fold, n * len(folds)
+            learnt = {m: np.array([f != folds_out[m] if folds_out[m] is not None else True for f in folds], np.float64) for m in range(len(specs))}
+            of = {m: np.zeros((n, len(turns), 2)) for m, s in enumerate(specs) if s.trees > turns.start}
+            for k, turn in enumerate(turns):
+                for seed, share in draws:
+                    own = np.where(_is_drawn(at.view(np.uint64), seed, share, turn), weight, 0.0)
+                    both = [np.bincount(cell, x, size).reshape(n, len(folds)) for x in (own, own * label)]
+                    for m in of:
+                        if (specs[m].seed, specs[m].rows) == (seed, share):
+                            of[m][:, k] = np.stack([x @ learnt[m] for x in both], axis=1)
+            for m, sums in of.items():
+                some = np.flatnonzero(sums.any(axis=(1, 2)))
+                if len(some):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), m, np.int32)), batch.column(0).take(pa.array(some)), _binary(sums[some].reshape(len(some), -1))], names=["model", "bins", "sums"])
+
+    return work
+
+
+TREES = "model int, turn int, feature binary, cut binary, null_left binary, value binary"
+
+
+def _grown(booster: Boosted, turns: range):
+    """Of the sums of `_drawn_sums`, all rows of a model in one task: its trees of these turns."""
+    width, specs = len(booster.columns), booster.specs
+
+    def work(batches):
+        held: dict[int, list] = {}
+        for batch in batches:
+            model = batch.column(0).to_numpy()
+            bins, sums = _array(batch.column(1), np.uint8, width), _array(batch.column(2), np.float64, 2 * len(turns))
+            for m in np.unique(model):
+                held.setdefault(int(m), []).append((bins[model == m], sums[model == m]))
+        for m in list(held):
+            bins, sums = (np.concatenate(x) for x in zip(*held.pop(m)))
+            different, place = np.unique(np.ascontiguousarray(bins).view(np.dtype((np.void, width))).ravel(), return_inverse=True)
+            bins = different.view(np.uint8).reshape(-1, width)
+            total = np.zeros((len(bins), len(turns), 2))
+            np.add.at(total, place, sums.reshape(len(sums), len(turns), 2))
+            margins, columns = booster.margins(bins, m), np.ascontiguousarray(bins.T).astype(np.int64)
+            out = []
+            for k, turn in enumerate(turns):
+                if turn < specs[m].trees:
+                    p = 1 / (1 + np.exp(-margins))
+                    tree = _tree(specs, m, turn, bins, columns, p * total[:, k, 0] - total[:, k, 1], total[:, k, 0] * np.maximum(p * (1 - p), 1e-16))
+                    margins += tree.value[tree.nodes(bins)]
+                    out.append((m, turn, *(getattr(tree, x).tobytes() for x in ("feature", "cut", "null_left", "value"))))
+            kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 4]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=[x.split()[0] for x in TREES.split(", ")])
+
+    return work
+
+
+def _tree(specs: list[Spec], m: int, turn: int, bins: np.ndarray, columns: np.ndarray, g: np.ndarray, h: np.ndarray) -> Tree:
+    """A tree of one model, from gradients and second derivatives of each bins."""
+    s, used, growing = specs[m], _drawn(specs[m], turn, len(columns)), {m: Tree.grown(specs[m].depth)}
+    frontier, names = {m: [0]}, [x.split()[0] for x in CUTS.split(", ")]
+    while frontier:
+        nodes = frontier[m]
+        lookup = np.full(len(growing[m].feature), -1, np.int64)
+        lookup[nodes] = np.arange(len(nodes))
+        node = lookup[growing[m].nodes(bins)]
+        take = np.flatnonzero(node >= 0)
+        sums = np.empty((len(nodes), len(used), 2, BINS + 1))
+        for j, f in enumerate(used):
+            cells = node[take] * (BINS + 1) + columns[f, take]
+            for k, x in enumerate((g, h)):
+                sums[:, j, k] = np.bincount(cells, x[take], len(nodes) * (BINS + 1)).reshape(len(nodes), -1)
+        rows = len(nodes) * len(used)
+        best = best_cuts(sums.reshape(rows, 2, -1), np.full(rows, s.l2), np.full(rows, s.least_weight))
+        best |= {"model": np.full(rows, m), "node": np.repeat(nodes, len(used)), "feature": np.tile(used, len(nodes))}
+        frontier = _grow([dict(zip(names, r)) for r in zip(*(best[x].tolist() for x in names))], specs, growing)
+    return growing[m]
+
+
+def _fit_few(session, runs: DataFrame, booster: Boosted) -> None:
+    """Grows all models from runs with few different bins, a block of trees a job."""
+    specs = booster.specs
+    for start in range(0, max((s.trees for s in specs), default=0), CUT):
+        turns = range(start, start + CUT)
+        sums = runs.mapInArrow(_drawn_sums(specs, turns), "model int, bins binary, sums binary")
+        for r in sorted(sums.repartitionById(len(specs), "model").mapInArrow(_grown(booster, turns), TREES).collect(), key=lambda r: r["turn"]):  # CUT a model
+            kinds = (np.int16, np.int16, bool, np.float64)
+            booster.trees[r["model"]].append(Tree(*(np.frombuffer(r[x], kind).copy() for x, kind in zip(("feature", "cut", "null_left", "value"), kinds))))
+    for s, trees in zip(specs, booster.trees):  # a model that draws nothing has trees of one leaf
+        trees += [Tree.grown(s.depth) for _ in range(s.trees - len(trees))]
+
+
+def _margins_of(booster: Boosted):
+    width, models = len(booster.columns), len(booster.specs)
+
+    def work(batches):
+        for batch in batches:
+            bins = _array(batch.column(0), np.uint8, width)
+            margins = np.stack([booster.margins(bins, m) for m in range(models)], axis=1) if models else np.zeros((len(bins), 0))
+            yield pa.RecordBatch.from_arrays([batch.column(0), _binary(margins)], names=["bins", "margins"])
+
+    return work
+
+
 def fit(rows: DataFrame, columns: list[str], specs: list[Spec], keys: list[str], label: str = "label", weight: str | None = "weight", fold: str | None = "fold") -> tuple[Boosted, DataFrame]:
     """Fits all specs; also gives keys, label, weight, fold and margins binary (a double for
     each spec) of every row, so that held-out rows are scored already.
@@ -292,9 +457,21 @@ def fit(rows: DataFrame, columns: list[str], specs: list[Spec], keys: list[str],
     # Plans of one shape, over and over: nothing to re-plan at run time.
     session = spark.newSession()
     session.conf.set("spark.sql.adaptive.enabled", "false")
+    read = lambda df, name: session.read.schema(df.schema).parquet(*written(df, name).inputFiles())
+    state = read(state, "state")
+    few = 2 * PART_ROWS
+    if columns and (n < few or state.select("bins").distinct().limit(few).count() < few):
+        # Equal bins meet in a task, in a few if they have millions of rows.
+        dealt = state.repartition(max(parts, spark.sparkContext.defaultParallelism), "bins", F.pmod("at", F.lit(1 + n // (40 * PART_ROWS)))).sortWithinPartitions("bins")
+        runs = read(dealt.select("bins", "at", "label", "weight", "fold").mapInArrow(_runs(len(columns)), RUNS), "runs").persist()
+        _fit_few(session, runs, booster)
+        runs.unpersist()
+        margins = state.select("bins").distinct().mapInArrow(_margins_of(booster), "bins binary, margins binary")
+        final = written(state.drop("at", "margins").join(F.broadcast(margins), "bins").drop("bins"), "boosted")  # under `few` rows
+        return booster, spark.read.schema(final.schema).parquet(*final.inputFiles())
 
     def settled(df: DataFrame) -> DataFrame:
-        return session.read.schema(df.schema).parquet(*written(df, "margins").inputFiles()).coalesce(parts).persist()
+        return read(df, "margins").coalesce(parts).persist()
 
     state = settled(state.repartition(parts))
     block: list[dict[int, Tree]] = []  # trees that the written margins don't have yet
