@@ -18,6 +18,8 @@ BOX = {
 }
 TEAMS, FIRST_TEAM = 128, 1101
 TOURNEY_DAY, CONF_DAY = 330, 300
+#: Order lines of a task, at most about.
+TASK_LINES = 500_000
 REGIONS = ("W", "X", "Y", "Z")
 
 
@@ -37,7 +39,7 @@ def game_log(spark: SparkSession, sf_dir: str, season: int | None = None) -> Dat
     score = F.lit(40) + F.floor("l_quantity").cast("long")
     side = F.struct(F.col("l_partkey").alias("p"), F.col("l_linenumber").cast("long").alias("n"), score.alias("score"), (FIRST_TEAM + F.col("l_partkey") % TEAMS).alias("team"))
     met = (
-        items.join(orders, "l_orderkey")
+        _dealt(items, orders)
         .withColumn("rn", F.row_number().over(order))
         .withColumn("a", side)
         .withColumn("b", F.lead("a").over(order))
@@ -65,6 +67,16 @@ def _box_sql(side: str) -> str:
     return ", ".join(f'CAST({e.format(p=key, n=number, o="l_orderkey")} AS BIGINT) AS "{side}{name}"' for name, e in BOX.items())
 
 
+def _dealt(items: DataFrame, orders: DataFrame) -> DataFrame:
+    """Lines with their orders, dealt by order over as many tasks as their number asks for, so
+    that a task's share doesn't grow with the input. A small table takes the session's tasks."""
+    lines = items.count()  # from the files' footers
+    parts = -(-lines // TASK_LINES)
+    if parts > int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        items, orders = items.repartition(parts, "l_orderkey"), orders.repartition(parts, "l_orderkey")
+    return items.join(orders, "l_orderkey")
+
+
 GAMES_SQL = f"""
 met0 AS (
   SELECT l.l_orderkey, o.o_orderdate, o.o_orderpriority, l.l_returnflag, l.l_partkey AS ap, CAST(l.l_linenumber AS BIGINT) AS an,
