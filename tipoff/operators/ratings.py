@@ -23,13 +23,19 @@ def weighted_games(tg: DataFrame, half_life: float) -> DataFrame:
 
 
 def meetings(games: DataFrame) -> DataFrame:
-    """Sums of weighted efficiencies by team and opponent: a round only scales them by the
+    """Sums of weighted and plain figures by team and opponent: a round only scales them by the
     opponent's rating, so games themselves are read once."""
-    return games.groupBy(*KEY, "OppID").agg(F.sum(F.col("w") * F.col("oe")).alias("w_oe"), F.sum(F.col("w") * F.col("de")).alias("w_de"), F.sum(F.col("w") * F.col("home")).alias("w_home"), F.sum("w").alias("w"))
+    weighted = [F.sum(F.col("w") * F.col(c)).alias(f"w_{c}") for c in ("oe", "de", "home", "tempo")]
+    plain = [F.sum(c).alias(f"s_{c}") for c in ("oe", "de", "tempo")]
+    return games.groupBy(*KEY, "OppID").agg(*weighted, *plain, F.sum("w").alias("w"), F.count("*").alias("n"))
 
 
-def start_ratings(games: DataFrame) -> DataFrame:
-    return games.groupBy(*KEY).agg(F.avg("oe").alias("r_oe"), F.avg("de").alias("r_de"))
+def _mean(column: str) -> F.Column:
+    return F.sum(f"s_{column}") / F.sum("n")
+
+
+def start_ratings(met: DataFrame) -> DataFrame:
+    return met.groupBy(*KEY).agg(_mean("oe").alias("r_oe"), _mean("de").alias("r_de"))
 
 
 def step(met: DataFrame, ratings: DataFrame, league: DataFrame, hca: float, small: bool = False) -> DataFrame:
@@ -43,13 +49,13 @@ def step(met: DataFrame, ratings: DataFrame, league: DataFrame, hca: float, smal
     return rated.groupBy(*KEY).agg((F.sum(oe) / F.sum("w")).alias("r_oe"), (F.sum(de) / F.sum("w")).alias("r_de"))
 
 
-def adjusted_tempo(games: DataFrame) -> DataFrame:
-    """Weighted tempo against the opponents' mean tempo (IT2)."""
-    mean = games.groupBy("Season", F.col("TeamID").alias("OppID")).agg(F.avg("tempo").alias("o_tempo"))
-    league = games.groupBy("Season").agg(F.avg("tempo").alias("l_tempo"))
-    met = games.join(mean, ["Season", "OppID"], "left").join(F.broadcast(league), "Season")
-    value = F.col("tempo") * F.col("l_tempo") / F.coalesce("o_tempo", "l_tempo")
-    return met.groupBy(*KEY).agg((F.sum(F.col("w") * value) / F.sum("w")).alias("adj_tempo"))
+def adjusted_tempo(met: DataFrame) -> DataFrame:
+    """Weighted tempo against the opponents' mean tempo, out of meetings (IT2)."""
+    mean = met.groupBy("Season", F.col("TeamID").alias("OppID")).agg(_mean("tempo").alias("o_tempo"))
+    league = met.groupBy("Season").agg(_mean("tempo").alias("l_tempo"))
+    rated = met.join(mean, ["Season", "OppID"], "left").join(F.broadcast(league), "Season")
+    value = F.col("w_tempo") * F.col("l_tempo") / F.coalesce("o_tempo", "l_tempo")
+    return rated.groupBy(*KEY).agg((F.sum(value) / F.sum("w")).alias("adj_tempo"))
 
 
 def adjusted_efficiency(tg: DataFrame, rounds: int = 15, half_life: float = 30.0, hca: float = 3.5, history: bool = False):
@@ -58,16 +64,15 @@ def adjusted_efficiency(tg: DataFrame, rounds: int = 15, half_life: float = 30.0
     Ratings start from plain means and move by weighted means, all at once. With `history`,
     also the greatest change of the last round per season (IT3).
     """
-    games = written(weighted_games(tg, half_life), "games")
-    league = games.groupBy("Season").agg(F.avg("oe").alias("l_oe"), F.avg("de").alias("l_de"))
-    met, league = written(meetings(games), "meetings"), written(league, "league")
-    ratings, before = written(start_ratings(games), "start"), None
+    met = written(meetings(weighted_games(tg, half_life)), "meetings")
+    league = written(met.groupBy("Season").agg(_mean("oe").alias("l_oe"), _mean("de").alias("l_de")), "league")
+    ratings, before = written(start_ratings(met), "start"), None
     small = ratings.count() <= SMALL_ROWS
     for k in range(rounds):
         before, ratings = ratings, step(met, ratings, league, hca, small)
         if k % CUT == CUT - 1 or k == rounds - 1:
             ratings = written(ratings, f"round{k}")
-    out = ratings.join(adjusted_tempo(games), KEY).select(*KEY, F.col("r_oe").alias("adj_oe"), F.col("r_de").alias("adj_de"), (F.col("r_oe") - F.col("r_de")).alias("adj_em"), "adj_tempo")
+    out = ratings.join(adjusted_tempo(met), KEY).select(*KEY, F.col("r_oe").alias("adj_oe"), F.col("r_de").alias("adj_de"), (F.col("r_oe") - F.col("r_de")).alias("adj_em"), "adj_tempo")
     if not history:
         return out
     old = before.select(*KEY, F.col("r_oe").alias("old"))

@@ -156,7 +156,7 @@ for _rounds in (1, 5, 10, 15):
 
 @register("adj_tempo", f'WITH {TG},{rt.adjusted_sql(0)} SELECT "Season", "TeamID", round(adj_tempo, 6) AS adj_tempo FROM tempo')
 def adj_tempo(spark, sf):
-    return rounded(rt.adjusted_tempo(rt.weighted_games(tg(spark, sf), 30.0)), "adj_tempo")
+    return rounded(rt.adjusted_tempo(rt.written(rt.meetings(rt.weighted_games(tg(spark, sf), 30.0)), "meetings")), "adj_tempo")
 
 
 @register("efficiency_delta", f"""WITH {TG},{rt.adjusted_sql(3)} SELECT a."Season", round(max(abs(a.r_oe - b.r_oe)), 6) AS max_change FROM r3 a JOIN r2 b ON a."Season" = b."Season" AND a."TeamID" = b."TeamID" GROUP BY 1""")
@@ -216,7 +216,7 @@ def market_rows(spark, sf):
  round(CASE WHEN count(*) FILTER (WHERE margin + team_spread <> 0) > 0 THEN count(*) FILTER (WHERE margin + team_spread > 0)::DOUBLE / count(*) FILTER (WHERE margin + team_spread <> 0) ELSE 0.5 END, 6) AS vegas_ats_pct,
  round(sum(w * team_spread) / sum(w), 6) AS vegas_power_rating, round(stddev_pop(margin + team_spread), 6) AS vegas_consistency, count(*) AS vegas_game_count FROM m3 GROUP BY 1, 2""")
 def vegas_features(spark, sf):
-    out = fx.market(market_rows(spark, sf))
+    out = fx.market(rt.written(market_rows(spark, sf), "lines"))
     return rounded(out, *out.columns[2:-1])
 
 
