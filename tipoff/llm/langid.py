@@ -19,9 +19,9 @@ from tipoff.llm.common import settle, tidy
 
 N = 4
 PROBES = 3
-#: Labelled rows and characters of each language that the filters are learnt from, at most
-#: about (one row at least, whole); this bounds the model.
-FIT_ROWS, FIT_CHARS = 6_000, 4_000_000
+#: An n-gram takes part if two rows of a language have it and they are this part of its rows, or
+#: if they are a hundredth; this bounds the model, whatever the number of rows.
+RARE = 1 / 3_000
 #: Cells of a table: a power of two that has CELLS_EACH for each n-gram of the largest filter,
 #: within these bounds.
 CELLS_EACH, CELL_BITS = 10, (16, 23)
@@ -108,26 +108,31 @@ def learnable(docs: DataFrame) -> F.Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2
 
 
-def sampled(docs: DataFrame, label_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", fit_rows: int = FIT_ROWS, fit_chars: int = FIT_CHARS) -> DataFrame:
-    """(label, text): of each label, about `fit_rows` rows and `fit_chars` characters at most,
-    by a hash of id and text, and always the row of least hash. Texts stay whole; rows that
-    repeat id and text count once; rows without label or text are left out."""
+def sampled(docs: DataFrame, label_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", fit_rows: int | None = None, fit_chars: int | None = None) -> DataFrame:
+    """(label, text): every row; where a bound is given, of each label about `fit_rows` rows and
+    `fit_chars` characters at most, by a hash of id and text, and always the row of least hash.
+    Texts stay whole; rows without label or text are left out, and rows of a bounded sample
+    that repeat id and text count once."""
     known = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(label_col).alias("label"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("place"))
+    if fit_rows is None and fit_chars is None:
+        return known.select("label", "text")
     sizes = known.groupBy("label").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"), F.min("place").alias("least"))
-    share = F.least(F.lit(1.0), fit_rows / F.col("n"), fit_chars / F.greatest(F.col("chars"), F.lit(1)))
+    bounds = [fit_rows / F.col("n")] * (fit_rows is not None) + [fit_chars / F.greatest(F.col("chars"), F.lit(1))] * (fit_chars is not None)
+    share = F.least(F.lit(1.0), F.lit(1.0), *bounds)
     # A row for each label, however many documents there are.
     held = known.join(F.broadcast(sizes.select("label", "least", F.ceil(share * (1 << 30)).alias("limit"))), "label")
     return held.where((F.pmod("place", F.lit(1 << 30)) < F.col("limit")) | (F.col("place") == F.col("least"))).dropDuplicates(["label", "place"]).select("label", "text")
 
 
-def fit(docs: DataFrame, label_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", fit_rows: int = FIT_ROWS, fit_chars: int = FIT_CHARS) -> Filters:
-    """Learns filters from a bounded sample of the rows of docs with text and label (see
-    `sampled`), of all languages: every n-gram of the sample that is not rare takes part, and
+def fit(docs: DataFrame, label_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", fit_rows: int | None = None, fit_chars: int | None = None) -> Filters:
+    """Learns filters from all rows of docs with text and label (of a bounded sample, if bounds
+    are given: see `sampled`), of all languages: every n-gram that is not rare takes part, and
     tables have room for them. Bits are set by a distributed OR; only cells in use reach the
     driver. A language without any n-gram has an empty filter.
     """
     spark = docs.sparkSession
-    sample = settle(sampled(docs, label_col, text_col, id_col, fit_rows, fit_chars), "sample")
+    sample = sampled(docs, label_col, text_col, id_col, fit_rows, fit_chars)
+    sample = sample if fit_rows is None and fit_chars is None else settle(sample, "sample")
     taken = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     languages = sorted(taken)
     if not languages:
@@ -148,7 +153,7 @@ def fit(docs: DataFrame, label_col: str = "lang", text_col: str = "text", id_col
 
     seen = sample.join(F.broadcast(codes), "label").select("lang", "text").mapInArrow(work, "lang int, gram long, docs long").groupBy("gram", "lang").agg(F.sum("docs").alias("docs"))
     share = F.col("docs") / F.col("taken")
-    shares = settle(seen.join(F.broadcast(codes.select("lang", "taken")), "lang").withColumn("share", share).where("docs >= 2 or share >= 0.01").select("gram", "lang", "share"), "grams")
+    shares = settle(seen.join(F.broadcast(codes.select("lang", "taken")), "lang").withColumn("share", share).where(((F.col("docs") >= 2) & (F.col("share") >= RARE)) | (F.col("share") >= 0.01)).select("gram", "lang", "share"), "grams")
     top = shares.groupBy("gram").agg(F.max("share").alias("top"))
     fair = settle(shares.join(top, "gram").where(F.col("share") >= SHARE * F.col("top")).select("gram", "lang"), "fair")
     most = max((r["count"] for r in fair.groupBy("lang").count().collect()), default=1)
@@ -171,9 +176,9 @@ def fit(docs: DataFrame, label_col: str = "lang", text_col: str = "text", id_col
 def least_scores(docs: DataFrame, filters: Filters, highest: float, label_col: str = "lang", text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(lang_pred, least): for each learnt language, the score below which a text is not taken
     for it: half of what all but one in a hundred of its rows in docs reach (rows that the
-    filters were not learnt from; a bounded sample), and `highest` at most."""
+    filters were not learnt from, all of them), and `highest` at most."""
     judged = predict(sampled(docs, label_col, text_col, id_col), filters, "text").where("label = lang_pred")
-    found = judged.groupBy("lang_pred").agg(F.percentile_approx("score", 0.01, 1000).alias("p"))
+    found = judged.groupBy("lang_pred").agg(F.percentile_approx("score", 0.01, 10_000).alias("p"))
     every = docs.sparkSession.createDataFrame([(n,) for n in filters.languages], "lang_pred string")
     return every.join(found, "lang_pred", "left").select("lang_pred", F.least(F.lit(highest), F.col("p") / 2).alias("least"))
 
