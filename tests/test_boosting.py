@@ -5,7 +5,7 @@ import math
 import numpy as np
 import pytest
 
-from tipoff.operators import boosting, tuning
+from tipoff.operators import boosting, matchups, tuning
 from tipoff.operators.boosting import Spec
 from tipoff.sources import sinks
 
@@ -92,6 +92,28 @@ def test_many_games_of_few_pairs_take_few_jobs(spark, monkeypatch):
     assert len(left) == 1800 and left.keys() == right.keys() and all(np.allclose(left[k], right[k]) for k in left)
 
 
+def test_more_trees_of_few_rows_take_no_more_jobs(spark):
+    df, _ = table(spark, 120)
+    taken = {}
+    for trees in (5, 3 * boosting.CUT):
+        spark.sparkContext.setJobGroup(f"trees{trees}", "")
+        booster, _ = boosting.fit(df, COLUMNS, [Spec(k, trees=trees, depth=2) for k in range(2)], ["game_id"], fold="part")
+        taken[trees] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"trees{trees}"))
+        assert [len(t) for t in booster.trees] == [trees] * 2
+    spark.sparkContext.setJobGroup("rest", "")
+    assert len(set(taken.values())) == 1
+
+
+def test_calibration_reads_pairs_not_games(spark):
+    rows = [(k % 7 / 3 - 1, int(k % 3 > 0), 1.0) for k in range(210)] + [(9.0, 0, 0.25)] * 10
+    oof = spark.createDataFrame(rows, "raw double, label long, weight double")
+    model = matchups.platt(oof)
+    assert model.summary.predictions.count() == 14  # of 210 games
+    a, b = model.coefficients[0], model.intercept
+    p = [1 / (1 + math.exp(-a * r[0] - b)) for r in rows[:210]]
+    assert sum(p) == pytest.approx(140, abs=1e-3) and sum(x * r[0] for x, r in zip(p, rows)) == pytest.approx(sum(r[0] * r[1] for r in rows[:210]), abs=1e-3)
+
+
 def test_held_out_labels_are_not_seen(spark):
     df, rows = table(spark, 300)
     turned = spark.createDataFrame([(r[0], 1 - r[1] if r[3] == 0 else r[1], *r[2:]) for r in rows], df.schema)

@@ -22,7 +22,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tipoff.operators.ratings import written
@@ -94,10 +94,12 @@ class Boosted:
 
 
 def edges_of(rows: DataFrame, columns: list[str], bins: int = BINS) -> list[np.ndarray]:
-    """Ascending cuts of each column by approximate quantiles, at most bins - 1."""
+    """Ascending cuts of each column by approximate quantiles, at most bins - 1. Columns are
+    grouped, so that the sketches of one meet apart from those of the others."""
     shares = [k / bins for k in range(1, bins)]
-    found = rows.agg(*(F.percentile_approx(F.col(f"`{c}`").cast("double"), shares, 10_000).alias(f"c{k}") for k, c in enumerate(columns))).first()
-    return [np.unique(np.array(v if v is not None else [], dtype=np.float64)) for v in found]
+    cells = F.inline(F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"`{c}`").cast("double").alias("v")) for k, c in enumerate(columns))))
+    found = {r["k"]: r["cuts"] for r in rows.select(cells).groupBy("k").agg(F.percentile_approx("v", shares, 10_000).alias("cuts")).collect()} if columns else {}  # a row per column
+    return [np.unique(np.array(found.get(k) if found.get(k) is not None else [], dtype=np.float64)) for k in range(len(columns))]
 
 
 def binned(batch: pa.RecordBatch, first: int, edges: list[np.ndarray]) -> np.ndarray:
@@ -133,12 +135,11 @@ def _is_drawn(at: np.ndarray, seed: int, share: float, turn: int) -> np.ndarray:
     return (_mixed(at ^ salt) >> np.uint64(11)).astype(np.float64) * 2.0**-53 < share
 
 
-STATE = "label double, weight double, fold int, at long, bins binary, margins binary"
+STATE = "label double, weight double, fold int, at long, bins binary"
 
 
-def _state(rows: DataFrame, booster: Boosted, keys: list[str], label: str, weight: str | None, fold: str | None) -> DataFrame:
-    """keys and STATE: bins of all columns, and a margin of 0 for each model."""
-    edges, models = booster.edges, len(booster.specs)
+def _state(rows: DataFrame, columns: list[str], edges: list[np.ndarray], keys: list[str], label: str, weight: str | None, fold: str | None) -> DataFrame:
+    """keys and STATE: bins of all columns."""
     given = F.col(f"`{label}`").cast("double")
     own = rows.select(
         *(F.col(f"`{k}`") for k in keys),
@@ -146,15 +147,14 @@ def _state(rows: DataFrame, booster: Boosted, keys: list[str], label: str, weigh
         F.when(given.isNull(), 0.0).otherwise(F.coalesce(F.col(f"`{weight}`").cast("double"), F.lit(0.0)) if weight else F.lit(1.0)).alias("weight"),
         (F.coalesce(F.col(f"`{fold}`").cast("int"), F.lit(-1)) if fold else F.lit(-1)).alias("fold"),
         F.xxhash64(*(F.col(f"`{c}`") for c in [*keys, label])).alias("at"),
-        *(F.col(f"`{c}`").cast("double") for c in booster.columns),
+        *(F.col(f"`{c}`").cast("double") for c in columns),
     )
     n_keys = len(keys)
 
     def work(batches):
         for batch in batches:
             bins = binned(batch, n_keys + 4, edges)
-            zeros = np.zeros((batch.num_rows, models))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(n_keys + 4)), _binary(bins), _binary(zeros)], names=[*keys, "label", "weight", "fold", "at", "bins", "margins"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(n_keys + 4)), _binary(bins)], names=[*keys, "label", "weight", "fold", "at", "bins"])
 
     kept = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
     return own.mapInArrow(work, f"{kept}, {STATE}" if keys else STATE)
@@ -317,7 +317,7 @@ def _flat(column: pa.Array, kind) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]].view(kind), np.diff(offsets) // np.dtype(kind).itemsize
 
 
-def _pieces(batch: pa.RecordBatch, most: int = 1 << 18, runs: int = 2_000):
+def _pieces(batch: pa.RecordBatch, runs: int, most: int = 1 << 18):
     """Consecutive runs of a batch with not many more than `most` rows together."""
     offsets = np.frombuffer(batch.column(1).buffers()[1], np.int32)[batch.column(1).offset :][: batch.num_rows + 1] // 8
     start = 0
@@ -334,7 +334,7 @@ def _drawn_sums(specs: list[Spec], turns: range):
     draws = sorted({(s.seed, s.rows) for s in specs if s.trees > turns.start})
 
     def work(batches):
-        for batch in (piece for batch in batches for piece in _pieces(batch)):
+        for batch in (piece for batch in batches for piece in _pieces(batch, runs=1 + 50_000 // len(turns))):
             at, sizes = _flat(batch.column(1), np.int64)
             label, weight, fold = (_flat(batch.column(k), kind)[0] for k, kind in ((2, np.float64), (3, np.float64), (4, np.int32)))
             run, n = np.repeat(np.arange(len(sizes)), sizes), len(sizes)
@@ -373,17 +373,23 @@ def _grown(booster: Boosted, turns: range):
                 held.setdefault(int(m), []).append((bins[model == m], sums[model == m]))
         for m in list(held):
             bins, sums = (np.concatenate(x) for x in zip(*held.pop(m)))
-            different, place = np.unique(np.ascontiguousarray(bins).view(np.dtype((np.void, width))).ravel(), return_inverse=True)
+            different, first, place = np.unique(np.ascontiguousarray(bins).view(np.dtype((np.void, width))).ravel(), return_index=True, return_inverse=True)
+            del bins
             bins = different.view(np.uint8).reshape(-1, width)
-            total = np.zeros((len(bins), len(turns), 2))
-            np.add.at(total, place, sums.reshape(len(sums), len(turns), 2))
+            if len(first) < len(sums):  # bins that several tasks or batches have
+                order = np.argsort(place, kind="stable")
+                total = np.add.reduceat(sums[order], np.flatnonzero(np.diff(place[order], prepend=-1)))
+            else:
+                total = sums[first]
+            del sums
+            total = total.reshape(len(bins), len(turns), 2)
             margins, columns = booster.margins(bins, m), np.ascontiguousarray(bins.T).astype(np.int64)
             out = []
             for k, turn in enumerate(turns):
                 if turn < specs[m].trees:
                     p = 1 / (1 + np.exp(-margins))
-                    tree = _tree(specs, m, turn, bins, columns, p * total[:, k, 0] - total[:, k, 1], total[:, k, 0] * np.maximum(p * (1 - p), 1e-16))
-                    margins += tree.value[tree.nodes(bins)]
+                    tree, at = _tree(specs, m, turn, columns, p * total[:, k, 0] - total[:, k, 1], total[:, k, 0] * np.maximum(p * (1 - p), 1e-16))
+                    margins += tree.value[at]
                     out.append((m, turn, *(getattr(tree, x).tobytes() for x in ("feature", "cut", "null_left", "value"))))
             kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 4]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=[x.split()[0] for x in TREES.split(", ")])
@@ -391,35 +397,42 @@ def _grown(booster: Boosted, turns: range):
     return work
 
 
-def _tree(specs: list[Spec], m: int, turn: int, bins: np.ndarray, columns: np.ndarray, g: np.ndarray, h: np.ndarray) -> Tree:
-    """A tree of one model, from gradients and second derivatives of each bins."""
+def _tree(specs: list[Spec], m: int, turn: int, columns: np.ndarray, g: np.ndarray, h: np.ndarray) -> tuple[Tree, np.ndarray]:
+    """A tree of one model, from gradients and second derivatives of each bins, and the leaf that
+    each comes to. columns: a row of bins for each feature."""
     s, used, growing = specs[m], _drawn(specs[m], turn, len(columns)), {m: Tree.grown(specs[m].depth)}
-    frontier, names = {m: [0]}, [x.split()[0] for x in CUTS.split(", ")]
+    frontier, names, tree = {m: [0]}, [x.split()[0] for x in CUTS.split(", ")], growing[m]
+    at = np.zeros(len(g), np.int64)
     while frontier:
         nodes = frontier[m]
-        lookup = np.full(len(growing[m].feature), -1, np.int64)
-        lookup[nodes] = np.arange(len(nodes))
-        node = lookup[growing[m].nodes(bins)]
-        take = np.flatnonzero(node >= 0)
+        place = np.full(len(tree.feature), len(nodes))  # settled leaves add up in one place more
+        place[nodes] = np.arange(len(nodes))
+        first, size = place[at] * (BINS + 1), (len(nodes) + 1) * (BINS + 1)
         sums = np.empty((len(nodes), len(used), 2, BINS + 1))
         for j, f in enumerate(used):
-            cells = node[take] * (BINS + 1) + columns[f, take]
+            cells = first + columns[f]
             for k, x in enumerate((g, h)):
-                sums[:, j, k] = np.bincount(cells, x[take], len(nodes) * (BINS + 1)).reshape(len(nodes), -1)
+                sums[:, j, k] = np.bincount(cells, x, size).reshape(-1, BINS + 1)[:-1]
         rows = len(nodes) * len(used)
         best = best_cuts(sums.reshape(rows, 2, -1), np.full(rows, s.l2), np.full(rows, s.least_weight))
         best |= {"model": np.full(rows, m), "node": np.repeat(nodes, len(used)), "feature": np.tile(used, len(nodes))}
         frontier = _grow([dict(zip(names, r)) for r in zip(*(best[x].tolist() for x in names))], specs, growing)
-    return growing[m]
-
-
-def _fit_few(session, runs: DataFrame, booster: Boosted) -> None:
-    """Grows all models from runs with few different bins, a block of trees a job."""
-    specs = booster.specs
-    for start in range(0, max((s.trees for s in specs), default=0), CUT):
-        turns = range(start, start + CUT)
+        for n in nodes:
+            if tree.feature[n] >= 0:
+                own = np.flatnonzero(at == n)
+                b = columns[tree.feature[n], own]
+                at[own] = np.where(np.where(b == 0, tree.null_left[n], b <= tree.cut[n]), 2 * n + 1, 2 * n + 2)
+    return tree, at
+
+
+def _fit_few(runs: DataFrame, booster: Boosted, different: int) -> None:
+    """Grows all models from runs with few different bins, a block of trees a job: as many as
+    keep a model's sums within HELD_BYTES."""
+    specs, block = booster.specs, max(CUT, HELD_BYTES // (16 * max(1, different)))
+    for start in range(0, max((s.trees for s in specs), default=0), block):
+        turns = range(start, min(start + block, max(s.trees for s in specs)))
         sums = runs.mapInArrow(_drawn_sums(specs, turns), "model int, bins binary, sums binary")
-        for r in sorted(sums.repartitionById(len(specs), "model").mapInArrow(_grown(booster, turns), TREES).collect(), key=lambda r: r["turn"]):  # CUT a model
+        for r in sorted(sums.repartitionById(len(specs), "model").mapInArrow(_grown(booster, turns), TREES).collect(), key=lambda r: r["turn"]):  # a block a model
             kinds = (np.int16, np.int16, bool, np.float64)
             booster.trees[r["model"]].append(Tree(*(np.frombuffer(r[x], kind).copy() for x, kind in zip(("feature", "cut", "null_left", "value"), kinds))))
     for s, trees in zip(specs, booster.trees):  # a model that draws nothing has trees of one leaf
@@ -438,6 +451,52 @@ def _margins_of(booster: Boosted):
     return work
 
 
+@dataclass
+class Prepared:
+    """Rows that models grow from: edges of the bins, and keys with STATE but for the margins,
+    written; if few bins are different, how many (at most) and the runs of equal ones."""
+
+    spark: SparkSession
+    columns: list[str]
+    edges: list[np.ndarray]
+    state: DataFrame
+    rows: int
+    parts: int
+    different: int = 0
+    runs: DataFrame | None = None
+
+    def release(self) -> None:
+        if self.runs is not None:
+            self.runs.unpersist()
+
+
+def _read(df: DataFrame, name: str) -> DataFrame:
+    """df, written. Plans of one shape, over and over: nothing to re-plan at run time."""
+    session = df.sparkSession.newSession()
+    session.conf.set("spark.sql.adaptive.enabled", "false")
+    return session.read.schema(df.schema).parquet(*written(df, name).inputFiles())
+
+
+def prepare(rows: DataFrame, columns: list[str], keys: list[str], label: str = "label", weight: str | None = "weight", fold: str | None = "fold") -> Prepared:
+    """Bins of all rows, for as many fits as read them; `release` it after the last."""
+    spark = rows.sparkSession
+    edges = edges_of(rows, columns)
+    state = _state(rows, columns, edges, keys, label, weight, fold)
+    n = rows.count()
+    parts = min(max(1, n // PART_ROWS), 16 * max(1, spark.sparkContext.defaultParallelism))
+    made = Prepared(spark, columns, edges, state, n, parts)
+    if not n:
+        return made
+    made.state = state = _read(state, "state")
+    few = 2 * PART_ROWS
+    different = state.select("bins").distinct().limit(few).count() if columns else few
+    if different < few:
+        # Equal bins meet in a task, in a few if they have millions of rows.
+        dealt = state.repartition(max(parts, spark.sparkContext.defaultParallelism), "bins", F.pmod("at", F.lit(1 + n // (40 * PART_ROWS)))).sortWithinPartitions("bins")
+        made.different, made.runs = different, _read(dealt.select("bins", "at", "label", "weight", "fold").mapInArrow(_runs(len(columns)), RUNS), "runs").persist()
+    return made
+
+
 def fit(rows: DataFrame, columns: list[str], specs: list[Spec], keys: list[str], label: str = "label", weight: str | None = "weight", fold: str | None = "fold") -> tuple[Boosted, DataFrame]:
     """Fits all specs; also gives keys, label, weight, fold and margins binary (a double for
     each spec) of every row, so that held-out rows are scored already.
@@ -447,33 +506,29 @@ def fit(rows: DataFrame, columns: list[str], specs: list[Spec], keys: list[str],
     keys and label are drawn alike; an empty table gives models without trees. Keys have other
     names than the columns that are given.
     """
-    spark = rows.sparkSession
-    booster = Boosted(columns, edges_of(rows, columns), specs, [[] for _ in specs])
-    state = _state(rows, booster, keys, label, weight, fold)
-    n = rows.count()
-    if not n:
-        return booster, state.drop("bins", "at")
-    parts = min(max(1, n // PART_ROWS), 16 * max(1, spark.sparkContext.defaultParallelism))
-    # Plans of one shape, over and over: nothing to re-plan at run time.
-    session = spark.newSession()
-    session.conf.set("spark.sql.adaptive.enabled", "false")
-    read = lambda df, name: session.read.schema(df.schema).parquet(*written(df, name).inputFiles())
-    state = read(state, "state")
-    few = 2 * PART_ROWS
-    if columns and (n < few or state.select("bins").distinct().limit(few).count() < few):
-        # Equal bins meet in a task, in a few if they have millions of rows.
-        dealt = state.repartition(max(parts, spark.sparkContext.defaultParallelism), "bins", F.pmod("at", F.lit(1 + n // (40 * PART_ROWS)))).sortWithinPartitions("bins")
-        runs = read(dealt.select("bins", "at", "label", "weight", "fold").mapInArrow(_runs(len(columns)), RUNS), "runs").persist()
-        _fit_few(session, runs, booster)
-        runs.unpersist()
-        margins = state.select("bins").distinct().mapInArrow(_margins_of(booster), "bins binary, margins binary")
-        final = written(state.drop("at", "margins").join(F.broadcast(margins), "bins").drop("bins"), "boosted")  # under `few` rows
+    made = prepare(rows, columns, keys, label, weight, fold)
+    out = grown(made, specs)
+    made.release()
+    return out
+
+
+def grown(made: Prepared, specs: list[Spec]) -> tuple[Boosted, DataFrame]:
+    """`fit` of prepared rows."""
+    spark, columns, state, parts = made.spark, made.columns, made.state, made.parts
+    booster = Boosted(columns, made.edges, specs, [[] for _ in specs])
+    zeros = F.lit(bytes(8 * len(specs))).alias("margins")
+    if not made.rows:
+        return booster, state.select("*", zeros).drop("bins", "at")
+    if made.runs is not None:
+        _fit_few(made.runs, booster, made.different)
+        margins = made.runs.select("bins").distinct().mapInArrow(_margins_of(booster), "bins binary, margins binary")
+        final = written(state.drop("at").join(F.broadcast(margins), "bins").drop("bins"), "boosted")  # under `few` rows
         return booster, spark.read.schema(final.schema).parquet(*final.inputFiles())
 
     def settled(df: DataFrame) -> DataFrame:
-        return read(df, "margins").coalesce(parts).persist()
+        return _read(df, "margins").coalesce(parts).persist()
 
-    state = settled(state.repartition(parts))
+    state = settled(state.select("*", zeros).repartition(parts))
     block: list[dict[int, Tree]] = []  # trees that the written margins don't have yet
     for turn in range(max((s.trees for s in specs), default=0)):
         active = [m for m, s in enumerate(specs) if turn < s.trees]

@@ -71,9 +71,12 @@ def out_of_fold(rows: DataFrame, columns: list[str], folds: int = 5, held_out: t
 
 
 def platt(oof: DataFrame):
-    """Logistic calibration of raw margins, on tournament rows (weight 1) (ML4)."""
-    rows = VectorAssembler(inputCols=["raw"], outputCol="raw_vec").transform(oof.where("weight = 1"))
-    return LogisticRegression(featuresCol="raw_vec", labelCol="label", predictionCol="_y", rawPredictionCol="_r", probabilityCol="calibrated").fit(rows)
+    """Logistic calibration of raw margins, on tournament rows (weight 1) (ML4). Rows equal in
+    margin and label (games of the same teams) are one with their number as its weight, so that
+    the rounds of the fit read team pairs, not games."""
+    counted = oof.where("weight = 1").groupBy("raw", "label").agg(F.count("*").cast("double").alias("n"))
+    rows = VectorAssembler(inputCols=["raw"], outputCol="raw_vec").transform(counted)
+    return LogisticRegression(featuresCol="raw_vec", labelCol="label", weightCol="n", predictionCol="_y", rawPredictionCol="_r", probabilityCol="calibrated").fit(rows)
 
 
 def calibrated(model, scored: DataFrame) -> DataFrame:
