@@ -187,3 +187,12 @@ def test_tuning_by_season(spark):
     best = tried[0].params
     scored = boosting.held_out_scores(boosting.fit(df.withColumnRenamed("part", "fold"), COLUMNS, specs := [Spec(k, **best) for k in range(4)], ["game_id"])[1], specs).collect()
     assert loss(scored) == pytest.approx(tried[0].loss)
+
+
+def test_tuning_puts_rows_into_bins_once(spark, monkeypatch):
+    df, _ = table(spark, 80)
+    calls, edges_of = [], boosting.edges_of
+    monkeypatch.setattr(boosting, "edges_of", lambda *a: calls.append(1) or edges_of(*a))
+    space = {**tuning.SPACE, "trees": tuning.Range(1, 2, whole=True), "depth": tuning.Range(1, 2, whole=True)}
+    assert len(tuning.tune(df.withColumn("Season", df["part"]), COLUMNS, space, trials=3, batch=1, startup=3)) == 3
+    assert len(calls) == 1  # not one a batch

@@ -101,12 +101,11 @@ def search(evaluate: Callable[[list[dict]], list[float]], space: dict[str, Range
     return sorted(done, key=lambda t: (not math.isfinite(t.loss), t.loss if math.isfinite(t.loss) else 0.0, t.place))
 
 
-def held_out_losses(rows: DataFrame, columns: list[str], options: list[dict], by: str = "Season") -> list[float]:
-    """Log loss of each option over rows that were held out by `by`; all models of all options
-    grow together."""
-    folds = [int(r[0]) for r in rows.select(by).where(F.col(by).isNotNull()).distinct().orderBy(by).collect()]
+def held_out_losses(made: boosting.Prepared, folds: list[int], options: list[dict]) -> list[float]:
+    """Log loss of each option over rows whose fold was held out; all models of all options grow
+    together."""
     specs = [Spec(k, **o) for o in options for k in folds]
-    _, scored = boosting.fit(rows.withColumn("fold", F.col(by).cast("int")), columns, specs, ["game_id"])
+    _, scored = boosting.grown(made, specs)
     at = F.array_position(F.array(*map(F.lit, folds)), F.col("fold")).cast("int") - 1
     own = boosting.unpacked(scored, len(specs)).where((at >= 0) & (F.col("weight") > 0)).withColumn("at", at)
     every = own.select("label", F.inline(F.array(*(F.struct(F.lit(t).alias("trial"), F.get("margins", t * len(folds) + F.col("at")).alias("raw")) for t in range(len(options))))))
@@ -116,6 +115,11 @@ def held_out_losses(rows: DataFrame, columns: list[str], options: list[dict], by
     return [found.get(t, math.nan) for t in range(len(options))]
 
 
-def tune(rows: DataFrame, columns: list[str], space: dict[str, Range] = SPACE, trials: int = 50, batch: int = 5, startup: int = 10, seed: int = 42) -> list[Trial]:
-    """Trials of boosted trees by season-held-out log loss, the best first (ML7)."""
-    return search(lambda options: held_out_losses(rows, columns, options), space, trials, batch, startup, seed=seed)
+def tune(rows: DataFrame, columns: list[str], space: dict[str, Range] = SPACE, trials: int = 50, batch: int = 5, startup: int = 10, seed: int = 42, by: str = "Season") -> list[Trial]:
+    """Trials of boosted trees by season-held-out log loss, the best first (ML7). Rows are put
+    into bins once for all batches."""
+    made = boosting.prepare(rows.withColumn("fold", F.col(by).cast("int")), columns, ["game_id"])
+    folds = [r[0] for r in made.state.select("fold").where("fold >= 0").distinct().orderBy("fold").collect()]  # a row per season
+    tried = search(lambda options: held_out_losses(made, folds, options), space, trials, batch, startup, seed=seed)
+    made.release()
+    return tried
