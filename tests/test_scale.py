@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tipoff.operators import features as fx
+from tipoff.operators import ratings as rt
 from tipoff.operators.games import team_games
 from tipoff.sources import adapter as ad
 
@@ -42,3 +43,21 @@ def test_season_features_move_no_games(spark):
         key = (r["Season"], r["TeamID"])
         assert r["late_sos"] == late.get(key)
         assert all(r[c] == pytest.approx(form[key][c]) for c in ("win_pct_last10", "avg_mov_last10", "scoring_trend", "season_win_pct", "season_avg_mov"))
+
+
+def test_rounds_of_ratings_read_kept_meetings(spark, monkeypatch):
+    rows = team_games(ad.game_log(spark, "/root/testdata/sf0.001"))
+    plans, step = [], rt.step
+
+    def seen(*given):
+        plans.append(step(*given)._jdf.queryExecution().executedPlan().toString())
+        return step(*given)
+
+    monkeypatch.setattr(rt, "step", seen)
+    out = {(r["Season"], r["TeamID"]): r["adj_em"] for r in rt.adjusted_efficiency(rows, 2).collect()}
+    assert len(plans) == 2 and "InMemoryRelation" in plans[0]  # meetings are kept, dealt by team
+    assert "l_oe" in plans[0] and plans[0].count("BroadcastExchange") == 2  # ratings, and once for all rounds the league
+    monkeypatch.setattr(rt, "SMALL_ROWS", 0)
+    for r in rt.adjusted_efficiency(rows, 2).collect():
+        assert out.pop((r["Season"], r["TeamID"])) == pytest.approx(r["adj_em"])
+    assert not out

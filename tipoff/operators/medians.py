@@ -54,7 +54,7 @@ def medians(df: DataFrame, columns: list[str], few: int = FEW) -> dict[str, floa
         open_[r["k"]] = Interval(r["low"], r["high"], r["n"], 0, (r["n"] - 1) // 2, r["n"] // 2)
 
     def within(which: dict[int, Interval]) -> DataFrame:
-        bounds = spark.createDataFrame([(k, i.low, i.high) for k, i in which.items()], "k int, low double, high double")
+        bounds = spark.range(1).select(F.inline(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(i.low).alias("low"), F.lit(i.high).alias("high")) for k, i in which.items()))))
         return values.join(F.broadcast(bounds), "k").where("v >= low and v <= high")  # a row per column
 
     while True:

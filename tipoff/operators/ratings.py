@@ -11,8 +11,9 @@ from tipoff.operators.lineage import written
 
 #: Rounds between two lineage cuts.
 CUT = 5
-#: Ratings (a row per team and season, four numbers) that are sent to every task at most.
-SMALL_ROWS = 500_000
+#: Ratings (a row per team and season, four numbers) that are sent to every task at most;
+#: meetings of a task.
+SMALL_ROWS, TASK_ROWS = 500_000, 50_000
 
 
 def weighted_games(tg: DataFrame, half_life: float) -> DataFrame:
@@ -38,11 +39,17 @@ def start_ratings(met: DataFrame) -> DataFrame:
     return met.groupBy(*KEY).agg(_mean("oe").alias("r_oe"), _mean("de").alias("r_de"))
 
 
-def step(met: DataFrame, ratings: DataFrame, league: DataFrame, hca: float, small: bool = False) -> DataFrame:
-    """One round: every rating from the opponents' ratings of the round before. `small`: the
-    ratings were counted and fit every task."""
+def dealt(met: DataFrame, rows: int) -> DataFrame:
+    """So many meetings dealt by team, kept, over as few tasks as they ask for: a round with
+    ratings that are sent about then moves a row a team."""
+    return met.repartition(max(1, -(-rows // TASK_ROWS)), *KEY).persist()
+
+
+def step(met: DataFrame, ratings: DataFrame, hca: float, small: bool = False) -> DataFrame:
+    """One round: every rating from the opponents' ratings of the round before; meetings have
+    their league's means. `small`: the ratings were counted and fit every task."""
     other = ratings.select("Season", F.col("TeamID").alias("OppID"), F.col("r_oe").alias("o_oe"), F.col("r_de").alias("o_de"))
-    rated = met.join(F.broadcast(other) if small else other, ["Season", "OppID"], "left").join(F.broadcast(league), "Season")
+    rated = met.join(F.broadcast(other) if small else other, ["Season", "OppID"], "left")
     edge = F.col("w_home") * (hca / 2)
     oe = F.col("w_oe") * (F.col("l_de") / F.coalesce("o_de", "l_de")) - edge
     de = F.col("w_de") * (F.col("l_oe") / F.coalesce("o_oe", "l_oe")) + edge
@@ -68,10 +75,14 @@ def adjusted_efficiency(tg: DataFrame, rounds: int = 15, half_life: float = 30.0
     league = written(met.groupBy("Season").agg(_mean("oe").alias("l_oe"), _mean("de").alias("l_de")), "league")
     ratings, before = written(start_ratings(met), "start"), None
     small = ratings.count() <= SMALL_ROWS
+    held = met.join(F.broadcast(league), "Season")
+    held = dealt(held, met.count()) if small else held
     for k in range(rounds):
-        before, ratings = ratings, step(met, ratings, league, hca, small)
+        before, ratings = ratings, step(held, ratings, hca, small)
         if k % CUT == CUT - 1 or k == rounds - 1:
             ratings = written(ratings, f"round{k}")
+    if small:
+        held.unpersist()
     out = ratings.join(adjusted_tempo(met), KEY).select(*KEY, F.col("r_oe").alias("adj_oe"), F.col("r_de").alias("adj_de"), (F.col("r_oe") - F.col("r_de")).alias("adj_em"), "adj_tempo")
     if not history:
         return out
