@@ -7,6 +7,7 @@ import pytest
 
 from tipoff.operators import boosting, matchups, tuning
 from tipoff.operators.boosting import Spec
+from tipoff.plans import tournament
 from tipoff.sources import sinks
 
 
@@ -196,3 +197,65 @@ def test_tuning_puts_rows_into_bins_once(spark, monkeypatch):
     space = {**tuning.SPACE, "trees": tuning.Range(1, 2, whole=True), "depth": tuning.Range(1, 2, whole=True)}
     assert len(tuning.tune(df.withColumn("Season", df["part"]), COLUMNS, space, trials=3, batch=1, startup=3)) == 3
     assert len(calls) == 1  # not one a batch
+
+
+def test_tuning_query_is_the_published_search(spark, monkeypatch):
+    df, _ = table(spark, 80)
+    rows = df.selectExpr("game_id", "part + 2000 as Season", "label", "weight", *(f"{COLUMNS[k % 4]} * {k + 1} as {c}" for k, c in enumerate(tournament.FEATURES)))
+    monkeypatch.setattr(tournament, "training", lambda spark, sf: rows)
+    monkeypatch.setattr(tuning, "held_out_losses", lambda made, folds, options: [bowl(o) for o in options])
+    out = tournament.tuning_query(spark, "").orderBy("rank").collect()
+    assert sorted(r["trial"] for r in out) == list(range(50)) and [r["rank"] for r in out] == list(range(1, 51))
+    assert all(100 <= r["trees"] <= 500 and 2 <= r["depth"] <= 8 and 0.01 <= r["rate"] <= 0.3 for r in out)
+    assert max(r["trees"] for r in out) > 400 and max(r["depth"] for r in out) == 8
+    assert [r["log_loss"] for r in out] == sorted(r["log_loss"] for r in out)
+
+
+def test_losses_of_models_grown_apart(spark, monkeypatch):
+    df, _ = table(spark, 300)
+    copies = df.crossJoin(spark.range(3).withColumnRenamed("id", "copy")).selectExpr("game_id * 3 + copy as game_id", "if(game_id % 11 = 0, null, label) as label", "if(game_id % 7 = 0, null, weight) as weight", "cast(nullif(part, 3) as int) as fold", *COLUMNS)
+    made = boosting.prepare(copies, COLUMNS, ["game_id"])
+    options = [{"trees": 3, "depth": 1, "rate": 0.3}, {"trees": 30, "depth": 6, "rate": 0.1, "rows": 0.6, "columns": 0.6}, {"trees": 0}]
+    spark.sparkContext.setJobGroup("apart", "")
+    apart = tuning.held_out_losses(made, [0, 1, 2, 9], options)  # no row has fold 9
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("apart"))
+    spark.sparkContext.setJobGroup("rest", "")
+    assert jobs <= 3  # whatever the number of trees
+    monkeypatch.setattr(boosting, "HELD_BYTES", 1000)  # rows don't fit into a task then
+    assert boosting.held_out_losses(made, [Spec(0)]) is None
+    assert apart == pytest.approx(tuning.held_out_losses(made, [0, 1, 2, 9], options))
+    assert apart[2] == pytest.approx(math.log(2)) and len(set(apart)) == 3
+    assert math.isnan(tuning.held_out_losses(made, [9], [{"trees": 1}])[0])
+    made.release()
+
+
+def test_cuts_that_part_rows_alike_are_taken_in_order(spark, monkeypatch):
+    df, _ = table(spark, 400)
+    alike = df.selectExpr("game_id", "label", "weight", "part", "a", "b", "-b as c", "3 * a as d", "-a as e", "b * b * b as f")
+    columns = ["a", "b", "c", "d", "e", "f"]
+    specs = [Spec(k, trees=10, depth=6, rate=0.2, columns=1.0) for k in range(4)]
+    few, _ = boosting.fit(alike, columns, specs, ["game_id"], fold="part")
+    monkeypatch.setattr(boosting, "PART_ROWS", 100)
+    many, _ = boosting.fit(alike.repartition(5), columns, specs, ["game_id"], fold="part")
+    for a, b in zip(sum(few.trees, []), sum(many.trees, [])):
+        assert (a.feature == b.feature).all() and (a.cut == b.cut).all() and np.allclose(a.value, b.value)
+    assert not {3, 5} & {int(f) for t in sum(few.trees, []) for f in t.feature}  # as good as the first two
+
+
+def test_cuts_against_plain_sums():
+    rng = np.random.default_rng(4)
+    sums = rng.normal(size=(600, 2, boosting.BINS + 1))
+    sums[:, 1] = np.abs(sums[:, 1]) * (rng.random((600, boosting.BINS + 1)) < 0.3)
+    sums[:, 0] *= sums[:, 1] > 0
+    sums[::2, :, 0] = 0
+    found = boosting.best_cuts(sums, 1.0, 2.0)
+    for k, (g, h) in enumerate(sums):
+        best = (0.0, 0, False)
+        for nulls_left in (False, True):
+            for cut in range(1, boosting.BINS):
+                a, b = (x[1 : cut + 1].sum() + nulls_left * x[0] for x in (g, h))
+                c, d = g.sum() - a, h.sum() - b
+                gain = a * a / (b + 1) + c * c / (d + 1) - g.sum() ** 2 / (h.sum() + 1)
+                if b >= 2 and d >= 2 and gain > best[0] + 1e-9:
+                    best = (gain, cut, nulls_left)
+        assert found["gain"][k] == pytest.approx(best[0]) and (found["cut"][k], found["null_left"][k]) == best[1:]

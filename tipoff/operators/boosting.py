@@ -7,6 +7,8 @@ gradients only need the weights and labels drawn among them. There are two ways
 * Few different bins (team pairs of a season, however many games): a job adds up, for some tens
   of trees, what each model draws of each bins' rows, and grows the models by model, each from
   these sums. Work of the trees doesn't grow with the rows; every row is still drawn by itself.
+  For the losses of a search, where all rows fit into a task, a task draws and grows one model
+  from the first tree to the last.
 * Many: one job a level grows the next level of a tree of every model: tasks sum gradients by
   (model, node, feature, bin) over their rows, the sums meet by (model, node, feature), and each
   gives its best cut. A row per model, node and feature comes back, whatever the number of rows.
@@ -29,8 +31,8 @@ from tipoff.operators.ratings import written
 
 #: Cuts of a feature; trees between two writes of the margins; rows of a partition; bytes of
 #: the sums that a task holds (more models or nodes take more jobs). Different bins under
-#: 2 * PART_ROWS are few.
-BINS, CUT, PART_ROWS, HELD_BYTES = 64, 25, 50_000, 64 << 20
+#: 2 * PART_ROWS are few. Bytes of a row of runs, without its bins.
+BINS, CUT, PART_ROWS, HELD_BYTES, ROW_BYTES = 64, 25, 50_000, 64 << 20, 28
 
 
 @dataclass(frozen=True)
@@ -124,15 +126,20 @@ def _array(column: pa.Array, kind, width: int) -> np.ndarray:
 
 def _mixed(x: np.ndarray) -> np.ndarray:
     """splitmix64: well spread numbers from close ones."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x, moved = x.copy(), np.empty_like(x)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, None)):
+        np.right_shift(x, np.uint64(shift), out=moved)
+        x ^= moved
+        if factor is not None:
+            x *= np.uint64(factor)
+    return x
 
 
 def _is_drawn(at: np.ndarray, seed: int, share: float, turn: int) -> np.ndarray:
-    """Whether the tree of this turn learns from each row."""
+    """Whether the tree of this turn learns from each row: its 53 highest bits, as a share."""
     salt = _mixed(np.array([turn * 1_000_003 + seed], dtype=np.uint64))[0]
-    return (_mixed(at ^ salt) >> np.uint64(11)).astype(np.float64) * 2.0**-53 < share
+    below = math.ceil(share * 2.0**53) << 11
+    return _mixed(at ^ salt) < np.uint64(below) if below < 1 << 64 else np.ones(len(at), bool)
 
 
 STATE = "label double, weight double, fold int, at long, bins binary"
@@ -184,9 +191,9 @@ def _added(bins: np.ndarray, margins: np.ndarray, block: list[dict[int, Tree]],
     return out
 
 
-def _sums(specs: list[Spec], width: int, block, growing: dict[int, Tree], frontier: dict[int, list[int]], used: dict[int, np.ndarray], turn: int):
+def _sums(specs: list[Spec], width: int, step: float, block, growing: dict[int, Tree], frontier: dict[int, list[int]], used: dict[int, np.ndarray], turn: int):
     """Of a task's rows: for each model, open node and feature, sums of gradients and second
-    derivatives by bin."""
+    derivatives by bin, rounded to steps of which all sums are exact."""
     bins_n = BINS + 1
     place = {m: {n: k for k, n in enumerate(nodes)} for m, nodes in frontier.items()}
 
@@ -210,7 +217,7 @@ def _sums(specs: list[Spec], width: int, block, growing: dict[int, Tree], fronti
                 p = 1 / (1 + np.exp(-margins[take, m]))
                 g, h = weight[take] * (p - label[take]), weight[take] * np.maximum(p * (1 - p), 1e-16)
                 cells = ((node[take, None] * len(used[m]) + np.arange(len(used[m]))) * bins_n + bins[take[:, None], used[m]]).ravel()
-                for k, x in enumerate((g, h)):
+                for k, x in enumerate((np.rint(g * step) / step, np.rint(h * step) / step)):
                     held[m][k] += np.bincount(cells, np.repeat(x, len(used[m])), held[m][k].size).reshape(held[m][k].shape)
         rows = [(m, n, int(f), held[m][:, k, j].tobytes()) for m, nodes in frontier.items() for k, n in enumerate(nodes) for j, f in enumerate(used[m])]
         if rows:
@@ -220,25 +227,61 @@ def _sums(specs: list[Spec], width: int, block, growing: dict[int, Tree], fronti
     return work
 
 
-def best_cuts(sums: np.ndarray, l2: np.ndarray, least: np.ndarray) -> dict[str, np.ndarray]:
+def best_cuts(sums: np.ndarray, l2: float | np.ndarray, least: float | np.ndarray, block: int = 250) -> dict[str, np.ndarray]:
     """The best cut of each row of sums (rows, 2, bins): gain (0: none), cut, null_left, and the
-    sums on the left and of all. Bin 0 holds nulls, which go to the side that gains more."""
-    total_g, total_h = sums.sum(axis=2).T
-    left = np.cumsum(sums[:, :, 1:-1], axis=2)
-    l2, least, rows = l2[:, None], least[:, None], np.arange(len(sums))
-    best = {"gain": np.zeros(len(sums)), "cut": np.zeros(len(sums), np.int32), "null_left": np.zeros(len(sums), bool), "left_g": np.zeros(len(sums)), "left_h": np.zeros(len(sums))}
+    sums on the left and of all. Bin 0 holds nulls, which go to the side that gains more. Goes by
+    blocks that a processor's cache holds."""
+    l2, least = (np.broadcast_to(x, len(sums)) for x in (l2, least))
+    parts = [_best_cuts(sums[k : k + block], l2[k : k + block], least[k : k + block]) for k in range(0, len(sums), block)]
+    return {name: np.concatenate([x[name] for x in parts]) for name in parts[0]}
+
+
+def _best_cuts(sums: np.ndarray, l2: np.ndarray, least: np.ndarray) -> dict[str, np.ndarray]:
+    n, sums = len(sums), np.ascontiguousarray(sums.transpose(1, 2, 0))
+    total_g, total_h = sums.sum(axis=1)
+    left = _running(sums[:, 1:])[:, :-1]
+    best = {"gain": np.zeros(n), "cut": np.zeros(n, np.int32), "null_left": np.zeros(n, bool), "left_g": np.zeros(n), "left_h": np.zeros(n)}
     for nulls_left in (False, True):
-        a, b = (left + (sums[:, :, :1] if nulls_left else 0)).transpose(1, 0, 2)
-        c, d = total_g[:, None] - a, total_h[:, None] - b
-        gain = a * a / (b + l2) + c * c / (d + l2) - (total_g * total_g)[:, None] / (total_h[:, None] + l2)
-        gain = np.where((b >= least) & (d >= least), gain, 0)
-        k = np.argmax(gain, axis=1)
-        better = gain[rows, k] > best["gain"] + 1e-12
-        for name, x in (("gain", gain[rows, k]), ("cut", k + 1), ("null_left", np.full(len(sums), nulls_left)), ("left_g", a[rows, k]), ("left_h", b[rows, k])):
-            best[name] = np.where(better, x, best[name])
+        if nulls_left:
+            own = np.flatnonzero(sums[:, 0].any(axis=0))
+            if not len(own):
+                break
+            a, b = left[:, :, own] + sums[:, :1, own]
+        else:
+            own, (a, b) = np.arange(n), left
+        g, h, l2_own, least_own = (x if len(own) == n else x[own] for x in (total_g, total_h, l2, least))
+        c, d = g - a, h - b
+        closed = b < least_own
+        closed |= d < least_own
+        d += l2_own
+        c *= c
+        c /= d
+        np.add(b, l2_own, out=d)
+        gain = a * a
+        gain /= d
+        gain += c
+        np.copyto(gain, -np.inf, where=closed)
+        k, at = np.argmax(gain, axis=0), np.arange(len(own))
+        top = gain[k, at] - g * g / (h + l2_own)
+        better = np.flatnonzero(top > best["gain"][own] + 1e-12)
+        k, at = k[better], at[better]
+        for name, x in (("gain", top[better]), ("cut", k + 1), ("null_left", nulls_left), ("left_g", a[k, at]), ("left_h", b[k, at])):
+            best[name][own[at]] = x
     return best | {"g": total_g, "h": total_h}
 
 
+def _running(x: np.ndarray) -> np.ndarray:
+    """Running sums along axis 1, of BINS places: within eighths, then of the eighths before."""
+    eighths = x.reshape(len(x), 8, BINS // 8, -1)
+    out = np.empty(eighths.shape)
+    out[:, :, 0] = eighths[:, :, 0]
+    for k in range(1, BINS // 8):
+        np.add(out[:, :, k - 1], eighths[:, :, k], out=out[:, :, k])
+    for k in range(1, 8):
+        out[:, k] += out[:, k - 1, -1:]
+    return out.reshape(x.shape)
+
+
 CUTS = "model int, node int, feature int, gain double, cut int, null_left boolean, left_g double, left_h double, g double, h double"
 
 
@@ -274,10 +317,10 @@ def _groups(frontier: dict[int, list[int]], used: dict[int, np.ndarray]):
         yield group
 
 
-def _level(state: DataFrame, parts: int, booster: Boosted, block, growing, frontier, used, turn: int) -> list:
+def _level(state: DataFrame, parts: int, step: float, booster: Boosted, block, growing, frontier, used, turn: int) -> list:
     out = []
     for group in _groups(frontier, used):
-        sums, cuts = _sums(booster.specs, len(booster.columns), block, {m: growing[m] for m in group}, group, {m: used[m] for m in group}, turn), _cuts(booster.specs)
+        sums, cuts = _sums(booster.specs, len(booster.columns), step, block, {m: growing[m] for m in group}, group, {m: used[m] for m in group}, turn), _cuts(booster.specs)
         dealt = min(parts, 1 + sum(len(n) * len(used[m]) for m, n in group.items()) // 200)
         met = state.mapInArrow(sums, "model int, node int, feature int, sums binary").repartition(dealt, "model", "node", "feature").mapInArrow(cuts, CUTS)
         out += met.collect()  # a row per model, node and feature
@@ -388,7 +431,7 @@ def _grown(booster: Boosted, turns: range):
             for k, turn in enumerate(turns):
                 if turn < specs[m].trees:
                     p = 1 / (1 + np.exp(-margins))
-                    tree, at = _tree(specs, m, turn, columns, p * total[:, k, 0] - total[:, k, 1], total[:, k, 0] * np.maximum(p * (1 - p), 1e-16))
+                    tree, at = _tree(specs[m], turn, columns, p * total[:, k, 0] - total[:, k, 1], total[:, k, 0] * np.maximum(p * (1 - p), 1e-16))
                     margins += tree.value[at]
                     out.append((m, turn, *(getattr(tree, x).tobytes() for x in ("feature", "cut", "null_left", "value"))))
             kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 4]
@@ -397,34 +440,86 @@ def _grown(booster: Boosted, turns: range):
     return work
 
 
-def _tree(specs: list[Spec], m: int, turn: int, columns: np.ndarray, g: np.ndarray, h: np.ndarray) -> tuple[Tree, np.ndarray]:
+def _tree(s: Spec, turn: int, columns: np.ndarray, g: np.ndarray, h: np.ndarray) -> tuple[Tree, np.ndarray]:
     """A tree of one model, from gradients and second derivatives of each bins, and the leaf that
-    each comes to. columns: a row of bins for each feature."""
-    s, used, growing = specs[m], _drawn(specs[m], turn, len(columns)), {m: Tree.grown(specs[m].depth)}
-    frontier, names, tree = {m: [0]}, [x.split()[0] for x in CUTS.split(", ")], growing[m]
-    at = np.zeros(len(g), np.int64)
-    while frontier:
-        nodes = frontier[m]
-        place = np.full(len(tree.feature), len(nodes))  # settled leaves add up in one place more
-        place[nodes] = np.arange(len(nodes))
-        first, size = place[at] * (BINS + 1), (len(nodes) + 1) * (BINS + 1)
-        sums = np.empty((len(nodes), len(used), 2, BINS + 1))
-        for j, f in enumerate(used):
-            cells = first + columns[f]
-            for k, x in enumerate((g, h)):
-                sums[:, j, k] = np.bincount(cells, x, size).reshape(-1, BINS + 1)[:-1]
-        rows = len(nodes) * len(used)
-        best = best_cuts(sums.reshape(rows, 2, -1), np.full(rows, s.l2), np.full(rows, s.least_weight))
-        best |= {"model": np.full(rows, m), "node": np.repeat(nodes, len(used)), "feature": np.tile(used, len(nodes))}
-        frontier = _grow([dict(zip(names, r)) for r in zip(*(best[x].tolist() for x in names))], specs, growing)
-        for n in nodes:
-            if tree.feature[n] >= 0:
-                own = np.flatnonzero(at == n)
-                b = columns[tree.feature[n], own]
-                at[own] = np.where(np.where(b == 0, tree.null_left[n], b <= tree.cut[n]), 2 * n + 1, 2 * n + 2)
+    each comes to. columns: a row of bins for each feature.
+
+    Of two children only the one with fewer bins is added up; the other's sums are what is left
+    of the parent's. For that, g and h are rounded to where all sums are exact."""
+    used, tree, size = _drawn(s, turn, len(columns)), Tree.grown(s.depth), BINS + 1
+    at, flat, own = np.zeros(len(g), np.int64), columns.ravel(), np.flatnonzero(h)
+    step = _step(max(np.abs(g).sum(), np.abs(h).sum()))
+    g, h, lean = np.rint(g[own] * step) / step, np.rint(h[own] * step) / step, [columns[f].take(own) for f in used]
+    moving, place = np.arange(len(at)), np.zeros(len(at), np.int64)  # bins in open nodes, those that teach or not
+    nodes, is_open = np.zeros(1, np.int64), np.ones(1, bool)
+    sums = _node_sums(lean, g, h, np.zeros(len(own), np.int64), np.empty((1, len(used), 2, size)))
+    while True:
+        found = best_cuts((sums if is_open.all() else sums[is_open]).reshape(-1, 2, size), s.l2, s.least_weight)
+        first = found["gain"].reshape(-1, len(used)).argmax(axis=1)  # of equal features
+        best = {name: x.reshape(len(first), -1)[np.arange(len(first)), first] for name, x in found.items()}
+        tree.value[nodes[is_open]] = -s.rate * best["g"] / (best["h"] + s.l2)
+        cut = best["gain"] > 0
+        if not cut.any():
+            break
+        parents = np.flatnonzero(is_open)[cut]
+        split, feature, best = nodes[parents], used[first[cut]], {name: x[cut] for name, x in best.items()}
+        tree.feature[split], tree.cut[split], tree.null_left[split] = feature, best["cut"], best["null_left"]
+        side_g, side_h = (np.stack([best[f"left_{x}"], best[x] - best[f"left_{x}"]]) for x in "gh")
+        children = np.stack([2 * split + 1, 2 * split + 2])
+        tree.value[children] = -s.rate * side_g / (side_h + s.l2)
+        # All bins of cut nodes move to a child.
+        rank = np.full(len(tree.feature), -1)
+        rank[split] = np.arange(len(split))
+        place = rank[at[moving]]
+        moving, place = moving[place >= 0], place[place >= 0]
+        goes_left = np.arange(size) <= best["cut"][:, None]
+        goes_left[:, 0] = best["null_left"]
+        at[moving] = children[1][place] - goes_left.ravel()[place * size + flat[(feature * len(at))[place] + moving]]
+        opens = (side_h >= _least_cut(s)) & (split < (1 << (s.depth - 1)) - 1)
+        some = opens.any(axis=0)
+        if not some.any():
+            break
+        # The smaller children are added up, the larger ones are what is left.
+        children, parents, opens, leaf = children[:, some], parents[some], opens[:, some], at[own]
+        taught = np.bincount(leaf, minlength=len(tree.feature))[children]
+        small = np.argmin(taught, axis=0)
+        pairs = np.arange(len(small))
+        rank = np.full(len(tree.feature), -1)
+        rank[children[small, pairs]] = pairs
+        rank[children[1 - small, pairs]] = len(pairs)
+        rank = rank[leaf]
+        rows = np.flatnonzero((rank >= 0) & (rank < len(pairs)))
+        before, sums = sums, np.empty((2 * len(pairs), *sums.shape[1:]))
+        of_small = _node_sums([x.take(rows) for x in lean], g[rows], h[rows], rank[rows], sums[: len(pairs)])
+        np.subtract(before[parents], of_small, out=sums[len(pairs) :])
+        nodes, is_open = (np.concatenate([x[small, pairs], x[1 - small, pairs]]) for x in (children, opens))
+        stay = np.flatnonzero(rank >= 0)
+        if len(stay) < 0.7 * len(own):
+            own, g, h, lean = own[stay], g[stay], h[stay], [x.take(stay) for x in lean]
     return tree, at
 
 
+def _node_sums(lean: list[np.ndarray], g: np.ndarray, h: np.ndarray, node: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """(nodes, features, 2, bins): sums of g and h by bin of each feature."""
+    first, cells = node * (BINS + 1), np.empty(len(node), np.int64)
+    for j, bins in enumerate(lean):
+        np.add(first, bins, out=cells)
+        for k, x in enumerate((g, h)):
+            out[:, j, k] = np.bincount(cells, x, len(out) * (BINS + 1)).reshape(len(out), -1)
+    return out
+
+
+def _step(most: float) -> float:
+    """How many steps make 1, if sums of so much are to be exact. Cuts that part rows alike are
+    then equal to the last bit, however their rows lie: the first of them is taken."""
+    return 2.0 ** (51 - math.frexp(most)[1])
+
+
+def _least_cut(s: Spec) -> float:
+    """Second derivatives that a node has at least, if it can be cut (but for rounding)."""
+    return 2 * s.least_weight * (1 - 1e-9)
+
+
 def _fit_few(runs: DataFrame, booster: Boosted, different: int) -> None:
     """Grows all models from runs with few different bins, a block of trees a job: as many as
     keep a model's sums within HELD_BYTES."""
@@ -439,6 +534,55 @@ def _fit_few(runs: DataFrame, booster: Boosted, different: int) -> None:
         trees += [Tree.grown(s.depth) for _ in range(s.trees - len(trees))]
 
 
+LOSSES = "model int, loss double, n long"
+
+
+def _held_out(specs: list[Spec], width: int):
+    """Of all runs, once for each model: its log loss over the rows with a weight whose fold it
+    held out, added up, and their number. Its trees are not kept."""
+
+    def work(batches):
+        held: dict[int, list] = {}
+        for batch in batches:
+            models = batch.column(0).to_numpy()
+            for m in np.unique(models):
+                own = batch.filter(pa.array(models == m))
+                values, sizes = zip(*(_flat(own.column(k), kind) for k, kind in ((2, np.uint64), (3, np.float64), (4, np.float64), (5, np.int32))))
+                held.setdefault(int(m), []).append((_array(own.column(1), np.uint8, width), sizes[0], *values))
+        for m in list(held):
+            s, (bins, sizes, at, label, weight, fold) = specs[m], (np.concatenate(x) for x in zip(*held.pop(m)))
+            different, place = np.unique(np.ascontiguousarray(bins).view(np.dtype((np.void, width))).ravel(), return_inverse=True)
+            columns, place = np.ascontiguousarray(different.view(np.uint8).reshape(-1, width).T), np.repeat(place, sizes)
+            out = (fold == s.held_out) & (weight > 0)
+            own_place, own_label = place[out], label[out]
+            learnt = (fold != s.held_out) & (weight != 0) if s.held_out is not None else weight != 0
+            place, at, label, weight = place[learnt], at[learnt], label[learnt], weight[learnt]
+            margins = np.zeros(len(different))
+            for turn in range(s.trees):
+                drawn = np.where(_is_drawn(at, s.seed, s.rows, turn), weight, 0.0)
+                total, won = (np.bincount(place, x, len(margins)) for x in (drawn, drawn * label))
+                p = 1 / (1 + np.exp(-margins))
+                tree, leaf = _tree(s, turn, columns, p * total - won, total * np.maximum(p * (1 - p), 1e-16))
+                margins += tree.value[leaf]
+            p = np.clip(1 / (1 + np.exp(-margins[own_place])), 1e-15, 1 - 1e-15)
+            loss = -(own_label * np.log(p) + (1 - own_label) * np.log(1 - p)).sum()
+            yield pa.RecordBatch.from_pydict({"model": pa.array([m], pa.int32()), "loss": [float(loss)], "n": [len(own_place)]})
+
+    return work
+
+
+def held_out_losses(made: Prepared, specs: list[Spec]) -> list[tuple[float, int]] | None:
+    """Of each spec, the log loss (p within 1e-15 of 0 and 1) added up over the rows with a weight
+    whose fold it held out, and their number. None if the rows don't fit into a task. The models
+    grow side by side, the first ones first."""
+    if made.runs is None or made.rows * (ROW_BYTES + len(made.columns)) > HELD_BYTES or not specs:
+        return None
+    models = made.runs.sparkSession.range(0, len(specs), 1, len(specs)).select(F.col("id").cast("int").alias("model"))
+    found = models.crossJoin(F.broadcast(made.runs)).mapInArrow(_held_out(specs, len(made.columns)), LOSSES).collect()  # a row a model
+    by = {r["model"]: (r["loss"], r["n"]) for r in found}
+    return [by[m] for m in range(len(specs))]
+
+
 def _margins_of(booster: Boosted):
     width, models = len(booster.columns), len(booster.specs)
 
@@ -454,7 +598,8 @@ def _margins_of(booster: Boosted):
 @dataclass
 class Prepared:
     """Rows that models grow from: edges of the bins, and keys with STATE but for the margins,
-    written; if few bins are different, how many (at most) and the runs of equal ones."""
+    written; if few bins are different, how many (at most) and the runs of equal ones, else the
+    steps that gradients are rounded to."""
 
     spark: SparkSession
     columns: list[str]
@@ -464,6 +609,7 @@ class Prepared:
     parts: int
     different: int = 0
     runs: DataFrame | None = None
+    step: float = 1.0
 
     def release(self) -> None:
         if self.runs is not None:
@@ -494,6 +640,8 @@ def prepare(rows: DataFrame, columns: list[str], keys: list[str], label: str = "
         # Equal bins meet in a task, in a few if they have millions of rows.
         dealt = state.repartition(max(parts, spark.sparkContext.defaultParallelism), "bins", F.pmod("at", F.lit(1 + n // (40 * PART_ROWS)))).sortWithinPartitions("bins")
         made.different, made.runs = different, _read(dealt.select("bins", "at", "label", "weight", "fold").mapInArrow(_runs(len(columns)), RUNS), "runs").persist()
+    else:
+        made.step = _step(state.agg(F.sum(F.abs("weight") * (1 + F.abs("label")))).first()[0])
     return made
 
 
@@ -536,7 +684,7 @@ def grown(made: Prepared, specs: list[Spec]) -> tuple[Boosted, DataFrame]:
         used = {m: _drawn(specs[m], turn, len(columns)) for m in active}
         frontier = {m: [0] for m in active}
         while frontier:
-            found = _level(state, parts, booster, block, growing, frontier, used, turn)
+            found = _level(state, parts, made.step, booster, block, growing, frontier, used, turn)
             frontier = _grow(found, specs, growing)
         block.append(growing)
         for m in active:
@@ -573,7 +721,9 @@ def _grow(found: list, specs: list[Spec], growing: dict[int, Tree]) -> dict[int,
         tree.value[2 * n + 1] = leaf(r["left_g"], r["left_h"])
         tree.value[2 * n + 2] = leaf(r["g"] - r["left_g"], r["h"] - r["left_h"])
         if n < (1 << (s.depth - 1)) - 1:  # its children are above the last level
-            frontier.setdefault(m, []).extend((2 * n + 1, 2 * n + 2))
+            open_ = [k for k, h in ((2 * n + 1, r["left_h"]), (2 * n + 2, r["h"] - r["left_h"])) if h >= _least_cut(s)]
+            if open_:
+                frontier.setdefault(m, []).extend(open_)
     return frontier
 
 

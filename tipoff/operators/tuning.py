@@ -103,12 +103,20 @@ def search(evaluate: Callable[[list[dict]], list[float]], space: dict[str, Range
 
 def held_out_losses(made: boosting.Prepared, folds: list[int], options: list[dict]) -> list[float]:
     """Log loss of each option over rows whose fold was held out; all models of all options grow
-    together."""
-    specs = [Spec(k, **o) for o in options for k in folds]
+    side by side, those with the most levels first."""
+    first = sorted(range(len(options)), key=lambda t: -(s := Spec(**options[t])).trees * s.depth)
+    specs = [Spec(k, **options[t]) for t in first for k in folds]
+    sums = boosting.held_out_losses(made, specs)
+    if sums is not None:
+        found = {}
+        for at, t in enumerate(first):
+            loss, n = (sum(x) for x in zip(*sums[at * len(folds) : (at + 1) * len(folds)]))
+            found[t] = loss / n if n else math.nan
+        return [found[t] for t in range(len(options))]
     _, scored = boosting.grown(made, specs)
     at = F.array_position(F.array(*map(F.lit, folds)), F.col("fold")).cast("int") - 1
     own = boosting.unpacked(scored, len(specs)).where((at >= 0) & (F.col("weight") > 0)).withColumn("at", at)
-    every = own.select("label", F.inline(F.array(*(F.struct(F.lit(t).alias("trial"), F.get("margins", t * len(folds) + F.col("at")).alias("raw")) for t in range(len(options))))))
+    every = own.select("label", F.inline(F.array(*(F.struct(F.lit(t).alias("trial"), F.get("margins", k * len(folds) + F.col("at")).alias("raw")) for k, t in enumerate(first)))))
     p = F.greatest(F.least(1 / (1 + F.exp(-F.col("raw"))), F.lit(1 - 1e-15)), F.lit(1e-15))
     loss = -F.avg(F.col("label") * F.ln(p) + (1 - F.col("label")) * F.ln(1 - p))
     found = {r["trial"]: r["loss"] for r in every.groupBy("trial").agg(loss.alias("loss")).collect()}
