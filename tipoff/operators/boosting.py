@@ -426,12 +426,13 @@ def _grown(booster: Boosted, turns: range):
                 total = sums[first]
             del sums
             total = total.reshape(len(bins), len(turns), 2)
-            margins, columns = booster.margins(bins, m), np.ascontiguousarray(bins.T).astype(np.int64)
+            margins, columns = booster.margins(bins, m), np.ascontiguousarray(bins.T)
+            order = _order(columns)
             out = []
             for k, turn in enumerate(turns):
                 if turn < specs[m].trees:
                     p = 1 / (1 + np.exp(-margins))
-                    tree, at = _tree(specs[m], turn, columns, p * total[:, k, 0] - total[:, k, 1], total[:, k, 0] * np.maximum(p * (1 - p), 1e-16))
+                    tree, at = _tree(specs[m], turn, columns, order, p * total[:, k, 0] - total[:, k, 1], total[:, k, 0] * np.maximum(p * (1 - p), 1e-16))
                     margins += tree.value[at]
                     out.append((m, turn, *(getattr(tree, x).tobytes() for x in ("feature", "cut", "null_left", "value"))))
             kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 4]
@@ -440,19 +441,24 @@ def _grown(booster: Boosted, turns: range):
     return work
 
 
-def _tree(s: Spec, turn: int, columns: np.ndarray, g: np.ndarray, h: np.ndarray) -> tuple[Tree, np.ndarray]:
+def _tree(s: Spec, turn: int, columns: np.ndarray, order: list, g: np.ndarray, h: np.ndarray) -> tuple[Tree, np.ndarray]:
     """A tree of one model, from gradients and second derivatives of each bins, and the leaf that
-    each comes to. columns: a row of bins for each feature.
+    each comes to. columns: a row of bins for each feature; order: see `_order`.
 
     Of two children only the one with fewer bins is added up; the other's sums are what is left
     of the parent's. For that, g and h are rounded to where all sums are exact."""
     used, tree, size = _drawn(s, turn, len(columns)), Tree.grown(s.depth), BINS + 1
     at, flat, own = np.zeros(len(g), np.int64), columns.ravel(), np.flatnonzero(h)
     step = _step(max(np.abs(g).sum(), np.abs(h).sum()))
-    g, h, lean = np.rint(g[own] * step) / step, np.rint(h[own] * step) / step, [columns[f].take(own) for f in used]
+    g, h = np.rint(g * step) / step, np.rint(h * step) / step
     moving, place = np.arange(len(at)), np.zeros(len(at), np.int64)  # bins in open nodes, those that teach or not
     nodes, is_open = np.zeros(1, np.int64), np.ones(1, bool)
-    sums = _node_sums(lean, g, h, np.zeros(len(own), np.int64), np.empty((1, len(used), 2, size)))
+    sums, both = np.zeros((1, len(used), 2, size)), g + 1j * h
+    for j, f in enumerate(used):
+        rows, first, bins = order[f]
+        root = np.add.reduceat(both.take(rows), first)
+        sums[0, j, 0, bins], sums[0, j, 1, bins] = root.real, root.imag
+    g, h = g[own], h[own]
     while True:
         found = best_cuts((sums if is_open.all() else sums[is_open]).reshape(-1, 2, size), s.l2, s.least_weight)
         first = found["gain"].reshape(-1, len(used)).argmax(axis=1)  # of equal features
@@ -490,19 +496,29 @@ def _tree(s: Spec, turn: int, columns: np.ndarray, g: np.ndarray, h: np.ndarray)
         rank = rank[leaf]
         rows = np.flatnonzero((rank >= 0) & (rank < len(pairs)))
         before, sums = sums, np.empty((2 * len(pairs), *sums.shape[1:]))
-        of_small = _node_sums([x.take(rows) for x in lean], g[rows], h[rows], rank[rows], sums[: len(pairs)])
+        of_small = _node_sums([columns[f].take(own[rows]) for f in used], g[rows], h[rows], rank[rows], sums[: len(pairs)])
         np.subtract(before[parents], of_small, out=sums[len(pairs) :])
         nodes, is_open = (np.concatenate([x[small, pairs], x[1 - small, pairs]]) for x in (children, opens))
         stay = np.flatnonzero(rank >= 0)
         if len(stay) < 0.7 * len(own):
-            own, g, h, lean = own[stay], g[stay], h[stay], [x.take(stay) for x in lean]
+            own, g, h = own[stay], g[stay], h[stay]
     return tree, at
 
 
-def _node_sums(lean: list[np.ndarray], g: np.ndarray, h: np.ndarray, node: np.ndarray, out: np.ndarray) -> np.ndarray:
+def _order(columns: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each feature, the places in order of their bins, where each bin starts, and the bins."""
+    out = []
+    for column in columns:
+        rows = np.argsort(column, kind="stable")
+        bins, first = np.unique(column[rows], return_index=True)
+        out.append((rows, first, bins))
+    return out
+
+
+def _node_sums(columns: list[np.ndarray], g: np.ndarray, h: np.ndarray, node: np.ndarray, out: np.ndarray) -> np.ndarray:
     """(nodes, features, 2, bins): sums of g and h by bin of each feature."""
     first, cells = node * (BINS + 1), np.empty(len(node), np.int64)
-    for j, bins in enumerate(lean):
+    for j, bins in enumerate(columns):
         np.add(first, bins, out=cells)
         for k, x in enumerate((g, h)):
             out[:, j, k] = np.bincount(cells, x, len(out) * (BINS + 1)).reshape(len(out), -1)
@@ -558,11 +574,12 @@ def _held_out(specs: list[Spec], width: int):
             learnt = (fold != s.held_out) & (weight != 0) if s.held_out is not None else weight != 0
             place, at, label, weight = place[learnt], at[learnt], label[learnt], weight[learnt]
             margins = np.zeros(len(different))
+            order, won_weight = _order(columns), weight * label
             for turn in range(s.trees):
-                drawn = np.where(_is_drawn(at, s.seed, s.rows, turn), weight, 0.0)
-                total, won = (np.bincount(place, x, len(margins)) for x in (drawn, drawn * label))
+                drawn = _is_drawn(at, s.seed, s.rows, turn)
+                total, won = (np.bincount(place, x * drawn, len(margins)) for x in (weight, won_weight))
                 p = 1 / (1 + np.exp(-margins))
-                tree, leaf = _tree(s, turn, columns, p * total - won, total * np.maximum(p * (1 - p), 1e-16))
+                tree, leaf = _tree(s, turn, columns, order, p * total - won, total * np.maximum(p * (1 - p), 1e-16))
                 margins += tree.value[leaf]
             p = np.clip(1 / (1 + np.exp(-margins[own_place])), 1e-15, 1 - 1e-15)
             loss = -(own_label * np.log(p) + (1 - own_label) * np.log(1 - p)).sum()
@@ -575,7 +592,7 @@ def held_out_losses(made: Prepared, specs: list[Spec]) -> list[tuple[float, int]
     """Of each spec, the log loss (p within 1e-15 of 0 and 1) added up over the rows with a weight
     whose fold it held out, and their number. None if the rows don't fit into a task. The models
     grow side by side, the first ones first."""
-    if made.runs is None or made.rows * (ROW_BYTES + len(made.columns)) > HELD_BYTES or not specs:
+    if made.runs is None or made.rows * ROW_BYTES + made.different * len(made.columns) > HELD_BYTES or not specs:
         return None
     models = made.runs.sparkSession.range(0, len(specs), 1, len(specs)).select(F.col("id").cast("int").alias("model"))
     found = models.crossJoin(F.broadcast(made.runs)).mapInArrow(_held_out(specs, len(made.columns)), LOSSES).collect()  # a row a model
