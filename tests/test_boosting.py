@@ -1,5 +1,6 @@
 """Boosting of many models at once: cuts against every cut, models against one another."""
 
+import dataclasses
 import math
 
 import numpy as np
@@ -221,6 +222,7 @@ def test_losses_of_models_grown_apart(spark, monkeypatch):
     jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("apart"))
     spark.sparkContext.setJobGroup("rest", "")
     assert jobs <= 3  # whatever the number of trees
+    assert boosting.held_out_losses(dataclasses.replace(made, different=10), [Spec(0)]) is None  # 90 rows of each
     monkeypatch.setattr(boosting, "HELD_BYTES", 1000)  # rows don't fit into a task then
     assert boosting.held_out_losses(made, [Spec(0)]) is None
     assert apart == pytest.approx(tuning.held_out_losses(made, [0, 1, 2, 9], options))

@@ -7,8 +7,8 @@ gradients only need the weights and labels drawn among them. There are two ways
 * Few different bins (team pairs of a season, however many games): a job adds up, for some tens
   of trees, what each model draws of each bins' rows, and grows the models by model, each from
   these sums. Work of the trees doesn't grow with the rows; every row is still drawn by itself.
-  For the losses of a search, where all rows fit into a task, a task draws and grows one model
-  from the first tree to the last.
+  For the losses of a search, where all rows fit into a task and are not too many for each
+  different bins, a task draws and grows one model from the first tree to the last.
 * Many: one job a level grows the next level of a tree of every model: tasks sum gradients by
   (model, node, feature, bin) over their rows, the sums meet by (model, node, feature), and each
   gives its best cut. A row per model, node and feature comes back, whatever the number of rows.
@@ -31,8 +31,9 @@ from tipoff.operators.ratings import written
 
 #: Cuts of a feature; trees between two writes of the margins; rows of a partition; bytes of
 #: the sums that a task holds (more models or nodes take more jobs). Different bins under
-#: 2 * PART_ROWS are few. Bytes of a row of runs, without its bins.
-BINS, CUT, PART_ROWS, HELD_BYTES, ROW_BYTES = 64, 25, 50_000, 64 << 20, 28
+#: 2 * PART_ROWS are few. Bytes of a row of runs, without its bins; rows for each different bins
+#: up to which every model draws by itself.
+BINS, CUT, PART_ROWS, HELD_BYTES, ROW_BYTES, DRAWN_APART = 64, 25, 50_000, 64 << 20, 28, 50
 
 
 @dataclass(frozen=True)
@@ -590,9 +591,10 @@ def _held_out(specs: list[Spec], width: int):
 
 def held_out_losses(made: Prepared, specs: list[Spec]) -> list[tuple[float, int]] | None:
     """Of each spec, the log loss (p within 1e-15 of 0 and 1) added up over the rows with a weight
-    whose fold it held out, and their number. None if the rows don't fit into a task. The models
-    grow side by side, the first ones first."""
-    if made.runs is None or made.rows * ROW_BYTES + made.different * len(made.columns) > HELD_BYTES or not specs:
+    whose fold it held out, and their number. None if the rows don't fit into a task, or are so many
+    that drawing them for each model takes longer. Models grow side by side, the first ones first."""
+    held = made.rows * ROW_BYTES + made.different * len(made.columns)
+    if made.runs is None or not specs or held > HELD_BYTES or made.rows > DRAWN_APART * made.different:
         return None
     models = made.runs.sparkSession.range(0, len(specs), 1, len(specs)).select(F.col("id").cast("int").alias("model"))
     found = models.crossJoin(F.broadcast(made.runs)).mapInArrow(_held_out(specs, len(made.columns)), LOSSES).collect()  # a row a model
